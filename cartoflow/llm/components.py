@@ -1,0 +1,32 @@
+"""Connected components of an edge table by contraction.
+
+In every round each node hooks to its least neighbour and edges move to what their ends hooked to; at least half of the
+nodes that still have edges go, so rounds are logarithmic in the longest component and tables shrink.  Every round is
+written to the shared folder; nothing but row counts reaches the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartoflow.llm.common import spool
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """From edges (a, b): (node, root) for each node that has an edge to another; root is the least node reachable."""
+    both = edges.where("a <> b").select("a", "b")
+    both = spool(both.union(both.select("b", "a")).distinct())
+    roots = None
+    while both.take(1):
+        hooks = spool(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
+        if roots is None:
+            roots = hooks
+        else:
+            step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            roots = spool(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        ends = both.join(hooks.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(hooks.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
+        both = spool(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if roots is None:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots

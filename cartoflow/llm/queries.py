@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartoflow.llm import mixing, warc
+from cartoflow.llm import decontaminate, licences, mixing, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +18,87 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(_table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.linked(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_decontamination": op2_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op7_licences": op7_licences,
+    "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEMPLATES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licences.TEMPLATES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, unnest([array_to_string(w[i : i + least(13, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(13, len(w)) + 2)]) AS window_text
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM docs, sizes WHERE len(w) >= size),
+found AS (
+  SELECT p.doc_id, p.i, p.size, x.item_id FROM (SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS window_text FROM places) p
+  JOIN windows x ON x.size = p.size AND x.window_text = p.window_text),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM found) GROUP BY doc_id),
+matched AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN matched USING (doc_id)
+""",
+    "op7_licences": rf"""
+WITH templates AS (SELECT row_number() OVER () AS t, licence, w FROM (
+  SELECT licence, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS w FROM (VALUES {_TEMPLATES}) v(licence, text))),
+template_grams AS (SELECT DISTINCT t, licence, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS gram FROM templates),
+template_sizes AS (SELECT t, licence, count(*) AS n FROM template_grams GROUP BY ALL),
+lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, text FROM documents),
+passages AS (
+  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) AS passage FROM lines
+  UNION ALL SELECT doc_id, 0, text FROM lines WHERE len(parts) > 1),
+words AS (SELECT doc_id, part, regexp_extract_all({_LOWER.format("passage")}, '[a-z0-9]+') AS w FROM passages),
+grams AS (SELECT DISTINCT doc_id, part, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS gram FROM words WHERE len(w) > 1),
+sized AS (SELECT doc_id, part, count(*) AS n FROM grams GROUP BY ALL),
+dice AS (
+  SELECT g.doc_id, g.part, s.licence, 2.0::DOUBLE * count(*) / (p.n + s.n) AS dice
+  FROM grams g JOIN template_grams t ON g.gram = t.gram JOIN template_sizes s ON s.t = t.t JOIN sized p ON p.doc_id = g.doc_id AND p.part = g.part
+  GROUP BY g.doc_id, g.part, s.t, s.licence, p.n, s.n),
+best AS (
+  SELECT doc_id, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice, count(DISTINCT part) AS n_passages
+  FROM dice WHERE dice >= 0.8 GROUP BY doc_id)
+SELECT d.doc_id, b.licence, coalesce(b.dice, 0)::DOUBLE AS dice, coalesce(b.n_passages, 0)::BIGINT AS n_passages
+FROM documents d LEFT JOIN best b USING (doc_id)
+""",
     "op5_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
