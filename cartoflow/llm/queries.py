@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartoflow.llm import decontaminate, licences, mixing, quality, simhash, suffixes, toxicity, warc
+from cartoflow.llm import decontaminate, licences, lm, mixing, quality, simhash, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.linked(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op7_licences": op7_licences,
+    "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
