@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartoflow.llm import decontaminate, licences, lm, mixing, quality, simhash, suffixes, toxicity, warc
+from cartoflow.llm import decontaminate, licences, lm, mixing, quality, simhash, suffixes, toolcalls, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.turns(_table(spark, sf_dir, "conversations"))
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_tool_calls": op6_tool_calls,
     "op7_licences": op7_licences,
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
@@ -86,6 +91,32 @@ matched AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN matched USING (doc_id)
+""",
+    "op6_tool_calls": r"""
+WITH calls AS (
+  SELECT conv_id || ':' || turn AS id, conv_id || ':' || (turn - 2) AS parent, conv_id, turn, min((role, text)) AS c, count(*) AS n_repeats
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS DISTINCT FROM 'assistant' GROUP BY ALL),
+chained AS (
+  SELECT id, parent, conv_id, turn, c[1] AS name, c[2] AS text, n_repeats,
+         turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM calls),
+called AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth FROM chained),
+answers AS (
+  SELECT conv_id || ':' || (turn - 1) AS id, min(text) AS result
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role = 'assistant' GROUP BY ALL),
+linked AS (
+  SELECT coalesce(c.id, a.id) AS id, c.* EXCLUDE (id), c.id IS NOT NULL AS called, a.id IS NOT NULL AS answered, a.result
+  FROM called c FULL JOIN answers a ON c.id = a.id)
+SELECT id, name, parent, coalesce(n_repeats, 0)::BIGINT AS n_repeats, depth::BIGINT AS depth,
+       CASE WHEN called AND answered THEN 'linked' WHEN called THEN 'unanswered' ELSE 'orphan' END AS status,
+       CASE WHEN called THEN length(coalesce(text, '')) > 0 AND turn >= 0 END AS valid,
+       CASE WHEN called THEN concat_ws('; ', CASE WHEN text = '' THEN '$.text: minLength' END, CASE WHEN text IS NULL THEN '$.text: type' END, CASE WHEN turn < 0 THEN '$.turn: minimum' END) END AS errors,
+       '{"arguments":' || CASE WHEN called THEN '{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '}' ELSE 'null' END
+         || ',"id":' || to_json(id)::VARCHAR || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || '}' AS canonical_json
+FROM linked
+UNION ALL
+SELECT NULL, role, NULL, 1, NULL, 'no_id', NULL, NULL,
+       '{"conv_id":' || coalesce(conv_id::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || coalesce(turn::VARCHAR, 'null') || '}'
+FROM conversations WHERE conv_id IS NULL OR turn IS NULL
 """,
     "op7_licences": rf"""
 WITH templates AS (SELECT row_number() OVER () AS t, licence, w FROM (
