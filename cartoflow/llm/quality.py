@@ -67,8 +67,8 @@ def features(block: Block, window: int = 8) -> dict[str, np.ndarray]:
         grams = mixed(gram_hashes(words, window) + owners[: len(words) - window + 1].astype(np.uint64) * _SALT)
         at = np.flatnonzero(owners[: len(grams)] == owners[window - 1 :])
         at = at[_repeated(grams[at])[0]]
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + window, -1)
+        covered[at] += 1
+        covered[at + window] -= 1
     out["n_repeat_words"] = block.per_text(owners[np.cumsum(covered)[:-1] > 0])
     out["n_upper"], out["n_letters"] = count(UPPER[data]), count(ASCII_LETTER[data])
     out["n_marks"] = count(data == 0x21)

@@ -55,7 +55,7 @@ def spool_shards(docs: DataFrame, summary: pa.StructType, ddl: str, add: Callabl
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {SHARD} long, {PLACE} long, {SUMMARY} array<{ddl}>"
     out = docs.mapInArrow(each, schema)
-    out.write.option("parquet.block.size", 1 << 30).parquet(folder)  # a file has one row group: shards stay whole
+    out.write.option("parquet.block.size", 1 << 30).option("compression", "zstd").parquet(folder)  # a file has one row group: shards stay whole
     return spark.read.schema(out.schema).parquet(folder)
 
 

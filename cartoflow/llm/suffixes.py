@@ -6,11 +6,13 @@ same document.  Documents are cut to shards of a few MB, fixed when they are spo
 1. Anchors.  Every window of LENGTH bytes has the least hash of its GRAM-byte grams as anchor; equal windows have equal
    anchors, and only about one gram in 35 is one.  Anchors that occur twice or more, in one shard or in several, say
    which windows can repeat; all others are left alone from here on.
-2. Suffix arrays.  Each shard sorts the suffixes at those windows: ranks by 8 bytes, doubled on groups that are not yet
-   single (Larsson and Sadakane) to 64, then to LENGTH; common prefixes of neighbours by Kasai's recurrence.  Of equal
-   windows the first stays; only it goes on, and only if its anchor is in another shard too.
-3. Merging.  First windows meet by anchor, as one sorted run a shard; runs are merged in pairs by binary search, and of
-   equal windows the owner that comes first stays.  So a passage that a third of all documents share sends one window a
+2. Suffix arrays.  Each shard sorts the suffixes at windows whose anchor it has twice: ranks by 8 bytes, doubled on
+   groups that are not yet single (Larsson and Sadakane) to 64, then to LENGTH; common prefixes of neighbours by Kasai's
+   recurrence.  Of equal windows the first stays; only it goes on, and only if its anchor is in another shard too.
+3. Merging.  What goes on are pieces: the windows in a row that have one anchor.  Pieces meet by anchor; equal ones, by a
+   128-bit digest of their bytes, are settled at once, as within a copied passage all are.  The others, at the passages'
+   edges, bring their bytes: each shard's windows are a sorted run, runs are merged in pairs by binary search, and of
+   equal windows the owner that comes first stays.  So a passage that a third of all documents share sends one piece a
    shard, however many copies there are.
 
 No text is shuffled; what is decided about a shard comes back to it as rows addressed by shard and document.
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import Block, blocks, mixed, only, power_tables, sliding, spool
+from cartoflow.llm.common import Block, blocks, mixed, only, power_tables, shared_dir, sliding, spool
 from cartoflow.llm.shards import PLACE, SHARD, spool_shards, summaries, with_side, write_side
 
 LENGTH, GRAM = 100, 32
@@ -62,8 +64,8 @@ def _windows(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     anchors = sliding(grams, WINDOW)
     edges = np.zeros(len(block.data) + 1, np.int32)
     long = block.lengths >= LENGTH
-    np.add.at(edges, block.starts[long], 1)
-    np.add.at(edges, block.ends[long] - LENGTH + 1, -1)
+    edges[block.starts[long]] += 1
+    edges[block.ends[long] - LENGTH + 1] -= 1
     return grams, anchors, np.cumsum(edges)[: len(anchors)] > 0
 
 
@@ -189,11 +191,11 @@ def _candidate_text(rows: list[pa.RecordBatch], side: dict[str, np.ndarray]):
     """The pieces of a shard's texts that candidate windows cover, in document order.
 
     Returns the text, and for each of its bytes: document place, offset there, whether a window starts here, the
-    window's anchor, and whether other shards have the anchor.
+    window's anchor, whether other shards have the anchor, and whether this one has it again.
     """
-    known, crossed = side["h"].view(np.uint64), side["crossed"]
+    known, crossed, again = side["h"].view(np.uint64), side["crossed"], side["again"]
     order = np.argsort(known)
-    known, crossed = known[order], crossed[order]
+    known, crossed, again = known[order], crossed[order], again[order]
     table = np.zeros(1 << _FILTER_BITS, bool)
     low = np.uint64((1 << _FILTER_BITS) - 1)
     table[(known & low).astype(np.int64)] = True
@@ -208,15 +210,15 @@ def _candidate_text(rows: list[pa.RecordBatch], side: dict[str, np.ndarray]):
         good = known[hit] == anchors[at]
         at, hit = at[good], hit[good]
         edges = np.zeros(len(block.data) + 1, np.int32)
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + LENGTH, -1)
+        edges[at] += 1
+        edges[at + LENGTH] -= 1
         keep = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
-        starts, over = np.zeros(len(block.data), bool), np.zeros(len(block.data), bool)
-        starts[at], over[at] = True, crossed[hit]
+        starts, over, twice = (np.zeros(len(block.data), bool) for _ in range(3))
+        starts[at], over[at], twice[at] = True, crossed[hit], again[hit]
         text = np.searchsorted(block.ends, keep)
         anchor = np.zeros(len(block.data), np.uint64)
         anchor[at] = anchors[at]
-        pieces.append((block.data[keep], place[text], keep - block.starts[text], starts[keep], anchor[keep], over[keep]))
+        pieces.append((block.data[keep], place[text], keep - block.starts[text], starts[keep], anchor[keep], over[keep], twice[keep]))
     return [np.concatenate(x) for x in zip(*pieces, strict=True)] if pieces else None
 
 
@@ -231,8 +233,8 @@ def _ordered(rows: list[pa.RecordBatch]) -> np.ndarray:
     return rank
 
 
-_FIRST = pa.schema([("h", pa.int64()), (_SHARD, pa.int64()), (_D, pa.int64()), ("doc_id", pa.int64()), (_H, pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("ranks", pa.list_(pa.int32())), ("bytes", pa.binary())])
-_FIRST_DDL = f"h long, {_SHARD} long, {_D} long, doc_id long, {_H} long, start long, end long, ranks array<int>, bytes binary"
+_FIRST = pa.schema([("h", pa.int64()), (_SHARD, pa.int64()), (_D, pa.int64()), ("doc_id", pa.int64()), (_H, pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary()), ("bytes", pa.binary())])
+_FIRST_DDL = f"h long, {_SHARD} long, {_D} long, doc_id long, {_H} long, start long, end long, digest binary, bytes binary"
 
 
 def _sorted_shard(shard: int, rows: list[pa.RecordBatch], side: dict[str, np.ndarray]) -> pa.RecordBatch | None:
@@ -240,14 +242,21 @@ def _sorted_shard(shard: int, rows: list[pa.RecordBatch], side: dict[str, np.nda
     got = _candidate_text(rows, side) if side else None
     if got is None:
         return None
-    rank = _ordered(rows)
-    order = np.lexsort((got[2], rank[got[1]]))
-    text, place, offset, starts, anchor, over = (x[order] for x in got)
-    suffixes, first = first_of_equal(text, np.flatnonzero(starts))
+    of = _ordered(rows)[got[1]]
+    if (of[1:] < of[:-1]).any():  # whole documents change places
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        lengths = np.diff(np.append(heads, len(of)))
+        by = np.argsort(of[heads])
+        got = [x[_spread(heads[by], lengths[by])] for x in got]
+    text, place, offset, starts, anchor, over, twice = got
     repeated = np.zeros(len(text), bool)
-    repeated[suffixes[first != suffixes]] = True
-    order_of = np.zeros(len(text), np.int32)
-    order_of[suffixes] = np.arange(len(suffixes), dtype=np.int32)
+    if twice.any():
+        edges = np.zeros(len(text) + LENGTH, np.int32)
+        edges[:-LENGTH] += twice
+        edges[LENGTH:] -= twice
+        kept = np.flatnonzero(np.cumsum(edges)[: len(text)] > 0)
+        suffixes, first = first_of_equal(text[kept], np.flatnonzero(twice[kept]))
+        repeated[kept[suffixes[first != suffixes]]] = True
     going = starts & over & ~repeated
     new = np.ones(len(text), bool)  # a piece, document or anchor begins
     new[1:] = (place[1:] != place[:-1]) | (offset[1:] != offset[:-1] + 1)
@@ -260,7 +269,7 @@ def _sorted_shard(shard: int, rows: list[pa.RecordBatch], side: dict[str, np.nda
         return begins, np.flatnonzero(end) + 1
 
     a, b = cut(repeated, new)
-    local = [pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), shard)), pa.array(place[a]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(offset[a]), pa.array(offset[b - 1] + LENGTH), pa.nulls(len(a), pa.list_(pa.int32())), pa.nulls(len(a), pa.binary())]
+    local = [pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), shard)), pa.array(place[a]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(offset[a]), pa.array(offset[b - 1] + LENGTH), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())]
     changed = new.copy()
     changed[1:] |= anchor[1:] != anchor[:-1]
     a, b = cut(going, changed)
@@ -269,10 +278,12 @@ def _sorted_shard(shard: int, rows: list[pa.RecordBatch], side: dict[str, np.nda
     hashes = np.concatenate([x.column(x.schema.get_field_index(_H)).to_numpy() for x in rows])
     grown = n + LENGTH - 1
     offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
-    ranks = pa.ListArray.from_arrays(offsets(n), pa.array(order_of[_spread(a, n)]))
-    data = pa.Array.from_buffers(pa.binary(), len(a), [None, offsets(grown).buffers()[1], pa.py_buffer(text[_spread(a, grown)].tobytes())])
+    ends = np.cumsum(grown)
+    raw = text[_spread(a, grown)].tobytes()
+    digests = pa.array([hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip((ends - grown).tolist(), ends.tolist(), strict=True)], pa.binary())
+    data = pa.Array.from_buffers(pa.binary(), len(a), [None, offsets(grown).buffers()[1], pa.py_buffer(raw)])
     ids = ids.take(pa.array(place[a]))
-    away = [pa.array(anchor[a].view(np.int64)), pa.array(np.full(len(a), shard)), pa.array(place[a]), ids, pa.array(hashes[place[a]]), pa.array(offset[a]), pa.array(offset[b - 1] + LENGTH), ranks, data]
+    away = [pa.array(anchor[a].view(np.int64)), pa.array(np.full(len(a), shard)), pa.array(place[a]), ids, pa.array(hashes[place[a]]), pa.array(offset[a]), pa.array(offset[b - 1] + LENGTH), digests, data]
     return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(local, away, strict=True)], schema=_FIRST)
 
 
@@ -306,17 +317,15 @@ def _merge_chunk(table: pa.Table) -> pa.RecordBatch:
     order = np.lexsort((start, col[_D].to_numpy(), shard, col[_H].to_numpy(), ids, null))
     table = table.take(pa.array(order))
     col = {c: table.column(c).combine_chunks() for c in table.column_names}
-    lists = col["ranks"]
-    n = np.diff(lists.offsets.to_numpy())
-    ranks = lists.flatten().to_numpy()
     raw = np.frombuffer(b"".join(col["bytes"].to_pylist()), np.uint8)
+    n = pc.binary_length(col["bytes"]).to_numpy().astype(np.int64) - LENGTH + 1
     base = np.concatenate([[0], np.cumsum(n + LENGTH - 1)])[:-1]
     row = np.repeat(np.arange(len(n)), n)
     owners = np.arange(len(row))  # in the order of documents and offsets
     views = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
     keys = np.ascontiguousarray(views[_spread(base, n)]).view(f"S{LENGTH}").ravel()
     shard = col[_SHARD].to_numpy()[row]
-    by = np.lexsort((ranks, shard))
+    by = np.lexsort((keys, shard))
     cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1]])).tolist()
     lost = np.zeros(len(owners), bool)
     merged([(keys[by[lo:hi]], owners[by[lo:hi]]) for lo, hi in zip(cuts, [*cuts[1:], len(by)], strict=True)], lost)
@@ -359,7 +368,7 @@ def _ranges(base: DataFrame) -> str:
     """The side table of removed ranges of all shards."""
     of = Window.partitionBy("h")
     anchors = summaries(base).withColumns({"total": F.sum("n").over(of), "lo": F.min(_SHARD).over(of), "hi": F.max(_SHARD).over(of)}).where("total > 1")
-    known = write_side(anchors.select(_SHARD, "h", (F.col("lo") < F.col("hi")).alias("crossed")))
+    known = write_side(anchors.select(_SHARD, "h", (F.col("lo") < F.col("hi")).alias("crossed"), (F.col("n") > 1).alias("again")))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows, side in with_side(batches, known, "h"):
@@ -367,10 +376,35 @@ def _ranges(base: DataFrame) -> str:
             if out is not None:
                 yield out
 
-    first = spool(base.select(F.col("doc_id").cast("long").alias("doc_id"), _H, _SHARD, _D, "text").mapInArrow(sort, _FIRST_DDL))
-    local = first.where("h is null").select(_SHARD, _D, "start", "end")
-    away = first.where("h is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_merge, f"{_SHARD} long, {_D} long, start long, end long")
-    return write_side(local.union(away))
+    folder = shared_dir(base.sparkSession)
+    sorted_ = base.select(F.col("doc_id").cast("long").alias("doc_id"), _H, _SHARD, _D, "text").mapInArrow(sort, _FIRST_DDL)
+    sorted_.write.option("parquet.block.size", 1 << 30).option("compression", "zstd").parquet(folder)
+    first = base.sparkSession.read.schema(_FIRST_DDL).parquet(folder)
+    place = [_SHARD, _D, "start", "end"]
+    local = first.where("h is null").select(*place)
+
+    # Equal pieces: the first stays.  An anchor with several first pieces needs their bytes.
+    order = [F.col("doc_id").isNull(), "doc_id", _H, _SHARD, _D, "start"]
+    pieces = first.where("h is not null").drop("bytes").repartition("h").withColumn("nth", F.row_number().over(Window.partitionBy("h", "digest").orderBy(*order)))
+    pieces = spool(pieces.withColumn("kinds", F.count_if(F.col("nth") == 1).over(of)).where("nth > 1 or kinds > 1").select(*place, "nth"))
+    settled = pieces.where("nth > 1").select(*place)
+    edges = write_side(pieces.where("nth = 1").select(_SHARD, _D, "start"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, side in with_side(batches, edges, "start"):
+            if side:
+                wanted = pa.table({_D: side[_D], "start": side["start"]})
+                for sub in rows:
+                    at = np.arange(sub.num_rows)
+                    here = pa.table({_D: sub.column(sub.schema.get_field_index(_D)), "start": sub.column(sub.schema.get_field_index("start")), "at": at})
+                    hit = np.sort(here.join(wanted, [_D, "start"], join_type="left semi").column("at").to_numpy())
+                    if len(hit):
+                        yield sub.take(pa.array(hit))
+
+    bare = [f"{x.split()[0]}" for x in _FIRST_DDL.split(", ") if not x.startswith("digest")]
+    needed = first.where("h is not null").select(*bare).mapInArrow(fetch, ", ".join(x for x in _FIRST_DDL.split(", ") if not x.startswith("digest")))
+    away = needed.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, f"{_SHARD} long, {_D} long, start long, end long")
+    return write_side(local.union(settled).union(away))
 
 
 def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
