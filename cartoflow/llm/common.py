@@ -7,7 +7,7 @@ not depend on how many rows a batch has; only one very long text can make a bloc
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,21 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def hashed_sample(df: DataFrame, key: list[str], n: int, total: int) -> DataFrame:
+    """The ``n`` rows of least hash of the key, of ``total``: a filter by hash leaves about twice as many, which alone are
+    ordered; so what meets in one task does not grow with the table."""
+    h = F.xxhash64(*key)
+    if total > 4 * n:
+        df = df.where(F.shiftrightunsigned(h, 1) < F.lit(int(2.0**63 * (2 * n + 100) / total)))
+    return df.orderBy(h, *key).limit(n)
+
+
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but the used ones under names that clash with nothing, and what gives the names back."""
+    names = {c: c if c in used else f"__other_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), lambda out: out.select(*[F.col(safe).alias(c) for c, safe in names.items()], *[c for c in out.columns if c not in names.values()])
+
+
 # ---------------------------------------------------------------------------------------------------- text blocks
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import ALNUM, Block, blocks, gram_hashes, mixed, only, sliding, small_batches, span_hashes, spool
+from cartoflow.llm.common import ALNUM, Block, blocks, gram_hashes, mixed, only, set_aside, sliding, small_batches, span_hashes, spool
 
 SPAN, K = 13, 7
 WINDOW = SPAN - K + 1
@@ -145,4 +145,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns."""
     bad = spool(contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    return docs.withColumn("_h", F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti").drop("_h")
+    docs, named = set_aside(docs, "doc_id", "text")
+    return named(docs.withColumn("_h", F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti").drop("_h"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import only, spool
+from cartoflow.llm.common import only, set_aside, spool
 
 #: Bits of the hash, and how many of them each refinement looks at.
 BITS, STEPS = 60, (12, 24, 60)
@@ -129,7 +129,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, sha
     """The documents that the mix takes, all columns, with ``copies``: how often each is to be read."""
     _, goal = plan_mix(docs, weights, cap, share)
     goal = goal.select(F.col("source").alias("_key"), F.struct("times", "threshold").alias("_goal"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("_s"))
+    docs, named = set_aside(docs, "doc_id", "source", "text")
     rows = docs.withColumn("_u", hash60(F.col("doc_id")))
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_key")) & (F.pmod(F.xxhash64("_u"), F.lit(SALTS)) == F.col("_s")))
     count = F.least(F.col("_goal.times") + F.when(F.col("_u") < F.col("_goal.threshold"), 1).otherwise(0), F.lit(cap)).cast("long")
-    return rows.withColumn("copies", count).where("copies > 0").select(*docs.columns, "copies")
+    return named(rows.withColumn("copies", count).where("copies > 0").select(*docs.columns, "copies"))

@@ -2,7 +2,7 @@ r"""Near-duplicates by SimHash, found by meet-in-the-middle ball hashing.
 
 Fingerprints: XXH64 (seed 42) of the 3-word shingles, repeats included; a bit is set if it is in over half of them.
 Equal fingerprints are one class.  Each distinct fingerprint emits all values within half the radius (itself and its
-64 one-bit changes for radius 2 or 3); two fingerprints within the radius share one of them.  Those that share a value
+64 one-bit changes); two fingerprints within the radius share one of them.  Those that share a value
 link to the least of them, which is verified by counting bits, and links are contracted to components.
 
 Cases.  Null or empty text, or no words: fingerprint zero, linked like any other.  Repeated rows or ids: a row each; the
@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import NOT_SPACE, Block, blocks, only, small_batches, spool
+from cartoflow.llm.common import NOT_SPACE, Block, blocks, only, set_aside, small_batches, spool
 from cartoflow.llm.components import components
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Fewer shingles of one length than this are hashed one by one.
 FEW = 24
+#: Differing bits of linked fingerprints; balls of half of it are emitted.
+RADIUS = 2
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -139,23 +141,22 @@ def fingerprint_table(docs: DataFrame, words: int = 3) -> DataFrame:
     return spool(only(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(each, f"doc_id {kind}, text_hash long, fp long"))
 
 
-def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """From distinct fingerprints (fp): links (a, b) that join all that lie within the radius, 2 or 3."""
-    if radius // 2 != 1:
-        raise ValueError("balls of one bit serve the radii 2 and 3")
+def ball_links(distinct: DataFrame) -> DataFrame:
+    """From distinct fingerprints (fp): links (a, b) that join all that differ in RADIUS bits or fewer.
+
+    All that share a value are within the radius of each other, so links to the least of them lose nothing.
+    """
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     variants = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     met = variants.withColumn("a", F.min("fp").over(Window.partitionBy("variant"))).where("a <> fp")
-    if radius == 3:
-        raise ValueError("radius 3 needs pairs of neighbouring balls; use 2")
-    return met.select("a", F.col("fp").alias("b")).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    return met.select("a", F.col("fp").alias("b")).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def linked(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def linked(docs: DataFrame, words: int = 3) -> DataFrame:
     """Per row: doc_id, text_hash, fp, root (a fingerprint of its component, the least), component_id."""
     rows = fingerprint_table(docs, words)
     classes = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(ball_links(classes.select("fp"), radius))
+    roots = components(ball_links(classes.select("fp")))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = spool(classes)
     ids = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -166,9 +167,10 @@ def hex64(fp) -> "F.Column":
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
     """One document of each component, all columns: the least doc_id, of equal ids the least text hash; nulls last."""
-    rows = linked(docs, words, radius)
+    rows = linked(docs, words)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    docs, named = set_aside(docs, "doc_id", "text")
     kept = docs.withColumn("_h", F.xxhash64("text")).join(spool(first), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return named(kept.dropDuplicates(["doc_id", "_h"]).drop("_h"))

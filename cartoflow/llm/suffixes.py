@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import Block, blocks, mixed, only, power_tables, shared_dir, sliding, spool
+from cartoflow.llm.common import Block, blocks, mixed, only, power_tables, set_aside, shared_dir, sliding, spool
 from cartoflow.llm.shards import PLACE, SHARD, spool_shards, summaries, with_side, write_side
 
 LENGTH, GRAM = 100, 32
@@ -457,6 +457,7 @@ def removal(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts (characters that were cut go), all columns; n_chars follows, and
     documents of which nothing is left go."""
+    docs, named = set_aside(docs, "doc_id", "text", "n_chars")
     columns = docs.columns
 
     def make(rows: pa.RecordBatch, texts: list[bytes], kept: list[tuple[bytes, int]]) -> pa.RecordBatch:
@@ -471,4 +472,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
             out.append(x)
         return pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array([t != "" for t in left]))
 
-    return _rewritten(docs, columns, docs.schema, make)
+    return named(_rewritten(docs, columns, docs.schema, make))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import ALNUM, Block, blocks, mixed, only, small_batches, span_hashes, spool
+from cartoflow.llm.common import ALNUM, Block, blocks, hashed_sample, mixed, only, small_batches, span_hashes, spool
 
 #: Labelled documents a class that the fit looks at, and pieces of evidence that it keeps, at most.
 SAMPLE, FEATURES = 8_000, 1 << 16
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     if len(totals) < 2:
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), Field(), None)
     # A sample of bounded size by the hash of the id; it may be broadcast.
-    chosen = spool(known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)))
+    chosen = spool(hashed_sample(known.where("toxic = 1"), ["doc_id"], sample, totals[1]).union(hashed_sample(known.where("toxic = 0"), ["doc_id"], sample, totals[0])))
     texts = spool(only(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
