@@ -358,9 +358,11 @@ def test_lm_windows_and_gradients():
     ids, owners = r.integers(0, 60, 100), np.repeat([0, 1, 2], [30, 50, 20])
     net.learn_ids(ids)
     assert math.isclose(sum(np.exp(net.share[net.classes == k]).sum() for k in np.unique(net.classes)), len(np.unique(net.classes)), rel_tol=1e-4)
-    x, at = net.windows(ids, owners)
-    classes = np.pad(net.classes[ids], (0, len(x) * lm.STRIDE - len(ids))).reshape(-1, lm.STRIDE)
-    slow = net.forward(x, at, classes).ravel()[:100] + net.share[ids]
+    x, at, where = net.windows(ids, owners)
+    classes = np.zeros(len(x) * lm.STRIDE, int)
+    classes[where] = net.classes[ids]
+    classes = classes.reshape(-1, lm.STRIDE)
+    slow = net.forward(x, at, classes).ravel()[where] + net.share[ids]
     assert np.allclose(net.log_probabilities(ids, owners), slow, atol=1e-4)
     alone = net.log_probabilities(ids[30:80], np.zeros(50, int))
     assert np.allclose(net.log_probabilities(ids, owners)[30:80], alone, atol=1e-4)  # no text sees another
