@@ -88,6 +88,14 @@ def src_11(t):
     return t.orders.groupBy(F.col("o_orderpriority").alias("release")).agg(F.count("*").alias("n_files"), F.round(F.sum("o_totalprice") / 1048576, 3).alias("mb"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest"))
 
 
+@query("SELECT unnest(['nwr[\"shop\"=\"gym\"]', 'nwr[\"leisure\"=\"gym\"]', 'nwr[\"name\"~\"gym\",i]']) AS clause")
+def src_12(t):
+    from cartoflow.sources.osm import interpreter_query
+
+    asked = interpreter_query([("shop", "gym"), ("leisure", "gym"), ("shop", "gym")], ["gym", "ab"], (77.0, 12.0, 78.0, 13.0))
+    return t.spark.createDataFrame([(asked,)], "q string").select(F.explode(F.regexp_extract_all("q", F.lit(r"(nwr\[[^\]]*\])"), 1)).alias("clause"))
+
+
 @query("""SELECT event_id AS id, 'node/' || event_id AS record_id, event_type AS name, concat_ws(';', CASE WHEN event_id % 2 = 0 THEN 'cafe' END, CASE WHEN event_id % 3 = 0 THEN 'gym' END) AS categories,
 CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS lon FROM events WHERE event_type <> 'error'""")
 def src_13(t):
@@ -139,6 +147,17 @@ def src_18(t):
     return import_candidates(rows).select(F.split_part("source_record_id", F.lit(":"), F.lit(2)).cast("long").alias("id"), "name", "lon")
 
 
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 5 <> 0")
+def src_19(t):
+    from cartoflow.resolve.entities import shared_folder
+    from cartoflow.sources.imports import import_candidates
+
+    k, folder = F.col("s_suppkey"), shared_folder(t.spark)
+    t.supplier.select(k.cast("string").alias("id"), F.col("s_name").alias("Name"), F.when(k % 5 != 0, (k / 10.0).cast("string")).alias("lon"), F.lit("12.9").alias("latitude")).write.json(folder)
+    rows = t.spark.read.json(folder).withColumn("file", F.lit("f"))
+    return import_candidates(rows).select(F.split_part("source_record_id", F.lit(":"), F.lit(2)).cast("long").alias("id"), "name")
+
+
 @query("SELECT s_suppkey, n_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def src_20(t):
     return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("industry"))
@@ -487,7 +506,10 @@ def jon_08(t):
     return R.blocked_pairs(t.places.where("id % 10 = 0"), {"domain": F.col("domain"), "phone": F.col("phone")})
 
 
-@query()
+_CELL = "SELECT id, floor((lon + 180) / 360 * 32768)::BIGINT AS x, floor((lat + 90) / 180 * 32768)::BIGINT AS y FROM places"
+
+
+@query(f"SELECT a.id, b.id AS other FROM ({_CELL}) a JOIN ({_CELL}) b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id < b.id")
 def jon_09(t):
     cells = geo.geohash_block(F.col("lon"), F.col("lat"), 6)
     left = t.places.select("id", F.explode(cells).alias("cell"))
@@ -777,9 +799,10 @@ def win_02(t):
     return fused(t.places.where("id % 20 = 1"), "confidence", "lon").select("id", F.round("fused", 8).alias("fused"))
 
 
-@query()
+@query("""WITH s AS (SELECT user_id, list({'x': value / 100, 'ok': event_type <> 'error'} ORDER BY event_id) AS l FROM events GROUP BY 1)
+SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, [CASE WHEN e.ok THEN e.x ELSE -e.x - 1 END FOR e IN l]), lambda d, v: least(30.0, greatest(0.5, CASE WHEN v >= 0 THEN (d + v) / 2 ELSE greatest(d, (d + 2 * (-v - 1)) / 2) END))), 4)::DOUBLE AS delay FROM s""")
 def win_03(t):
-    return R.throttled(t.events, "user_id", "event_id", F.col("value") / 100, F.col("event_type") != "error", 1.0, 0.5, 30.0).withColumn("delay", F.round("delay", 6))
+    return R.throttled(t.events, "user_id", "event_id", F.col("value") / 100, F.col("event_type") != "error", 1.0, 0.5, 30.0).withColumn("delay", F.round("delay", 4))
 
 
 @query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
@@ -850,7 +873,10 @@ def srt_05(t):
     return label_queue(t.places, stratum, "id", 40).agg(F.count("*").alias("n"), F.min("stratum").alias("first"))
 
 
-@query()
+_GRAMS = "list_distinct([substr(lower({0}), i, 3) FOR i IN range(1, length({0}) - 1)])"
+
+
+@query(f"SELECT n_name, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6)::DOUBLE AS likeness FROM (SELECT n_name, {_GRAMS.format('n_name')} AS a, {_GRAMS.format(chr(39) + 'nation_11' + chr(39))} AS b FROM nation) ORDER BY 2 DESC, 1 LIMIT 5")
 def srt_06(t):
     from cartoflow.functions.text import trigram_jaccard
 
