@@ -61,7 +61,7 @@ def hashed_sample(df: DataFrame, key: list[str], n: int, total: int) -> DataFram
     ordered; so what meets in one task does not grow with the table."""
     h = F.xxhash64(*key)
     if total > 4 * n:
-        df = df.where(F.shiftrightunsigned(h, 1) < F.lit(int(2.0**63 * (2 * n + 100) / total)))
+        df = df.where(F.shiftrightunsigned(h, 1) < F.lit(min((1 << 63) - 1, (1 << 63) * (2 * n + 100) // total)))
     return df.orderBy(h, *key).limit(n)
 
 

@@ -71,7 +71,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEMPLATES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licences.TEMPLATES)
 
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, {1 + 10 * i}, 10))::UBIGINT >> {35 - 5 * j}) & 31)::INT + 1, 1)" for i in range(4) for j in range(8))
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""
+WITH rows AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT hex, min(page_id) AS first_id FROM rows GROUP BY hex)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM rows JOIN firsts USING (hex)
+""",
     "op2_decontamination": rf"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
