@@ -351,7 +351,7 @@ def test_lm_windows_and_gradients():
     with open(lm.VOCABULARY, "rb") as f:
         subwords = lm.Subwords(f.read())
     block = Block([b"Hello  wide world", b"", b"a" * 300 + b" b"])
-    hashes, owners, ids, of = lm.sequence(block, subwords, {})
+    hashes, owners, ids, of = lm.sequence(block, lm.Words.of(block, subwords))
     assert owners.tolist() == [0, 0, 0, 0, 1, 2, 2, 2] and (ids == subwords.end).sum() == 3 and (hashes == 0).sum() == 3
     net = lm.Attention(60)
     r = np.random.default_rng(0)
@@ -387,7 +387,8 @@ def test_lm_learns():
     with open(lm.VOCABULARY, "rb") as f:
         raw = f.read()
     subwords = lm.Subwords(raw)
-    _, owners, ids, of = lm.sequence(Block(texts_[:10]), subwords, {})
+    few = Block(texts_[:10])
+    _, owners, ids, of = lm.sequence(few, lm.Words.of(few, subwords))
     before, after = (lm.train(texts_[10:], raw, steps).log_probabilities(ids, owners[of]).mean() for steps in (0, 150))
     assert after > before + 0.3
 
