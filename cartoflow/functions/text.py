@@ -155,7 +155,7 @@ def simhash64(df, text: str, key: str):
     out = bits[0]
     for bit in bits[1:]:
         out = out.bitwiseOR(bit)
-    return rows.where("_w is not null or true").groupBy(key).agg(*votes).select(key, out.alias("simhash"))
+    return rows.groupBy(key).agg(*votes).select(key, out.alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -295,9 +295,9 @@ def fil_02(t):
     return t.places.select("id", R.non_empty(F.filter(F.array("phone"), lambda x: x.isNotNull())).alias("has_phone"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_name ILIKE '%_e%' ESCAPE '$' AND contains(lower(p_name), 'e')")
+@query("SELECT p_partkey, contains(lower(p_type), 'st') AS typed FROM part WHERE contains(lower(p_name), '1')")
 def fil_03(t):
-    return t.part.where(R.contains_ci(F.col("p_name"), "E")).where(F.length("p_name") > 1).where(F.lower("p_name").rlike(".e")).select("p_partkey")
+    return t.part.where(R.contains_ci(F.col("p_name"), "1")).select("p_partkey", R.contains_ci(F.col("p_type"), "ST").alias("typed"))
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING list_contains(list(l_linenumber), 3)")

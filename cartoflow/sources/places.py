@@ -50,7 +50,8 @@ def flatten_places(df: DataFrame) -> DataFrame:
 
 
 def parse_failures(df: DataFrame) -> DataFrame:
-    return df.agg((F.count("*") - F.lit(0)).alias("n_rows")).crossJoin(flatten_places(df).agg(F.count("*").alias("n_kept"))).select("n_rows", (F.col("n_rows") - F.col("n_kept")).alias("parse_failures"))
+    """Rows of an extract, and how many of them make no candidate (one row)."""
+    return df.agg(F.count("*").alias("n_rows")).join(flatten_places(df).agg(F.count("*").alias("n_kept")), F.lit(True)).select("n_rows", (F.col("n_rows") - F.col("n_kept")).alias("parse_failures"))
 
 
 def derived(df: DataFrame) -> DataFrame:
