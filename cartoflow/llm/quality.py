@@ -1,7 +1,7 @@
 r"""Quality by weak supervision.
 
 Rules look at whole-text counts and vote good (+), bad (-) or abstain (0).  How often each pattern of votes occurs over
-all documents is counted (at most 3**rules patterns, the only thing that reaches the driver), and
+all documents that pass the base conditions is counted (at most 3**rules patterns, the only thing that reaches the driver), and
 expectation-maximisation of a two-class model, one vote distribution a rule and class, gives each pattern a posterior
 probability of being good.  A document is kept unless it fails the base conditions or its posterior is under
 ``least``; no rule alone rejects, however it votes.
@@ -103,17 +103,23 @@ def votes(f: dict[str, np.ndarray]) -> list[str]:
     return ["".join(row) for row in np.array(columns).T.tolist()] if len(columns[0]) else []
 
 
-#: Priors as (votes for each document seen, share of them): bad votes of good and bad documents, good votes of both.
-BAD_VOTES, GOOD_VOTES = ((2.0, 0.001), (0.05, 0.1)), ((2.0, 0.95), (2.0, 0.5))
+#: Priors as (documents, share of them), whatever the table's size: bad votes of good and bad documents, good votes of both.
+BAD_VOTES, GOOD_VOTES = ((2.0, 0.01), (2.0, 0.1)), ((2.0, 0.9), (2.0, 0.5))
+#: What fixes which class is good: a rule is against at most this share of its documents ...
+MOST_BAD = 0.005
+#: ... and of the bad class, at most this share has no bad vote at all.
+MISSED = 0.02
 
 
 def fit(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
-    """EM over vote patterns: the posterior of good for each.
-
-    A class has, for each rule, the share of documents where it votes bad and good.  Good votes mostly agree with each
-    other, so those of one document count as one (their mean log-likelihood); bad votes count each.  The good class
-    starts from, and is held to, few bad votes by a prior in proportion to the number of documents; so a rule's lone bad
-    vote is believed where EM finds it common in the bad class, and not where it is rare and nothing else agrees.
+    """EM over vote patterns: the posterior of good for each; patterns with a count of 0 are judged but teach nothing.
+
+    A class has, for each rule, the share of documents where it votes bad, and of the others the share where it votes
+    good.  Good votes mostly agree with each other, so those of one document count as one (their mean log-likelihood);
+    bad votes count each.  Shares come from the votes, with priors of a few documents.  Votes alone do not say which
+    class is which, nor part an ordinary document from a bad one that no rule noticed: MOST_BAD and MISSED do, and rules
+    are better than chance (bad votes not rarer in the bad class, good votes not rarer in the good one).  So a rule's
+    lone bad vote is believed where it is common, and not where it is rare and nothing else agrees.
     """
     if not counts:
         return {}
@@ -121,17 +127,22 @@ def fit(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
     n = np.array([counts[p] for p in patterns], float)
     minus = np.array([[c == "-" for c in p] for p in patterns], float)
     plus = np.array([[c == "+" for c in p] for p in patterns], float)
-    share = plus / np.maximum(1, plus.sum(1, keepdims=True))
+    other = 1 - minus
+    share = other / np.maximum(1, other.sum(1, keepdims=True))
+    clean = ~minus.any(1)
     total = n.sum()
-    post = np.where(minus.any(1), 0.1, np.where(plus.any(1), 0.9, 0.5))
+    post = np.where(clean, 0.9, 0.1)
     for _ in range(rounds):
-        logs = []
-        for q, (many, bad), (more, good) in zip((post, 1 - post), BAD_VOTES, GOOD_VOTES, strict=True):
-            weight = n * q
-            p_minus = (weight @ minus + many * total * bad) / (weight.sum() + many * total)
-            p_plus = (weight @ plus + more * total * good) / (weight.sum() + more * total)
-            logs.append(np.log((weight.sum() + 1) / (total + 2)) + minus @ np.log(p_minus) + share @ np.log(p_plus))
-        new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
+        weights = n * post, n * (1 - post)
+        bad, bad_b = ((w @ minus + k * x) / (w.sum() + k) for w, (k, x) in zip(weights, BAD_VOTES, strict=True))
+        good, good_b = ((w @ plus + k * x) / (w @ other + k) for w, (k, x) in zip(weights, GOOD_VOTES, strict=True))
+        bad = np.minimum(bad, MOST_BAD)
+        bad_b, good_b = np.maximum(bad_b, bad), np.minimum(good_b, good)
+        logs = [minus @ np.log(x) + other @ np.log(1 - x) + (share * plus) @ np.log(y) + (share * (other - plus)) @ np.log(1 - y) for x, y in ((bad, good), (bad_b, good_b))]
+        none = np.log(1 - bad_b).sum()  # of a bad document that no rule is against; MISSED takes its place
+        logs[1] += np.where(clean, np.log(MISSED) - none, np.log((1 - MISSED) / -np.expm1(none)))
+        shares = [np.log((w.sum() + 1) / (total + 2)) for w in weights]
+        new = 1 / (1 + np.exp(np.clip(logs[1] + shares[1] - logs[0] - shares[0], -500, 500)))
         done = np.abs(new - post).max() < 1e-9
         post = new
         if done:
@@ -154,7 +165,9 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def _posteriors(measured: DataFrame) -> dict[str, float]:
-    return fit({r["votes"]: r["count"] for r in measured.groupBy("votes").count().collect()})  # 3**len(RULES) rows at most
+    """Fitted on what passes the base conditions: the rest goes anyway, and would teach the bad class its own kind."""
+    counts = measured.groupBy("votes").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    return fit({r["votes"]: r["n"] for r in counts.collect()})  # 3**len(RULES) rows at most
 
 
 def judged(docs: DataFrame, least: float = 0.5) -> DataFrame:

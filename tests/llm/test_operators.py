@@ -233,6 +233,22 @@ def test_quality_verdicts(spark):
     assert post["++++++++"] > 0.5 > post["-+++++++"] and quality.fit({}) == {}
 
 
+@pytest.mark.parametrize("bad", [250, 300, 330, 400, 500])
+@pytest.mark.parametrize("kinds", [["-+++++++"], ["-++++-++"], ["-+++++++", "+-++++++", "+++++-++"]])
+def test_quality_of_skewed_votes(bad, kinds):
+    counts = {"++++++++": 800 - bad, "+++0++++": 199, "++++++-+": 1} | {k: bad // len(kinds) for k in kinds}
+    post = quality.fit(counts)
+    assert {p for p, x in post.items() if x >= 0.5} == {"++++++++", "+++0++++", "++++++-+"}
+
+
+def test_quality_among_short_rows(spark):
+    r = random.Random(8)
+    prose = lambda n=80: " ".join(f"{r.choice('abcdefg')}{r.randrange(99)}word" for _ in range(n)) + "."
+    rows = [prose() for _ in range(100)] + [prose(5) for _ in range(80)] + [" | ".join(prose().split()) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"] for r in quality.judged(df).where("kept").collect()} == set(range(100)) == {r["doc_id"] for r in quality.filtered(df).collect()}
+
+
 # ----------------------------------------------------------------------------------------------------------- mixing
 
 
