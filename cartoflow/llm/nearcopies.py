@@ -1,0 +1,120 @@
+r"""Near copies by the Jaccard similarity of five-word shingles, found by MinHash bands.
+
+A text is the set of its shingles of five words (a shorter text: all its words).  BANDS times ROWS hash functions give
+the least hash each; texts that agree in all rows of a band share a bucket.  Within a bucket all are compared with its
+least and its greatest member, as whole shingle sets, and pairs of ``least`` and more are linked; links are contracted to
+components.  A pair of similarity s meets with probability 1 - (1 - s**ROWS)**BANDS: 0.998 at 0.8, 0.9999 at 0.9.  It is
+then missed only if neither end of any bucket where it meets leads from one to the other.
+
+Cases.  Null or empty text, or no words: no shingle; all of them are one class.  Repeated rows or ids: one stays of those
+with the same id and text.  Null doc_id: takes part, but is never the least.  Empty table: empty result.  Other columns
+are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartoflow.llm.common import NOT_SPACE, Block, blocks, gram_hashes, mixed, only, set_aside, small_batches, span_hashes, spool
+from cartoflow.llm.components import components
+
+WORDS, LEAST = 5, 0.8
+BANDS, ROWS = 16, 5
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+_SEEDS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1)
+
+
+def shingles(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, shingle hash), ordered by text."""
+    data = block.lower()
+    starts, ends, owners = block.words(data, NOT_SPACE)
+    hashes, counts = span_hashes(data, starts, ends), block.per_text(owners)
+    first = np.cumsum(counts) - counts
+    of, found = [], []
+    for k in range(1, words + 1):
+        grams = gram_hashes(hashes, k)
+        at = np.flatnonzero(owners[: len(grams)] == owners[k - 1 :]) if k == words and len(grams) else first[counts == k] if k < words else np.zeros(0, np.int64)
+        of.append(owners[at])
+        found.append(mixed(grams[at] + np.uint64(k)))
+    of, found = np.concatenate(of), np.concatenate(found)
+    order = np.lexsort((found, of))
+    of, found = of[order], found[order]
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1])
+    return of[fresh], found[fresh]
+
+
+def bands(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: how many shingles, and a bucket for each band."""
+    of, found = shingles(block, words)
+    n = block.per_text(of)
+    keys = np.zeros((block.n, BANDS), np.uint64)
+    full = n > 0
+    heads = (np.cumsum(n) - n)[full]
+    for band in range(BANDS):
+        key = np.full(block.n, band, np.uint64)
+        for i in range(band * ROWS, band * ROWS + ROWS if len(heads) else 0):
+            key[full] = mixed(key[full] * _SALT + np.minimum.reduceat((found ^ _SEEDS[0, i]) * (_SEEDS[1, i] | np.uint64(1)), heads))
+        keys[:, band] = key
+    return n, keys
+
+
+def similarities(a: Block, b: Block, words: int = WORDS) -> np.ndarray:
+    """Jaccard similarity of text i of both blocks; 1 where neither has a shingle."""
+    (of_a, x), (of_b, y) = shingles(a, words), shingles(b, words)
+    of, found = np.concatenate([of_a, of_b]), np.concatenate([x, y])
+    order = np.lexsort((found, of))
+    of, found = of[order], found[order]
+    shared = np.bincount(of[1:][(of[1:] == of[:-1]) & (found[1:] == found[:-1])], minlength=a.n) if len(of) else np.zeros(a.n)
+    both = np.bincount(of, minlength=a.n) - shared
+    return np.where(both > 0, shared / np.maximum(1, both), 1.0)
+
+
+def links(docs: DataFrame, classes: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of text hashes whose texts (docs: text_hash, text) are similar, from classes (text_hash, n, keys)."""
+    rows = spool(classes.select("text_hash", "n", F.explode("keys").alias("key")))
+    ends = rows.groupBy("key").agg(F.min(F.struct("text_hash", "n")).alias("lo"), F.max(F.struct("text_hash", "n")).alias("hi")).where("lo.text_hash <> hi.text_hash")
+    met = rows.join(ends, "key").select("text_hash", "n", F.explode(F.array("lo", "hi")).alias("end"))
+    met = met.where((F.col("end.text_hash") != F.col("text_hash")) & (F.least("n", "end.n") >= least * F.greatest("n", "end.n")))
+    pairs = spool(met.select(F.least("text_hash", "end.text_hash").alias("a"), F.greatest("text_hash", "end.text_hash").alias("b")).distinct())
+    nodes = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
+    texts = spool(docs.join(nodes, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, block in blocks([batch], "ta"):
+                for part, other in blocks([rows], "tb"):
+                    mine = block if part.num_rows == rows.num_rows else Block([(x or "").encode() for x in part.column("ta").to_pylist()])
+                    yield part.select(["a", "b"]).filter(pa.array(similarities(mine, other, words) >= least))
+
+    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    return spool(both.mapInArrow(each, "a long, b long"))
+
+
+def deduplicated(docs: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """One document of each component, all columns: the least doc_id, of equal ids the least text hash; nulls last."""
+    small_batches(docs.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, block in blocks(batches, "text"):
+            n, keys = bands(block, words)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * block.n + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+            kept = rows.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n), lists], names=[*kept.schema.names, "n", "keys"])
+
+    source = only(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = spool(source.mapInArrow(each, f"doc_id {kind}, text_hash long, n long, keys array<long>"))
+    choice = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = spool(rows.groupBy("text_hash").agg(F.min(choice).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    roots = components(links(source.select("text_hash", "text"), classes, least, words)).withColumnRenamed("node", "text_hash")
+    first = classes.join(roots, "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root")).agg(F.min("k").alias("k"))
+    first = spool(first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
+    docs, named = set_aside(docs, "doc_id", "text")
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
+    return named(kept.dropDuplicates(["doc_id", "_h"]).drop("_h"))

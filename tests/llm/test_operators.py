@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cartoflow.llm import decontaminate, licences, lm, mixing, quality, simhash, suffixes, toolcalls, toxicity, warc
+from cartoflow.llm import decontaminate, licences, lm, mixing, nearcopies, quality, simhash, suffixes, toolcalls, toxicity, warc
 from cartoflow.llm.common import Block
 from cartoflow.llm.components import components
 
@@ -486,6 +486,50 @@ def test_components_of_a_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def brute_shingles(text):
+    w = SPACED.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = brute_shingles(a), brute_shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_planted(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    words = lambda n: [f"{r.choice('bcdfgklm')}{r.randrange(10_000)}" for _ in range(n)]
+    rows, copies = [], {}
+    for n, changed in ((100, 1), (100, 2), (300, 2), (300, 5), (1000, 5), (1000, 20)) * 10:
+        first = words(n)
+        second = list(first)
+        for i in range(changed):
+            second[(2 * i + 1) * n // (2 * changed)] = "other"
+        assert 0.8 <= jaccard(" ".join(first), " ".join(second)) < 0.96
+        copies[len(rows) + 1] = len(rows)
+        rows += [" ".join(first), " ".join(second)]
+    far = words(200)
+    rows += [" ".join(far), " ".join(far[:150] + words(50))]  # about 0.6: both stay
+    df = table(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns and sorted(x[0] for x in got(kept, "doc_id")) == sorted(set(range(len(rows))) - set(copies))
+
+
+def test_near_copies_brute(spark):
+    rows, df = docs(spark, 4)
+    text = {i: t for i, t, *_ in rows}
+    root = {i: i for i in text}
+    for i in text:
+        for j in text:
+            if root[i] != root[j] and jaccard(text[i], text[j]) >= 0.8:
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    assert sorted(x[0] for x in got(nearcopies.deduplicated(df), "doc_id")) == sorted(set(root.values()))
+    assert nearcopies.deduplicated(empty(spark)).count() == 0
+
+
 # --------------------------------------------------------------------------------------------------------- toxicity
 
 
