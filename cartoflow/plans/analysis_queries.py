@@ -512,8 +512,7 @@ def ver_01(t):
 def ver_02(t):
     from cartoflow.quality.scoring import site_names_entity
 
-    head = F.substring(F.regexp_replace("html", "<[^>]+>", " "), 1, 300)
-    return t.pages.select("page_id", site_names_entity(head, F.lit("the of and")).alias("named"))
+    return t.pages.select("page_id", site_names_entity(F.regexp_replace("html", "<[^>]+>", " "), F.lit("the of and")).alias("named"))
 
 
 _CONF = "round(greatest(0.01, least(0.99, 0.35 + 0.15 * ph::INT + 0.1 * em::INT + 0.1 * web::INT + 0.2 * ms::INT + 0.05 * op::INT + 0.05 * ad::INT - 0.1 * risk::INT - 0.3 * (NOT op)::INT)), 3)::DOUBLE"

@@ -222,6 +222,16 @@ def test_places_scan(spark, tmp_path):
         scan_places(spark, f"{tmp_path}/q", (0, 0, 1, 1))
 
 
+def test_whole_pages_are_matched(spark, tmp_path):
+    from cartoflow.plans.registry import QUERIES
+
+    late = lambda n: "<p>" + "x" * n + "</p> The of and"
+    rows = [(1, "u", late(10)), (2, "u", late(900)), (3, "u", late(4800)), (4, "u", late(6000))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["ver_02"](spark, str(tmp_path))
+    assert {r["page_id"]: r["named"] for r in found.collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_appends_are_counted(spark, tmp_path):
     from cartoflow.sources.sinks import append_checked
 
