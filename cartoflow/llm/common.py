@@ -6,6 +6,7 @@ not depend on how many rows a batch has; only one very long text can make a bloc
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,28 +17,21 @@ from pyspark.sql import functions as F
 
 #: Text bytes of a block; numpy temporaries take some tens of bytes for each.
 BLOCK_BYTES = 1 << 20
-#: Rows of an Arrow batch, when the session does not say.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, when the session does not say.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors see: under spark.checkpoint.dir, or a local one where that is unset."""
+    """A new folder that driver and executors see, under spark.checkpoint.dir; a local one only where that is unset and
+    the session is local too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/cartoflow-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/cartoflow-checkpoints"
     return f"{root.rstrip('/')}/cartoflow-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` with the session's checkpoint folder made known to the context first."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = shared_dir(spark).rpartition("/")[0]
-        spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def spool(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives a lost executor."""
     path = shared_dir(df.sparkSession)
@@ -46,9 +40,11 @@ def spool(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, unless the session has a number of its own: texts can be long."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of few rows and of bounded bytes, unless the session has numbers of its own: texts can be long."""
+    for key, default, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", str(BATCH_BYTES))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

@@ -70,7 +70,8 @@ def write_side(df: DataFrame) -> str:
     return folder
 
 
-def _read_side(folder: str, part: int) -> dict[str, np.ndarray]:
+def side_of_part(folder: str, part: int) -> dict[str, np.ndarray]:
+    """The rows of one part of the spool, by column; empty where it has none."""
     store, path = fs.FileSystem.from_uri(f"{folder}/part={part}")
     if store.get_file_info(path).type == fs.FileType.NotFound:
         return {}
@@ -87,7 +88,7 @@ def with_side(batches: Iterator[pa.RecordBatch], folder: str, key: str) -> Itera
         nonlocal part, side
         if part != shard >> PART_SHIFT:
             side = {}
-            part, side = shard >> PART_SHIFT, _read_side(folder, shard >> PART_SHIFT)
+            part, side = shard >> PART_SHIFT, side_of_part(folder, shard >> PART_SHIFT)
             if side:
                 order = np.lexsort((side[key], side[SHARD]))
                 side = {c: x[order] for c, x in side.items()}

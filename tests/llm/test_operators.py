@@ -71,6 +71,7 @@ def test_warc_round_trip(spark):
         want[(i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == first else "revisit", None if i == first else first)] += 1
     assert seen == want
     assert {r["page_id"]: bytes(r["payload"]) for r in out if r["record_type"] == "response"}[5] == ("é\r\n\r\n" * 9).encode()
+    assert sorted((str(r["page_id"]), r["url"] or "") for r in out) == sorted((str(i), u or "") for i, u, _ in rows)
 
 
 def test_warc_least_and_empty(spark):
