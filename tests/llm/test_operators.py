@@ -353,7 +353,7 @@ def test_licences(spark):
 
 def test_lm_base(spark):
     rows, df = docs(spark)
-    out = lm.scored(df, steps=20).collect()
+    out = lm.scored(df, rates=(0.01,)).collect()
     split = [(i, SPACED.findall((t or "").translate(LOWER)) + [None]) for i, t, *_ in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, x in split if not held(i) for w in x)
@@ -361,52 +361,138 @@ def test_lm_base(spark):
     want = sorted((i, held(i), len(x), sum(c[w] > 0 for w in x), n, round(sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in x), 6)) for i, x in split)
     assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
-    assert lm.scored(empty(spark), steps=1).count() == 0
+    assert lm.scored(empty(spark), rates=(0.01,)).count() == 0
 
 
-def test_lm_windows_and_gradients():
+def test_lm_null_ids(spark):
+    df = table(spark, [(None, "a b"), (None, None), (2, ""), (9, "a")], "doc_id long, text string")
+    out = lm.scored(df, rates=()).collect()
+    assert {(r["doc_id"], r["n_tokens"], r["train_tokens"]) for r in out if r["doc_id"] is None} == {(None, 3, out[0]["train_tokens"]), (None, 1, out[0]["train_tokens"])}
+    assert not any(r["held_out"] for r in out if r["doc_id"] is None)
+
+
+def subwords_of():
     with open(lm.VOCABULARY, "rb") as f:
-        subwords = lm.Subwords(f.read())
-    block = Block([b"Hello  wide world", b"", b"a" * 300 + b" b"])
-    hashes, owners, ids, of = lm.sequence(block, lm.Words.of(block, subwords))
-    assert owners.tolist() == [0, 0, 0, 0, 1, 2, 2, 2] and (ids == subwords.end).sum() == 3 and (hashes == 0).sum() == 3
-    net = lm.Attention(60)
+        return lm.Subwords(f.read())
+
+
+def slow_probabilities(net, ids):
+    """Of the subwords of one text, one at a time."""
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    p, s, out = net.p, lm.STRIDE, []
+    inputs = [0, *net.inputs[ids[:-1]]]
+    for i, token in enumerate(ids):
+        context = range(max(0, i // s * s - s), i + 1)
+        weights = softmax(np.array([p["q"][inputs[i]] @ p["k"][inputs[j]] + p["near"][i - j] for j in context]))
+        mixed = sum(w * p["v"][inputs[j]] for w, j in zip(weights, context, strict=True))
+        hidden = np.append(np.maximum(p["e"][inputs[i]] @ p["we"] + mixed @ p["wa"] + p["b"], 0), 1)
+        group, member = divmod(net.classes[token], lm.MEMBERS)
+        out.append(math.log(softmax(hidden @ p["u"])[group]) + math.log(softmax(hidden @ p["u2"][group])[member]) + net.share[token])
+    return np.array(out)
+
+
+def test_lm_subwords():
+    subwords = subwords_of()
+    long = "a" * 300 + "é" * 100
+    block = Block(["Hello  wide world".encode(), b"", f"{long} b".encode(), "caf\u00a0é \ufffd".encode()])
+    at, owners, ids, of = lm.sequence(block, lm.Words.of(block, subwords))
+    assert owners.tolist() == [0, 0, 0, 0, 1, 2, 2, 2, 3, 3, 3] and (ids == subwords.end).sum() == 4
+    assert (np.diff(of) >= 0).all() and set(of.tolist()) == set(range(len(owners)))
+    last = np.append(of[1:] != of[:-1], True) & (ids != subwords.end)
+    assert ((ids[ids != subwords.end] % 2 == 1) == last[ids != subwords.end]).all()  # a word's last subword, and no other, says so
+    lengths = subwords._bytes[ids[of == 5] // 2].sum()
+    assert lengths == len(long.encode())
+
+
+def test_lm_probabilities_and_gradients():
+    net = lm.Attention(5000)
     r = np.random.default_rng(0)
-    ids, owners = r.integers(0, 60, 100), np.repeat([0, 1, 2], [30, 50, 20])
-    net.learn_ids(ids)
-    assert math.isclose(sum(np.exp(net.share[net.classes == k]).sum() for k in np.unique(net.classes)), len(np.unique(net.classes)), rel_tol=1e-4)
-    x, at, where = net.windows(ids, owners)
-    classes = np.zeros(len(x) * lm.STRIDE, int)
-    classes[where] = net.classes[ids]
-    classes = classes.reshape(-1, lm.STRIDE)
-    slow = net.forward(x, at, classes).ravel()[where] + net.share[ids]
-    assert np.allclose(net.log_probabilities(ids, owners), slow, atol=1e-4)
-    alone = net.log_probabilities(ids[30:80], np.zeros(50, int))
-    assert np.allclose(net.log_probabilities(ids, owners)[30:80], alone, atol=1e-4)  # no text sees another
+    ids, owners = r.integers(0, 5000, 400) * r.integers(0, 2, 400), np.repeat([0, 1, 2, 5], [130, 1, 69, 200])
+    net.learn_ids(np.bincount(ids, minlength=5000))
+    net.p["near"][:] = r.standard_normal(2 * lm.STRIDE)
+    net.load(net.flat())
+    assert np.allclose(np.bincount(net.classes, np.exp(net.share))[np.unique(net.classes)], 1)
+    slow = np.concatenate([slow_probabilities(net, ids[owners == k]) for k in (0, 1, 2, 5)])
+    assert np.allclose(net.log_probabilities(ids, owners), slow, atol=1e-3)
+    x, of, at = net.windows(ids, owners)
+    goal = np.full(len(x) - lm.STRIDE, -1)
+    goal[at] = net.classes[ids]
+    view = lambda a: np.lib.stride_tricks.sliding_window_view(a, 2 * lm.STRIDE)[:: lm.STRIDE]
+    case = view(x), view(of), goal.reshape(-1, lm.STRIDE)
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    g = net._gradients(x, at, classes)
-    real = at[:, lm.STRIDE :] >= 0
-    loss = lambda: -(net.forward(x, at, classes) * real).sum() / real.sum()
+    loss, g = net.gradients(*case)
+    assert math.isclose(loss, -np.mean(slow - net.share[ids]), rel_tol=1e-3)
     for k in net.p:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        keep = net.p[k][i]
-        net.p[k][i] = keep + 1e-4
-        up = loss()
-        net.p[k][i] = keep - 1e-4
-        assert math.isclose(g[k][i], (up - loss()) / 2e-4, rel_tol=1e-2, abs_tol=1e-6)
+        keep, sides = net.p[k][i], []
+        for step in (1e-4, -1e-4):
+            net.p[k][i] = keep + step
+            sides.append(net.gradients(*case)[0])
         net.p[k][i] = keep
+        assert math.isclose(g[k][i], (sides[0] - sides[1]) / 2e-4, rel_tol=2e-2, abs_tol=1e-5), k
+
+
+def test_lm_score(spark, monkeypatch):
+    """The score against the mixture, word by word, of a model that the test knows."""
+    subwords = subwords_of()
+    net = lm.Attention(subwords.size, seed=3)
+    counts_seen = []
 
+    def known(rows, counts, rates):
+        counts_seen.append(counts)
+        net.learn_ids(counts)
+        return net
+
+    monkeypatch.setattr(lm, "trained", known)
+    rows, df = docs(spark, 1)
+    rows = [(i, "word " * 90 if t and len(t) > 5000 else t, *x) for i, t, *x in rows]
+    df = table(spark, rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = lm.scored(df).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    split = [(i, SPACED.findall((t or "").translate(LOWER)) + [None]) for i, t, *_ in rows]
 
-def test_lm_learns():
+    def ids_of(word):
+        if word is None:
+            return [subwords.end]
+        raw = np.frombuffer(word.encode() + b" ", np.uint8)
+        return subwords.encode(raw, np.array([len(raw) - 1]))[1].tolist()
+
+    c = Counter(w for i, x in split if not held(i) for w in x)
+    begins = Counter()
+    every = Counter()
+    for w, n in c.items():
+        begins[ids_of(w)[0]] += n
+        for k in ids_of(w):
+            every[k] += n
+    assert all(counts_seen[0][k] == n for k, n in every.items()) and counts_seen[0].sum() == sum(every.values())
+    n, v = sum(c.values()), len(c)
+    want = []
+    for i, x in split:
+        lists = [ids_of(w) for w in x]
+        p, at, score = slow_probabilities(net, np.array([k for y in lists for k in y])), 0, 0.0
+        for w, y in zip(x, lists, strict=True):
+            spelled, whole = p[at : at + len(y)].sum(), p[at]
+            total = v / (n + v) * math.exp(spelled) + (n / (n + v) * math.exp(whole) * c[w] / begins[y[0]] if c[w] else 0)
+            score, at = score + math.log10(total), at + len(y)
+        want.append((i, score))
+    assert np.allclose(sorted(want), sorted((r["doc_id"], r["score"]) for r in out), rtol=1e-3, atol=1e-2)
+
+
+def test_lm_learns(spark):
     r = random.Random(0)
     texts_ = [" ".join(r.choice(["tick tock", "ding dong"]) for _ in range(60)).encode() for _ in range(60)]
-    with open(lm.VOCABULARY, "rb") as f:
-        raw = f.read()
-    subwords = lm.Subwords(raw)
-    few = Block(texts_[:10])
-    _, owners, ids, of = lm.sequence(few, lm.Words.of(few, subwords))
-    before, after = (lm.train(texts_[10:], raw, steps).log_probabilities(ids, owners[of]).mean() for steps in (0, 150))
+    subwords = subwords_of()
+
+    def ids_of(some):
+        block = Block(some)
+        _, owners, ids, of = lm.sequence(block, lm.Words.of(block, subwords))
+        return ids, owners[of]
+
+    ids, owners = ids_of(texts_[10:])
+    rows = spark.createDataFrame([(int(k), bytearray(ids[owners == k].astype(np.int32).tobytes())) for k in range(50)], "key long, ids binary").repartition(3)
+    counts = np.bincount(ids, minlength=subwords.size)
+    before, after = (lm.trained(rows, counts, rates).log_probabilities(*ids_of(texts_[:10])).mean() for rates in ((), (0.03, 0.01)))
     assert after > before + 0.3
 
 
