@@ -628,12 +628,12 @@ def eva_06(t):
 
 def _stream(t, shape):
     """Run a stream over the events files to its end, and read what it wrote."""
-    from cartoflow.resolve.entities import shared_folder
+    from cartoflow.store.shared import shared_dir
     from cartoflow.streaming import events as E
 
     schema = t.events.schema
     rows = E.source(t.spark, t.folder, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    root = shared_folder(t.spark)
+    root = shared_dir(t.spark)
     E.publish(shape(rows), f"{root}/out", f"{root}/state").awaitTermination()
     return t.spark.read.parquet(f"{root}/out")
 
@@ -676,10 +676,10 @@ def stm_06(t):
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events")
 def stm_07(t):
     """A stream that stops and goes on from its checkpoint reads nothing twice."""
-    from cartoflow.resolve.entities import shared_folder
+    from cartoflow.store.shared import shared_dir
     from cartoflow.streaming import events as E
 
-    root = shared_folder(t.spark)
+    root = shared_dir(t.spark)
     for _ in range(2):
         rows = E.source(t.spark, t.folder, "events.parquet", t.events.schema).select("event_id")
         E.publish(rows, f"{root}/out", f"{root}/state").awaitTermination()
@@ -693,14 +693,14 @@ def ranked(t, limit: int = 50):
     """A keyword's candidates, matched, decided, resolved, conflated, checked, scored and ranked."""
     from cartoflow.operators.relational import ranked as numbered
     from cartoflow.quality.scoring import checks, scored
-    from cartoflow.resolve.entities import candidate_pairs, clusters, golden_records, pair_scores, written
+    from cartoflow.resolve.entities import clusters, golden_records, match_links
+    from cartoflow.store.shared import spool
 
     found = cascade.keyword_match(_candidates(t), ["gym", "hotel"], [r"\bgym\b"], ["fitness", "lodge"])
     rows = cascade.decided(found, GYM).where("outcome <> 'rejected'").withColumns({"decision": F.col("outcome"), "status": F.col("operating_status")})
     # Read several times from here on: decided once, and narrow.
-    rows = written(rows.select("id", "source", "name", "lon", "lat", "phone", "domain", "category", "status", "decision", "p"))
-    scores = pair_scores(candidate_pairs(rows.select("id", "lon", "lat", "phone", "domain")), rows)
-    entities = written(golden_records(rows, clusters(rows, scores)))
+    rows = spool(rows.select("id", "source", "name", "lon", "lat", "phone", "domain", "category", "status", "decision", "p"))
+    entities = spool(golden_records(rows, clusters(rows, match_links(rows))))
     entities = entities.withColumns({"name": F.col("canonical_name"), "phone": F.try_element_at("phones_e164", F.lit(1)), "email": F.lit(None).cast("string"), "website": F.col("website_domain"), "website_ok": F.lit(None).cast("boolean")})
     out = scored(entities, checks(entities)).withColumn("distance_m", F.round(geo.haversine_m(F.col("lon"), F.col("lat"), F.lit(77.75), F.lit(12.97)), 1))
     return numbered(out, [F.desc("confidence"), "distance_m", "id"], limit).select("rank", "id", "canonical_name", "decision", "confidence", "tier", "distance_m", "independent_source_count")

@@ -149,10 +149,10 @@ def src_18(t):
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 5 <> 0")
 def src_19(t):
-    from cartoflow.resolve.entities import shared_folder
+    from cartoflow.store.shared import shared_dir
     from cartoflow.sources.imports import import_candidates
 
-    k, folder = F.col("s_suppkey"), shared_folder(t.spark)
+    k, folder = F.col("s_suppkey"), shared_dir(t.spark)
     t.supplier.select(k.cast("string").alias("id"), F.col("s_name").alias("Name"), F.when(k % 5 != 0, (k / 10.0).cast("string")).alias("lon"), F.lit("12.9").alias("latitude")).write.json(folder)
     rows = t.spark.read.json(folder).withColumn("file", F.lit("f"))
     return import_candidates(rows).select(F.split_part("source_record_id", F.lit(":"), F.lit(2)).cast("long").alias("id"), "name")

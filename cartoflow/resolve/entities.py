@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.functions import contact, fuzzy, geo, text
+from cartoflow.operators.components import components
 from cartoflow.operators.relational import blocked_pairs
 
 MATCH = 0.85
 
 
-def shared_folder(spark) -> str:
-    """A new folder that driver and executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cartoflow-checkpoints"
-    return f"{root.rstrip('/')}/cartoflow-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table of the shared folder: later rounds do not compute it again, and lost executors do no harm."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def candidate_pairs(rows: DataFrame, neighbours: bool = False) -> DataFrame:
     """Pairs (a, b) of rows (id, lon, lat, phone, domain) that share a geohash cell, phone or domain; with
     ``neighbours`` cells next to each other count as shared."""
@@ -57,25 +43,29 @@ def pair_scores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return settled.union(open_.select("a", "b", F.least(F.lit(1.0), 0.55 * F.col("_n") + 0.45 * F.col("_l")).alias("probability")))
 
 
-def clusters(rows: DataFrame, scores: DataFrame, least: float = MATCH) -> DataFrame:
-    """(id, cluster): the least id that pairs of ``least`` and more lead to.
+def sure_links(rows: DataFrame) -> DataFrame:
+    """(a, b, probability): each row with the least id of its phone, and of its domain.
 
-    Rounds of contraction: nodes hook to their least neighbour and edges follow, until no edge is left.  The number of
-    rounds grows with the logarithm of the longest chain; tables shrink from round to round.
+    Rows of one phone (or domain) are a match each with each; for clusters a link to one of them says the same, so a key
+    that a third of all rows share makes as many links as it has rows, and no pairs of pairs.
     """
-    edges = scores.where(F.col("probability") >= least).select("a", "b")
-    both = written(edges.union(edges.select("b", "a")).distinct())
-    roots = None
-    while both.take(1):
-        hooks = written(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("id"), F.least("a", "_m").alias("cluster")))
-        if roots is None:
-            roots = hooks
-        else:
-            roots = written(roots.join(hooks.select(F.col("id").alias("cluster"), F.col("cluster").alias("_next")), "cluster", "left").select("id", F.coalesce("_next", "cluster").alias("cluster")))
-        moved = both.join(hooks.toDF("a", "ra"), "a").join(hooks.toDF("b", "rb"), "b").where("ra <> rb")
-        both = written(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    if roots is None:
-        return rows.select("id", F.col("id").alias("cluster"))
+    def linked(key: str, probability: float) -> DataFrame:
+        keyed = rows.where(F.col(key).isNotNull()).select("id", key)
+        return keyed.join(keyed.groupBy(key).agg(F.min("id").alias("a")), key).where("a <> id").select("a", F.col("id").alias("b"), F.lit(probability).alias("probability"))
+
+    return linked("phone", 0.95).union(linked("domain", 0.92))
+
+
+def match_links(rows: DataFrame) -> DataFrame:
+    """What ``clusters`` needs of rows (id, name, lon, lat, phone, domain): ``sure_links``, and the scored pairs of each
+    cell that have neither phone nor domain in common."""
+    cells = blocked_pairs(rows, {"cell": geo.geohash(F.col("lon"), F.col("lat"), 7)})
+    return sure_links(rows).union(pair_scores(cells, rows))
+
+
+def clusters(rows: DataFrame, scores: DataFrame, least: float = MATCH) -> DataFrame:
+    """(id, cluster): the least id that pairs of ``least`` and more lead to."""
+    roots = components(scores.where(F.col("probability") >= least).select("a", "b")).withColumnsRenamed({"node": "id", "root": "cluster"})
     return rows.select("id").join(roots, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 

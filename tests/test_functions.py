@@ -1,15 +1,19 @@
 """Functions and rules on rows whose results are known."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cartoflow.evaluate import metrics as M
 from cartoflow.functions import contact, fuzzy, geo, stats, text
 from cartoflow.operators import relational as R
+from cartoflow.operators.components import components
 from cartoflow.quality import scoring as S
 from cartoflow.relevance import cascade as C
 from cartoflow.relevance.dictionary import Concept, resolve
 from cartoflow.resolve import entities as E
+from cartoflow.store.shared import spool
 
 
 def one(spark, column, **values):
@@ -138,6 +142,31 @@ def test_clusters_are_transitive(spark):
     assert got == {i: 0 if i <= 20 else i for i in range(30)}
 
 
+def test_components_in_few_steps(spark):
+    steps = []
+
+    def step(df):
+        steps.append(1)
+        return spool(df)
+
+    n = 1000
+    line = spark.range(n - 1, numPartitions=2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["root"] for r in components(line, step).collect()} == {0} and len(steps) <= 15
+    r = random.Random(0)
+    ids = r.sample(range(10**6), 300)
+    mixed = spark.createDataFrame([*zip(ids[:149], ids[1:150]), *zip(ids[150:], ids[151:]), (ids[0], ids[0])], "a long, b long")
+    got = {x["node"]: x["root"] for x in components(mixed).collect()}
+    assert got == {x: min(part) for part in (ids[:150], ids[150:]) for x in part}
+    assert components(mixed.limit(0)).count() == 0
+
+
+def test_links_make_the_clusters_of_pairs(spark):
+    r = random.Random(1)
+    rows = spark.createDataFrame([(i, r.choice(["Iron Gym", "Iron Gim", "Royal Hotel"]), 77 + r.randrange(9) / 1e4, 12.0, r.choice([None, None, f"p{r.randrange(9)}"]), r.choice([None, None, f"d{r.randrange(9)}"])) for i in range(60)], "id long, name string, lon double, lat double, phone string, domain string")
+    every = E.pair_scores(E.candidate_pairs(rows), rows)
+    assert E.clusters(rows, every).orderBy("id").collect() == E.clusters(rows, E.match_links(rows)).orderBy("id").collect()
+
+
 def test_suppression_never_multiplies(spark):
     b = spark.createDataFrame([(1, ["p1", "p2"], ["e"], "d.in"), (2, None, None, None), (3, [], [], "x.in")], "id int, phones array<string>, emails array<string>, domain string")
     s = spark.createDataFrame([("p1", None, None), ("p2", None, None), (None, None, "d.in"), (None, "zz", None)], "phone string, email string, domain string")
