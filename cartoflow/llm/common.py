@@ -6,8 +6,6 @@ not depend on how many rows a batch has; only one very long text can make a bloc
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,30 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartoflow.store.shared import shared_dir, spool  # noqa: F401
+
 #: Text bytes of a block; numpy temporaries take some tens of bytes for each.
 BLOCK_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch, when the session does not say.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors see, under spark.checkpoint.dir; a local one only where that is unset and
-    the session is local too."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.gettempdir()}/cartoflow-checkpoints"
-    return f"{root.rstrip('/')}/cartoflow-{uuid.uuid4().hex}"
-
-
-def spool(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives a lost executor."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and of bounded bytes, unless the session has numbers of its own: texts can be long."""
     for key, default, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", str(BATCH_BYTES))):

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import Block, blocks, shared_dir, small_batches
+from cartoflow.llm.common import Block, blocks, shared_dir, small_batches, spool
 
 SHARD, PLACE, SUMMARY = "__shard", "__place", "__summary"
 PART_SHIFT = 20
@@ -59,6 +59,38 @@ def spool_shards(docs: DataFrame, summary: pa.StructType, ddl: str, add: Callabl
     return spark.read.schema(out.schema).parquet(folder)
 
 
+def spool_rows(docs: DataFrame) -> DataFrame:
+    """Write the documents with __shard and __place, without a look at them: rows can be told by address what becomes of
+    them, and no text is shuffled."""
+    return spool(docs.withColumns({SHARD: F.shiftleft(F.spark_partition_id().cast("long"), PART_SHIFT), PLACE: F.monotonically_increasing_id()}))
+
+
+def at_places(base: DataFrame, chosen: DataFrame, **told: str) -> DataFrame:
+    """The rows of ``base`` whose address (__shard, __place) is in ``chosen``, each with its long columns ``told`` of there."""
+    folder = write_side(chosen.select(SHARD, PLACE, *told))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, side = None, {}
+        for batch in batches:
+            of = batch.column(batch.schema.get_field_index(SHARD)).to_numpy() >> PART_SHIFT
+            place = batch.column(batch.schema.get_field_index(PLACE)).to_numpy()
+            for here in np.unique(of).tolist():
+                if part != here:
+                    part, side = here, side_of_part(folder, here)
+                    if side:
+                        order = np.argsort(side[PLACE])
+                        side = {c: x[order] for c, x in side.items()}
+                if side:
+                    at = np.minimum(np.searchsorted(side[PLACE], place), len(side[PLACE]) - 1)
+                    rows = np.flatnonzero((side[PLACE][at] == place) & (of == here))
+                    if len(rows):
+                        out = batch.take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([*out.columns, *[pa.array(side[c][at[rows]]) for c in told]], names=[*out.schema.names, *told])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + "".join(f", {c} {kind}" for c, kind in told.items())
+    return base.mapInArrow(each, schema)
+
+
 def summaries(base: DataFrame) -> DataFrame:
     return base.where(F.col(SUMMARY).isNotNull()).select(SHARD, F.inline(SUMMARY))
 

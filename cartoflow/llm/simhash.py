@@ -5,6 +5,15 @@ Equal fingerprints are one class.  Each distinct fingerprint emits all values wi
 64 one-bit changes); two fingerprints within the radius share one of them.  Those that share a value
 link to the least of them, which is verified by counting bits, and links are contracted to components.
 
+``deduplicated`` is for a similarity, by default shingles of WORDS words and a Jaccard similarity of LEAST: SimHash bits of
+two texts of similarity s differ with probability acos(2s / (1 + s)) / pi, 0.15 at 0.8, so no radius that 64 bits allow
+would do.  It takes PARTS fingerprints of PART_BITS bits, each with its ball of one bit: two texts meet if one of the
+parts differs in RADIUS bits at most.  What meets is linked to the least and the greatest text of the ball, dropped if all
+bits together are too far apart for the similarity, and compared by whole shingle sets.  A pair meets with probability
+0.91 at a similarity of 0.8, 0.98 at 0.85, 0.999 at 0.9 and more above (``meeting``), and more in larger groups.  Parts
+are wide enough that strangers seldom meet among some ten million different texts (one in a ball, on average); more
+texts want wider parts, and more of them for the same recall.
+
 Cases.  Null or empty text, or no words: fingerprint zero, linked like any other.  Repeated rows or ids: a row each; the
 component's id is the least doc_id in it.  Null doc_id: takes part, but is never the least; a component of nulls only has
 a null id.  Empty table: empty result.  Other columns are ignored, or kept by ``deduplicated``.
@@ -12,6 +21,7 @@ a null id.  Empty table: empty result.  Other columns are ignored, or kept by ``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import NOT_SPACE, Block, blocks, only, set_aside, small_batches, spool
-from cartoflow.llm.components import components
+from cartoflow.llm.common import NOT_SPACE, Block, blocks, gram_hashes, mixed, only, set_aside, small_batches, span_hashes, spool
+from cartoflow.llm.shards import PLACE, SHARD, at_places, spool_rows
+from cartoflow.operators.components import components
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Fewer shingles of one length than this are hashed one by one.
 FEW = 24
 #: Differing bits of linked fingerprints; balls of half of it are emitted.
 RADIUS = 2
+#: Of ``deduplicated``: words of a shingle, least similarity, fingerprints and the bits of each.
+WORDS, LEAST, PARTS, PART_BITS = 5, 0.8, 12, 28
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -167,10 +180,105 @@ def hex64(fp) -> "F.Column":
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
-    """One document of each component, all columns: the least doc_id, of equal ids the least text hash; nulls last."""
-    rows = linked(docs, words)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+# -------------------------------------------------------------------------------------------------- by similarity
+
+
+def shingles(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, shingle hash), ordered by text."""
+    data = block.lower()
+    starts, ends, owners = block.words(data, NOT_SPACE)
+    hashes, counts = span_hashes(data, starts, ends), block.per_text(owners)
+    first = np.cumsum(counts) - counts
+    of, found = [], []
+    for k in range(1, words + 1):
+        grams = gram_hashes(hashes, k)
+        at = np.flatnonzero(owners[: len(grams)] == owners[k - 1 :]) if k == words and len(grams) else first[counts == k] if k < words else np.zeros(0, np.int64)
+        of.append(owners[at])
+        found.append(mixed(grams[at] + np.uint64(k)))
+    of, found = np.concatenate(of), np.concatenate(found)
+    order = np.lexsort((found, of))
+    of, found = of[order], found[order]
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1])
+    return of[fresh], found[fresh]
+
+
+def similarities(a: Block, b: Block, words: int = WORDS) -> np.ndarray:
+    """Jaccard similarity of text i of both blocks; 1 where neither has a shingle."""
+    (of_a, x), (of_b, y) = shingles(a, words), shingles(b, words)
+    of, found = np.concatenate([of_a, of_b]), np.concatenate([x, y])
+    order = np.lexsort((found, of))
+    of, found = of[order], found[order]
+    shared = np.bincount(of[1:][(of[1:] == of[:-1]) & (found[1:] == found[:-1])], minlength=a.n) if len(of) else np.zeros(a.n)
+    both = np.bincount(of, minlength=a.n) - shared
+    return np.where(both > 0, shared / np.maximum(1, both), 1.0)
+
+
+def meeting(similarity: float, parts: int = PARTS) -> float:
+    """Probability that two texts of about one length and that similarity meet."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return 1 - (1 - sum(math.comb(PART_BITS, k) * p**k * (1 - p) ** (PART_BITS - k) for k in range(RADIUS + 1))) ** parts
+
+
+def part_prints(block: Block, words: int = WORDS, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: how many distinct shingles, and ``parts`` fingerprints, two in a long."""
+    of, found = shingles(block, words)
+    n = block.per_text(of)
+    seeds = mixed(np.arange(1, -(-parts // 2) + 1, dtype=np.uint64))
+    return n, np.stack([majority(mixed(found ^ seed), n) for seed in seeds], 1)
+
+
+def part_links(classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
+    """Pairs (a, b) of texts (id, n, prints) that meet, and that neither size nor bits keep apart."""
+    lane = lambda i: F.shiftright(F.col("prints")[i // 2], 32 * (i % 2)).bitwiseAND(F.lit((1 << PART_BITS) - 1)) + F.lit(i << 32)
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(PART_BITS)])
+    values = classes.select("id", F.explode(F.array(*[lane(i) for i in range(parts)])).alias("value"))
+    variants = values.select("id", F.explode(F.transform(flips, lambda x: F.col("value").bitwiseXOR(x))).alias("variant"))
+    ball = Window.partitionBy("variant")
+    met = variants.withColumns({"lo": F.min("id").over(ball), "hi": F.max("id").over(ball)}).where("lo <> hi").select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id <> end")
+    pairs = spool(met.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct())
+    both = pairs.join(classes.toDF("a", "na", "pa"), "a").join(classes.toDF("b", "nb", "pb"), "b")
+    apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(-(-parts // 2))), F.lit(0))
+    bits, p = 64 * -(-parts // 2), math.acos(2 * least / (1 + least)) / math.pi
+    return both.where((F.least("na", "nb") >= least * F.greatest("na", "nb")) & (apart <= bits * p + 6 * math.sqrt(bits * p * (1 - p)))).select("a", "b")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) have the similarity."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, block in blocks([batch], "ta"):
+                for part, other in blocks([rows], "tb"):
+                    mine = block if part.num_rows == rows.num_rows else Block([(x or "").encode() for x in part.column("ta").to_pylist()])
+                    yield part.select(["a", "b"]).filter(pa.array(similarities(mine, other, words) >= least))
+
+    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    return spool(both.mapInArrow(each, "a long, b long"))
+
+
+def deduplicated(docs: DataFrame, least: float = LEAST, words: int = WORDS, parts: int = PARTS) -> DataFrame:
+    """One document of each group of similar ones, all columns: the least doc_id, of equal ids the first row; nulls last."""
+    small_batches(docs.sparkSession)
     docs, named = set_aside(docs, "doc_id", "text")
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(spool(first), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    return named(kept.dropDuplicates(["doc_id", "_h"]).drop("_h"))
+    base = spool_rows(docs.withColumn("text_hash", F.xxhash64("text")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, block in blocks(batches, "text"):
+            n, prints = part_prints(block, words, parts)
+            size = prints.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * block.n + 1, size, dtype=np.int32)), pa.array(prints.view(np.int64).ravel()))
+            kept = rows.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n), lists], names=[*kept.schema.names, "n", "prints"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = spool(base.select("doc_id", SHARD, PLACE, "text_hash", "text").mapInArrow(each, f"doc_id {kind}, {SHARD} long, {PLACE} long, text_hash long, n long, prints array<long>"))
+    choice = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", SHARD, PLACE)
+    # Equal texts are one class; a copy that a third of all documents are is one row a partition here.
+    classes = spool(rows.groupBy(F.col("text_hash").alias("id")).agg(F.min(choice).alias("k"), F.first("n").alias("n"), F.first("prints").alias("prints")))
+    pairs = spool(part_links(classes.select("id", "n", "prints"), least, parts))
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = at_places(base.select("text_hash", "text", SHARD, PLACE), needed.join(classes, "id").select(f"k.{SHARD}", f"k.{PLACE}")).select(F.col("text_hash").alias("id"), "text")
+    roots = components(similar_pairs(pairs, spool(texts), least, words)).withColumnRenamed("node", "id")
+    first = classes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("k").alias("k"))
+    return named(at_places(base, first.select(f"k.{SHARD}", f"k.{PLACE}")).select(*docs.columns))

@@ -15,9 +15,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cartoflow.llm import decontaminate, licences, lm, mixing, nearcopies, quality, simhash, suffixes, toolcalls, toxicity, warc
+from cartoflow.llm import decontaminate, licences, lm, mixing, quality, simhash, suffixes, toolcalls, toxicity, warc
 from cartoflow.llm.common import Block
-from cartoflow.llm.components import components
+from cartoflow.operators.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -523,9 +523,7 @@ def test_simhash(spark):
                 parent[b] = a
     out = simhash.linked(df).select("doc_id", simhash.hex64("fp").alias("f"), "component_id")
     assert got(out, "doc_id", "f", "component_id") == sorted(((r[0], f"{fp[r[0]]:016x}", root(r[0])) for r in rows), key=repr)
-    kept = simhash.deduplicated(df)
-    assert kept.columns == df.columns and sorted(x[0] for x in got(kept, "doc_id")) == sorted({root(i) for i in fp})
-    assert simhash.linked(empty(spark)).count() == 0 and simhash.deduplicated(empty(spark)).count() == 0
+    assert simhash.linked(empty(spark)).count() == 0
 
 
 def test_simhash_nulls(spark):
@@ -566,13 +564,6 @@ def test_ball_links_are_whole(spark):
                 assert roots[a] == roots[b]
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    out = {r["node"]: r["root"] for r in components(edges).collect()}
-    assert out == {i: 0 for i in range(41)} | {100: 100, 101: 100}
-    assert components(edges.limit(0)).count() == 0
-
-
 def brute_shingles(text):
     w = SPACED.findall((text or "").translate(LOWER))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -588,20 +579,25 @@ def test_near_copies_planted(spark):
 
     r = random.Random(11)
     words = lambda n: [f"{r.choice('bcdfgklm')}{r.randrange(10_000)}" for _ in range(n)]
-    rows, copies = [], {}
+    rows, copies, expected = [], {}, 0.0
     for n, changed in ((100, 1), (100, 2), (300, 2), (300, 5), (1000, 5), (1000, 20)) * 10:
         first = words(n)
         second = list(first)
         for i in range(changed):
             second[(2 * i + 1) * n // (2 * changed)] = "other"
         assert 0.8 <= jaccard(" ".join(first), " ".join(second)) < 0.96
+        expected += simhash.meeting(jaccard(" ".join(first), " ".join(second)))
         copies[len(rows) + 1] = len(rows)
         rows += [" ".join(first), " ".join(second)]
     far = words(200)
     rows += [" ".join(far), " ".join(far[:150] + words(50))]  # about 0.6: both stay
     df = table(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicates(spark, df, "")
-    assert kept.columns == df.columns and sorted(x[0] for x in got(kept, "doc_id")) == sorted(set(range(len(rows))) - set(copies))
+    left = {x[0] for x in got(kept, "doc_id")}
+    assert kept.columns == df.columns and left >= set(range(len(rows))) - set(copies)
+    # As many as the formula says, which is nearly all: within three standard deviations of 60 draws.
+    assert 56 < expected < 60 and len(copies) - len(left & set(copies)) >= expected - 3 * math.sqrt(60 - expected)
+    assert simhash.meeting(0.8) > 0.9 and simhash.meeting(0.85) > 0.98 and simhash.meeting(0.9) > 0.998
 
 
 def test_near_copies_brute(spark):
@@ -613,8 +609,8 @@ def test_near_copies_brute(spark):
             if root[i] != root[j] and jaccard(text[i], text[j]) >= 0.8:
                 lo, hi = sorted((root[i], root[j]))
                 root = {k: lo if v == hi else v for k, v in root.items()}
-    assert sorted(x[0] for x in got(nearcopies.deduplicated(df), "doc_id")) == sorted(set(root.values()))
-    assert nearcopies.deduplicated(empty(spark)).count() == 0
+    assert sorted(x[0] for x in got(simhash.deduplicated(df), "doc_id")) == sorted(set(root.values()))
+    assert simhash.deduplicated(empty(spark)).count() == 0
 
 
 # --------------------------------------------------------------------------------------------------------- toxicity
