@@ -95,10 +95,11 @@ def summaries(base: DataFrame) -> DataFrame:
     return base.where(F.col(SUMMARY).isNotNull()).select(SHARD, F.inline(SUMMARY))
 
 
-def write_side(df: DataFrame) -> str:
-    """Write rows (__shard, ...) by part to the shared folder."""
+def write_side(df: DataFrame, tasks: int | None = None) -> str:
+    """Write rows (__shard, ...) by part to the shared folder; ``tasks`` where small ones should not be put together."""
     folder = shared_dir(df.sparkSession)
-    df.withColumn("part", F.shiftright(F.col(SHARD), PART_SHIFT)).repartition("part").write.partitionBy("part").parquet(folder)
+    df = df.withColumn("part", F.shiftright(F.col(SHARD), PART_SHIFT))
+    (df.repartition("part") if tasks is None else df.repartition(tasks, "part")).write.partitionBy("part").parquet(folder)
     return folder
 
 
