@@ -653,20 +653,82 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scored(df.limit(0), none).count() == 0
 
 
+def test_toxicity_of_one_class(spark):
+    rows, _ = toxic_rows(20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(i, 1, toxic) for i in range(20)], "doc_id long, quality int, toxic int")
+        assert {r["predicted"] for r in toxicity.scored(df, labels).collect()} == {toxic}
+
+
+def test_toxicity_by_context(spark):
+    """A word that is toxic alone and harmless after ``not``; repeated ids are fitted by their least text."""
+    r = random.Random(3)
+    plain = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        words = [r.choice(plain) for _ in range(r.randrange(10, 60))]
+        kind = i % 9
+        for _ in range(2) if kind < 2 else ():
+            words[r.randrange(len(words)) : 0] = ["vilefoo"] if kind == 0 else ["not", "vilefoo"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(kind == 0)))
+    rows += [(5, "vilefoo vilefoo vilefoo"), (11, "zz vilefoo")]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = toxicity.scored(df, lab).collect()
+    right = [r["predicted"] == (r["doc_id"] % 9 == 0) for r in out if r["held_out"] and r["doc_id"] not in (5, 11)]
+    assert sum(right) / len(right) > 0.97
+    negated = [r for r in out if r["doc_id"] % 9 == 1]
+    assert sum(bool(r["spans"]) for r in negated) / len(negated) < 0.1
+    again = toxicity.scored(df.repartition(7), lab).collect()
+    assert sorted((r["doc_id"], round(r["score"], 9)) for r in out) == sorted((r["doc_id"], round(r["score"], 9)) for r in again)
+
+
 def test_field_against_enumeration():
     r = np.random.default_rng(0)
-    field = toxicity.Field(r.normal(size=5), r.normal(size=4))
-    owner, place, evidence = np.array([0, 0, 0, 2, 3, 3]), np.array([1, 2, 9, 0, 4, 90]), r.uniform(1, 6, 6)
-    toxic, both, bucket, gap = field.run(owner, place, evidence)
-    for at in ([0, 1, 2], [3], [4, 5]):
-        total, marginal, twice = 0.0, np.zeros(len(at)), np.zeros(len(at))
-        for k in range(2 ** len(at)):
-            y = [k >> i & 1 for i in range(len(at))]
-            w = math.exp(sum(field.unary[bucket[j]] for i, j in enumerate(at) if y[i]) + sum(field.pair[gap[j]] for i, j in enumerate(at) if i and y[i] and y[i - 1]))
-            total += w
-            marginal += w * np.array(y)
-            twice += w * np.array([i > 0 and y[i] and y[i - 1] for i in range(len(at))])
-        assert np.allclose(toxic[at], marginal / total) and np.allclose(both[at], twice / total)
+    field = toxicity.Field(r.normal(size=toxicity.WEIGHTS))
+    counts = np.array([6, 3, 0, 4, 1, 5])
+    owner, place = np.array([0, 0, 3, 3, 4, 5]), np.array([1, 4, 0, 1, 0, 3])
+    codes = toxicity.Field.codes(r.uniform(1, 6, 6), r.integers(-1, 2, 6), r.integers(-1, 2, 6))
+    shape = toxicity.Field.shape(owner, place, counts)
+    z, p = field.forward(codes, shape, counts)[0][0], field.marginals(codes, shape, counts)[0]
+    labels = np.array([1, 0, 1, 1, 0, 1.0])
+    w, pair = field.weights, np.array([0, *field.weights[-3:]]).reshape(2, 2)
+    said = 0.0
+    for text, n in enumerate(counts.tolist()):
+        at = np.flatnonzero(owner == text)
+        of_word = np.full(n, w[toxicity.UNARY + 4])
+        of_word[place[at]] = codes[at] @ w[: toxicity.UNARY + 4]
+        total, marginal = 0.0, np.zeros(n)
+        for k in range(2**n):
+            y = np.array([k >> i & 1 for i in range(n)], int)
+            e = math.exp(y @ of_word + sum(pair[a, b] for a, b in zip(y, y[1:])))
+            total, marginal = total + e, marginal + e * y
+        assert math.isclose(z[text], math.log(total), abs_tol=1e-9) and np.allclose(p[at], (marginal / total)[place[at]])
+        y = np.zeros(n, int)
+        y[place[at]] = labels[at]
+        said += y @ of_word + sum(pair[a, b] for a, b in zip(y, y[1:]))
+    assert math.isclose(field.score(codes, labels, shape)[0], said)
+    before = (field.score(codes, labels, shape) - field.forward(codes, shape, counts)[0].sum(1))[0]
+    field.fit(codes, labels, shape, counts, steps=40)
+    assert (field.score(codes, labels, shape) - field.forward(codes, shape, counts)[0].sum(1))[0] > before
+
+
+def test_spans_bridge():
+    """Words between two toxic ones are in the span when toxic words come in rows, by enumeration."""
+    w = np.zeros(toxicity.WEIGHTS)
+    w[0], w[toxicity.UNARY + 4], w[-3:] = 4, 0.2, (-3, -3, 0)
+    field, counts = toxicity.Field(w), np.array([5])
+    owner, place = np.array([0, 0]), np.array([0, 3])
+    codes = toxicity.Field.codes(np.array([1.2, 1.2]), np.zeros(2), np.zeros(2))
+    p, inside = field.marginals(codes, toxicity.Field.shape(owner, place, counts), counts)
+    total, marginal = 0.0, np.zeros(5)
+    for k in range(32):
+        y = [k >> i & 1 for i in range(5)]
+        e = math.exp(sum(4 * y[i] for i in (0, 3)) + 0.2 * sum(y[i] for i in (1, 2, 4)) - 3 * sum(a != b for a, b in zip(y, y[1:])))
+        total, marginal = total + e, marginal + e * np.array(y)
+    assert np.allclose(p, (marginal / total)[[0, 3]]) and math.isclose(inside[1], (marginal / total)[1:3].min(), rel_tol=1e-9)
 
 
 # --------------------------------------------------------------------------------------------------------- pipeline
