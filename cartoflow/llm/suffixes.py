@@ -13,7 +13,9 @@ same document.  Documents are cut to shards of a few MB, fixed when they are spo
    128-bit digest of their bytes, are settled at once, as within a copied passage all are.  The others, at the passages'
    edges, bring their bytes: each shard's windows are a sorted run, runs are merged in pairs by binary search, and of
    equal windows the owner that comes first stays.  So a passage that a third of all documents share sends one piece a
-   shard, however many copies there are.
+   shard, however many copies there are.  Where such a passage ends, every document goes on in its own way, with the
+   passage's anchor: pieces at an anchor of more than HOT places are not merged in one task but dealt, window by window, by
+   the digest of the window, which settles them.
 
 No text is shuffled; what is decided about a shard comes back to it as rows addressed by shard and document.
 
@@ -42,6 +44,8 @@ SHARD_BYTES = 4 << 20
 _FILTER_BITS = 21
 #: Bytes of first windows that are merged at a time (a hundred times as many are compared).
 CHUNK = 1 << 20
+#: Places of an anchor that are merged in one task, at most.
+HOT = 1024
 
 _H, _SHARD, _D = "__text_hash", SHARD, PLACE
 
@@ -191,11 +195,11 @@ def _candidate_text(rows: list[pa.RecordBatch], side: dict[str, np.ndarray]):
     """The pieces of a shard's texts that candidate windows cover, in document order.
 
     Returns the text, and for each of its bytes: document place, offset there, whether a window starts here, the
-    window's anchor, whether other shards have the anchor, and whether this one has it again.
+    window's anchor, whether other shards have the anchor, whether this one has it again, and whether it is hot.
     """
-    known, crossed, again = side["h"].view(np.uint64), side["crossed"], side["again"]
+    known, crossed, again, hot = side["h"].view(np.uint64), side["crossed"], side["again"], side["hot"]
     order = np.argsort(known)
-    known, crossed, again = known[order], crossed[order], again[order]
+    known, crossed, again, hot = known[order], crossed[order], again[order], hot[order]
     table = np.zeros(1 << _FILTER_BITS, bool)
     low = np.uint64((1 << _FILTER_BITS) - 1)
     table[(known & low).astype(np.int64)] = True
@@ -213,28 +217,37 @@ def _candidate_text(rows: list[pa.RecordBatch], side: dict[str, np.ndarray]):
         edges[at] += 1
         edges[at + LENGTH] -= 1
         keep = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
-        starts, over, twice = (np.zeros(len(block.data), bool) for _ in range(3))
-        starts[at], over[at], twice[at] = True, crossed[hit], again[hit]
+        starts, over, twice, often = (np.zeros(len(block.data), bool) for _ in range(4))
+        starts[at], over[at], twice[at], often[at] = True, crossed[hit], again[hit], hot[hit]
         text = np.searchsorted(block.ends, keep)
         anchor = np.zeros(len(block.data), np.uint64)
         anchor[at] = anchors[at]
-        pieces.append((block.data[keep], place[text], keep - block.starts[text], starts[keep], anchor[keep], over[keep], twice[keep]))
+        pieces.append((block.data[keep], place[text], keep - block.starts[text], starts[keep], anchor[keep], over[keep], twice[keep], often[keep]))
     return [np.concatenate(x) for x in zip(*pieces, strict=True)] if pieces else None
 
 
+def _ranks(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Order of ids of any type; nulls last."""
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
 def _ordered(rows: list[pa.RecordBatch]) -> np.ndarray:
     """Rank of each place of a shard: by doc_id (nulls last), then hash of the text, then place."""
-    ids = pa.chunked_array([x.column(x.schema.get_field_index("doc_id")) for x in rows])
-    null = np.array([v is None for v in ids.to_pylist()])
-    values = ids.fill_null(0).to_numpy()
+    ids = _ranks(pa.chunked_array([x.column(x.schema.get_field_index("doc_id")) for x in rows]))
     hashes = np.concatenate([x.column(x.schema.get_field_index(_H)).to_numpy() for x in rows])
-    rank = np.empty(len(null), np.int64)
-    rank[np.lexsort((hashes, values, null))] = np.arange(len(null))
+    rank = np.empty(len(ids), np.int64)
+    rank[np.lexsort((hashes, ids))] = np.arange(len(ids))
     return rank
 
 
-_FIRST = pa.schema([("h", pa.int64()), (_SHARD, pa.int64()), (_D, pa.int64()), ("doc_id", pa.int64()), (_H, pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary()), ("bytes", pa.binary())])
-_FIRST_DDL = f"h long, {_SHARD} long, {_D} long, doc_id long, {_H} long, start long, end long, digest binary, bytes binary"
+def _first(kind: pa.DataType) -> pa.Schema:
+    """Rows of pieces; a range to remove has no h."""
+    return pa.schema([("h", pa.int64()), (_SHARD, pa.int64()), (_D, pa.int64()), ("doc_id", kind), (_H, pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("hot", pa.bool_()), ("digest", pa.binary()), ("bytes", pa.binary())])
+
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
 
 
 def _sorted_shard(shard: int, rows: list[pa.RecordBatch], side: dict[str, np.ndarray]) -> pa.RecordBatch | None:
@@ -248,7 +261,7 @@ def _sorted_shard(shard: int, rows: list[pa.RecordBatch], side: dict[str, np.nda
         lengths = np.diff(np.append(heads, len(of)))
         by = np.argsort(of[heads])
         got = [x[_spread(heads[by], lengths[by])] for x in got]
-    text, place, offset, starts, anchor, over, twice = got
+    text, place, offset, starts, anchor, over, twice, hot = got
     repeated = np.zeros(len(text), bool)
     if twice.any():
         edges = np.zeros(len(text) + LENGTH, np.int32)
@@ -269,22 +282,21 @@ def _sorted_shard(shard: int, rows: list[pa.RecordBatch], side: dict[str, np.nda
         return begins, np.flatnonzero(end) + 1
 
     a, b = cut(repeated, new)
-    local = [pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), shard)), pa.array(place[a]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(offset[a]), pa.array(offset[b - 1] + LENGTH), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())]
+    ids = pa.chunked_array([x.column(x.schema.get_field_index("doc_id")) for x in rows]).combine_chunks()
+    local = [pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), shard)), pa.array(place[a]), pa.nulls(len(a), ids.type), pa.nulls(len(a), pa.int64()), pa.array(offset[a]), pa.array(offset[b - 1] + LENGTH), pa.nulls(len(a), pa.bool_()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())]
     changed = new.copy()
     changed[1:] |= anchor[1:] != anchor[:-1]
     a, b = cut(going, changed)
     n = b - a
-    ids = pa.chunked_array([x.column(x.schema.get_field_index("doc_id")) for x in rows]).cast(pa.int64()).combine_chunks()
     hashes = np.concatenate([x.column(x.schema.get_field_index(_H)).to_numpy() for x in rows])
     grown = n + LENGTH - 1
     offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
     ends = np.cumsum(grown)
     raw = text[_spread(a, grown)].tobytes()
-    digests = pa.array([hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip((ends - grown).tolist(), ends.tolist(), strict=True)], pa.binary())
+    digests = _digests(raw, ends - grown, ends)
     data = pa.Array.from_buffers(pa.binary(), len(a), [None, offsets(grown).buffers()[1], pa.py_buffer(raw)])
-    ids = ids.take(pa.array(place[a]))
-    away = [pa.array(anchor[a].view(np.int64)), pa.array(np.full(len(a), shard)), pa.array(place[a]), ids, pa.array(hashes[place[a]]), pa.array(offset[a]), pa.array(offset[b - 1] + LENGTH), digests, data]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(local, away, strict=True)], schema=_FIRST)
+    away = [pa.array(anchor[a].view(np.int64)), pa.array(np.full(len(a), shard)), pa.array(place[a]), ids.take(pa.array(place[a])), pa.array(hashes[place[a]]), pa.array(offset[a]), pa.array(offset[b - 1] + LENGTH), pa.array(hot[a]), digests, data]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(local, away, strict=True)], schema=_first(ids.type))
 
 
 # ----------------------------------------------------------------------------------------------------- the merging
@@ -312,9 +324,8 @@ def merged(runs: list[tuple[np.ndarray, np.ndarray]], lost: np.ndarray) -> tuple
 def _merge_chunk(table: pa.Table) -> pa.RecordBatch:
     """Of first windows (whole anchors), those that come first elsewhere, as ranges to remove."""
     col = {c: table.column(c).combine_chunks() for c in table.column_names}
-    null, ids = np.array(col["doc_id"].is_null()), col["doc_id"].fill_null(0).to_numpy()
     shard, start = col[_SHARD].to_numpy(), col["start"].to_numpy()
-    order = np.lexsort((start, col[_D].to_numpy(), shard, col[_H].to_numpy(), ids, null))
+    order = np.lexsort((start, col[_D].to_numpy(), shard, col[_H].to_numpy(), _ranks(col["doc_id"])))
     table = table.take(pa.array(order))
     col = {c: table.column(c).combine_chunks() for c in table.column_names}
     raw = np.frombuffer(b"".join(col["bytes"].to_pylist()), np.uint8)
@@ -368,7 +379,7 @@ def _ranges(base: DataFrame) -> str:
     """The side table of removed ranges of all shards."""
     of = Window.partitionBy("h")
     anchors = summaries(base).withColumns({"total": F.sum("n").over(of), "lo": F.min(_SHARD).over(of), "hi": F.max(_SHARD).over(of)}).where("total > 1")
-    known = write_side(anchors.select(_SHARD, "h", (F.col("lo") < F.col("hi")).alias("crossed"), (F.col("n") > 1).alias("again")))
+    known = write_side(anchors.select(_SHARD, "h", (F.col("lo") < F.col("hi")).alias("crossed"), (F.col("n") > 1).alias("again"), (F.col("total") > HOT).alias("hot")))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows, side in with_side(batches, known, "h"):
@@ -376,19 +387,23 @@ def _ranges(base: DataFrame) -> str:
             if out is not None:
                 yield out
 
-    folder = shared_dir(base.sparkSession)
-    sorted_ = base.select(F.col("doc_id").cast("long").alias("doc_id"), _H, _SHARD, _D, "text").mapInArrow(sort, _FIRST_DDL)
+    folder, kind = shared_dir(base.sparkSession), base.schema["doc_id"].dataType.simpleString()
+    ddl = f"h long, {_SHARD} long, {_D} long, doc_id {kind}, {_H} long, start long, end long, hot boolean, digest binary, bytes binary"
+    sorted_ = base.select("doc_id", _H, _SHARD, _D, "text").mapInArrow(sort, ddl)
     sorted_.write.option("parquet.block.size", 1 << 30).option("compression", "zstd").parquet(folder)
-    first = base.sparkSession.read.schema(_FIRST_DDL).parquet(folder)
+    first = base.sparkSession.read.schema(ddl).parquet(folder)
     place = [_SHARD, _D, "start", "end"]
     local = first.where("h is null").select(*place)
 
-    # Equal pieces: the first stays.  An anchor with several first pieces needs their bytes.
+    # Equal pieces: the first stays.  They have one row a shard; nothing is dealt by an anchor that may be hot.
     order = [F.col("doc_id").isNull(), "doc_id", _H, _SHARD, _D, "start"]
-    pieces = first.where("h is not null").drop("bytes").repartition("h").withColumn("nth", F.row_number().over(Window.partitionBy("h", "digest").orderBy(*order)))
-    pieces = spool(pieces.withColumn("kinds", F.count_if(F.col("nth") == 1).over(of)).where("nth > 1 or kinds > 1").select(*place, "nth"))
+    nth = F.row_number().over(Window.partitionBy("h", "digest").orderBy(*order))
+    pieces = spool(first.where("h is not null").drop("bytes").withColumn("nth", nth).select(*place, "h", "hot", "nth"))
     settled = pieces.where("nth > 1").select(*place)
-    edges = write_side(pieces.where("nth = 1").select(_SHARD, _D, "start"))
+    # An anchor with several first pieces needs their bytes, or, if it is hot, the digests of their windows.
+    left = pieces.where("nth = 1")
+    several = left.where("not hot").withColumn("kinds", F.count("*").over(of)).where("kinds > 1").select(_SHARD, _D, "start")
+    edges = write_side(several.union(left.where("hot").select(_SHARD, _D, "start")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, side in with_side(batches, edges, "start"):
@@ -399,12 +414,30 @@ def _ranges(base: DataFrame) -> str:
                     here = pa.table({_D: sub.column(sub.schema.get_field_index(_D)), "start": sub.column(sub.schema.get_field_index("start")), "at": at})
                     hit = np.sort(here.join(wanted, [_D, "start"], join_type="left semi").column("at").to_numpy())
                     if len(hit):
-                        yield sub.take(pa.array(hit))
-
-    bare = [f"{x.split()[0]}" for x in _FIRST_DDL.split(", ") if not x.startswith("digest")]
-    needed = first.where("h is not null").select(*bare).mapInArrow(fetch, ", ".join(x for x in _FIRST_DDL.split(", ") if not x.startswith("digest")))
-    away = needed.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, f"{_SHARD} long, {_D} long, start long, end long")
-    return write_side(local.union(settled).union(away))
+                        yield from _split(sub.take(pa.array(hit)))
+
+    needed = spool(first.where("h is not null").mapInArrow(fetch, ddl))
+    cold = needed.where("not hot").drop("hot", "digest")
+    away = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, f"{_SHARD} long, {_D} long, start long, end long")
+    dealt = needed.where("hot").drop("bytes").withColumn("nth", nth).where("nth > 1").select(*place)
+    return write_side(local.union(settled).union(away).union(dealt))
+
+
+def _split(pieces: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pieces as they are; those at hot anchors as their windows, with digests and without bytes."""
+    hot = pieces.column(pieces.schema.get_field_index("hot"))
+    cold, rows = pieces.filter(pc.invert(hot)), pieces.filter(hot)
+    if cold.num_rows:
+        yield cold
+    if rows.num_rows:
+        col = lambda c: rows.column(rows.schema.get_field_index(c))
+        size = col("end").to_numpy() - col("start").to_numpy()
+        n = size - LENGTH + 1
+        which = np.repeat(np.arange(len(n)), n)
+        begin = _spread(np.cumsum(size) - size, n)
+        start = _spread(col("start").to_numpy(), n)
+        told = {"start": pa.array(start), "end": pa.array(start + LENGTH), "digest": _digests(b"".join(col("bytes").to_pylist()), begin, begin + LENGTH), "bytes": pa.nulls(len(which), pa.binary())}
+        yield pa.RecordBatch.from_arrays([told[c] if c in told else col(c).take(pa.array(which)) for c in rows.schema.names], names=rows.schema.names)
 
 
 def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:

@@ -168,6 +168,21 @@ def test_suffix_removal(spark, seed):
     assert got(suffixes.removal(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removal(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_suffix_passage_in_many_shards(spark, monkeypatch, hot):
+    """A passage that most documents share, in shards of a few documents, at anchors that are hot and that are not; ids
+    are strings."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 2000)
+    r = random.Random(7)
+    rnd = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage, rows = rnd(400), []
+    for i in range(120):
+        rows.append((f"d{i:03}", (rnd(r.randrange(150)) + passage[r.randrange(0, 50, 25) :] + rnd(r.randrange(150)) if i % 3 else rnd(300)) if i % 11 else rows[-1][1] if rows else passage))
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(8)
+    assert got(suffixes.removal(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removal(rows)
+
+
 def test_suffix_cases(spark):
     text = "".join(random.Random(1).choices("abcdefgh", k=300))
     rows = [(1, text), (1, text), (None, text), (0, text[50:]), (2, "short")]
