@@ -78,13 +78,15 @@ def run_evaluation(entities: DataFrame, least: int = 30) -> DataFrame:
     return out.withColumn("verified_ci", F.when(F.col("n") >= least, stats.wilson(F.col("verified"), F.col("n"))))
 
 
-def permutation_test(rows: DataFrame, value: Column, group: Column, rounds: int, seed: int = 0) -> DataFrame:
-    """p of the difference of two groups' sums against ``rounds`` relabellings by hash; one pass, no shuffle of rows."""
-    each = rows.select(value.cast("double").alias("_x"), group.cast("boolean").alias("_g"), F.monotonically_increasing_id().alias("_i"))
-    share = each.agg(F.avg(F.col("_g").cast("int")).alias("_share"), F.avg(F.when(F.col("_g"), F.col("_x"))).alias("_seen"))
-    null = each.crossJoin(F.broadcast(share)).select("_x", "_share", "_seen", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "_i").withColumn("_g", F.pmod(F.xxhash64("_i", "round", F.lit(seed)), F.lit(1_000_000)) / 1_000_000 < F.col("_share"))
-    by = null.groupBy("round").agg(F.avg(F.when(F.col("_g"), F.col("_x"))).alias("m"), F.first("_seen").alias("_seen"))
-    return by.agg(stats.permutation_p(F.count_if(F.col("m") >= F.col("_seen")), F.count("*")).alias("p"))
+def permutation_test(rows: DataFrame, by: str, value: Column, group: Column, key: str, rounds: int, seed: int = 0) -> DataFrame:
+    """Per ``by``: p of the group's mean against ``rounds`` relabellings, by hash of each row's key, so the same wherever
+    the row is read.  Partial means are summed before anything is shuffled."""
+    each = rows.select(by, value.cast("double").alias("_x"), group.cast("boolean").alias("_g"), F.col(key).alias("_i"))
+    share = each.groupBy(by).agg(F.avg(F.col("_g").cast("int")).alias("_share"), F.avg(F.when(F.col("_g"), F.col("_x"))).alias("_seen"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "round", "_i")), 1, 8), 16, 10).cast("long") / F.lit(1 << 32)
+    null = each.join(share, by).select(by, "_x", "_share", "_seen", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "_i").withColumn("_g", draw < F.col("_share"))
+    means = null.groupBy(by, "round").agg(F.avg(F.when(F.col("_g"), F.col("_x"))).alias("m"), F.first("_seen").alias("_seen"))
+    return means.groupBy(by).agg(stats.permutation_p(F.count_if(F.col("m") >= F.col("_seen")), F.count("*")).alias("p"))
 
 
 def baselines(rows: DataFrame, keyword: str, seed: int = 0) -> DataFrame:

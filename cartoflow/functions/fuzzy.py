@@ -95,12 +95,15 @@ def close_typo(a, b, least: float = 0.78, most_apart: int = 4):
 def canonical_words(tokens, variants, least: float = 0.92):
     """Distinct tokens (word) with their canonical form: exact variants, else the closest of a word of five or more.
 
-    ``variants`` is a dictionary (variant, canonical) of bounded size; tokens meet only variants that start alike, as the
-    measure favours common beginnings, so no pairs of all are made.
+    ``variants`` is a dictionary (variant, canonical) of bounded size.  With the largest bonus for a common beginning the
+    measure reaches ``least`` only if the shorter length is ``band`` of the longer one: words meet variants by length.
     """
+    band = max(0.0, 3 * (least - 0.4) / 0.6 - 2)
     exact = tokens.join(variants, tokens["word"] == variants["variant"], "left").select("word", "canonical")
-    rest = exact.where("canonical is null and length(word) >= 5").select("word").withColumn("_k", F.substring("word", 1, 2))
-    near = rest.join(variants.withColumn("_k", F.substring("variant", 1, 2)), "_k").withColumn("_s", jaro_winkler("word", "variant")).where(F.col("_s") >= least)
+    n = F.length("word")
+    fits = F.sequence(F.ceil(n * band).cast("int"), F.floor(n / F.lit(band)).cast("int") if band else n + 40)
+    rest = exact.where("canonical is null and length(word) >= 5").select("word", F.explode(fits).alias("_n"))
+    near = rest.join(variants.withColumn("_n", F.length("variant")), "_n").withColumn("_s", jaro_winkler("word", "variant")).where(F.col("_s") >= least)
     near = near.groupBy("word").agg(F.max_by("canonical", F.struct("_s", "canonical")).alias("_near"))
     return exact.join(near, "word", "left").select("word", F.coalesce("canonical", "_near", "word").alias("canonical"))
 

@@ -148,7 +148,7 @@ def simhash64(df, text: str, key: str):
     Words are counted first, so a key's row count is its distinct words; the 64 votes are sums in one aggregation.
     """
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "<[^>]+>", " "))
-    rows = df.select(key, F.explode_outer(F.regexp_extract_all(plain, F.lit(r"\b(\w{3,})\b"), 1)).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias("_n"))
+    rows = df.select(key, F.explode_outer(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{3,}"), 0)).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias("_n"))
     rows = rows.withColumn("_h", F.conv(F.substring(F.md5("_w"), 1, 16), 16, -10).cast("long"))
     votes = [F.sum(F.when(F.shiftright("_h", i).bitwiseAND(F.lit(1)) == 1, F.col("_n")).otherwise(-F.col("_n"))).alias(f"_b{i}") for i in range(64)]
     bits = [F.when(F.col(f"_b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(64)]

@@ -102,23 +102,42 @@ def suppressed_ids(businesses: DataFrame, suppression: DataFrame) -> DataFrame:
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, at_most: int | None = None) -> DataFrame:
     """Pairs (left_id, right_id, metres) of points within a distance, by grid cells and an exact test.
 
-    Cells are a little larger than the distance, so a point meets its own cell and the eight around it.
+    Cells are a little larger than the distance.  East-west a degree shrinks with latitude, so every row of cells has a
+    width of its own, and a point looks for itself in the three rows about it by their widths; columns wrap at 180 degrees.
     """
     from cartoflow.functions.geo import haversine_m
 
     size = metres / 110_000.0
-    cell = lambda c, scale: F.floor(F.col(c) / (size * scale))
-    # East-west a degree shrinks with latitude: cells are as wide as 60 degrees north needs.
-    a = left.select(F.col("id").alias("left_id"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), cell("lon", 2).alias("cx"), cell("lat", 1).alias("cy"))
-    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = right.select(F.col("id").alias("right_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), cell("lon", 2).alias("bx"), cell("lat", 1).alias("by"), F.explode(around).alias("d"))
-    b = b.select("right_id", "x2", "y2", (F.col("bx") + F.col("d.dx")).alias("cx"), (F.col("by") + F.col("d.dy")).alias("cy"))
+    row = lambda y: F.floor(y / size)
+
+    def columns(r: Column) -> Column:
+        """How many cells go round the earth in a row: of the width that its end nearer to a pole needs."""
+        far = F.least(F.greatest(F.abs(r), F.abs(r + 1)) * size, F.lit(90.0))
+        return F.greatest(F.lit(1), F.floor(F.lit(360.0 / size) * F.cos(F.radians(far)))).cast("long")
+
+    column = lambda x, n: F.least(F.floor((F.pmod(x + 180.0, F.lit(360.0))) / 360.0 * n), n - 1).cast("long")
+    a = left.select(F.col("id").alias("left_id"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).withColumn("cy", row(F.col("y1")))
+    a = a.withColumn("cx", column(F.col("x1"), columns(F.col("cy"))))
+    b = right.select(F.col("id").alias("right_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), F.explode(F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])).alias("dy")).withColumn("cy", row(F.col("y2")) + F.col("dy")).drop("dy")
+    b = b.withColumn("_n", columns(F.col("cy")))
+    here = column(F.col("x2"), F.col("_n"))
+    around = F.array_distinct(F.array(*[F.pmod(here + i, F.col("_n")) for i in (-1, 0, 1)]))
+    b = b.withColumn("cx", F.explode(around)).drop("_n")
     pairs = a.join(b, ["cx", "cy"]).withColumn("metres", haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).where(F.col("metres") <= metres).select("left_id", "right_id", "metres")
     if at_most is not None:
-        pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("left_id").orderBy("metres", "right_id"))).where(F.col("_n") <= at_most).drop("_n")
+        by = Window.partitionBy("left_id").orderBy(F.round("metres", 6), "right_id")
+        pairs = pairs.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= at_most).drop("_n")
     return pairs
 
 
+def near_named(new: DataFrame, store: DataFrame, metres: float) -> DataFrame:
+    """(id, match_id): entries of the store within a distance whose name has the other's, or the other way round."""
+    name = lambda df, i: df.select(F.col("id").alias(i), F.lower("name").alias(f"{i}_name"))
+    near = near_pairs(new.where("name is not null"), store.where("name is not null"), metres).join(name(new, "left_id"), "left_id").join(name(store, "right_id"), "right_id")
+    alike = F.col("left_id_name").contains(F.col("right_id_name")) | F.col("right_id_name").contains(F.col("left_id_name"))
+    return near.where(alike).select(F.col("left_id").alias("id"), F.col("right_id").alias("match_id"))
+
+
 def staged_match(new: DataFrame, stages: list[DataFrame]) -> DataFrame:
     """For each id the match of the earliest stage that has one, its least; stages are (id, match_id)."""
     found = reduce(DataFrame.unionByName, [s.select("id", "match_id", F.lit(i).alias("stage")) for i, s in enumerate(stages, 1)])
@@ -169,6 +188,19 @@ def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def trailing_max(rows: DataFrame, key: str, at: Column, value: str, span: int) -> DataFrame:
+    """Rows with trailing_max: the largest value of their key from ``span`` before to now.
+
+    Time is cut to blocks of the span.  Rows go to their block, and to the next one to be seen there; windows are within
+    (key, block), so a key that most rows have is spread over as many tasks as it has blocks.
+    """
+    rows = rows.withColumns({"_at": at, "_block": F.floor(at / span)})
+    old = rows.select(key, value, "_at", (F.col("_block") + 1).alias("_block"), F.lit(True).alias("_old"))
+    both = rows.withColumn("_old", F.lit(False)).unionByName(old, allowMissingColumns=True)
+    w = Window.partitionBy(key, "_block").orderBy("_at").rangeBetween(-span, 0)
+    return both.withColumn("trailing_max", F.max(value).over(w)).where("not _old").drop("_at", "_block", "_old")
+
+
 def throttled(rows: DataFrame, key: str, order: str, latency: Column, ok: Column, start: float, least: float, most: float) -> DataFrame:
     """The delay after each key's requests in order: half way to the latency when it went well, never less than now when
     it did not, and never outside the bounds."""

@@ -481,29 +481,34 @@ def jon_05(t):
 
 
 _NEAR = """SELECT a.id AS left_id, b.id AS right_id, 2 * 6371000 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) AS m
-FROM (SELECT * FROM places WHERE id <= 1500) a JOIN places b ON abs(a.lat - b.lat) < 0.02"""
+FROM places a JOIN places b ON abs(a.lat - b.lat) < 0.02"""
 
 
-@query(f"SELECT left_id, right_id, round(m, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY m, right_id) AS n FROM ({_NEAR}) WHERE m <= 900) WHERE n <= 5")
+@query(f"SELECT left_id, right_id, round(m, 3) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(m, 6), right_id) AS n FROM ({_NEAR}) WHERE m <= 900) WHERE n <= 5")
 def jon_06(t):
-    # The left side is the feature here: a batch of new entities against the store.
-    return R.near_pairs(t.places.where("id <= 1500"), t.places, 900.0, at_most=5).withColumn("metres", F.round("metres", 3))
+    return R.near_pairs(t.places, t.places, 900.0, at_most=5).withColumn("metres", F.round("metres", 3))
 
 
-@query("""WITH e AS (SELECT s_suppkey AS id, s_name, 'site' || (s_suppkey % 50) || '.in' AS domain, '+91' || (6000000000 + s_suppkey * 7919) AS phone FROM supplier),
-found AS (SELECT e.id, 1 AS stage, c_custkey AS match_id FROM e JOIN customer ON c_custkey = e.id * 20 UNION ALL SELECT e.id, 2, p.id FROM e JOIN places p ON p.domain = e.domain UNION ALL SELECT e.id, 3, p.id FROM e JOIN places p ON p.phone = e.phone)
+@query("""WITH e AS (SELECT s_suppkey AS id, 'site' || (s_suppkey % 50) || '.in' AS domain, '+91' || (6000000000 + s_suppkey * 7919) AS phone, 77.5::DOUBLE + (s_suppkey * 37 % 1000) / 1000.0::DOUBLE + 0.0002 AS lon, 12.8::DOUBLE + (s_suppkey * 91 % 1000) / 1000.0::DOUBLE AS lat, s_suppkey % 9 = 0 AS known, s_suppkey % 4 = 1 AS located FROM supplier),
+named AS (SELECT e.*, p.name FROM e LEFT JOIN places p ON p.id = e.id),
+found AS (SELECT e.id, 1 AS stage, c_custkey AS match_id FROM e JOIN customer ON c_custkey = e.id * 20 AND known UNION ALL SELECT e.id, 2, p.id FROM e JOIN places p ON p.domain = e.domain AND NOT known AND NOT located UNION ALL SELECT e.id, 3, p.id FROM e JOIN places p ON p.phone = e.phone AND NOT located
+UNION ALL SELECT e.id, 4, p.id FROM named e JOIN places p ON abs(p.lat - e.lat) < 0.001 AND 2 * 6371000 * asin(sqrt(sin(radians(p.lat - e.lat) / 2) ** 2 + cos(radians(e.lat)) * cos(radians(p.lat)) * sin(radians(p.lon - e.lon) / 2) ** 2)) <= 50 AND (contains(lower(p.name), lower(e.name)) OR contains(lower(e.name), lower(p.name))))
 SELECT e.id, f.match_id, f.stage::INT AS stage FROM e LEFT JOIN (SELECT id, arg_min(match_id, (stage, match_id)) AS match_id, min(stage) AS stage FROM found GROUP BY id) f ON e.id = f.id""")
 def jon_07(t):
-    e = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("site"), (F.col("s_suppkey") % 50).cast("string"), F.lit(".in")).alias("e_domain"), F.concat(F.lit("+91"), (F.lit(6_000_000_000) + F.col("s_suppkey") * 7919).cast("string")).alias("e_phone"))
+    k = F.col("s_suppkey")
+    names = t.places.select(F.col("id").alias("_id"), "name")
+    e = t.supplier.select(k.alias("id"), F.concat(F.lit("site"), (k % 50).cast("string"), F.lit(".in")).alias("e_domain"), F.concat(F.lit("+91"), (F.lit(6_000_000_000) + k * 7919).cast("string")).alias("e_phone"), (F.lit(77.5) + (k * 37 % 1000) / 1000.0 + 0.0002).alias("lon"), (F.lit(12.8) + (k * 91 % 1000) / 1000.0).alias("lat"), (k % 9 == 0).alias("known"), (k % 4 == 1).alias("located"))
+    e = e.join(names, F.col("id") == F.col("_id"), "left").drop("_id")
     store = t.places.select(F.col("id").alias("match_id"), "domain", "phone")
-    stages = [e.join(store, F.col("match_id") == F.col("id") * 20), e.join(store, F.col("domain") == F.col("e_domain")), e.join(store, F.col("phone") == F.col("e_phone"))]
+    other = ~F.col("located")
+    stages = [e.where("known").join(store, F.col("match_id") == F.col("id") * 20), e.where(~F.col("known") & other).join(store, F.col("domain") == F.col("e_domain")), e.where(other).join(store, F.col("phone") == F.col("e_phone")), R.near_named(e, t.places, 50.0)]
     return R.staged_match(e.select("id"), stages).select("id", "match_id", "stage")
 
 
-@query("""WITH s AS (SELECT * FROM places WHERE id % 10 = 0), keys AS (SELECT id, 'd' || domain AS k FROM s WHERE domain IS NOT NULL UNION ALL SELECT id, 'p' || phone FROM s WHERE phone IS NOT NULL)
+@query(f"""WITH keys AS (SELECT id, 'd' || domain AS k FROM places WHERE domain IS NOT NULL UNION ALL SELECT id, 'p' || phone FROM places WHERE phone IS NOT NULL UNION ALL SELECT id, 'c' || floor((lon + 180) / 360 * {1 << 18})::BIGINT || ':' || floor((lat + 90) / 180 * {1 << 17})::BIGINT FROM places)
 SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y ON x.k = y.k AND x.id < y.id""")
 def jon_08(t):
-    return R.blocked_pairs(t.places.where("id % 10 = 0"), {"domain": F.col("domain"), "phone": F.col("phone")})
+    return R.blocked_pairs(t.places, {"domain": F.col("domain"), "phone": F.col("phone"), "cell": geo.geohash(F.col("lon"), F.col("lat"), 7)})
 
 
 _CELL = "SELECT id, floor((lon + 180) / 360 * 32768)::BIGINT AS x, floor((lat + 90) / 180 * 32768)::BIGINT AS y FROM places"
@@ -550,12 +555,14 @@ def jon_14(t):
     return t.nation.join(of, "n_regionkey").select("n_nationkey", F.size(F.array_except("all", F.array("n_nationkey"))).cast("long").alias("n_siblings"))
 
 
-@query("""WITH tok AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tk FROM part)
-SELECT a.p_partkey, count(DISTINCT b.p_partkey) AS n_related FROM tok a JOIN tok b ON a.tk = b.tk AND b.p_partkey % 10 = 0 GROUP BY 1""")
+@query("""WITH tok AS (SELECT DISTINCT p_name, unnest(string_split(lower(p_name), ' ')) AS tk FROM part),
+related AS (SELECT a.p_name, count(DISTINCT b.p_name) AS n_related, min(b.p_name) AS first_related FROM tok a JOIN tok b ON a.tk = b.tk GROUP BY 1)
+SELECT p_partkey, n_related, first_related FROM part JOIN related USING (p_name)""")
 def jon_15(t):
-    tokens = t.part.select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("tk")).distinct()
-    other = tokens.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "other")
-    return tokens.join(other, "tk").groupBy("p_partkey").agg(F.count_distinct("other").alias("n_related"))
+    # Names are the categories: each is looked up once in the index of their tokens, and told to all rows that have it.
+    tokens = t.part.select("p_name", F.explode(F.split(F.lower("p_name"), " ")).alias("tk")).distinct()
+    related = tokens.join(tokens.withColumnRenamed("p_name", "other"), "tk").groupBy("p_name").agg(F.count_distinct("other").alias("n_related"), F.min("other").alias("first_related"))
+    return t.part.join(related, "p_name").select("p_partkey", "n_related", "first_related")
 
 
 @query("SELECT c_custkey, n_name FROM customer, nation WHERE c_nationkey = n_nationkey")
@@ -791,12 +798,11 @@ def win_01(t):
     return R.ranked(t.places.select("id", "confidence"), [F.desc("confidence"), "id"], 50).select("id", "rank")
 
 
-@query("SELECT id, round(least(1.0, (1.0 / (60 + r1) + 1.0 / (60 + r2)) / (2.0 / 61)), 8)::DOUBLE AS fused FROM (SELECT id, row_number() OVER (ORDER BY confidence DESC, id) AS r1, row_number() OVER (ORDER BY lon DESC, id) AS r2 FROM places WHERE id % 20 = 1)")
+@query("SELECT id, round(least(1.0, (1.0 / (60 + r1) + 1.0 / (60 + r2)) / (2.0 / 61)), 8)::DOUBLE AS fused FROM (SELECT id, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, id) AS r1, row_number() OVER (PARTITION BY category ORDER BY lon DESC, id) AS r2 FROM places)")
 def win_02(t):
     from cartoflow.relevance.cascade import fused
 
-    # One query's candidates: a bounded list, numbered in one task.
-    return fused(t.places.where("id % 20 = 1"), "confidence", "lon").select("id", F.round("fused", 8).alias("fused"))
+    return fused(t.places, "confidence", "lon", by="category").select("id", F.round("fused", 8).alias("fused"))
 
 
 @query("""WITH s AS (SELECT user_id, list({'x': value / 100, 'ok': event_type <> 'error'} ORDER BY event_id) AS l FROM events GROUP BY 1)
@@ -827,8 +833,7 @@ def win_06(t):
 
 @query("SELECT event_id, max(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS max_60s FROM events")
 def win_07(t):
-    w = Window.partitionBy("event_type").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
-    return t.events.select("event_id", F.max("value").over(w).alias("max_60s"))
+    return R.trailing_max(t.events, "event_type", F.unix_micros(F.col("ts").cast("timestamp")), "value", 60_000_000).select("event_id", F.col("trailing_max").alias("max_60s"))
 
 
 @query("SELECT event_type AS metric, arg_max(value, (ts, event_id)) AS latest FROM events GROUP BY 1")
@@ -883,11 +888,11 @@ def srt_06(t):
     return t.nation.select("n_name", F.round(trigram_jaccard(F.col("n_name"), F.lit("nation_11")), 6).alias("likeness")).orderBy(F.desc("likeness"), "n_name").limit(5)
 
 
-@query("SELECT 25 AS n, 25 AS n_distinct")
+@query("SELECT id, 'BLIND-' || lpad((row_number() OVER (ORDER BY md5('0:' || id), id))::VARCHAR, 3, '0') AS blind_id FROM places ORDER BY md5('0:' || id), id LIMIT 25")
 def srt_07(t):
     from cartoflow.evaluate.sampling import blind_sample
 
-    return blind_sample(t.places.select("id"), "id", 25).agg(F.count("*").cast("int").alias("n"), F.count_distinct("id").cast("int").alias("n_distinct"))
+    return blind_sample(t.places.select("id"), "id", 25).select("id", "blind_id")
 
 
 @query("SELECT id, status FROM places ORDER BY status ASC NULLS FIRST, id LIMIT 25")
@@ -965,11 +970,11 @@ def dml_03(t):
     return t.orders.select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 3 == 0, "done"), F.col("o_orderstatus")).alias("status"))
 
 
-@query("SELECT id, 'phone' AS kind, phone AS value FROM places WHERE phone IS NOT NULL AND id % 10 = 0 UNION ALL SELECT id, 'domain', domain FROM places WHERE domain IS NOT NULL AND id % 10 = 0")
+@query("SELECT id, 'phone' AS kind, phone AS value FROM places WHERE phone IS NOT NULL UNION ALL SELECT id, 'domain', domain FROM places WHERE domain IS NOT NULL")
 def dml_04(t):
     from cartoflow.store.queue import suppression_rows
 
-    return suppression_rows(t.places.where("id % 10 = 0").select("id", F.array("phone").alias("phones"), "domain"))
+    return suppression_rows(t.places.select("id", F.array("phone").alias("phones"), "domain"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'P' AND (o_orderkey % 2 = 0 OR o_totalprice < 1000))")

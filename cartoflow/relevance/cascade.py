@@ -194,7 +194,7 @@ def degenerate(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count("*").alias("total"), F.count_if(F.col("outcome") == "rejected").alias("rejected")).select("total", "rejected", ((F.col("total") > 5) & (F.col("rejected") == 0)).alias("degenerate"))
 
 
-def fused(rows: DataFrame, a: str, b: str, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two scores over one query's candidates."""
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "id"))
+def fused(rows: DataFrame, a: str, b: str, by: str, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of two scores over the candidates of each query (``by``)."""
+    rank = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(c), "id"))
     return rows.withColumns({"_r1": rank(a), "_r2": rank(b)}).withColumn("fused", stats.fused_rank(F.col("_r1"), F.col("_r2"), k)).drop("_r1", "_r2")
