@@ -9,7 +9,8 @@ link to the least of them, which is verified by counting bits, and links are con
 two texts of similarity s differ with probability acos(2s / (1 + s)) / pi, 0.15 at 0.8, so no radius that 64 bits allow
 would do.  It takes PARTS fingerprints of PART_BITS bits, each with its ball of one bit: two texts meet if one of the
 parts differs in RADIUS bits at most.  What meets is linked to the least and the greatest text of the ball, dropped if all
-bits together are too far apart for the similarity, and compared by whole shingle sets.  A pair meets with probability
+bits together are too far apart for the similarity, and compared by whole shingle sets.  Texts with an equal part are
+linked before balls are made, so that a large group of copies makes few pairs.  A pair meets with probability
 0.91 at a similarity of 0.8, 0.98 at 0.85, 0.999 at 0.9 and more above (``meeting``), and more in larger groups.  Parts
 are wide enough that strangers seldom meet among some ten million different texts (one in a ball, on average); more
 texts want wider parts, and more of them for the same recall.
@@ -228,19 +229,41 @@ def part_prints(block: Block, words: int = WORDS, parts: int = PARTS) -> tuple[n
     return n, np.stack([majority(mixed(found ^ seed), n) for seed in seeds], 1)
 
 
-def part_links(classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
-    """Pairs (a, b) of texts (id, n, prints) that meet, and that neither size nor bits keep apart."""
+def _values(classes: DataFrame, parts: int, *columns: str) -> DataFrame:
+    """The columns with each part's value, parts told apart."""
     lane = lambda i: F.shiftright(F.col("prints")[i // 2], 32 * (i % 2)).bitwiseAND(F.lit((1 << PART_BITS) - 1)) + F.lit(i << 32)
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(PART_BITS)])
-    values = classes.select("id", F.explode(F.array(*[lane(i) for i in range(parts)])).alias("value"))
-    variants = values.select("id", F.explode(F.transform(flips, lambda x: F.col("value").bitwiseXOR(x))).alias("variant"))
-    ball = Window.partitionBy("variant")
-    met = variants.withColumns({"lo": F.min("id").over(ball), "hi": F.max("id").over(ball)}).where("lo <> hi").select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id <> end")
-    pairs = spool(met.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct())
-    both = pairs.join(classes.toDF("a", "na", "pa"), "a").join(classes.toDF("b", "nb", "pb"), "b")
+    return classes.select(*columns, F.explode(F.array(*[lane(i) for i in range(parts)])).alias("value"))
+
+
+def _near_enough(pairs: DataFrame, classes: DataFrame, key: str, least: float, parts: int) -> DataFrame:
+    """The pairs (x, y) of keys, as pairs (a, b) of ids that neither size nor bits keep apart."""
+    one = lambda k, i: classes.select(F.col(key).alias(k), F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("prints").alias(f"p{i}"))
+    both = pairs.join(one("x", "a"), "x").join(one("y", "b"), "y")
     apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(-(-parts // 2))), F.lit(0))
     bits, p = 64 * -(-parts // 2), math.acos(2 * least / (1 + least)) / math.pi
-    return both.where((F.least("na", "nb") >= least * F.greatest("na", "nb")) & (apart <= bits * p + 6 * math.sqrt(bits * p * (1 - p)))).select("a", "b")
+    return spool(both.where((F.least("na", "nb") >= least * F.greatest("na", "nb")) & (apart <= bits * p + 6 * math.sqrt(bits * p * (1 - p)))).select("a", "b"))
+
+
+def part_links(classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
+    """Pairs (a, b) of texts (id, n, prints) with an equal part, each with the least of them."""
+    met = _values(classes, parts, "id").withColumn("x", F.min("id").over(Window.partitionBy("value"))).where("x <> id")
+    return _near_enough(met.select("x", F.col("id").alias("y")).distinct(), classes, "id", least, parts)
+
+
+def part_ball_links(classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
+    """Pairs (a, b) of texts (id, root, n, prints) that share a value of their balls and are not of one root yet, each
+    with the least and the greatest by root.
+
+    Balls carry one number, the upper half of the root and the lower half of the id: all ids are hashes.
+    """
+    upper = F.lit(-(1 << 32))
+    classes = classes.withColumn("code", F.col("root").bitwiseAND(upper).bitwiseOR(F.col("id").bitwiseAND(F.lit(0xFFFFFFFF))))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(PART_BITS)])
+    variants = _values(classes, parts, "code").select("code", F.explode(F.transform(flips, lambda x: F.col("value").bitwiseXOR(x))).alias("variant"))
+    ball, other = Window.partitionBy("variant"), lambda x, y: F.col(x).bitwiseAND(upper) != F.col(y).bitwiseAND(upper)
+    met = variants.withColumns({"lo": F.min("code").over(ball), "hi": F.max("code").over(ball)}).where(other("lo", "hi"))
+    met = met.select("code", F.explode(F.array("lo", "hi")).alias("end")).where(other("code", "end"))
+    return _near_enough(met.select(F.least("code", "end").alias("x"), F.greatest("code", "end").alias("y")).distinct(), classes, "code", least, parts)
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
@@ -276,9 +299,17 @@ def deduplicated(docs: DataFrame, least: float = LEAST, words: int = WORDS, part
     choice = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", SHARD, PLACE)
     # Equal texts are one class; a copy that a third of all documents are is one row a partition here.
     classes = spool(rows.groupBy(F.col("text_hash").alias("id")).agg(F.min(choice).alias("k"), F.first("n").alias("n"), F.first("prints").alias("prints")))
-    pairs = spool(part_links(classes.select("id", "n", "prints"), least, parts))
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = at_places(base.select("text_hash", "text", SHARD, PLACE), needed.join(classes, "id").select(f"k.{SHARD}", f"k.{PLACE}")).select(F.col("text_hash").alias("id"), "text")
-    roots = components(similar_pairs(pairs, spool(texts), least, words)).withColumnRenamed("node", "id")
-    first = classes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("k").alias("k"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        texts = at_places(base.select("text_hash", "text", SHARD, PLACE), needed.join(classes, "id").select(f"k.{SHARD}", f"k.{PLACE}"))
+        return similar_pairs(pairs, spool(texts.select(F.col("text_hash").alias("id"), "text")), least, words)
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return classes.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    # Equal parts first: what is one group by then needs no pairs within it, however many copies it has.
+    links = similar(part_links(classes, least, parts))
+    more = similar(part_ball_links(rooted(links), least, parts))
+    first = rooted(links.union(more)).groupBy("root").agg(F.min("k").alias("k"))
     return named(at_places(base, first.select(f"k.{SHARD}", f"k.{PLACE}")).select(*docs.columns))
