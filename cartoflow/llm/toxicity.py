@@ -175,7 +175,8 @@ class Field:
         pair, none, *_, growth = steps
         sets = len(pair)
         toxic = np.exp(np.clip(np.atleast_2d(self.weights)[:, : UNARY + 4] @ codes.T, -30, 30))
-        between = np.einsum("smij,sjk->smik", self._power(steps, np.maximum(gap - first, 0)), pair)
+        gaps, which = np.unique(np.maximum(gap - first, 0), return_inverse=True)  # few different ones
+        between = np.einsum("smij,sjk->smik", self._power(steps, gaps), pair)[:, which]
         begin = np.stack([np.ones(sets), none], 1)
         z = np.zeros((sets, len(counts)))
         message = np.zeros((sets, len(gap), 2))
@@ -184,7 +185,8 @@ class Field:
             alive = int(np.searchsorted(-sizes, -t, "left"))
             i, of = heads[:alive] + t, texts[:alive]
             if t:
-                before = np.einsum("smi,smij->smj", message[:, i - 1], between[:, i])
+                before, m = message[:, i - 1], between[:, i]
+                before = before[:, :, :1] * m[:, :, 0] + before[:, :, 1:] * m[:, :, 1]
             else:
                 before = np.einsum("si,smij->smj", begin, between[:, i])
                 before[:, gap[i] == 0] = 1  # nothing comes before
@@ -193,7 +195,8 @@ class Field:
             message[:, i] = before / total[:, :, None]
             steps_here = np.maximum(gap[i] - (t == 0), 0)
             z[:, of] += np.log(total) + growth[:, None] * steps_here
-        ends = self._power(steps, tail).sum(3)  # (set, text, state)
+        tails, which = np.unique(tail, return_inverse=True)
+        ends = self._power(steps, tails).sum(3)[:, which]  # (set, text, state)
         if len(texts):
             z[:, texts] += np.log(np.einsum("smi,smi->sm", message[:, heads + sizes - 1], ends[:, texts])) + growth[:, None] * tail[texts]
         bare = np.flatnonzero((np.bincount(texts, minlength=len(counts)) == 0) & (counts > 0))
@@ -212,16 +215,36 @@ class Field:
         stay = (before * labels * near).sum()
         return w[:, : UNARY + 4] @ (codes.T @ labels) + w[:, -3:] @ np.array([enter, leave, stay])
 
-    def fit(self, codes: np.ndarray, labels: np.ndarray, shape, counts: np.ndarray, steps: int = 80, rate: float = 0.3, penalty: float = 0.5) -> "Field":
-        """Adam on the conditional log-likelihood less a square penalty; slopes by differences, all at once."""
-        theta, m, v, h = self.weights.copy(), 0.0, 0.0, 1e-4
-        n = max(1.0, len(labels))
-        for step in range(1, steps + 1):
-            sets = Field(np.concatenate([theta[None], theta + h * np.eye(WEIGHTS)]))
-            value = sets.score(codes, labels, shape) - sets.forward(codes, shape, counts)[0].sum(1)
-            slope = ((value[1:] - value[0]) / h - penalty * theta) / n
-            m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-            theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    def fit(self, codes: np.ndarray, labels: np.ndarray, shape, counts: np.ndarray, steps: int = 25, penalty: float = 0.5) -> "Field":
+        """BFGS on the conditional log-likelihood less a square penalty; slopes by differences, all at once."""
+        n, h = max(1.0, len(labels)), 1e-5
+
+        def value(theta: np.ndarray) -> np.ndarray:
+            sets = Field(theta)
+            return (sets.score(codes, labels, shape) - sets.forward(codes, shape, counts)[0].sum(1)) / n - penalty / 2 / n * (theta**2).sum(1)
+
+        def slope(theta: np.ndarray) -> tuple[float, np.ndarray]:
+            found = value(np.concatenate([theta[None], theta + h * np.eye(WEIGHTS)]))
+            return found[0], (found[1:] - found[0]) / h
+
+        theta, inverse = self.weights.copy(), np.eye(WEIGHTS)
+        now, g = slope(theta)
+        for _ in range(steps):
+            step = inverse @ g
+            step *= min(1.0, 4 / max(1e-12, np.abs(step).max()))
+            sizes = 0.5 ** np.arange(6)
+            tried = value(theta + sizes[:, None] * step)
+            best = int(tried.argmax())
+            if tried[best] <= now + 1e-9:
+                break
+            step = sizes[best] * step
+            theta = theta + step
+            now, after = slope(theta)
+            y = g - after  # of what is minimised
+            g = after
+            if (step @ y) > 1e-12:
+                a = np.eye(WEIGHTS) - np.outer(step, y) / (step @ y)
+                inverse = a @ inverse @ a.T + np.outer(step, step) / (step @ y)
         self.weights = theta
         return self
 
