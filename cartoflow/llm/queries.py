@@ -140,7 +140,19 @@ passages AS (
 words AS (SELECT doc_id, part, regexp_extract_all({_LOWER.format("passage")}, '[a-z0-9]+') AS w FROM passages),
 grams AS (SELECT DISTINCT doc_id, part, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS gram FROM words WHERE len(w) > 1),
 sized AS (SELECT doc_id, part, count(*) AS n FROM grams GROUP BY ALL),
+places AS (
+  SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS w FROM documents)),
+hits AS (
+  SELECT DISTINCT d.doc_id, d.p, g.gram, g.t FROM (SELECT doc_id, p, w[p] || ' ' || w[p + 1] AS gram FROM places) d JOIN template_grams g ON g.gram = d.gram),
+longs AS (SELECT t, len(w) - 1 AS long FROM templates),
+runs AS (
+  SELECT a.doc_id, a.p, a.t, any_value(l.long) AS long, count(DISTINCT b.gram) AS shared FROM hits a JOIN longs l ON l.t = a.t
+  JOIN hits b ON b.doc_id = a.doc_id AND b.t = a.t AND b.p >= a.p AND b.p < a.p + l.long GROUP BY ALL),
+run_dice AS (
+  SELECT r.doc_id, NULL::BIGINT AS part, s.licence, 2.0::DOUBLE * shared / (len(list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(r.p, least(r.p + long, len(w)))])) + s.n) AS dice
+  FROM runs r JOIN template_sizes s ON s.t = r.t JOIN places d ON d.doc_id = r.doc_id AND d.p = r.p WHERE shared >= 0.6 * s.n),
 dice AS (
+  SELECT * FROM run_dice UNION ALL
   SELECT g.doc_id, g.part, s.licence, 2.0::DOUBLE * count(*) / (p.n + s.n) AS dice
   FROM grams g JOIN template_grams t ON g.gram = t.gram JOIN template_sizes s ON s.t = t.t JOIN sized p ON p.doc_id = g.doc_id AND p.part = g.part
   GROUP BY g.doc_id, g.part, s.t, s.licence, p.n, s.n),

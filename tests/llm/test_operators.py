@@ -356,13 +356,32 @@ def test_licences(spark):
             of = [(-2 * len(grams(p) & grams(x)) / (len(grams(p)) + len(grams(x))), name) for name, x in licences.TEMPLATES if grams(p)]
             of = [x for x in of if x[0] <= -0.8]
             n, found = n + bool(of), found + of
+        pairs = list(zip(words(t or ""), words(t or "")[1:], strict=False))
+        for name, x in licences.TEMPLATES:
+            for i, pair in enumerate(pairs):
+                if pair in grams(x) and len(pairs) < 5000:
+                    run = set(pairs[i : i + len(words(x)) - 1])
+                    found += [(d, name) for d in [-2 * len(run & grams(x)) / (len(run) + len(grams(x)))] if d <= -0.8]
         return (min(found)[1], -min(found)[0], n) if found else (None, 0.0, 0)
 
     out = got(licences.scanned(table(spark, rows, "doc_id long, text string")), "doc_id", "licence", "dice", "n_passages")
     assert out == sorted(((i, *best(t)) for i, t in rows), key=repr) and {x[1] for x in out} == {"MIT", "Apache-2.0", None}
+    assert licences.scanned(table(spark, [(None, "Released under the MIT License.")], "doc_id long, text string")).first()["licence"] == "MIT"
     assert licences.scanned(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("licence", ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib"])
+def test_licence_wrapped_in_code(spark, licence):
+    import textwrap
+
+    text = max((x for name, x in licences.TEMPLATES if name == licence), key=len)
+    code = "\n".join(f"    x{i} = f(y{i * 7 % 11}, {i}) if z else g_{i}(w)" for i in range(60))
+    notice = "\n".join("# " + x for x in textwrap.wrap(f"Copyright 2020 A. Nobody {text}", 70))
+    rows = [(1, f"{notice}\n{code}"), (2, f"{code}\n{notice}\n{code}"), (3, code)]
+    out = {r["doc_id"]: (r["licence"], r["dice"]) for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1][0] == out[2][0] == licence and out[1][1] > 0.95 and out[3] == (None, 0.0)
+
+
 # ------------------------------------------------------------------------------------------------------ LM scoring
 
 
