@@ -103,21 +103,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN matched USING (doc_id)
 """,
     "op6_tool_calls": r"""
-WITH calls AS (
-  SELECT conv_id || ':' || turn AS id, conv_id || ':' || (turn - 2) AS parent, conv_id, turn, min((role, text)) AS c, count(*) AS n_repeats
+WITH call_rows AS (
+  SELECT conv_id || ':' || turn AS id, conv_id || ':' || (turn - 2) AS parent, conv_id, turn, role AS name, text, count(*) AS n_repeats
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS DISTINCT FROM 'assistant' GROUP BY ALL),
-chained AS (
-  SELECT id, parent, conv_id, turn, c[1] AS name, c[2] AS text, n_repeats,
-         turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM calls),
-called AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth FROM chained),
-answers AS (
-  SELECT conv_id || ':' || (turn - 1) AS id, min(text) AS result
+answer_rows AS (
+  SELECT conv_id || ':' || (turn - 1) AS id, text AS result, count(*) AS n_repeats
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role = 'assistant' GROUP BY ALL),
+calls AS (SELECT id, parent, conv_id, turn, min((name, text)) AS c, count(*) AS kinds, sum(n_repeats) AS n_repeats FROM call_rows GROUP BY ALL),
+chained AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM calls),
+called AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth FROM chained),
+answers AS (SELECT id, min(result) AS result, count(*) AS answers FROM answer_rows GROUP BY 1),
+single AS (
+  SELECT coalesce(c.id, a.id) AS id, c.* EXCLUDE (id, c), c[1] AS name, c[2] AS text, c.id IS NOT NULL AS called, a.result,
+         CASE WHEN coalesce(kinds, 1) > 1 OR coalesce(answers, 1) > 1 THEN 'conflict' WHEN c.id IS NOT NULL AND a.id IS NOT NULL THEN 'linked' WHEN c.id IS NOT NULL THEN 'unanswered' ELSE 'orphan' END AS status
+  FROM called c FULL JOIN answers a ON c.id = a.id),
 linked AS (
-  SELECT coalesce(c.id, a.id) AS id, c.* EXCLUDE (id), c.id IS NOT NULL AS called, a.id IS NOT NULL AS answered, a.result
-  FROM called c FULL JOIN answers a ON c.id = a.id)
-SELECT id, name, parent, coalesce(n_repeats, 0)::BIGINT AS n_repeats, depth::BIGINT AS depth,
-       CASE WHEN called AND answered THEN 'linked' WHEN called THEN 'unanswered' ELSE 'orphan' END AS status,
+  SELECT id, name, parent, turn, text, n_repeats, depth, status, called, result FROM single WHERE status <> 'conflict'
+  UNION ALL SELECT r.id, r.name, r.parent, r.turn, r.text, r.n_repeats, s.depth, s.status, true, NULL FROM call_rows r JOIN single s ON s.id = r.id AND s.status = 'conflict'
+  UNION ALL SELECT r.id, NULL, NULL, NULL, NULL, r.n_repeats, NULL, s.status, false, r.result FROM answer_rows r JOIN single s ON s.id = r.id AND s.status = 'conflict')
+SELECT id, name, parent, coalesce(n_repeats, 0)::BIGINT AS n_repeats, depth::BIGINT AS depth, status,
        CASE WHEN called THEN length(coalesce(text, '')) > 0 AND turn >= 0 END AS valid,
        CASE WHEN called THEN concat_ws('; ', CASE WHEN text = '' THEN '$.text: minLength' END, CASE WHEN text IS NULL THEN '$.text: type' END, CASE WHEN turn < 0 THEN '$.turn: minimum' END) END AS errors,
        '{"arguments":' || CASE WHEN called THEN '{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '}' ELSE 'null' END

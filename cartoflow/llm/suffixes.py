@@ -428,7 +428,7 @@ def _split(pieces: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     hot = pieces.column(pieces.schema.get_field_index("hot"))
     cold, rows = pieces.filter(pc.invert(hot)), pieces.filter(hot)
     if cold.num_rows:
-        yield cold
+        yield pa.RecordBatch.from_arrays(cold.columns, names=cold.schema.names)  # one schema for both
     if rows.num_rows:
         col = lambda c: rows.column(rows.schema.get_field_index(c))
         size = col("end").to_numpy() - col("start").to_numpy()

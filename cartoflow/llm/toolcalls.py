@@ -10,8 +10,9 @@ chain of n calls takes log2(n) joins on identifiers; no conversation is ever gat
 and depends on the one two turns before; an assistant's turn answers the turn before it.
 
 Cases.  Null conversation or turn: no identifier; such a turn is left as it is, status ``no_id``.  Null or empty text:
-an argument that fails the schema, an answer of null or ``""``.  Repeated identifiers: one call, of the smallest role and
-arguments, with ``n_repeats`` rows; answers alike.  A dependency that is not there: the call is a root.  Cycles: depth
+an argument that fails the schema, an answer of null or ``""``.  Repeated rows: one call, with ``n_repeats`` rows; answers
+alike.  Calls, or answers, of one identifier that are not equal: status ``conflict``, a row for each different call and
+each different answer, linked to nothing.  A dependency that is not there: the call is a root.  Cycles: depth
 null.  Empty table: empty result.  Other columns are ignored.
 """
 
@@ -25,31 +26,48 @@ from cartoflow.llm.common import only, spool
 #: What arguments of a turn must be like.
 TURN_SCHEMA = {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}
 
-_TYPES = {"string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT", "array": r"^ARRAY", "null": r"^VOID$"}
+_TYPES = {"string": r"^STRING$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT", "array": r"^ARRAY", "null": r"^VOID$"}
+#: Keywords of a schema that are checked, and those that say nothing about a value.
+CHECKED, IDLE = {"type", "required", "properties", "enum", "minLength", "maxLength", "minimum", "maximum"}, {"title", "description", "default", "examples"}
 
 
 def violations(arguments: Column, schema: dict) -> Column:
     """What a JSON text violates, as a sorted array of ``path: rule``; the part of JSON Schema that is about objects of
-    typed members: type, required, properties, enum, minLength, maxLength, minimum, maximum."""
+    typed members: type (one), required, properties, enum (of plain values), minLength, maxLength, minimum, maximum.  A
+    schema with any other keyword raises: nothing is taken for valid that was not checked."""
     value = F.try_parse_json(arguments)
     found: list[Column] = [F.when(value.isNull(), "$: json")]
 
     def member(path: str, rule: dict, required: bool) -> None:
-        kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-        absent = F.try_variant_get(value, path, "variant").isNull()
+        if unknown := set(rule) - CHECKED - IDLE:
+            raise ValueError(f"{path}: keywords that are not supported: {', '.join(sorted(unknown))}")
+        here = F.try_variant_get(value, path, "variant")
+        kind, absent = F.schema_of_variant(here), here.isNull()
+        text, number = F.try_variant_get(value, path, "string"), F.try_variant_get(value, path, "double")
+        is_text, is_number = kind == "STRING", kind.rlike(_TYPES["number"])
         if required and path != "$":
             found.append(F.when(value.isNotNull() & absent, f"{path}: required"))
         if "type" in rule:
-            found.append(F.when(~absent & ~kind.rlike(_TYPES[rule["type"]]), f"{path}: type"))
-        text, number = F.try_variant_get(value, path, "string"), F.try_variant_get(value, path, "double")
+            if str(rule["type"]) not in ("integer", *_TYPES):
+                raise ValueError(f"{path}: type {rule['type']!r}")
+            fits = is_number & (number == F.rint(number)) if rule["type"] == "integer" else kind.rlike(_TYPES[rule["type"]])
+            found.append(F.when(~absent & ~F.coalesce(fits, F.lit(False)), f"{path}: type"))
         if "enum" in rule:
-            found.append(F.when(~absent & ~F.coalesce(text.isin([str(x) for x in rule["enum"]]), F.lit(False)), f"{path}: enum"))
-        is_text, is_number = kind == "STRING", kind.rlike(_TYPES["number"])
+            listed = F.lit(False)
+            for x in rule["enum"]:
+                if not (x is None or isinstance(x, (str, bool, int, float))):
+                    raise ValueError(f"{path}: enum of {type(x).__name__}")
+                same = kind == "VOID" if x is None else (kind == "BOOLEAN") & (text == str(x).lower()) if isinstance(x, bool) else is_text & (text == x) if isinstance(x, str) else is_number & (number == float(x))
+                listed |= F.coalesce(same, F.lit(False))
+            found.append(F.when(~absent & ~listed, f"{path}: enum"))
         for name, fails in (("minLength", lambda x: is_text & (F.length(text) < x)), ("maxLength", lambda x: is_text & (F.length(text) > x)), ("minimum", lambda x: is_number & (number < x)), ("maximum", lambda x: is_number & (number > x))):
             if name in rule:
                 found.append(F.when(~absent & fails(rule[name]), f"{path}: {name}"))
         for name, inner in rule.get("properties", {}).items():
             member(f"{path}.{name}", inner, name in rule.get("required", ()))
+        for name in rule.get("required", ()):
+            if name not in rule.get("properties", {}):
+                member(f"{path}.{name}", {}, True)
 
     member("$", schema, True)
     return F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
@@ -71,23 +89,30 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str | None, dict]) -> DataFrame:
-    """Calls (id, parent, name, arguments as JSON) with results (id, content): one row an identifier.
+    """Calls (id, parent, name, arguments as JSON) with results (id, content): one row an identifier, but for conflicts.
 
     schemas: by name; under None, for names that have none of their own.
     """
-    calls = calls.groupBy("id").agg(F.min(F.struct("name", "arguments", "parent")).alias("c"), F.count("*").alias("n_repeats")).select("id", "c.name", "c.arguments", "c.parent", "n_repeats")
-    results = results.groupBy("id").agg(F.min(F.struct(F.col("content").isNull().alias("none"), "content")).alias("r")).select("id", F.col("r.content").alias("result"), F.lit(True).alias("answered"))
-    calls = spool(calls)
+    calls = spool(calls.groupBy("id", "name", "arguments", "parent").agg(F.count("*").alias("n_repeats")))
+    results = spool(results.groupBy("id", "content").agg(F.count("*").alias("n_repeats")))
+    one = calls.groupBy("id").agg(F.min(F.struct("name", "arguments", "parent")).alias("c"), F.sum("n_repeats").alias("n_repeats"), F.count("*").alias("kinds")).select("id", "c.name", "c.arguments", "c.parent", "n_repeats", "kinds", F.lit(True).alias("called"))
+    one = spool(one)
+    answers = results.groupBy("id").agg(F.min("content").alias("result"), F.count("*").alias("answers"), F.lit(True).alias("answered"))
     errors = violations(F.col("arguments"), schemas[None]) if None in schemas else F.array().cast("array<string>")
     for name, schema in schemas.items():
         if name is not None:
             errors = F.when(F.col("name") == name, violations(F.col("arguments"), schema)).otherwise(errors)
-    calls = calls.join(depths(calls.select("id", "parent")), "id").withColumns({"errors": errors, "called": F.lit(True)})
-    rows = calls.join(results, "id", "full_outer")
-    status = F.when(F.col("called") & F.col("answered"), "linked").when(F.col("called"), "unanswered").otherwise("orphan")
-    parsed = F.try_parse_json(F.col("arguments"))
-    json = F.to_json(F.struct(F.when(F.col("called"), parsed).alias("arguments"), F.col("id"), F.col("name"), F.col("result")), {"ignoreNullFields": "false"})
-    return rows.select("id", "name", "parent", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), "depth", status.alias("status"), F.when(F.col("called"), F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), json.alias("canonical_json"))
+    rows = one.join(depths(one.select("id", "parent")), "id").join(answers, "id", "full_outer")
+    several = (F.coalesce("kinds", F.lit(1)) > 1) | (F.coalesce("answers", F.lit(1)) > 1)
+    rows = rows.withColumn("status", F.when(several, "conflict").when(F.col("called") & F.col("answered"), "linked").when(F.col("called"), "unanswered").otherwise("orphan"))
+    rows = spool(rows.select("id", "name", "arguments", "parent", "n_repeats", "depth", "status", "called", "result"))
+    bad = rows.where("status = 'conflict'").select("id", "depth", "status")
+    text = lambda: F.lit(None).cast("string")
+    calls = calls.join(bad, "id").select("id", "name", "arguments", "parent", "n_repeats", "depth", "status", F.lit(True).alias("called"), text().alias("result"))
+    results = results.join(bad, "id").select("id", text().alias("name"), text().alias("arguments"), text().alias("parent"), "n_repeats", F.lit(None).cast("long").alias("depth"), "status", F.lit(None).cast("boolean").alias("called"), F.col("content").alias("result"))
+    rows = rows.where("status <> 'conflict'").unionByName(calls).unionByName(results).withColumn("errors", F.when(F.col("called"), errors))
+    json = F.to_json(F.struct(F.when(F.col("called"), F.try_parse_json(F.col("arguments"))).alias("arguments"), F.col("id"), F.col("name"), F.col("result")), {"ignoreNullFields": "false"})
+    return rows.select("id", "name", "parent", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), "depth", "status", F.when(F.col("called"), F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), json.alias("canonical_json"))
 
 
 def turns(conversations: DataFrame) -> DataFrame:

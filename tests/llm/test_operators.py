@@ -168,7 +168,7 @@ def test_suffix_removal(spark, seed):
     assert got(suffixes.removal(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removal(rows)
 
 
-@pytest.mark.parametrize("hot", [2, 1024])
+@pytest.mark.parametrize("hot", [2, 40, 1024])
 def test_suffix_passage_in_many_shards(spark, monkeypatch, hot):
     """A passage that most documents share, in shards of a few documents, at anchors that are hot and that are not; ids
     are strings."""
@@ -320,7 +320,7 @@ def test_mix_caps_ties_and_empty(spark):
 
 def test_tool_calls(spark):
     calls = [("a", None, "add", '{"y": 2, "x": 1}'), ("b", "a", "add", '{"x": "no"}'), ("c", "b", "say", "{broken"), ("d", "zz", "say", '{"t": "é\\n"}'), ("e", "f", "say", "{}"), ("f", "e", "say", "{}"), ("a", None, "add", '{"y": 2, "x": 1}')]
-    results = [("a", "3"), ("b", None), ("zz", "lost"), ("a", "4")]
+    results = [("a", "3"), ("b", None), ("zz", "lost"), ("a", "3")]
     schemas = {"add": {"type": "object", "required": ["x", "y"], "properties": {"x": {"type": "integer", "minimum": 0}, "y": {"type": "integer"}}}, None: {"type": "object", "required": ["t"], "properties": {"t": {"type": "string", "minLength": 2}}}}
     out = {r["id"]: r for r in toolcalls.link(spark.createDataFrame(calls, "id string, parent string, name string, arguments string"), spark.createDataFrame(results, "id string, content string"), schemas).collect()}
     assert {k: r["depth"] for k, r in out.items()} == {"a": 0, "b": 1, "c": 2, "d": 0, "e": None, "f": None, "zz": None}
@@ -330,6 +330,30 @@ def test_tool_calls(spark):
     assert json.loads(out["d"]["canonical_json"])["arguments"] == {"t": "é\n"}
 
 
+def test_tool_call_conflicts(spark):
+    """Equal rows fold; different calls or answers of one identifier are all told, and linked to nothing."""
+    calls = [("a", None, "f", "{}"), ("a", None, "g", "{}"), ("a", None, "g", "{}"), ("b", "a", "f", '{"x": "' + "y" * 200_000 + '"}'), ("c", None, "f", "{}")]
+    results = [("a", "1"), ("b", "2"), ("c", "3"), ("c", "4"), ("c", "4"), ("d", "5"), ("d", "6")]
+    out = toolcalls.link(spark.createDataFrame(calls, "id string, parent string, name string, arguments string"), spark.createDataFrame(results, "id string, content string"), {}).collect()
+    told = sorted((r["id"], r["status"], r["name"] or "", r["n_repeats"], json.loads(r["canonical_json"])["result"] or "") for r in out)
+    assert told == [("a", "conflict", "", 1, "1"), ("a", "conflict", "f", 1, ""), ("a", "conflict", "g", 2, ""), ("b", "linked", "f", 1, "2"), ("c", "conflict", "", 1, "3"), ("c", "conflict", "", 2, "4"), ("c", "conflict", "f", 1, ""), ("d", "conflict", "", 1, "5"), ("d", "conflict", "", 1, "6")]
+    assert next(r for r in out if r["id"] == "b")["depth"] == 1
+
+
+def test_schema_keywords(spark):
+    rows = ['{"k": true}', '{"k": "true"}', '{"k": 1}', '{"k": 1.0}', '{"k": "1"}', '{"k": 12345678901234567890}', '{"k": 1.5}', '{"k": null}', "{}"]
+    df = spark.createDataFrame([(x,) for x in rows], "j string")
+    errors = lambda rule, **more: [r[0] for r in df.select(F.array_join(toolcalls.violations(F.col("j"), {"type": "object", "properties": {"k": rule}} | more), ";")).collect()]
+    bad = "$.k: enum"
+    assert errors({"enum": [True, 1]}) == ["", bad, "", "", bad, bad, bad, bad, ""]
+    assert errors({"enum": ["1", None]})[2:5] == [bad, bad, ""] and errors({"enum": ["1", None]})[7:] == ["", ""]
+    assert errors({"type": "integer"}) == ["$.k: type", "$.k: type", "", "", "$.k: type", "", "$.k: type", "$.k: type", ""]
+    assert errors({}, required=["k", "z"])[-1] == "$.k: required;$.z: required"
+    for rule in ({"pattern": "x"}, {"type": ["string", "null"]}, {"enum": [[1]]}, {"type": "object", "additionalProperties": False}):
+        with pytest.raises(ValueError):
+            toolcalls.violations(F.col("j"), {"type": "object", "properties": {"k": rule}})
+
+
 def test_turns(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(9)] + [(1, 2, "user", "t2"), (2, 0, "assistant", "x"), (2, 4, "user", ""), (2, 6, "user", None), (3, None, "user", "n"), (None, 1, None, None), (4, 0, None, 'q"\\\n')]
     out = toolcalls.turns(table(spark, rows, "conv_id long, turn long, role string, text string")).collect()
