@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join many rows with one row a key, each key dealt over SALTS parts; null keys meet null keys."""
-    left = left.withColumn("_salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+    left = left.withColumn("_salt", F.pmod(F.xxhash64("u", "size"), F.lit(SALTS)))  # sizes part those of an equal id
     right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("_s"))
     on = F.col("_salt") == F.col("_s")
     for k in keys:
@@ -126,11 +126,15 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0) -> DataFrame:
-    """The documents that the mix takes, all columns, with ``copies``: how often each is to be read."""
+    """The documents that the mix takes, all columns, with ``copies``: how often each is to be read (``copies_``, with as
+    many underscores as it takes, where the documents have such a column)."""
+    name = "copies"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     _, goal = plan_mix(docs, weights, cap, share)
     goal = goal.select(F.col("source").alias("_key"), F.struct("times", "threshold").alias("_goal"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("_s"))
     docs, named = set_aside(docs, "doc_id", "source", "text")
     rows = docs.withColumn("_u", hash60(F.col("doc_id")))
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_key")) & (F.pmod(F.xxhash64("_u"), F.lit(SALTS)) == F.col("_s")))
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_key")) & (F.pmod(F.xxhash64("_u", "text"), F.lit(SALTS)) == F.col("_s")))
     count = F.least(F.col("_goal.times") + F.when(F.col("_u") < F.col("_goal.threshold"), 1).otherwise(0), F.lit(cap)).cast("long")
-    return named(rows.withColumn("copies", count).where("copies > 0").select(*docs.columns, "copies"))
+    return named(rows.withColumn("_n", count).where("_n > 0").select(*docs.columns, F.col("_n").alias(name)))

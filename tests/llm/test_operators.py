@@ -820,6 +820,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["source mix"])
 
 
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(2)
+    prose = lambda: " ".join(f"{r.choice('bcdfgklm')}{r.randrange(10_000)}x" for _ in range(80)) + "."
+    names = {"copies": "7", "Copies_": "8", "id": "1", "root": "2", "k": "3", "prints": "'p'", "part": "4", "hot": "true", "digest": "'d'", "code": "5"}
+    spark.createDataFrame([(i, prose(), "en", "s", 9) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"{v} AS `{k}`" for k, v in (CLASH | names).items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    assert len(rows) == 30 and {r["copies"] for r in rows} == {7} and {r["Copies_"] for r in rows} == {8} and {r["copies__"] for r in rows} == {1}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
