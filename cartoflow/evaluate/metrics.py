@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartoflow.evaluate.sampling import dealt
 from cartoflow.functions import stats
 
 
@@ -96,10 +97,11 @@ def baselines(rows: DataFrame, keyword: str, seed: int = 0) -> DataFrame:
     hit = F.lit(False)
     for w in words:
         hit |= F.lower("name").contains(w)
-    coin = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(2)) == 0
+    hashed = lambda salt: F.conv(F.substring(dealt("id", salt), 1, 8), 16, 10).cast("long")
+    coin = lambda salt: hashed(salt) % 2 == 0
     row = lambda name, ok, y=F.col("label"): F.struct(F.lit(name).alias("baseline"), ok.alias("accepted"), y.alias("label"))
-    dealt = F.lead("label", 1).over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.xxhash64("id", F.lit(seed))))
-    rows = rows.withColumn("_dealt", F.coalesce(dealt, F.col("label")))
+    after = F.lead("label", 1).over(Window.partitionBy(hashed("deal") % 64).orderBy(dealt("id", seed), "id"))
+    rows = rows.withColumn("_dealt", F.coalesce(after, F.col("label")))
     return rows.select("id", F.inline(F.array(row("all", F.lit(True)), row("random", coin(seed)), row("near", F.lit(True)), row("substring", hit), row("shuffled", F.col("accepted"), F.col("_dealt")))))
 
 
@@ -121,6 +123,28 @@ def mutated(rows: DataFrame, kind: str) -> DataFrame:
     return rows.withColumns(changes[kind])
 
 
+#: Relations that decisions must keep, as (name, change of the candidates, what is asked): the same ids, or no new ones.
+RELATIONS = ("permutation", "duplication", "restriction", "irrelevant_column", "case", "closing", "moved_within", "typo")
+
+
+def related(rows: DataFrame, relation: str) -> tuple[DataFrame, str]:
+    """Candidates changed so that what is accepted must stay the ``same``, or at most be ``fewer``."""
+    if relation == "permutation":
+        return rows.repartition(3, F.xxhash64("id", F.lit(1))), "same"
+    if relation == "duplication":
+        return rows.unionByName(rows), "same"
+    if relation == "restriction":
+        return rows.where(F.col("id") % 2 == 0), "fewer"
+    changes = {
+        "irrelevant_column": ({"shade": F.lit("blue")}, "same"),
+        "case": ({"name": F.upper("name")}, "same"),
+        "closing": ({"operating_status": F.when(F.col("id") % 3 == 0, "permanently_closed").otherwise(F.col("operating_status"))}, "fewer"),
+        "moved_within": ({"lon": F.col("lon") + 0.0001}, "same"),
+        "typo": ({"name": F.regexp_replace("name", "o", "0")}, "fewer"),
+    }
+    return rows.withColumns(changes[relation][0]), changes[relation][1]
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Jaccard index of two outputs' keys: what metamorphic relations compare."""
     both = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full_outer")

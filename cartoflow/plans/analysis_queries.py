@@ -391,16 +391,25 @@ def dte_02(t):
 # ------------------------------------------------------------------------------------------------------- relevance
 
 
-@query("SELECT unnest(['gym', 'gyms', 'fitness centre', 'gimnasium', 'zzz']) AS keyword, unnest(['exact', 'exact', 'alias', 'unresolved', 'unresolved']) AS way")
+_CONCEPTS = (GYM, Concept("pooja_store", labels=("pooja items", "religious goods"), strong=("pooja", "puja"), defining=("pooja_store", "temple_supply")), Concept("dental_clinic", labels=("dentist", "dental clinic"), strong=("dental",), defining=("dental_clinic", "orthodontist")))
+
+
+@query("""SELECT id, CASE category WHEN 'gym' THEN 'gym' WHEN 'pooja_store' THEN 'pooja_store' WHEN 'dental_clinic' THEN 'dental_clinic' WHEN 'bakery' THEN 'gym' WHEN 'hotel' THEN 'gym' WHEN 'pharmacy' THEN 'dental_clinic' END AS concept_id,
+CASE category WHEN 'gym' THEN 'exact' WHEN 'pooja_store' THEN 'exact' WHEN 'dental_clinic' THEN 'alias' WHEN 'bakery' THEN 'tokens' WHEN 'hotel' THEN 'fuzzy' WHEN 'pharmacy' THEN 'taxonomy' ELSE 'unresolved' END AS way FROM places""")
 def rel_01(t):
-    from cartoflow.relevance.dictionary import resolve
+    from cartoflow.relevance.dictionary import resolved
 
-    return t.spark.createDataFrame([(k, resolve(k, [GYM])[2]) for k in ("gym", "gyms", "fitness centre", "gimnasium", "zzz")], "keyword string, way string")
+    # A keyword of each kind by category: two ids (one plural), a label, a label with its words turned, a typo, a word of a category.
+    said = {"gym": "Gyms", "pooja_store": "pooja store", "dental_clinic": "dentists", "bakery": "centre fitness", "hotel": "fitnes centre", "pharmacy": "orthodontist near me"}
+    keyword = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in said.items() for x in kv]), F.col("category")), F.lit("shoes"))
+    rows = t.places.select("id", keyword.alias("keyword"))
+    return rows.join(resolved(rows.select("keyword").distinct(), _CONCEPTS), "keyword").select("id", "concept_id", "way")
 
 
-@query("SELECT unnest(['footwear', 'hair', 'hair salon', 'salon']) AS veto")
+@query("""SELECT unnest(['gym', 'pooja_store', 'dental_clinic', 'the_shop']) AS concept_id, unnest(['gym,fitness', 'pooja,puja', 'dental', 'the shop']) AS evidence, unnest(['footwear,hair salon,hair,salon', '', '', 'mart']) AS veto""")
 def rel_02(t):
-    return t.spark.createDataFrame([(v,) for v in GYM.veto_terms()], "veto string")
+    cards = [*_CONCEPTS, Concept("the_shop", strong=("the", "shop"), veto=("mart",))]
+    return t.spark.createDataFrame([(c.concept_id, ",".join(c.evidence_terms()), ",".join(c.veto_terms())) for c in cards], "concept_id string, evidence string, veto string")
 
 
 @query("SELECT DISTINCT category AS query, category AS category, 1.0::DOUBLE AS score FROM places")
@@ -419,9 +428,20 @@ def rel_04(t):
     return cascade.features(_candidates(t), GYM).select("id", "f_def_cat", "f_def_name", "f_host_cat", F.round("f_sup_count", 6).alias("f_sup_count"))
 
 
-@query("SELECT id, 0.5::DOUBLE AS f_sem_pos, 0.5::DOUBLE AS f_sem_neg, 0.0::DOUBLE AS f_sem_margin FROM places")
+_COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / ((sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) + 1e-9) * (sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])) + 1e-9))"
+_UNIT = f"greatest(0, least(1, ({_COS.format('q', 'v')} + 1) / 2))"
+
+
+@query(f"""WITH protos AS (SELECT vec_id % 2 = 0 AS positive, embedding AS q FROM embeddings WHERE vec_id < 8),
+named AS (SELECT id, embedding AS v FROM places LEFT JOIN embeddings ON vec_id = id),
+best AS (SELECT id, max({_UNIT}) FILTER (positive) AS pos, max({_UNIT}) FILTER (NOT positive) AS neg FROM named, protos WHERE v IS NOT NULL GROUP BY 1)
+SELECT id, round(coalesce(pos, 0.5), 6)::DOUBLE AS f_sem_pos, round(coalesce(neg, 0.5), 6)::DOUBLE AS f_sem_neg, round(coalesce(pos, 0.5) - coalesce(neg, 0.5), 6)::DOUBLE AS f_sem_margin FROM named LEFT JOIN best USING (id)""")
 def rel_05(t):
-    return cascade.features(_candidates(t), GYM).select("id", "f_sem_pos", "f_sem_neg", "f_sem_margin")
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    # Prototypes are a card's examples: a few, positive and negative.
+    positive, negative = ([r["embedding"] for r in t.embeddings.where(f"vec_id < 8 and vec_id % 2 = {k}").orderBy("vec_id").collect()] for k in (0, 1))
+    rows = cascade.features(_candidates(t).join(vectors, "id", "left"), GYM, prototypes=(positive, negative))
+    return rows.select("id", *[F.round(c, 6).alias(c) for c in ("f_sem_pos", "f_sem_neg", "f_sem_margin")])
 
 
 _P = "1 / (1 + exp(-(0.3 + 3.2 * cat + 1.4 * nm + 0.2 * host + 0.8 * sup)))"
@@ -436,15 +456,19 @@ def rel_06(t):
 _GATED = "CASE WHEN status = 'permanently_closed' OR category IN ('shoe_store', 'pharmacy', 'beauty_salon') THEN 'rejected' WHEN category = 'gym' THEN 'accepted' ELSE 'review' END"
 
 
-@query(f"SELECT id, {_GATED} AS outcome FROM places")
+@query("""SELECT id, CASE WHEN status = 'permanently_closed' OR category IN ('shoe_store', 'pharmacy', 'beauty_salon') THEN 'rejected' WHEN category = 'gym' THEN 'accepted' WHEN id % 5 < 2 THEN 'rejected' ELSE 'review' END AS outcome,
+CASE WHEN status = 'permanently_closed' OR category IN ('shoe_store', 'pharmacy', 'beauty_salon') THEN 'hard_gates' WHEN category = 'gym' THEN 'scorer' WHEN id % 5 = 2 THEN 'review_band' ELSE 'cross_encoder' END AS stage,
+CASE WHEN status = 'permanently_closed' THEN 'closed' WHEN category IN ('shoe_store', 'pharmacy') THEN 'incompatible_category' WHEN category = 'beauty_salon' THEN 'veto_term' WHEN category = 'gym' THEN NULL WHEN id % 5 < 2 THEN 'cross_encoder_low' WHEN id % 5 = 2 THEN 'uncertain_llm_disabled' ELSE 'ce_accepted_no_primary' END AS code FROM places""")
 def rel_07(t):
-    # Without a model the reranker says one half: what is uncertain stays for review.
-    return cascade.decided(_candidates(t), GYM, reranker=F.lit(0.5)).select("id", "outcome")
+    # A reranker's scores as a column: low, in between, high; high ones without a defining category stay for review.
+    ce = F.when(F.col("id") % 5 < 2, 0.1).when(F.col("id") % 5 == 2, 0.5).otherwise(0.9)
+    return cascade.decided(_candidates(t), GYM, reranker=ce).select("id", "outcome", "stage", "code")
 
 
-@query(f"SELECT id, {_GATED} AS outcome FROM places")
+@query("SELECT outcome, stage, code, count(*) AS n FROM (SELECT 'review' AS outcome, 'review_band' AS stage, 'concept_missing' AS code FROM places WHERE (status IS NULL OR status <> 'permanently_closed') AND category NOT IN ('beauty_salon', 'shoe_store', 'pharmacy') UNION ALL SELECT 'rejected', 'hard_gates', CASE WHEN status = 'permanently_closed' THEN 'closed' WHEN category = 'beauty_salon' THEN 'veto_term' ELSE 'incompatible_category' END FROM places WHERE coalesce(status, '') = 'permanently_closed' OR category IN ('beauty_salon', 'shoe_store', 'pharmacy')) GROUP BY ALL")
 def rel_08(t):
-    return cascade.decided(_candidates(t), GYM).select("id", "outcome")
+    # Adjudication is off for an unknown concept: what the gates leave is for review, whatever its score.
+    return cascade.decided(_candidates(t), GYM, force_review=True).groupBy("outcome", "stage", "code").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT id, {_GATED} AS outcome, CASE WHEN status = 'permanently_closed' OR category IN ('shoe_store', 'pharmacy', 'beauty_salon') THEN 'hard_gates' WHEN category = 'gym' THEN 'scorer' ELSE 'review_band' END AS stage, CASE WHEN status = 'permanently_closed' THEN 'closed' WHEN category IN ('shoe_store', 'pharmacy') THEN 'incompatible_category' WHEN category = 'beauty_salon' THEN 'veto_term' WHEN category <> 'gym' THEN 'uncertain_llm_disabled' END AS code FROM places")
@@ -459,9 +483,14 @@ def rel_10(t):
     return cascade.one_pass(twice, GYM).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (status = 'permanently_closed' OR category IN ('shoe_store', 'pharmacy', 'beauty_salon')) AS rejected, false AS degenerate FROM places")
+@query("""SELECT 'as_is' AS rung, count(*) AS total, count(*) FILTER (status = 'permanently_closed' OR category IN ('shoe_store', 'pharmacy', 'beauty_salon')) AS rejected, false AS degenerate FROM places
+UNION ALL SELECT 'unseen', count(*), 0, count(*) > 5 FROM places WHERE id % 4 <> 0 AND (status IS NULL OR status <> 'permanently_closed') AND category NOT IN ('beauty_salon', 'shoe_store', 'pharmacy')""")
 def rel_11(t):
-    return cascade.degenerate(cascade.decided(_candidates(t), GYM))
+    # Rung one: what was not seen yet, all of it for review; where nothing is rejected the rung says nothing.
+    rows = _candidates(t).withColumn("ordinal", F.col("id"))
+    fresh = cascade.one_pass(rows, GYM, rows.where("id % 4 = 0"), force_review=True).where("stage <> 'hard_gates'")
+    named = lambda name, df: cascade.degenerate(df).select(F.lit(name).alias("rung"), "*")
+    return named("as_is", cascade.decided(_candidates(t), GYM)).unionByName(named("unseen", fresh))
 
 
 @query(f"SELECT rank, {_GATED} AS decision FROM results JOIN places ON business_id = id")
@@ -479,11 +508,14 @@ def rel_13(t):
     return relabelled(rows, labels).select("rank", "decision")
 
 
-@query("SELECT unnest(['gym', 'fitness_centre']) AS category")
+@query("""SELECT id, CASE category WHEN 'gym' THEN 'gym,fitness_centre' WHEN 'pooja_store' THEN 'pooja_store,temple_supply' WHEN 'hotel' THEN 'gym,fitness_centre' ELSE '' END AS categories, CASE category WHEN 'gym' THEN 'gym|fitness centre|fitness' WHEN 'hotel' THEN 'gym|fitness centre|fitness' WHEN 'pooja_store' THEN 'pooja items|religious goods|pooja|puja' ELSE 'shoes' END AS synonyms FROM places""")
 def rel_14(t):
-    from cartoflow.relevance.dictionary import plan
+    from cartoflow.relevance.dictionary import planned
 
-    return t.spark.createDataFrame([(c,) for c in plan("gyms", [GYM])["categories"]], "category string")
+    said = {"gym": "gyms", "pooja_store": "Pooja Store", "hotel": "fitnes centre"}
+    keyword = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in said.items() for x in kv]), F.col("category")), F.lit("shoes"))
+    rows = t.places.select("id", keyword.alias("keyword"))
+    return rows.join(planned(rows.select("keyword").distinct(), _CONCEPTS), "keyword").select("id", F.array_join("categories", ",").alias("categories"), F.array_join("synonyms", "|").alias("synonyms"))
 
 
 # ------------------------------------------------------------------------------- entities, checks, scores, completion
@@ -638,29 +670,60 @@ def eva_01(t):
     return confusion(rows, "y", F.col("outcome") == "accepted").select("tp", "fp", "fn")
 
 
-@query("SELECT 'all' AS baseline, count(*) FILTER (category IN ('gym', 'hotel')) AS tp, count(*) FILTER (category NOT IN ('gym', 'hotel')) AS fp FROM places UNION ALL SELECT 'near', count(*) FILTER (category IN ('gym', 'hotel')), count(*) FILTER (category NOT IN ('gym', 'hotel')) FROM places UNION ALL SELECT 'substring', count(*) FILTER (category = 'hotel'), 0 FROM places")
+@query("""WITH coins AS (SELECT category IN ('gym', 'hotel') AS y, ('0x' || substr(md5('0:' || id), 1, 8))::BIGINT % 2 = 0 AS coin, contains(lower(name), 'royal') OR contains(lower(name), 'hotel') AS hit, id % 3 = 0 AS ok,
+  coalesce(lead(category IN ('gym', 'hotel')) OVER (PARTITION BY ('0x' || substr(md5('deal:' || id), 1, 8))::BIGINT % 64 ORDER BY md5('0:' || id), id), category IN ('gym', 'hotel')) AS dealt FROM places)
+SELECT 'all' AS baseline, count(*) FILTER (y) AS tp, count(*) FILTER (NOT y) AS fp FROM coins UNION ALL SELECT 'near', count(*) FILTER (y), count(*) FILTER (NOT y) FROM coins
+UNION ALL SELECT 'substring', count(*) FILTER (y AND hit), count(*) FILTER (NOT y AND hit) FROM coins UNION ALL SELECT 'random', count(*) FILTER (y AND coin), count(*) FILTER (NOT y AND coin) FROM coins
+UNION ALL SELECT 'shuffled', count(*) FILTER (dealt AND ok), count(*) FILTER (NOT dealt AND ok) FROM coins""")
 def eva_02(t):
     from cartoflow.evaluate.metrics import baselines, confusion
 
-    rows = t.places.select("id", "name", F.col("category").isin("gym", "hotel").alias("label"), F.lit(True).alias("accepted"))
-    return confusion(baselines(rows, "royal gym hotel"), "label", F.col("accepted"), "baseline").where("baseline in ('all', 'near', 'substring')").select("baseline", "tp", "fp")
+    rows = t.places.select("id", "name", F.col("category").isin("gym", "hotel").alias("label"), (F.col("id") % 3 == 0).alias("accepted"))
+    return confusion(baselines(rows, "royal gym hotel"), "label", F.col("accepted"), "baseline").select("baseline", "tp", "fp")
+
 
+_OPEN = "(status IS NULL OR status <> 'permanently_closed')"
 
-@query("SELECT 0::BIGINT AS n_accepted, true AS review_only FROM places LIMIT 1")
+
+@query(f"""SELECT 'none' AS mutation, count(*) FILTER ({_GATED} = 'accepted') AS n_accepted, count(*) FILTER ({_GATED} = 'rejected') AS n_rejected, count(*) AS n FROM places
+UNION ALL SELECT 'no_categories', 0, count(*) FILTER (NOT {_OPEN} OR name LIKE '%Footwear%' OR name LIKE '%Salon%'), count(*) FROM places
+UNION ALL SELECT 'empty', 0, 0, 0""")
 def eva_03(t):
+    return _mutations(t, ("none", "no_categories", "empty"))
+
+
+def _mutations(t, kinds):
     from cartoflow.evaluate.metrics import mutated
 
-    rows = cascade.decided(mutated(_candidates(t), "no_categories"), GYM)
-    return rows.agg(F.count_if(F.col("outcome") == "accepted").alias("n_accepted"), (F.count_if(F.col("outcome") == "review") > 0).alias("review_only"))
+    def told(kind):
+        rows = cascade.decided(_candidates(t) if kind == "none" else mutated(_candidates(t), kind), GYM)
+        return rows.agg(F.count_if(F.col("outcome") == "accepted").alias("n_accepted"), F.count_if(F.col("outcome") == "rejected").alias("n_rejected"), F.count("*").alias("n")).select(F.lit(kind).alias("mutation"), "*")
 
+    out = told(kinds[0])
+    for kind in kinds[1:]:
+        out = out.unionByName(told(kind))
+    return out
 
-@query("SELECT 1.0::DOUBLE AS jaccard")
+
+@query("""SELECT unnest(['permutation', 'duplication', 'restriction', 'irrelevant_column', 'case', 'closing', 'moved_within', 'typo']) AS relation, unnest([n, n, even, n, n, kept, n, n])::BIGINT AS n_accepted, 0::BIGINT AS n_new, true AS holds
+FROM (SELECT count(*) AS n, count(*) FILTER (id % 2 = 0) AS even, count(*) FILTER (id % 3 <> 0) AS kept FROM places WHERE category = 'gym' AND (status IS NULL OR status <> 'permanently_closed'))""")
 def eva_04(t):
-    from cartoflow.evaluate.metrics import overlap
+    from cartoflow.evaluate.metrics import RELATIONS, related
+    from cartoflow.store.shared import spool
 
-    # Permutation: the order of candidates does not change what is accepted.
-    accepted = lambda df: cascade.decided(df, GYM).where("outcome = 'accepted'")
-    return overlap(accepted(_candidates(t)), accepted(_candidates(t).repartition(3)), "id")
+    # All relations are decided in one plan, told apart by a column.
+    asked, rows = {"before": "same"}, _candidates(t).withColumn("relation", F.lit("before"))
+    for relation in RELATIONS:
+        changed, asked[relation] = related(_candidates(t), relation)
+        rows = rows.unionByName(changed.withColumn("relation", F.lit(relation)), allowMissingColumns=True)
+    # Written first: the decision's long expressions are then planned once, and not for each part of the union.
+    accepted = cascade.decided(spool(rows), GYM).where("outcome = 'accepted'").select("relation", "id").distinct()
+    kept = accepted.groupBy("id").agg(F.collect_set("relation").alias("in"))  # nine names at most
+    each = kept.select("id", "in", F.explode(F.array(*map(F.lit, RELATIONS))).alias("relation"))
+    old, now = F.array_contains("in", "before"), F.array_contains(F.col("in"), F.col("relation"))
+    out = each.groupBy("relation").agg(F.count_if(now).alias("n_accepted"), F.count_if(now & ~old).alias("n_new"), F.count_if(old & ~now).alias("gone"))
+    fewer = F.col("relation").isin([k for k, v in asked.items() if v == "fewer"])
+    return out.select("relation", "n_accepted", "n_new", ((F.col("n_new") == 0) & ((F.col("gone") == 0) | fewer)).alias("holds"))
 
 
 @query("SELECT 'BLIND-' || lpad(i::VARCHAR, 3, '0') AS blind_id, id FROM (SELECT id, row_number() OVER (ORDER BY md5('0:' || id), id) AS i FROM places) WHERE i <= 20")
@@ -681,16 +744,20 @@ def eva_06(t):
 # --------------------------------------------------------------------------------------------------------- streams
 
 
-def _stream(t, shape):
-    """Run a stream over the events files to its end, and read what it wrote."""
+def _stream(t, shape, mode: str = "append"):
+    """Run a stream over the events files to its end, and read what it wrote; updates are kept batch by batch."""
     from cartoflow.store.shared import shared_dir
     from cartoflow.streaming import events as E
 
     schema = t.events.schema
     rows = E.source(t.spark, t.folder, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     root = shared_dir(t.spark)
-    E.publish(shape(rows), f"{root}/out", f"{root}/state").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out")
+    out = shape(rows)
+    if mode == "append":
+        E.publish(out, f"{root}/out", f"{root}/state").awaitTermination()
+    else:
+        E.upsert_batches(out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/state", mode).awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 @query("SELECT count(*) AS n FROM events")
@@ -703,11 +770,13 @@ def stm_02(t):
     return _stream(t, lambda rows: rows.select("event_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, event_id, n AS evaluated FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 5 = 0")
+@query("SELECT user_id, n - n % 5 AS evaluated FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) WHERE n >= 5")
 def stm_03(t):
-    from cartoflow.streaming.events import progress
+    """Running counters with state, as a stream: the count of each run when it has reached a fifth event more."""
+    from cartoflow.streaming.events import counted
 
-    return progress(t.events, "user_id")
+    out = _stream(t, lambda rows: counted(rows, "user_id"))
+    return out.groupBy("user_id").agg(F.max("evaluated").alias("evaluated"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type IN ('purchase', 'signup')")
@@ -717,10 +786,14 @@ def stm_04(t):
     return _stream(t, lambda rows: accepted(rows, ("purchase", "signup")).select("event_id", "event_type"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, max(value) AS max_value FROM events GROUP BY 1")
+@query("""WITH steps AS (SELECT value, to_timestamp(5 * unnest(range(CAST(floor(epoch(ts) / 5) AS BIGINT) - 11, CAST(floor(epoch(ts) / 5) AS BIGINT) + 1))) AS w FROM events)
+SELECT epoch(w)::BIGINT AS w, max(value) AS max_value FROM steps GROUP BY 1""")
 def stm_05(t):
-    # The batch plan of the sliding maximum, with a step as long as the window.
-    return t.events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("x")).agg(F.max("value").alias("max_value")).select(F.col("x.start").cast("timestamp_ntz").alias("w"), "max_value")
+    """The sliding maximum as a stream: windows of 60 s that move by 5 s, each written once, when the watermark passes."""
+    from cartoflow.streaming.events import sliding_max
+
+    out = _stream(t, lambda rows: sliding_max(rows).select(F.unix_timestamp("w.start").alias("w"), "max_value"), mode="update")
+    return out.groupBy("w").agg(F.max("max_value").alias("max_value"))
 
 
 @query("SELECT event_type AS stage, count(*) AS n, min(ts) AS started, max(ts) AS ended FROM events GROUP BY 1")

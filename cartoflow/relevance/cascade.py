@@ -124,8 +124,18 @@ def hard_gates(df: DataFrame, card: Concept, ring: list[tuple[float, float]] | N
     return df.withColumns({"reason_code": code, "edge_case": where == "edge"})
 
 
-def features(df: DataFrame, card: Concept, sem: tuple[float, float] = (0.5, 0.5), ce: float = 0.5) -> DataFrame:
-    """The fourteen features as columns; ``sem`` and ``ce`` are what a missing model says."""
+def nearest(vector: Column, prototypes: list[list[float]], missing: float) -> Column:
+    """The largest cosine to a card's few prototypes, mapped to 0..1; where there is no vector, what is missing says."""
+    if not prototypes:
+        return F.lit(missing)
+    best = [stats.unit_cosine(F.array(*[F.lit(float(x)) for x in p]), vector) for p in prototypes]
+    return F.when(vector.isNotNull(), F.greatest(*best) if len(best) > 1 else best[0]).otherwise(F.lit(missing))
+
+
+def features(df: DataFrame, card: Concept, sem: tuple[float, float] = (0.5, 0.5), ce: float = 0.5, prototypes: tuple[list[list[float]], list[list[float]]] | None = None) -> DataFrame:
+    """The fourteen features as columns; ``sem`` and ``ce`` are what a missing model says.  With ``prototypes`` (positive,
+    negative) and a column ``embedding`` the semantic ones are cosines."""
+    positive, negative = (nearest(F.col("embedding"), p, m) for p, m in zip(prototypes, sem, strict=True)) if prototypes and "embedding" in df.columns else (F.lit(sem[0]), F.lit(sem[1]))
     if "evidence" not in df.columns:
         df = profiled(df)
     flat = [" ".join(re.sub(r"[^\w\s]", " ", c.lower()).split()) for c in card.defining]
@@ -139,7 +149,7 @@ def features(df: DataFrame, card: Concept, sem: tuple[float, float] = (0.5, 0.5)
         "f_def_name": _defined_by_name(card).cast("double"), "f_def_cat": has(F.col("categories"), flat).cast("double"), "f_def_osm": has(tags, flat).cast("double"),
         "f_def_web": F.arrays_overlap("web_tokens", _texts(card.evidence_terms())).cast("double"), "f_sup_count": F.least(hits / 3, F.lit(1.0)), "f_host_cat": has(F.col("categories"), hosts).cast("double"),
         "f_nonev_only": ((F.size("non_evidence") > 0) & (F.size(real) == 0)).cast("double"), "f_cat_conf": F.coalesce(_maybe(df, "source_confidence", "double"), F.lit(0.5)),
-        "f_src_agree": F.when(n > 1, F.least(n / 3, F.lit(1.0))).otherwise(0.0), "f_sem_pos": F.lit(sem[0]), "f_sem_neg": F.lit(sem[1]), "f_sem_margin": F.lit(sem[0] - sem[1]), "f_ce": F.lit(ce),
+        "f_src_agree": F.when(n > 1, F.least(n / 3, F.lit(1.0))).otherwise(0.0), "f_sem_pos": positive, "f_sem_neg": negative, "f_sem_margin": positive - negative, "f_ce": F.lit(ce),
     })
     return df.withColumn("f_name_only_primary", ((F.col("f_def_name") == 1) & (F.col("f_def_cat") == 0) & (F.col("f_def_osm") == 0) & (F.col("f_def_web") == 0)).cast("double"))
 

@@ -102,6 +102,28 @@ def plan(keyword: str, concepts: list[Concept]) -> dict:
     return {"keyword": keyword, "concept_id": found, "confidence": confidence, "way": way, "synonyms": list(dict.fromkeys((*c.labels, *c.strong))), "categories": list(dict.fromkeys(c.defining)), "patterns": [rf"\b{re.escape(x)}\b" for x in dict.fromkeys(c.strong)]}
 
 
+def planned(keywords: DataFrame, concepts: tuple[Concept, ...] | list[Concept]) -> DataFrame:
+    """The plan of each of a table of distinct keywords: (keyword, concept_id, confidence, way, synonyms, categories, patterns).
+
+    The dictionary is bounded and goes to the workers; keywords are looked up where they are, batch by batch.
+    """
+    cards = list(concepts)
+
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [plan(k, cards) if k is not None else {"keyword": None, "way": "unresolved", "confidence": 0.5} for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("keyword", pa.string()), ("concept_id", pa.string()), ("confidence", pa.float64()), ("way", pa.string()), ("synonyms", pa.list_(pa.string())), ("categories", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))]))
+
+    return keywords.select("keyword").mapInArrow(each, "keyword string, concept_id string, confidence double, way string, synonyms array<string>, categories array<string>, patterns array<string>")
+
+
+def resolved(keywords: DataFrame, concepts: tuple[Concept, ...] | list[Concept]) -> DataFrame:
+    """(keyword, concept_id, confidence, way) of a table of distinct keywords."""
+    return planned(keywords, concepts).select("keyword", "concept_id", "confidence", "way")
+
+
 def taxonomy_nodes(rows: DataFrame) -> DataFrame:
     """Tree nodes from ``primary_hierarchy`` (``a > b > c``): parent path, depth, tokens of three letters and more."""
     parts = F.split("primary_hierarchy", r"\s*>\s*")

@@ -48,6 +48,22 @@ def upsert_batches(rows: DataFrame, apply, checkpoint: str, mode: str = "update"
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode).start()
 
 
+def counted(events: DataFrame, run: str, every: int = 5) -> DataFrame:
+    """Progress of runs, with a counter a run as state: a row whenever a run has passed a multiple of ``every`` events."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, frames, state: GroupState):
+        before = state.get[0] if state.exists else 0
+        now = before + sum(len(f) for f in frames)
+        state.update((now,))
+        if now // every > before // every:
+            yield pd.DataFrame({run: [key[0]], "evaluated": [now // every * every]})
+
+    kind = events.schema[run].dataType.simpleString()
+    return events.select(run).groupBy(run).applyInPandasWithState(step, f"{run} {kind}, evaluated long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def progress(events: DataFrame, run: str, every: int = 5) -> DataFrame:
     """The batch form of progress: for each run, its count at every fifth event."""
     from pyspark.sql import Window
