@@ -13,20 +13,18 @@ from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
-class LeadFilters:
-    """What a list, its counts and its export are filtered by; None does not filter."""
-
-    run_id: int | None = None
-    decision: str | None = None
-    tier: str | None = None
-    has_phone: bool | None = None
-    has_email: bool | None = None
-    is_new: bool | None = None
-    q: str | None = None
-    cursor: int | None = None
-    exclude_delivered: bool = False
-    exclude_suppressed: bool = False
-    min_confidence: float | None = None
+class Selection:
+    """What a list, its counts and its export have in common.  None and () do not filter."""
+
+    reachable_by: tuple[str, ...] = ()  # array columns that must not be empty: phones, emails
+    name_has: str | None = None
+    at_least: float | None = None  # confidence
+    in_state: str | None = None  # decision
+    in_tier: str | None = None
+    of_run: int | None = None
+    after_rank: int | None = None
+    fresh: bool | None = None  # is_new
+    leave_out: tuple[str, ...] = ()  # delivered, suppressed
 
 
 def non_empty(column: Column) -> Column:
@@ -39,31 +37,23 @@ def contains_ci(column: Column, text: str) -> Column:
     return column.ilike(f"%{safe}%")
 
 
-def predicate(f: LeadFilters, include_decision: bool = True) -> Column:
-    """The one conjunction behind list, counts and export: only the decision term can be left out."""
-    terms = [F.lit(True)]
-    for value, make in (
-        (f.run_id, lambda v: F.col("run_id") == v),
-        (f.decision if include_decision else None, lambda v: F.col("decision") == v),
-        (f.tier, lambda v: F.col("tier") == v),
-        (f.has_phone or None, lambda _: non_empty(F.col("phones"))),
-        (f.has_email or None, lambda _: non_empty(F.col("emails"))),
-        (f.is_new, lambda v: F.col("is_new") == v),
-        (f.q, lambda v: contains_ci(F.col("name"), v)),
-        (f.cursor, lambda v: F.col("rank") > v),
-        (f.min_confidence, lambda v: F.col("confidence") >= v),
-    ):
-        if value is not None:
-            terms.append(make(value))
-    return reduce(lambda a, b: a & b, terms)
-
-
-def leads(results: DataFrame, businesses: DataFrame, f: LeadFilters, delivered: DataFrame | None = None, suppression: DataFrame | None = None, include_decision: bool = True) -> DataFrame:
+def predicate(f: Selection, with_state: bool = True) -> Column:
+    """The one conjunction behind list, counts and export: only the term of the state can be left out."""
+    terms = [non_empty(F.col(c)) for c in f.reachable_by]
+    equal = {"run_id": f.of_run, "tier": f.in_tier, "is_new": f.fresh, "decision": f.in_state if with_state else None}
+    terms += [F.col(c) == v for c, v in equal.items() if v is not None]
+    terms += [contains_ci(F.col("name"), f.name_has)] if f.name_has is not None else []
+    terms += [F.col("rank") > f.after_rank] if f.after_rank is not None else []
+    terms += [F.col("confidence") >= f.at_least] if f.at_least is not None else []
+    return reduce(lambda a, b: a & b, terms, F.lit(True))
+
+
+def leads(results: DataFrame, businesses: DataFrame, f: Selection, delivered: DataFrame | None = None, suppression: DataFrame | None = None, with_state: bool = True) -> DataFrame:
     """Results with their businesses under the filters.  Predicates of one side go below the join by themselves."""
-    rows = results.join(businesses, results["business_id"] == businesses["id"]).where(predicate(f, include_decision))
-    if f.exclude_delivered and delivered is not None:
+    rows = results.join(businesses, results["business_id"] == businesses["id"]).where(predicate(f, with_state))
+    if "delivered" in f.leave_out and delivered is not None:
         rows = rows.join(delivered.select("business_id").distinct(), "business_id", "left_anti")
-    if f.exclude_suppressed and suppression is not None:
+    if "suppressed" in f.leave_out and suppression is not None:
         rows = rows.join(suppressed_ids(businesses, suppression).withColumnRenamed("id", "business_id"), "business_id", "left_anti")
     return rows
 

@@ -286,7 +286,7 @@ def snk_09(t):
 WHERE run_id = 3 AND decision = 'accepted' AND phone IS NOT NULL AND NOT is_new AND name ILIKE '%gym%' AND rank > 10""")
 def fil_01(t):
     businesses = t.places.withColumn("phones", F.filter(F.array("phone"), lambda x: x.isNotNull()))
-    f = R.LeadFilters(run_id=3, decision="accepted", has_phone=True, is_new=False, q="gym", cursor=10)
+    f = R.Selection(of_run=3, in_state="accepted", reachable_by=("phones",), fresh=False, name_has="gym", after_rank=10)
     return R.leads(t.results, businesses.drop("source", "status"), f).select("rank", "business_id", "name")
 
 
@@ -642,7 +642,7 @@ def agg_08(t):
 arg_min(l_shipdate, (l_linenumber, l_shipdate)) AS first_date, CASE WHEN bool_or(l_returnflag = 'A') THEN 'accepted' WHEN bool_or(l_returnflag = 'R') THEN 'review' ELSE 'accepted' END AS decision FROM lineitem GROUP BY 1""")
 def agg_09(t):
     return t.lineitem.groupBy(F.col("l_orderkey").alias("cluster")).agg(
-        F.max_by("l_partkey", F.struct("l_quantity", -F.col("l_linenumber"), "l_partkey")).alias("best_part"), F.count_distinct("l_suppkey").alias("n_sources"), F.round(F.avg("l_quantity"), 6).alias("mean_quantity"),
+        F.max_by("l_partkey", F.struct("l_quantity", -F.col("l_linenumber"), "l_partkey")).alias("best_part"), F.size(F.collect_set("l_suppkey")).cast("long").alias("n_sources"), F.round(F.avg("l_quantity"), 6).alias("mean_quantity"),
         F.min_by("l_shipdate", F.struct("l_linenumber", "l_shipdate")).alias("first_date"), F.when(F.bool_or(F.col("l_returnflag") == "A"), "accepted").when(F.bool_or(F.col("l_returnflag") == "R"), "review").otherwise("accepted").alias("decision"))
 
 

@@ -80,7 +80,7 @@ def golden_records(rows: DataFrame, of: DataFrame) -> DataFrame:
     out = m.groupBy("cluster").agg(
         F.max_by("name", F.struct(F.length("name"), -F.col("id"))).alias("canonical_name"), values(F.coalesce(contact.phone_e164(F.col("phone")), F.col("phone"))).alias("phones_e164"), values(F.lower("email")).alias("emails"),
         values("category").alias("categories"), first("domain").alias("website_domain"), first("website").alias("website_url"), values("social").alias("socials"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"),
-        F.count_distinct("source").cast("int").alias("independent_source_count"), F.array_sort(F.collect_set(F.concat_ws(":", "source", "id"))).alias("source_ids"), F.min_by("address", "id").alias("address"), F.min_by("status", "id").alias("operating_status"),
+        F.size(F.collect_set("source")).alias("independent_source_count"), F.array_sort(F.collect_set(F.concat_ws(":", "source", "id"))).alias("source_ids"), F.min_by("address", "id").alias("address"), F.min_by("status", "id").alias("operating_status"),
         decision.alias("decision"), F.max("p").alias("relevance_p"),
     )
     return out.withColumns({"id": F.col("cluster"), "socials": contact.socials(F.col("socials")), "name_norm": text.business_name(F.col("canonical_name")), "geohash7": geo.geohash(F.col("lon"), F.col("lat"), 7)})

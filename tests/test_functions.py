@@ -176,10 +176,10 @@ def test_suppression_never_multiplies(spark):
 def test_one_predicate_for_list_counts_and_export(spark):
     res = spark.createDataFrame([(1, i, i, d, False) for i, d in enumerate(["accepted"] * 3 + ["review"] * 2 + ["rejected"] * 2)], "run_id int, business_id int, rank int, decision string, is_new boolean")
     bus = spark.createDataFrame([(i, f"n{i}", ["p"] if i % 2 else [], None, None, 0.5) for i in range(7)], "id int, name string, phones array<string>, emails array<string>, domain string, confidence double")
-    f = R.LeadFilters(run_id=1, decision="accepted")
-    counts = {r["decision"]: r["count"] for r in R.leads(res, bus, f, include_decision=False).groupBy("decision").count().collect()}
+    f = R.Selection(of_run=1, in_state="accepted")
+    counts = {r["decision"]: r["count"] for r in R.leads(res, bus, f, with_state=False).groupBy("decision").count().collect()}
     assert counts == {"accepted": 3, "review": 2, "rejected": 2} and R.leads(res, bus, f).count() == counts["accepted"]
-    assert R.leads(res, bus, R.LeadFilters(has_phone=True)).count() == 3 and R.leads(res, bus, R.LeadFilters(q="N_")).count() == 0
+    assert R.leads(res, bus, R.Selection(reachable_by=("phones",))).count() == 3 and R.leads(res, bus, R.Selection(name_has="N_")).count() == 0
     assert R.next_cursor(R.page(res, 3), 3).first()["next_cursor"] == 2 and R.next_cursor(R.page(res, 30), 30).first()["next_cursor"] is None
 
 
