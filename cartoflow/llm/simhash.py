@@ -11,9 +11,9 @@ would do.  It takes PARTS fingerprints of PART_BITS bits, each with its ball of
 parts differs in RADIUS bits at most.  What meets is linked to the least and the greatest text of the ball, dropped if all
 bits together are too far apart for the similarity, and compared by whole shingle sets.  Texts with an equal part are
 linked before balls are made, so that a large group of copies makes few pairs.  A pair meets with probability
-0.91 at a similarity of 0.8, 0.98 at 0.85, 0.999 at 0.9 and more above (``meeting``), and more in larger groups.  Parts
-are wide enough that strangers seldom meet among some ten million different texts (one in a ball, on average); more
-texts want wider parts, and more of them for the same recall.
+0.82 at a similarity of 0.8, 0.96 at 0.85, 0.997 at 0.9 and more above (``meeting``), and more in larger groups.  Parts
+are wide enough that strangers seldom meet among a hundred million different texts (less than one in a ball, on average);
+narrower ones would find more for the same rows, but meet strangers by the square of the corpus.
 
 Cases.  Null or empty text, or no words: fingerprint zero, linked like any other.  Repeated rows or ids: a row each; the
 component's id is the least doc_id in it.  Null doc_id: takes part, but is never the least; a component of nulls only has
@@ -41,7 +41,7 @@ FEW = 24
 #: Differing bits of linked fingerprints; balls of half of it are emitted.
 RADIUS = 2
 #: Of ``deduplicated``: words of a shingle, least similarity, fingerprints and the bits of each.
-WORDS, LEAST, PARTS, PART_BITS = 5, 0.8, 12, 28
+WORDS, LEAST, PARTS, PART_BITS = 5, 0.8, 14, 32
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
