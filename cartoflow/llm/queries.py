@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartoflow.llm import decontaminate, infill, licences, lm, mixing, quality, simhash, suffixes, toolcalls, toxicity, warc
+from cartoflow.llm import decontaminate, infill, licences, lm, mixing, quality, simhash, spelling, suffixes, toolcalls, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -222,5 +227,37 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
        sha256(text) AS restored_sha256
 FROM parted
+""",
+    # Near words here by what is left of both without one letter, and not by neighbourhoods.
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+hexed AS (
+  SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hex FROM runs WHERE length(run) >= 7),
+hashed AS (
+  SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295, [('0x' || substr(hex, 2 * k + 1, 2))::BIGINT FOR k IN range(length(hex) // 2)]),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM hexed, crc_table),
+results AS MATERIALIZED (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+vocabulary AS MATERIALIZED (SELECT word, count(*)::BIGINT AS n FROM results WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+left_out AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS (
+  SELECT a.word, b.word AS near FROM left_out a JOIN left_out b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.rest FROM left_out a JOIN vocabulary v ON v.word = a.rest
+  UNION SELECT a.rest, a.word FROM left_out a JOIN vocabulary v ON v.word = a.rest),
+counted AS (
+  SELECT near.word, count(*) AS n_near, arg_min(near, (-v.n, near)) AS best, max(v.n) AS best_n FROM near JOIN vocabulary v ON v.word = near.near GROUP BY near.word),
+formed AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END::BIGINT AS form_n
+  FROM vocabulary v LEFT JOIN counted c ON c.word = v.word),
+chain AS (
+  SELECT word, form AS root, 1 AS step FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, formed.form, step + 1 FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL),
+lasts AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, coalesce(l.root, f.word) AS root, f.n, f.n_near, f.form_n FROM formed f LEFT JOIN lasts l ON l.word = f.word
 """,
 }
