@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartoflow.llm import decontaminate, infill, licences, lm, mixing, quality, simhash, spelling, suffixes, toolcalls, toxicity, warc
+from cartoflow.llm import decontaminate, infill, licences, lm, mixing, neighbours, quality, simhash, spelling, suffixes, toolcalls, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_neighbours": op11_quality_neighbours,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_spelling_variants": op13_spelling_variants,
 }
