@@ -37,6 +37,8 @@ from cartoflow.llm.common import LOWER, mixed, only, small_batches, spool
 LEAST, SEEN, NOISE, RATIO = 7, 2, 31, 10
 #: Words of a task's table of counts; strings that are made at once.
 FLUSH, AT_ONCE = 200_000, 1 << 20
+#: Words whose neighbourhoods one task makes, about.
+A_TASK = 30_000
 #: Bits of the filter a word and at most (as a power of 2), and those of its segments.
 BITS_A_WORD, FILTER_BITS, SEGMENT_BITS = 32, 28, 16
 PROBES = 3
@@ -204,8 +206,8 @@ def near_words(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     small_batches(spark)
     letters = words.select(F.explode(F.split("word", "")).alias("a")).where("a <> ''").distinct()
-    alphabet = np.array(sorted(ord(r[0]) for r in letters.collect()), np.uint64)
-    shared = spark.sparkContext.broadcast(filter_of(words, words.count()))
+    alphabet, n = np.array(sorted(ord(r[0]) for r in letters.collect()), np.uint64), words.count()
+    shared = spark.sparkContext.broadcast(filter_of(words, n))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +218,7 @@ def near_words(words: DataFrame) -> DataFrame:
                     near = mine.built(kind, owner[at], place[at], letter[at] if len(letter) else letter)
                     yield pa.RecordBatch.from_arrays([pa.array(map(mine.words.__getitem__, owner[at].tolist()), pa.string()), pa.array(near, pa.string())], names=["word", "near"])
 
-    made = words.select("word").mapInArrow(each, "word string, near string")
+    made = words.select("word").repartition(1 + n // A_TASK, "word").mapInArrow(each, "word string, near string")
     return made.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("shuffle_hash"), "near")
 
 
