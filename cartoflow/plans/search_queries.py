@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartoflow.operators import polygons
+from cartoflow.operators import polygons, vectors
 from cartoflow.plans.carriers import query
 
 # ---------------------------------------------------------------------------------------------------------- shapes
@@ -61,3 +61,21 @@ def fil_07_shapes(t):
     n = t.supplier.agg((F.count("*") + 5).alias("n"))
     points = t.places.crossJoin(F.broadcast(n)).select("id", "lon", "lat", (F.col("id") % F.col("n")).alias("of"))
     return polygons.judged(points, zones(t), "of").select("id", "of", "gate")
+
+
+# --------------------------------------------------------------------------------------------------------- vectors
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, round(list_dot_product(q, embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6)::DOUBLE AS similarity FROM q, embeddings)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS position FROM s) WHERE position <= 10""")
+def jon_10_index(t):
+    return vectors.exact(t.embeddings.where("vec_id % 20 = 0"), vectors.build(t.embeddings), 10)
+
+
+@query()
+def jon_10_recall(t):
+    # What the part search finds of the exact answers, a row a query; tests hold it to 0.9.
+    index, queries = vectors.build(t.embeddings), t.embeddings.where("vec_id % 20 = 0")
+    found = vectors.search(queries, index, 10, probes=vectors.probes_for(queries, index, 10))
+    return vectors.recall(found, vectors.exact(queries, index, 10))
