@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartoflow.operators import polygons, vectors
+from cartoflow.operators import polygons, similar, vectors
 from cartoflow.plans.carriers import query
 
 # ---------------------------------------------------------------------------------------------------------- shapes
@@ -79,3 +79,34 @@ def jon_10_recall(t):
     index, queries = vectors.build(t.embeddings), t.embeddings.where("vec_id % 20 = 0")
     found = vectors.search(queries, index, 10, probes=vectors.probes_for(queries, index, 10))
     return vectors.recall(found, vectors.exact(queries, index, 10))
+
+
+# ---------------------------------------------------------------------------------------------------- likeness of names
+
+_PART_TEXT = "concat_ws(' ', p_name, p_brand, p_type, 'no', CAST(p_partkey % 37 AS STRING))"
+_PART_GRAMS = f"""words AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower({_PART_TEXT}), '[a-z0-9]+')) AS w FROM part),
+grams AS (SELECT DISTINCT id, unnest([substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)]) AS g FROM words),
+sets AS (SELECT id, list_sort(list(g)) AS s FROM grams GROUP BY id),
+class_of AS (SELECT s, min(id) AS class, count(*) AS n FROM sets GROUP BY s),
+class_grams AS (SELECT class, n, len(s) AS size, unnest(s) AS g FROM class_of),
+pairs AS (SELECT a.class AS a, b.class AS b, any_value(b.n) AS nb, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS likeness FROM class_grams a JOIN class_grams b USING (g) GROUP BY ALL)"""
+
+
+def _part_texts(t):
+    return t.part.select(F.col("p_partkey").alias("id"), F.expr(_PART_TEXT).alias("text"))
+
+
+@query(f"""WITH {_PART_GRAMS.replace("STRING", "VARCHAR")}
+SELECT s.id, c.class, (sum(nb) - 1)::BIGINT AS n_links FROM sets s JOIN class_of c USING (s) JOIN pairs p ON p.a = c.class WHERE likeness >= 0.7 GROUP BY ALL""")
+def str_10_join(t):
+    return similar.linked(_part_texts(t), "id", "text", 0.7)
+
+
+@query(f"""WITH {_PART_GRAMS.replace("STRING", "VARCHAR")},
+found AS (
+  SELECT q.id AS query_id, r.id, round(likeness, 6)::DOUBLE AS likeness FROM sets q JOIN class_of c ON c.s = q.s AND q.id % 20 = 0
+  JOIN pairs p ON p.a = c.class AND likeness >= 0.3 JOIN class_of d ON d.class = p.b JOIN sets r ON r.s = d.s)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY likeness DESC, id)::INT AS position FROM found) WHERE position <= 5""")
+def srt_06_index(t):
+    rows = _part_texts(t)
+    return similar.most_like(rows.where("id % 20 = 0"), rows, "id", "text", 5)

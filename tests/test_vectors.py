@@ -81,6 +81,6 @@ def test_registered_recall(spark):
 
 def test_nothing(spark):
     none = frame(spark, np.zeros((0, 4), np.float32))
-    some = frame(spark, clustered(40, 4)[:30])
+    some = frame(spark, clustered(800, 4)[:30])
     assert vectors.exact(some, vectors.build(none.where("vec_id >= 90000")), 3).collect() == []
     assert vectors.exact(none.where("vec_id >= 90000"), vectors.build(some), 3).collect() == []
