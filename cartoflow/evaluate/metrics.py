@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartoflow.evaluate.sampling import dealt
 from cartoflow.functions import stats
+from cartoflow.operators.patterns import occurring
 
 
 def confusion(rows: DataFrame, label: str, accepted: Column, *keys: str) -> DataFrame:
@@ -35,10 +36,9 @@ def yield_metrics(rows: DataFrame, key: str, fetched: Column, useful: Column) ->
 
 
 def canary_matches(entities: DataFrame, canaries: list[str]) -> DataFrame:
-    """For each of a stated list of names the first entity whose name has it (null: none)."""
-    spark = entities.sparkSession
-    wanted = spark.createDataFrame([(c,) for c in canaries], "canary string")
-    found = entities.select("id", F.lower("name").alias("_n")).join(F.broadcast(wanted), F.col("_n").contains(F.col("canary"))).groupBy("canary").agg(F.min("id").alias("first_id"))
+    """For each of a list of names, of any length, the first entity whose name has it (null: none)."""
+    wanted = entities.sparkSession.createDataFrame([(c,) for c in canaries], "canary string")
+    found = occurring(entities.select("id", F.lower("name").alias("text")), wanted, pattern="canary").groupBy(F.col("pattern").alias("canary")).agg(F.min("id").alias("first_id"))
     return wanted.join(found, "canary", "left")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartoflow.operators import polygons, similar, vectors
+from cartoflow.operators import patterns, polygons, similar, vectors
 from cartoflow.plans.carriers import query
+from cartoflow.relevance import lookup
 
 # ---------------------------------------------------------------------------------------------------------- shapes
 
@@ -110,3 +111,32 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY liken
 def srt_06_index(t):
     rows = _part_texts(t)
     return similar.most_like(rows.where("id % 20 = 0"), rows, "id", "text", 5)
+
+
+# -------------------------------------------------------------------------------------------- dictionaries and patterns
+
+_LABEL = "lower(concat_ws(' ', p_name, p_brand, p_type, 'k', CAST(p_partkey AS STRING)))"
+_SAID = """CASE s_suppkey % 6 WHEN 0 THEN concat('Part ', CAST(s_suppkey AS STRING)) WHEN 1 THEN concat(' ', upper(label), ' ') WHEN 2 THEN concat(substring(label, 1, 3), substring(label, 5))
+  WHEN 3 THEN concat_ws(' ', CAST(s_suppkey AS STRING), 'k', lower(p_type), lower(p_brand), split_part(p_name, ' ', 2), split_part(p_name, ' ', 1)) WHEN 4 THEN concat('the cat', CAST(s_suppkey AS STRING)) ELSE concat('zz', CAST(s_suppkey AS STRING)) END"""
+
+
+@query(f"""WITH labelled AS (SELECT *, {_LABEL.replace("STRING", "VARCHAR")} AS label FROM part)
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 6 < 5 THEN 'part_' || s_suppkey END AS concept_id, (['exact', 'alias', 'fuzzy', 'tokens', 'taxonomy', 'unresolved'])[(s_suppkey % 6 + 1)::INT] AS way,
+       round(CASE s_suppkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 0.95 WHEN 2 THEN 2 * (length(label) - 1) / (2 * length(label) - 1) WHEN 3 THEN 1 WHEN 4 THEN 0.6 ELSE 0.5 END, 6)::DOUBLE AS confidence
+FROM supplier JOIN labelled ON p_partkey = s_suppkey""")
+def rel_01_tables(t):
+    # A concept a part; suppliers ask for theirs in each of the six ways.
+    parts = t.part.withColumn("label", F.expr(_LABEL))
+    name = F.col("p_partkey").cast("string")
+    none = F.array().cast("array<string>")
+    concepts = parts.select(F.col("p_partkey").alias("position"), F.concat(F.lit("part_"), name).alias("concept_id"), F.array("label").alias("labels"), none.alias("strong"), F.array(F.concat(F.lit("cat"), name, F.lit("_x"))).alias("defining"))
+    asked = t.supplier.join(parts, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.expr(_SAID).alias("keyword"))
+    return asked.join(lookup.resolved(asked, concepts), "keyword").select("id", "concept_id", "way", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""WITH words AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{10,}'))) AS pattern FROM benchmark)
+SELECT pattern, count(doc_id)::BIGINT AS n_rows, min(doc_id) AS first_id FROM words LEFT JOIN documents ON contains(lower(text), pattern) GROUP BY pattern""")
+def jon_17_patterns(t):
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{10,}"), 0)).alias("w")).select(F.lower("w").alias("pattern")).distinct()
+    found = patterns.occurring(t.documents.select("doc_id", F.lower("text").alias("text")), words, "doc_id")
+    return words.join(found.groupBy("pattern").agg(F.count("*").alias("n_rows"), F.min("id").alias("first_id")), "pattern", "left").select("pattern", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first_id")
