@@ -521,12 +521,6 @@ def rel_14(t):
 # ------------------------------------------------------------------------------- entities, checks, scores, completion
 
 
-def _scores(t):
-    from cartoflow.resolve.entities import candidate_pairs, pair_scores
-
-    return pair_scores(candidate_pairs(t.places), t.places)
-
-
 _NORM = "array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '\\b(pvt|ltd)\\b', '', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> '')), ' ')"
 _PAIRS = f"""WITH s AS (SELECT *, floor((lon + 180) / 360 * {1 << 18})::BIGINT || ':' || floor((lat + 90) / 180 * {1 << 17})::BIGINT AS cell, {_NORM.format('name')} AS norm FROM places),
 keys AS (SELECT id, 'c' || cell AS k FROM s UNION ALL SELECT id, 'p' || phone FROM s WHERE phone IS NOT NULL UNION ALL SELECT id, 'd' || domain FROM s WHERE domain IS NOT NULL),
@@ -537,15 +531,21 @@ pairs AS (SELECT a, b, sure AS probability FROM duo WHERE sure IS NOT NULL
   UNION ALL SELECT a, b, least(1.0, 0.55 * {_indel('m', 'n')} + 0.45 * CASE WHEN d <= 30 THEN 1.0 WHEN d <= 80 THEN 0.75 WHEN d <= 200 THEN 0.4 ELSE 0 END) FROM duo WHERE sure IS NULL)"""
 
 
-@query(f"{_PAIRS} SELECT a, b, round(probability, 6)::DOUBLE AS probability FROM pairs")
+@query(f"""{_PAIRS}, ways AS (SELECT a AS id, b AS other, probability AS p FROM pairs UNION ALL SELECT b, a, probability FROM pairs),
+classes AS (SELECT norm, phone, domain, lon, lat, min(id) AS class FROM s GROUP BY ALL)
+SELECT s.id, any_value(class) AS class, count(*) FILTER (WHERE p IN (0.95, 0.92)) AS n_shared, count(*) FILTER (WHERE p >= 0.85 AND p NOT IN (0.95, 0.92)) AS n_match
+FROM s LEFT JOIN ways w ON w.id = s.id JOIN classes c ON c.norm = s.norm AND c.phone IS NOT DISTINCT FROM s.phone AND c.domain IS NOT DISTINCT FROM s.domain AND c.lon = s.lon AND c.lat = s.lat GROUP BY s.id""")
 def ent_01(t):
-    return _scores(t).withColumn("probability", F.round("probability", 6))
+    from cartoflow.resolve.blocks import link_counts
+
+    return link_counts(t.places)
 
 
 @query(f"{_PAIRS} SELECT CASE WHEN probability IN (0.95, 0.92) THEN 'shared' WHEN probability >= 0.85 THEN 'match' ELSE 'apart' END AS band, count(*) AS n FROM pairs GROUP BY 1")
 def ent_02(t):
-    p = F.col("probability")
-    return _scores(t).groupBy(F.when(p.isin(0.95, 0.92), "shared").when(p >= 0.85, "match").otherwise("apart").alias("band")).agg(F.count("*").alias("n"))
+    from cartoflow.resolve.blocks import bands
+
+    return bands(t.places)
 
 
 @query(f"""WITH RECURSIVE {_PAIRS[5:]}, links AS (SELECT id AS a, min(id) OVER (PARTITION BY phone) AS b FROM s WHERE phone IS NOT NULL UNION SELECT id, min(id) OVER (PARTITION BY domain) FROM s WHERE domain IS NOT NULL UNION SELECT a, b FROM pairs WHERE probability >= 0.85 AND probability NOT IN (0.95, 0.92)),

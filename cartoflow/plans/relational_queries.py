@@ -505,10 +505,13 @@ def jon_07(t):
     return R.staged_match(e.select("id"), stages).select("id", "match_id", "stage")
 
 
-@query(f"""WITH keys AS (SELECT id, 'd' || domain AS k FROM places WHERE domain IS NOT NULL UNION ALL SELECT id, 'p' || phone FROM places WHERE phone IS NOT NULL UNION ALL SELECT id, 'c' || floor((lon + 180) / 360 * {1 << 18})::BIGINT || ':' || floor((lat + 90) / 180 * {1 << 17})::BIGINT FROM places)
-SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y ON x.k = y.k AND x.id < y.id""")
+@query(f"""WITH keys AS (SELECT id, 'd' || domain AS k FROM places WHERE domain IS NOT NULL UNION ALL SELECT id, 'p' || phone FROM places WHERE phone IS NOT NULL UNION ALL SELECT id, 'c' || floor((lon + 180) / 360 * {1 << 18})::BIGINT || ':' || floor((lat + 90) / 180 * {1 << 17})::BIGINT FROM places),
+pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y ON x.k = y.k AND x.id <> y.id)
+SELECT id, count(b) AS n_partners FROM places LEFT JOIN pairs ON a = id GROUP BY id""")
 def jon_08(t):
-    return R.blocked_pairs(t.places, {"domain": F.col("domain"), "phone": F.col("phone"), "cell": geo.geohash(F.col("lon"), F.col("lat"), 7)})
+    from cartoflow.resolve.blocks import partners
+
+    return partners(t.places, {"domain": F.col("domain"), "phone": F.col("phone"), "cell": geo.geohash(F.col("lon"), F.col("lat"), 7)})
 
 
 _CELL = "SELECT id, floor((lon + 180) / 360 * 32768)::BIGINT AS x, floor((lat + 90) / 180 * 32768)::BIGINT AS y FROM places"

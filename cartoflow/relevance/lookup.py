@@ -1,11 +1,7 @@
 """Keywords resolved against a large dictionary, as tables: every stage is an equality join, and the best stage wins.
 
-The typo stage wants sequence likeness (twice the matched characters over both lengths) of ``least`` between strings whose
-lengths differ by MOST_APART at most.  Matched characters are a common subsequence, so a pair of lengths allows a known
-number e of letters that are left out on either side.  An entry is cut to e + 1 segments: one of them is whole in the
-keyword, moved by e places at most.  Segments are hash-joined with the keyword's pieces, by both lengths and number, so no
-keyword is held against the dictionary; the measure itself runs on what meets.  (All deletions of e letters would do the same
-with some thousand strings for a name of sixteen letters; segments are a few tens.)
+Typos meet by segments (``cartoflow.operators.typos``), shared words by an inverted index: no keyword is held against the
+dictionary.
 """
 
 from __future__ import annotations
@@ -13,64 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartoflow.functions.fuzzy import sequence_ratio
 from cartoflow.operators.similar import like_pairs
+from cartoflow.operators.typos import LEAST, typo_pairs
 from cartoflow.store.shared import spool
 
-LEAST, MOST_APART = 0.78, 4
-
-
-def _left_out(la: Column, lb: Column, least: float) -> Column:
-    """Letters that strings of these lengths may have besides the matched ones; -1 where they cannot be so like."""
-    matched = F.ceil(F.lit(least / 2) * (la + lb) - 1e-9).cast("int")
-    return F.when(matched <= F.least(la, lb), la + lb - 2 * matched).otherwise(F.lit(-1))
-
-
-def _lengths(n: Column) -> Column:
-    return F.sequence(F.greatest(n - MOST_APART, F.lit(1)), F.greatest(n + MOST_APART, F.lit(1)))
-
-
-def _segments(text: Column, least: float) -> Column:
-    """An entry's segments, for each length of keyword."""
-    lb = F.length(text)
-
-    def of(la: Column) -> Column:
-        e = _left_out(la, lb, least)
-        at = lambda i: F.floor(i * lb / (F.greatest(e, F.lit(0)) + 1)).cast("int")
-        each = F.transform(F.sequence(F.lit(0), F.greatest(e, F.lit(0))), lambda i: F.struct(la.alias("la"), lb.alias("lb"), i.alias("i"), F.substring(text, at(i) + 1, at(i + 1) - at(i)).alias("piece")))
-        return F.filter(each, lambda x: e >= 0)
-
-    return F.flatten(F.transform(_lengths(lb), of))
-
-
-def _pieces(text: Column, least: float) -> Column:
-    """A keyword's pieces where segments of an entry may be, for each length of entry."""
-    la = F.length(text)
-
-    def of(lb: Column) -> Column:
-        e = _left_out(la, lb, least)
-        at = lambda i: F.floor(i * lb / (F.greatest(e, F.lit(0)) + 1)).cast("int")
-
-        def moved(i: Column) -> Column:
-            size = at(i + 1) - at(i)
-            lo, hi = F.greatest(at(i) - e, F.lit(0)), F.least(at(i) + e, la - size)
-            each = F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda p: F.struct(la.alias("la"), lb.alias("lb"), i.alias("i"), F.substring(text, p + 1, size).alias("piece")))
-            return F.filter(each, lambda x: hi >= lo)
-
-        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(e, F.lit(0))), moved)), lambda x: e >= 0)
-
-    return F.array_distinct(F.flatten(F.transform(_lengths(la), of)))
-
-
-def typo_pairs(keywords: DataFrame, entries: DataFrame, least: float = LEAST) -> DataFrame:
-    """(keyword, entry, likeness) of two columns of strings, each distinct, that are at least so like."""
-    asked = keywords.select("keyword").where("length(keyword) > 0").distinct()
-    known = entries.select("entry").where("length(entry) > 0").distinct()
-    a = asked.select("keyword", F.inline(_pieces(F.col("keyword"), least)))
-    b = known.select("entry", F.inline(_segments(F.col("entry"), least)))
-    met = a.join(b, ["la", "lb", "i", "piece"]).select("keyword", "entry").distinct()
-    return met.withColumn("likeness", sequence_ratio("keyword", "entry")).where(F.col("likeness") >= least)
-
 
 def _stemmed(text: Column) -> Column:
     return F.when(text.endswith("ies"), F.regexp_replace(text, "ies$", "y")).otherwise(F.regexp_replace(text, "(?<!s)s$", ""))

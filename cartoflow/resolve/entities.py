@@ -57,10 +57,11 @@ def sure_links(rows: DataFrame) -> DataFrame:
 
 
 def match_links(rows: DataFrame) -> DataFrame:
-    """What ``clusters`` needs of rows (id, name, lon, lat, phone, domain): ``sure_links``, and the scored pairs of each
-    cell that have neither phone nor domain in common."""
-    cells = blocked_pairs(rows, {"cell": geo.geohash(F.col("lon"), F.col("lat"), 7)})
-    return sure_links(rows).union(pair_scores(cells, rows))
+    """What ``clusters`` needs of rows (id, name, lon, lat, phone, domain): ``sure_links``, and what names and places link
+    in each cell; no pairs of a block."""
+    from cartoflow.resolve.blocks import name_links
+
+    return sure_links(rows).union(name_links(rows))
 
 
 def clusters(rows: DataFrame, scores: DataFrame, least: float = MATCH) -> DataFrame:

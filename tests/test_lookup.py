@@ -3,6 +3,7 @@
 import difflib
 import random
 
+from cartoflow.operators import typos
 from cartoflow.relevance import lookup
 from cartoflow.relevance.dictionary import Concept, resolve
 
@@ -20,13 +21,15 @@ def test_typo_pairs(spark):
     known = ["a", "ab", "gym", "gyms", "bakery", "bakeries", "dental clinic", "pooja items", "hardware and tools", "aaaaaaaaaa", "abababababab"]
     known += ["".join(r.choice("abcde") for _ in range(r.randrange(1, 24))) for _ in range(150)]
     asked = [typo(r, w) for w in known for _ in range(3)] + ["", "zzz"]
-    got = {(x["keyword"], x["entry"]): x["likeness"] for x in lookup.typo_pairs(spark.createDataFrame([(k,) for k in [*asked, None]], "keyword string"), spark.createDataFrame([(k,) for k in [*known, None, ""]], "entry string")).collect()}
+    got = {(x["keyword"], x["entry"]): x["likeness"] for x in typos.typo_pairs(spark.createDataFrame([(k,) for k in [*asked, None]], "keyword string"), spark.createDataFrame([(k,) for k in [*known, None, ""]], "entry string")).collect()}
     want = {}
     for a in set(asked):
         for b in set(known):
             if a and b and abs(len(a) - len(b)) <= 4 and (s := difflib.SequenceMatcher(None, a, b).ratio()) >= 0.78:
                 want[a, b] = s
     assert got == want and len(want) > 300
+    wide = {(x["a"], x["b"]) for x in typos.meeting(spark.createDataFrame([(k,) for k in asked], "a string"), spark.createDataFrame([(k,) for k in known], "b string"), 0.7).collect()}
+    assert {(a, b) for a in set(asked) for b in known if a and difflib.SequenceMatcher(None, a, b).ratio() >= 0.7} <= wide
 
 
 def test_resolved(spark):
