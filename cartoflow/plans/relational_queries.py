@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cartoflow.functions import contact, geo, stats
 from cartoflow.operators import relational as R
-from cartoflow.plans.carriers import query
+from cartoflow.plans.carriers import ORACLE_SQL, query
+from cartoflow.store.keyed import KeyedTable
+from cartoflow.store.shared import shared_dir
 
 
 # --------------------------------------------------------------------------------------------------------- sources
@@ -217,7 +219,7 @@ def snk_01(t):
     from cartoflow.sources.sinks import append_checked
 
     rows = t.orders.where("o_orderstatus <> 'F'").select("o_orderkey", F.col("o_orderstatus").alias("reason_code"))
-    return append_checked(rows, "rejected_candidates").groupBy("reason_code").agg(F.count("*").alias("n_written"))
+    return append_checked(rows, "rejected_candidates", shared_dir(t.spark)).groupBy("reason_code").agg(F.count("*").alias("n_written"))
 
 
 @query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS category, c_custkey % 10 / 10.0::DOUBLE AS confidence, 'old' AS tier FROM customer WHERE c_custkey % 3 <> 0),
@@ -231,6 +233,18 @@ def snk_02(t):
     return R.upsert(old, new, ["id"], {"category": "fill", "confidence": "greatest", "tier": "with:confidence"}).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(ORACLE_SQL["snk_02"])
+def snk_02_store(t):
+    # The same on a stored table; the second batch is run again, which changes nothing.
+    k = F.col("c_custkey")
+    old = t.customer.where(k % 3 != 0).select(k.alias("id"), F.col("c_name").alias("name"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("category"), (k % 10 / 10.0).alias("confidence"), F.lit("old").alias("tier"))
+    new = t.customer.where(k % 4 != 0).select(k.alias("id"), F.upper("c_name").alias("name"), F.when(k % 5 == 0, "new").alias("category"), (k % 7 / 7.0).alias("confidence"), F.lit("new").alias("tier"))
+    table = KeyedTable(t.spark, shared_dir(t.spark), ["id"], {"category": "fill", "confidence": "greatest", "tier": "with:confidence"}, 8)
+    for batch, rows in (("1", old), ("2", new), ("2", new)):
+        table.upsert(rows, batch)
+    return table.read().withColumn("confidence", F.round("confidence", 6))
+
+
 @query("SELECT o_custkey % 3 AS source, o_custkey AS record_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS business_id FROM orders GROUP BY ALL")
 def snk_03(t):
     rows = t.orders.select((F.col("o_custkey") % 3).alias("source"), F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("business_id"), "o_orderdate")
@@ -249,6 +263,16 @@ def snk_05(t):
     return R.last_write_wins(rows, ["business_id", "check_name"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("business_id", "check_name", "outcome")
 
 
+@query(ORACLE_SQL["snk_05"])
+def snk_05_store(t):
+    # Two batches in the order of time, with many rows of one key in each.
+    rows = t.orders.select(F.col("o_custkey").alias("business_id"), F.col("o_orderpriority").alias("check_name"), F.col("o_orderstatus").alias("outcome"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("key"))
+    table = KeyedTable(t.spark, shared_dir(t.spark), ["business_id", "check_name"], buckets=8)
+    for batch, part in (("1", "at < DATE '1995-06-17'"), ("2", "at >= DATE '1995-06-17'")):
+        table.upsert(rows.where(part), batch, [F.col("at"), F.col("key")])
+    return table.read().select("business_id", "check_name", "outcome")
+
+
 @query("SELECT rank, coalesce(CASE WHEN rank % 2 = 0 THEN relevance_p / 2 END, relevance_p) AS relevance_p, decision FROM results")
 def snk_06(t):
     old = t.results.select("rank", "relevance_p", "decision")

@@ -6,28 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoflow.functions.contact import is_mobile
+from cartoflow.store.keyed import BATCH, append_batch
 
 COMPLIANCE = "Check numbers against the do-not-disturb register before calling."
 
 
-def append_checked(rows: DataFrame, table: str, path: str | None = None) -> DataFrame:
-    """Append rows to a Parquet table; what was appended must be as many rows as there were.  Without a path the rows
-    are given back as they would be written."""
+def append_checked(rows: DataFrame, table: str, path: str | None = None, batch: str = "0") -> DataFrame:
+    """Append rows to a Parquet table as one batch; what was appended must be as many rows as there were.  Without a path
+    the rows are given back as they would be written."""
     rows = rows.withColumn("_table", F.lit(table))
     if path is None:
         return rows
-    spark, before = rows.sparkSession, 0
-    try:
-        before = spark.read.parquet(path).count()
-    except Exception as e:  # no such table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    n = rows.count()
-    rows.write.mode("append").parquet(path)
-    now = spark.read.parquet(path).count()
-    if now - before != n:
-        raise RuntimeError(f"{table}: {n} rows were to be appended, {now - before} were")
-    return spark.read.parquet(path)
+    append_batch(rows, path, batch)
+    return rows.sparkSession.read.parquet(path).drop(BATCH)
 
 
 def export_rows(leads: DataFrame, columns: list[str]) -> DataFrame:
