@@ -801,6 +801,26 @@ def stm_06(t):
     return t.events.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'finished' WHEN 'error' THEN 'failed' ELSE event_type END AS kind FROM events),
+last AS (SELECT user_id, NULL::BIGINT AS event_id, (SELECT max(ms) - 600000 FROM e) AS ms, 'end' AS kind FROM e GROUP BY 1),
+g AS (SELECT *, lag(ms) OVER w AS prev, CASE WHEN lag(ms) OVER w IS NULL THEN 0 ELSE greatest(0, ms - lag(ms) OVER w) // 86400000 END AS due FROM (SELECT * FROM e UNION ALL SELECT * FROM last)
+  WINDOW w AS (PARTITION BY user_id ORDER BY kind = 'end', ms, event_id)),
+s AS (SELECT *, sum((due > 2)::INT) OVER (PARTITION BY user_id ORDER BY kind = 'end', ms, event_id) AS session FROM g),
+n AS (SELECT *, row_number() OVER w + coalesce(sum(CASE WHEN due <= 2 THEN due ELSE 0 END) OVER w, 0) AS seq, coalesce(sum((kind IN ('finished', 'failed'))::INT) OVER (PARTITION BY user_id, session ORDER BY kind = 'end', ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+  FROM s WINDOW w AS (PARTITION BY user_id, session ORDER BY kind = 'end', ms, event_id)),
+o AS (SELECT *, max(CASE WHEN kind = 'started' THEN ms END) OVER (PARTITION BY user_id, session, part ORDER BY kind = 'end', ms, event_id) AS began, lag(seq) OVER (PARTITION BY user_id ORDER BY kind = 'end', ms, event_id) AS before FROM n)
+SELECT user_id, seq::BIGINT AS seq, kind, 'page' AS stage, ms AS "at", CASE WHEN kind IN ('finished', 'failed') THEN ms - began END AS elapsed_ms FROM o WHERE kind <> 'end'
+UNION ALL SELECT user_id, (before + k)::BIGINT, 'heartbeat', NULL, prev + k * 86400000, NULL FROM (SELECT *, unnest(range(1, least(due, 2) + 1)) AS k FROM o)
+UNION ALL SELECT user_id, (before + 3)::BIGINT, 'done', NULL, prev + 3 * 86400000, NULL FROM o WHERE due > 2""")
+def stm_06_lifecycle(t):
+    """Stages of runs as a stream with timers: numbers, elapsed times, heartbeats after silent days, ends after two of them."""
+    from cartoflow.streaming.lifecycle import lifecycle, state_in_rocksdb
+
+    kind = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "finished").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    with state_in_rocksdb(t.spark):
+        return _stream(t, lambda rows: lifecycle(rows.select("user_id", F.col("event_id").alias("id"), kind.alias("kind"), F.lit("page").alias("stage"), "ts"), "user_id", 86_400_000, 2))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events")
 def stm_07(t):
     """A stream that stops and goes on from its checkpoint reads nothing twice."""
