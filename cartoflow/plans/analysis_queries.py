@@ -215,6 +215,25 @@ def txt_03(t):
     return structured(t.pages.withColumn("html", F.concat("html", data)), "page_id").select("page_id", "name", F.element_at("phones", 1).alias("phone"))
 
 
+@query("""SELECT page_id, 'Shop ' || page_id AS name, CASE page_id % 4 WHEN 1 THEN page_id || ' Main' END AS address,
+CASE page_id % 4 WHEN 0 THEN '+91' || page_id || '; +92' || page_id WHEN 1 THEN '+91 ' || page_id ELSE '' END AS phones,
+CASE page_id % 4 WHEN 2 THEN 'a' || page_id || '@x.in' ELSE '' END AS emails, CASE page_id % 4 WHEN 2 THEN 2 ELSE 1 END::INT AS n_items FROM pages WHERE page_id % 4 < 3""")
+def txt_03_markup(t):
+    """Markup of four kinds put into the pages' own: a list of JSON-LD, nested microdata, several items, none."""
+    from cartoflow.sources.markup import marked_up
+
+    kinds = (
+        '<script type="application/ld+json">[{"@type": "Event", "name": "no"}, {"@type": ["Thing", "Restaurant"], "name": "Shop #", "telephone": ["+91#", "+92#", "+91#"]}]</script>',
+        "<section itemtype='https://schema.org/Store' itemscope><h2 itemprop=name>Shop <b>#</b></h2><div itemprop=address itemscope itemtype=https://schema.org/PostalAddress><meta itemprop=name content=no><i itemprop=streetAddress># Main</i></div><p itemprop=telephone>+91 #</section>",
+        '<div itemscope itemtype="https://schema.org/Person"><b itemprop="name">no</b></div><div itemscope itemtype="https://schema.org/Organization"><b itemprop="name">Shop #</b><meta content="A#@X.in" itemprop="email"></div><p itemscope itemtype="x/Place"><i itemprop="name">late</i>',
+    )
+    k = F.col("page_id") % 4
+    data = F.when(k == 0, kinds[0]).when(k == 1, kinds[1]).when(k == 2, kinds[2]).otherwise("<div itemscope>")
+    html = F.concat(F.replace(data, F.lit("#"), F.col("page_id").cast("string")), "html")
+    out = marked_up(t.pages.select("page_id", html.alias("html")), "page_id")
+    return out.select("page_id", "name", "address", F.array_join("phones", "; ").alias("phones"), F.array_join("emails", "; ").alias("emails"), "n_items")
+
+
 @query("SELECT page_id, '+91800000' || (1000 + page_id % 9000) AS phone, 'a' || page_id || '@x.in' AS email FROM pages")
 def txt_04(t):
     from cartoflow.sources.pages import extracted
