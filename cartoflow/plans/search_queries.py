@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartoflow.operators import patterns, polygons, similar, vectors
+from cartoflow.operators import patterns, polygons, similar, sketches, vectors
 from cartoflow.plans.carriers import query
 from cartoflow.relevance import lookup
+from cartoflow.store.shared import spool
 
 # ---------------------------------------------------------------------------------------------------------- shapes
 
@@ -140,3 +141,25 @@ def jon_17_patterns(t):
     words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{10,}"), 0)).alias("w")).select(F.lower("w").alias("pattern")).distinct()
     found = patterns.occurring(t.documents.select("doc_id", F.lower("text").alias("text")), words, "doc_id")
     return words.join(found.groupBy("pattern").agg(F.count("*").alias("n_rows"), F.min("id").alias("first_id")), "pattern", "left").select("pattern", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first_id")
+
+
+# -------------------------------------------------------------------------------------------------------- sketches
+
+def _sources(t):
+    """Sketches of the customers of each run and source of orders, kept, and merged to sources."""
+    rows = t.orders.select((F.col("o_orderkey") % 10).alias("run"), F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("id"))
+    return sketches.merged(spool(sketches.sketched(rows, ["run", "source"], "id")), ["source"])
+
+
+@query("SELECT o_orderpriority AS source, count(DISTINCT o_custkey) AS n_entities, count(*)::BIGINT AS n_candidates FROM orders GROUP BY 1")
+def agg_11_sketch(t):
+    return _sources(t).select("source", sketches.size("sketch").alias("n_entities"), F.col("n_rows").alias("n_candidates"))
+
+
+@query("""WITH s AS (SELECT DISTINCT o_orderpriority AS source, o_custkey AS id FROM orders), n AS (SELECT source, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.source AS a, y.source AS b, x.n AS n_a, y.n AS n_b, (SELECT count(*) FROM s u JOIN s v ON u.id = v.id WHERE u.source = x.source AND v.source = y.source) AS n_both FROM n x JOIN n y ON x.source < y.source),
+q AS (SELECT *, n_a + n_b - n_both AS n_either, floor((n_a + 1) * (n_b + 1) / (n_both + 1) - 1)::BIGINT AS n_hat FROM p)
+SELECT *, least(1.0, round(n_either / greatest(n_hat, n_either), 3))::DOUBLE AS coverage FROM q""")
+def agg_07_sketch(t):
+    # Exact here: no source has more customers than a sketch keeps; tests have larger ones.
+    return sketches.overlaps(_sources(t), "source")
