@@ -18,6 +18,8 @@ null.  Empty table: empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,22 +33,33 @@ _TYPES = {"string": r"^STRING$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
 CHECKED, IDLE = {"type", "required", "properties", "enum", "minLength", "maxLength", "minimum", "maximum"}, {"title", "description", "default", "examples"}
 
 
+def _step(path: str, name: str) -> str:
+    """The path of a member; names that are no plain words are quoted."""
+    if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        return f"{path}.{name}"
+    quote = next((q for q in "'\"" if q not in name), None)
+    if quote is None or not name:
+        raise ValueError(f"{path}: a member named {name!r} has no path")
+    return f"{path}[{quote}{name}{quote}]"
+
+
 def violations(arguments: Column, schema: dict) -> Column:
     """What a JSON text violates, as a sorted array of ``path: rule``; the part of JSON Schema that is about objects of
-    typed members: type (one), required, properties, enum (of plain values), minLength, maxLength, minimum, maximum.  A
-    schema with any other keyword raises: nothing is taken for valid that was not checked."""
+    typed members: type (one), required, properties, enum (of plain values), minLength, maxLength, minimum, maximum.  What a
+    schema says of members holds where their parent is an object.  A schema with any other keyword raises: nothing is taken
+    for valid that was not checked."""
     value = F.try_parse_json(arguments)
     found: list[Column] = [F.when(value.isNull(), "$: json")]
 
-    def member(path: str, rule: dict, required: bool) -> None:
+    def member(path: str, rule: dict, required: bool, within: Column) -> None:
         if unknown := set(rule) - CHECKED - IDLE:
             raise ValueError(f"{path}: keywords that are not supported: {', '.join(sorted(unknown))}")
         here = F.try_variant_get(value, path, "variant")
         kind, absent = F.schema_of_variant(here), here.isNull()
         text, number = F.try_variant_get(value, path, "string"), F.try_variant_get(value, path, "double")
         is_text, is_number = kind == "STRING", kind.rlike(_TYPES["number"])
-        if required and path != "$":
-            found.append(F.when(value.isNotNull() & absent, f"{path}: required"))
+        if required:
+            found.append(F.when(within & absent, f"{path}: required"))
         if "type" in rule:
             if str(rule["type"]) not in ("integer", *_TYPES):
                 raise ValueError(f"{path}: type {rule['type']!r}")
@@ -63,16 +76,36 @@ def violations(arguments: Column, schema: dict) -> Column:
         for name, fails in (("minLength", lambda x: is_text & (F.length(text) < x)), ("maxLength", lambda x: is_text & (F.length(text) > x)), ("minimum", lambda x: is_number & (number < x)), ("maximum", lambda x: is_number & (number > x))):
             if name in rule:
                 found.append(F.when(~absent & fails(rule[name]), f"{path}: {name}"))
-        for name, inner in rule.get("properties", {}).items():
-            member(f"{path}.{name}", inner, name in rule.get("required", ()))
-        for name in rule.get("required", ()):
-            if name not in rule.get("properties", {}):
-                member(f"{path}.{name}", {}, True)
+        an_object = F.coalesce(kind.rlike(_TYPES["object"]), F.lit(False))
+        for name in dict.fromkeys((*rule.get("properties", {}), *rule.get("required", ()))):
+            member(_step(path, name), rule.get("properties", {}).get(name, {}), name in rule.get("required", ()), an_object)
 
-    member("$", schema, True)
+    member("$", schema, False, F.lit(False))
     return F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
+def _number(token: Column) -> Column:
+    """One text for each number: whole ones by their digits, others as their double."""
+    double, whole = token.try_cast("double"), token.try_cast("decimal(38,0)")
+    return F.when((double == F.rint(double)) & whole.isNotNull(), whole.cast("string")).otherwise(F.coalesce(double.cast("string"), token))
+
+
+def canonical(json: Column) -> Column:
+    """A JSON text with every number in one form, strings as they are: ``1e2``, ``100`` and ``100.0`` are ``100``.
+
+    Quotes part strings from the rest, once escaped ones are put aside (under control characters, which JSON never has).
+    """
+    masked = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    numbers = lambda part: F.array_join(F.transform(F.regexp_extract_all(part, F.lit("-?[0-9][0-9.eE+-]*|[^-0-9]+"), 0), lambda t: F.when(t.rlike("^-?[0-9]"), _number(t)).otherwise(t)), "")
+    parts = F.transform(F.split(masked, '"'), lambda part, i: F.when(i % 2 == 0, numbers(part)).otherwise(part))
+    return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+
+def in_order(linked: DataFrame) -> DataFrame:
+    """Every call after the one that it depends on; those without a depth come last."""
+    return linked.orderBy(F.col("depth").asc_nulls_last(), "id", "canonical_json")
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """From (id, parent), ids distinct: (id, depth), how many calls come before it on its way from a root."""
     parents = calls.select(F.col("id").alias("_id"))
@@ -112,7 +145,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str | None, dict])
     results = results.join(bad, "id").select("id", text().alias("name"), text().alias("arguments"), text().alias("parent"), "n_repeats", F.lit(None).cast("long").alias("depth"), "status", F.lit(None).cast("boolean").alias("called"), F.col("content").alias("result"))
     rows = rows.where("status <> 'conflict'").unionByName(calls).unionByName(results).withColumn("errors", F.when(F.col("called"), errors))
     json = F.to_json(F.struct(F.when(F.col("called"), F.try_parse_json(F.col("arguments"))).alias("arguments"), F.col("id"), F.col("name"), F.col("result")), {"ignoreNullFields": "false"})
-    return rows.select("id", "name", "parent", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), "depth", "status", F.when(F.col("called"), F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), json.alias("canonical_json"))
+    return rows.select("id", "name", "parent", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), "depth", "status", F.when(F.col("called"), F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), canonical(json).alias("canonical_json"))
 
 
 def turns(conversations: DataFrame) -> DataFrame:
