@@ -40,7 +40,7 @@ from cartoflow.llm.shards import PLACE, SHARD, spool_shards, summaries, with_sid
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _FILTER_BITS = 21
 #: Bytes of first windows that are merged at a time (a hundred times as many are compared).
 CHUNK = 1 << 20
