@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cartoflow.operators import patterns, polygons, similar, sketches, vectors
 from cartoflow.plans.carriers import query
 from cartoflow.relevance import lookup
-from cartoflow.store.shared import spool
+from cartoflow.sources.extract import scan_extract
+from cartoflow.store.shared import shared_dir, spool
 
 # ---------------------------------------------------------------------------------------------------------- shapes
 
@@ -65,6 +66,21 @@ def fil_07_shapes(t):
     return polygons.judged(points, zones(t), "of").select("id", "of", "gate")
 
 
+@query("""WITH inside AS (SELECT *, lon > 77.6003 AND lat > 13.0003 AND (lon - 77.6003) / 0.3 + (lat - 13.0003) / 0.4 < 1 AS here FROM places)
+SELECT id, name, source FROM inside WHERE here AND status IS DISTINCT FROM 'permanently_closed' AND source <> 'osm'""")
+def src_01_extract(t):
+    """Places as a nested extract in folders of sources, scanned by box on the nested columns, then by the ring."""
+    point = lambda c, by: (F.col(c) + by).cast("double")
+    box = F.struct(*[point(c, by).alias(n) for c, by, n in (("lon", -1e-9, "xmin"), ("lon", 1e-9, "xmax"), ("lat", -1e-9, "ymin"), ("lat", 1e-9, "ymax"))])
+    nested = t.places.select(F.col("id"), F.struct(F.col("name").alias("primary"), F.lit("x").alias("other")).alias("names"), box.alias("bbox"), F.col("status").alias("operating_status"), "lon", "lat", "source")
+    path = f"{shared_dir(t.spark)}/release=2024"
+    nested.repartitionByRange(8, "lon").write.partitionBy("source").parquet(path)
+    rows = scan_extract(t.spark, path, (77.6003, 13.0003, 77.9003, 13.4003), "id,names.primary,bbox,operating_status,lon,lat")
+    ring = t.spark.createDataFrame([(1, "POLYGON ((77.6003 13.0003, 77.9003 13.0003, 77.6003 13.4003, 77.6003 13.0003))")], "id int, wkt string")
+    found = polygons.located(rows.where("source <> 'osm'").select("id", F.col("names.primary").alias("name"), "source", "lon", "lat"), ring)
+    return found.where("gate = 'inside'").select("id", "name", "source")
+
+
 # --------------------------------------------------------------------------------------------------------- vectors
 
 
