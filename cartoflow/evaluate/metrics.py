@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartoflow.evaluate.sampling import dealt
 from cartoflow.functions import stats
 from cartoflow.operators.patterns import occurring
+from cartoflow.operators.relational import non_empty
 
 
 def confusion(rows: DataFrame, label: str, accepted: Column, *keys: str) -> DataFrame:
@@ -42,6 +45,32 @@ def canary_matches(entities: DataFrame, canaries: list[str]) -> DataFrame:
     return wanted.join(found, "canary", "left")
 
 
+def run_metrics(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of businesses, all at once or by key (a run): nine counts and the mean confidence, in one pass.
+
+    Rows have tier, phones and emails (arrays), website_url, website_domain, address_text, locality,
+    independent_source_count and confidence; a null tier is unverified.
+    """
+    tier, given = F.col("tier"), lambda *c: reduce(lambda a, b: a | b, [F.col(x).isNotNull() for x in c])
+    count = {
+        "verified": tier == "Verified", "likely": tier == "Likely", "unverified": (tier == "Unverified") | tier.isNull(), "with_phone": non_empty(F.col("phones")), "with_email": non_empty(F.col("emails")),
+        "with_website": given("website_url", "website_domain"), "with_address": given("address_text", "locality"), "multi_source": F.col("independent_source_count") > 1,
+    }
+    return rows.groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in count.items()], F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"))
+
+
+def shuffled_control(rows: DataFrame, deals: int = 5, buckets: int = 64) -> DataFrame:
+    """Precision against labels that are dealt anew, ``deals`` times: its mean and population deviation (one row).
+
+    Rows have id, label and accepted.  Labels move within buckets of ids, each the size of one task's share.
+    """
+    many = rows.select("id", "label", "accepted", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+    bucket = F.conv(F.substring(dealt("id", "deal"), 1, 8), 16, 10).cast("long") % buckets
+    after = F.lead("label").over(Window.partitionBy("deal", bucket).orderBy(F.md5(F.concat_ws(":", F.col("deal").cast("string"), F.col("id").cast("string"))), "id"))
+    each = confusion(many.withColumn("dealt", F.coalesce(after, F.col("label"))), "dealt", F.col("accepted"), "deal")
+    return each.agg(F.round(F.coalesce(F.avg("precision"), F.lit(0.0)), 4).alias("precision_mean"), F.round(F.coalesce(F.stddev_pop("precision"), F.lit(0.0)), 4).alias("precision_std"), F.count("*").alias("runs"))
+
+
 def yield_ratio(got: DataFrame, expected: DataFrame, key: str, default: int = 3, least: float = 0.6) -> DataFrame:
     rows = got.join(expected, key, "left").withColumn("expected_min", F.coalesce("expected_min", F.lit(default)))
     return rows.withColumn("ratio", F.col("accepted") / F.col("expected_min")).withColumn("passed", F.col("ratio") >= least)
@@ -106,7 +135,9 @@ def baselines(rows: DataFrame, keyword: str, seed: int = 0) -> DataFrame:
 
 
 def mutated(rows: DataFrame, kind: str) -> DataFrame:
-    """Inputs that must change what comes out."""
+    """Inputs that must change what comes out; a change of labels needs a column of them."""
+    if kind in ("inverted", "shuffled") and "label" not in rows.columns:
+        raise ValueError(f"{kind}: no column of labels")
     none = F.array().cast("array<string>")
     changes = {
         "no_categories": {"categories": none},
@@ -114,8 +145,9 @@ def mutated(rows: DataFrame, kind: str) -> DataFrame:
         "mangled_text": {"name": F.regexp_replace("name", "[aeiou]", "x")},
         "geo_bypass": {"lon": F.lit(0.0), "lat": F.lit(0.0)},
         "stale_query": {"name": F.reverse("name")},
-        "inverted": {"label": ~F.col("label")} if "label" in rows.columns else {},
     }
+    if kind == "inverted":
+        return rows.withColumn("label", ~F.col("label"))
     if kind == "empty":
         return rows.limit(0)
     if kind == "shuffled":

@@ -141,6 +141,26 @@ def blocked_pairs(rows: DataFrame, keys: dict[str, Column], id_: str = "id") ->
     return blocks.withColumnRenamed("_id", "a").join(blocks.withColumnRenamed("_id", "b"), ["kind", "value"]).where("a < b").select("a", "b").distinct()
 
 
+def with_children(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, str, list]], most: dict[str, int] | None = None) -> DataFrame:
+    """Parents with an array of structs for each child table, empty where there are none.
+
+    children: by name, (rows, column that is the parent's key, order); ``most`` bounds an array to its first rows, which are
+    then chosen before anything is gathered.
+    """
+    out = parents
+    for name, (rows, of, order) in children.items():
+        by = Window.partitionBy(of).orderBy(*order)
+        rows = rows.withColumn("_at", F.row_number().over(by))
+        if most and name in most:
+            rows = rows.where(F.col("_at") <= most[name])
+        fields = [c for c in rows.columns if c not in (of, "_at")]
+        lists = rows.groupBy(F.col(of).alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_at", F.struct(*fields).alias("row")))).alias(name))
+        lists = lists.select("_of", F.transform(name, lambda x: x["row"]).alias(name))
+        out = out.join(lists, F.col(key) == F.col("_of"), "left").drop("_of")
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    return out
+
+
 def top_similar(queries: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
     """For each of a bounded set of query vectors (id, embedding) the k rows of highest cosine, of ``least`` or more.
 

@@ -603,13 +603,24 @@ def _entities(t):
 _CHECKS = """ck AS (SELECT id, phone IS NOT NULL AS ph, id % 3 >= 2 AS ms, id % 2 = 0 AND domain IS NOT NULL AS em, id % 6 <> 0 AS web, status IS NULL OR status <> 'permanently_closed' AS op, id % 4 <> 0 AS ad, coalesce(regexp_matches(phone, '^\\+91[6-9]') AND domain IS NULL, false) AS risk, id % 3 AS nsrc FROM places)"""
 
 
-@query(f"""WITH {_CHECKS} SELECT 'phone_valid' AS check_name, 'passed' AS outcome, count(*) AS n FROM ck WHERE ph UNION ALL SELECT 'multi_source_agreement', 'passed', count(*) FROM ck WHERE ms UNION ALL SELECT 'operating_status_open', 'failed', count(*) FROM ck WHERE NOT op UNION ALL SELECT 'personal_number_risk', 'failed', count(*) FROM ck WHERE risk""")
+_ROOM = [(77.6005, 12.9005), (78.2005, 12.9005), (78.2005, 13.6005), (77.6005, 13.6005)]
+
+
+@query(f"""WITH {_CHECKS}, rows AS (
+  SELECT id, 'inside_boundary' AS check_name, CASE WHEN lon BETWEEN 77.6005 AND 78.2005 AND lat BETWEEN 12.9005 AND 13.6005 THEN 'passed' ELSE 'failed' END AS outcome FROM places
+  UNION ALL SELECT id, 'phone_valid', CASE WHEN phone IS NULL THEN 'inconclusive' WHEN regexp_full_match(phone, '\\+91[0-9]{{10}}') THEN 'passed' ELSE 'failed' END FROM places
+  UNION ALL SELECT id, 'personal_number_risk', 'failed' FROM ck WHERE risk
+  UNION ALL SELECT id, 'multi_source_agreement', 'passed' FROM ck WHERE ms
+  UNION ALL SELECT id, 'email_syntax', CASE WHEN em THEN 'passed' ELSE 'inconclusive' END FROM ck
+  UNION ALL SELECT id, 'email_mx', 'inconclusive' FROM ck WHERE em
+  UNION ALL SELECT id, 'website_accessible', CASE WHEN web THEN 'passed' ELSE 'failed' END FROM ck
+  UNION ALL SELECT id, 'operating_status_open', CASE WHEN op THEN 'passed' ELSE 'failed' END FROM ck
+  UNION ALL SELECT id, 'address_complete', CASE WHEN ad THEN 'passed' ELSE 'failed' END FROM ck)
+SELECT id, check_name, outcome FROM rows""")
 def ver_01(t):
     from cartoflow.quality.scoring import checks
 
-    rows = checks(_entities(t)).groupBy("check_name", "outcome").agg(F.count("*").alias("n"))
-    keep = [("phone_valid", "passed"), ("multi_source_agreement", "passed"), ("operating_status_open", "failed"), ("personal_number_risk", "failed")]
-    return rows.where(F.concat_ws("/", "check_name", "outcome").isin(["/".join(x) for x in keep]))
+    return checks(_entities(t), _ROOM).select(F.col("entity_id").alias("id"), "check_name", "outcome")
 
 
 @query()
@@ -701,6 +712,16 @@ def eva_02(t):
     return confusion(baselines(rows, "royal gym hotel"), "label", F.col("accepted"), "baseline").select("baseline", "tp", "fp")
 
 
+@query("""WITH base AS (SELECT id, category IN ('gym', 'hotel') AS y, id % 3 = 0 AS ok FROM places),
+dealt AS (SELECT s, ok, coalesce(lead(y) OVER (PARTITION BY s, ('0x' || substr(md5('deal:' || id), 1, 8))::BIGINT % 64 ORDER BY md5(s || ':' || id), id), y) AS y FROM base, range(5) r(s)),
+each AS (SELECT s, count(*) FILTER (y AND ok) / greatest(count(*) FILTER (ok), 1) AS p FROM dealt GROUP BY s)
+SELECT round(avg(p), 4)::DOUBLE AS precision_mean, round(stddev_pop(p), 4)::DOUBLE AS precision_std, count(*) AS runs FROM each""")
+def eva_02_deals(t):
+    from cartoflow.evaluate.metrics import shuffled_control
+
+    return shuffled_control(t.places.select("id", F.col("category").isin("gym", "hotel").alias("label"), (F.col("id") % 3 == 0).alias("accepted")))
+
+
 _OPEN = "(status IS NULL OR status <> 'permanently_closed')"
 
 

@@ -569,10 +569,25 @@ def jon_12(t):
     return t.results.join(t.customer, F.col("business_id") == F.col("c_custkey")).where("c_custkey = 7").orderBy(F.desc("created_at"), "rank").limit(10).select("rank", "created_at")
 
 
-@query("SELECT c_custkey AS id, count(o_orderkey) AS n_results, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS ranks FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+@query("""WITH runs AS (SELECT o_custkey AS k, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders)
+SELECT c_custkey AS id, c_name AS name,
+  coalesce((SELECT string_agg(p.f || '=' || p.v, ',' ORDER BY p.f) FROM (SELECT c.c_custkey AS k, unnest(['mktsegment', 'phone']) AS f, unnest([c_mktsegment, CASE WHEN c_custkey % 3 <> 0 THEN 'p' || c_custkey END]) AS v) p WHERE v IS NOT NULL), '') AS provenance,
+  coalesce((SELECT string_agg(event_type || ':' || n, ',' ORDER BY event_type) FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) e WHERE e.user_id = c.c_custkey), '') AS verifications,
+  coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT o_custkey AS k, o_orderpriority AS s FROM orders) o WHERE o.k = c.c_custkey), '') AS sources,
+  coalesce((SELECT string_agg(o_orderkey::VARCHAR, ',' ORDER BY n) FROM runs r WHERE r.k = c.c_custkey AND n <= 10), '') AS runs
+FROM customer c""")
 def jon_13(t):
-    child = t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("ranks"), F.count("*").alias("n_results"))
-    return t.customer.join(child, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.coalesce("ranks", F.lit("")).alias("ranks"))
+    # A lead's detail: four child lookups, each one join for all leads; of runs the last ten.
+    k = F.col("c_custkey")
+    field = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"))
+    provenance = t.customer.select(k.alias("k"), F.inline(F.array(field("mktsegment", F.col("c_mktsegment")), field("phone", F.when(k % 3 != 0, F.concat(F.lit("p"), k.cast("string"))))))).where("value IS NOT NULL")
+    verifications = t.events.groupBy(F.col("user_id").alias("k"), "event_type").agg(F.count("*").alias("n"))
+    sources = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("s")).distinct()
+    runs = t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderdate")
+    children = {"provenance": (provenance, "k", ["field"]), "verifications": (verifications, "k", ["event_type"]), "sources": (sources, "k", ["s"]), "runs": (runs, "k", [F.desc("o_orderdate"), "o_orderkey"])}
+    rows = R.with_children(t.customer.select(k.alias("id"), F.col("c_name").alias("name")), "id", children, {"runs": 10})
+    text = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    return rows.select("id", "name", text("provenance", lambda x: F.concat(x["field"], F.lit("="), x["value"])), text("verifications", lambda x: F.concat(x["event_type"], F.lit(":"), x["n"].cast("string"))), text("sources", lambda x: x["s"]), text("runs", lambda x: x["o_orderkey"].cast("string")))
 
 
 @query("SELECT a.n_nationkey, count(b.n_nationkey) AS n_siblings FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY 1")
@@ -613,22 +628,35 @@ def agg_01(t):
     return t.results.groupBy("run_id").agg(*[F.count_if(F.col("decision") == d).alias(d) for d in ("accepted", "review", "rejected")])
 
 
-_RUN = """count(*) AS total, count(*) FILTER (phone IS NOT NULL) AS with_phone, count(*) FILTER (domain IS NOT NULL) AS with_site, count(*) FILTER (status = 'operational') AS open_n,
-coalesce(round(avg(confidence), 6), 0) AS avg_confidence FROM results JOIN places ON business_id = id"""
+_RUN = """count(*) AS total, count(*) FILTER (confidence >= 0.8) AS verified, count(*) FILTER (confidence >= 0.6 AND confidence < 0.8) AS likely, count(*) FILTER (confidence < 0.6) AS unverified,
+count(phone) AS with_phone, count(*) FILTER (id % 2 = 0 AND domain IS NOT NULL) AS with_email, count(*) FILTER (domain IS NOT NULL OR id % 13 = 0) AS with_website,
+count(*) FILTER (id % 5 <> 0 OR id % 3 = 0) AS with_address, count(*) FILTER (id % 4 > 1) AS multi_source, round(coalesce(avg(confidence), 0), 6)::DOUBLE AS avg_confidence"""
 
 
-def _run(rows, *keys):
-    return rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("phone").isNotNull()).alias("with_phone"), F.count_if(F.col("domain").isNotNull()).alias("with_site"), F.count_if(F.col("status") == "operational").alias("open_n"), F.coalesce(F.round(F.avg("confidence"), 6), F.lit(0.0)).alias("avg_confidence"))
+def _businesses(t):
+    """Places as stored businesses; a tier of null and of its own name count alike."""
+    k, c = F.col("id"), F.col("confidence")
+    listed = lambda x: F.filter(F.array(x), lambda v: v.isNotNull())
+    return t.places.select(
+        "id", F.when(c >= 0.8, "Verified").when(c >= 0.6, "Likely").when(c >= 0.3, "Unverified").alias("tier"), listed(F.col("phone")).alias("phones"), F.when(k % 2 == 0, listed(F.concat(F.lit("a@"), "domain"))).alias("emails"),
+        F.when(k % 13 == 0, "http://x.in").alias("website_url"), F.col("domain").alias("website_domain"), F.when(k % 5 != 0, "1 Main Road").alias("address_text"), F.when(k % 3 == 0, "Indiranagar").alias("locality"),
+        (k % 4).alias("independent_source_count"), "confidence",
+    )
 
 
-@query(f"SELECT run_id, {_RUN} GROUP BY run_id")
+@query(f"SELECT run_id, {_RUN} FROM results JOIN places ON business_id = id GROUP BY run_id")
 def agg_02(t):
-    return _run(t.results.join(t.places, F.col("business_id") == F.col("id")), "run_id")
+    from cartoflow.evaluate.metrics import run_metrics
+
+    rows = t.results.select("run_id", "business_id").join(_businesses(t), F.col("business_id") == F.col("id"))
+    return run_metrics(rows, "run_id").withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
-@query(f"SELECT {_RUN}")
+@query(f"SELECT {_RUN} FROM places")
 def agg_03(t):
-    return _run(t.results.join(t.places, F.col("business_id") == F.col("id")))
+    from cartoflow.evaluate.metrics import run_metrics
+
+    return run_metrics(_businesses(t)).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 @query("SELECT count(DISTINCT o_custkey) FILTER (o_orderpriority ILIKE '%urgent%') AS n1, count(DISTINCT o_custkey) FILTER (o_orderpriority ILIKE '%high%') AS n2, count(DISTINCT o_custkey) AS total FROM orders")
