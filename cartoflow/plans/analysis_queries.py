@@ -584,6 +584,25 @@ def ent_04(t):
     return golden_records(t.places, of).select("cluster", F.col("independent_source_count").cast("long").alias("n_sources"), "canonical_name", F.round("lon", 8).alias("lon"))
 
 
+@query(f"""WITH m AS (SELECT *, id // 5 AS cluster, 'https://www.s' || id % 2 || '.com/p' || id AS social, CASE id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'review' ELSE 'rejected' END AS decision FROM places),
+s AS (SELECT cluster, string_agg(host || '>' || url, ',' ORDER BY host) AS socials FROM (SELECT cluster, 's' || id % 2 || '.com' AS host, max(social) AS url FROM m GROUP BY ALL) GROUP BY 1),
+g AS (SELECT cluster, arg_max(name, (length(name), -id)) AS canonical_name, coalesce(string_agg(DISTINCT phone, ',' ORDER BY phone), '') AS phones_e164, coalesce(string_agg(DISTINCT CASE WHEN id % 2 = 0 THEN 'a@' || domain END, ',' ORDER BY CASE WHEN id % 2 = 0 THEN 'a@' || domain END), '') AS emails,
+  string_agg(DISTINCT category, ',' ORDER BY category) AS categories, arg_min(domain, id) FILTER (domain IS NOT NULL) AS website_domain, arg_min('http://' || domain, id) FILTER (domain IS NOT NULL) AS website_url, avg(lon) AS lon, avg(lat) AS lat, count(DISTINCT source) AS independent_source_count,
+  string_agg(source || ':' || id, ',' ORDER BY source || ':' || id) AS source_ids, arg_min('Road ' || id, id) AS address, (list(status ORDER BY id))[1] AS operating_status, CASE WHEN bool_or(decision = 'accepted') THEN 'accepted' WHEN bool_or(decision = 'review') THEN 'review' ELSE 'accepted' END AS decision, max(confidence) AS relevance_p
+  FROM m GROUP BY cluster)
+SELECT g.* EXCLUDE (lon, lat), socials, round(lon, 8) AS lon, round(lat, 8) AS lat, cluster AS id, trim(regexp_replace(regexp_replace(lower(canonical_name), '\\b(pvt|ltd)\\b', '', 'g'), ' +', ' ', 'g')) AS name_norm FROM g JOIN s USING (cluster)""")
+def ent_04_whole(t):
+    from cartoflow.resolve.entities import golden_records
+
+    k = F.col("id")
+    rows = t.places.withColumns({"email": F.when(k % 2 == 0, F.concat(F.lit("A@"), "domain")), "website": F.concat(F.lit("http://"), "domain"), "social": F.concat(F.lit("https://www.s"), (k % 2).cast("string"), F.lit(".com/p"), k.cast("string")), "address": F.concat(F.lit("Road "), k.cast("string")), "decision": F.when(k % 4 == 0, "accepted").when(k % 4 == 1, "review").otherwise("rejected"), "p": F.col("confidence")})
+    out = golden_records(rows, rows.select("id", F.floor(k / 5).cast("long").alias("cluster")))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    social = F.array_join(F.array_sort(F.transform(F.map_entries("socials"), lambda x: F.concat(x["key"], F.lit(">"), x["value"]))), ",").alias("socials")
+    same = ("cluster", "canonical_name", "website_domain", "website_url", "address", "operating_status", "decision", "relevance_p", "id", "name_norm")
+    return out.select(*same, *map(text, ("phones_e164", "emails", "categories", "source_ids")), social, F.col("independent_source_count").cast("long").alias("independent_source_count"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+
+
 @query(f"SELECT id, round(m / 1000, 2) AS km FROM (SELECT id, {_HAV.replace(' FROM', ' AS m FROM', 1)})")
 def ent_05(t):
     return t.places.select("id", F.round(geo.haversine_m(F.col("lon"), F.col("lat"), F.lit(77.75), F.lit(12.97)) / 1000, 2).alias("km"))

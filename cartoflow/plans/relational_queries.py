@@ -254,7 +254,10 @@ def snk_03(t):
 @query("SELECT 'name' AS field, count(*) AS n FROM customer UNION ALL SELECT 'phone', count(*) FROM customer WHERE c_custkey % 3 <> 0")
 def snk_04(t):
     rows = t.places.select("id", F.explode(F.filter(F.array(F.struct(F.lit("name").alias("field"), F.col("name").alias("value")), F.struct(F.lit("phone").alias("field"), F.col("phone").alias("value"))), lambda x: x["value"].isNotNull())).alias("p"))
-    return rows.groupBy("p.field").agg(F.count("*").alias("n"))
+    from cartoflow.sources.sinks import append_checked
+
+    stored = append_checked(rows.select("id", "p.field", "p.value"), "field_provenance", shared_dir(t.spark))
+    return stored.groupBy("field").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey AS business_id, o_orderpriority AS check_name, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS outcome FROM orders GROUP BY ALL")
@@ -288,11 +291,35 @@ def snk_07(t):
     return export_rows(rows, ["id", "name", "phones"]).select("id", "name", "phones", "dnd_subscriber_risk")
 
 
+@query("""SELECT rank, name || CASE WHEN id % 9 = 0 THEN ' "A", b' || chr(10) || 'c' ELSE '' END AS name, category, coalesce(phone, '') || CASE WHEN phone IS NULL THEN '+9180' || id ELSE '; +9180' || id END AS phones,
+CASE WHEN id % 2 = 0 AND domain IS NOT NULL THEN 'a@' || domain ELSE '' END AS emails, CASE WHEN domain IS NOT NULL THEN 'http://' || domain ELSE '' END AS website, CASE WHEN id % 5 <> 0 THEN '1 Main Road' ELSE '' END AS address,
+'' AS locality, 'Bengaluru' AS city, 'KA' AS state, CASE WHEN confidence >= 0.8 THEN 'Verified' ELSE '' END AS tier, nullif(confidence, 0) AS confidence, (id % 4)::VARCHAR AS independent_sources, is_new::VARCHAR AS new_lead,
+CASE WHEN substr(phone, 4, 1) BETWEEN '6' AND '9' AND length(phone) >= 13 THEN 'personal_mobile_line' ELSE 'business_landline' END AS dnd_subscriber_risk, 'DPDP_3_c_ii_public_source' AS compliance_basis
+FROM results JOIN places ON business_id = id""")
+def snk_07_csv(t):
+    # All fifteen columns, written and read again; the rank comes along as the category's end.
+    from cartoflow.sources.sinks import lead_export, read_csv, write_csv
+
+    k = F.col("id")
+    rows = t.results.select("rank", "business_id", "is_new").join(t.places, F.col("business_id") == k)
+    leads = rows.select(
+        F.when(k % 9 == 0, F.concat("name", F.lit(' "A", b\nc'))).otherwise(F.col("name")).alias("canonical_name"), F.concat_ws("#", "category", "rank").alias("primary_category"), F.array("phone", F.lit(""), F.concat(F.lit("+9180"), k.cast("string"))).alias("phones_e164"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("a@"), "domain"))).alias("emails"), F.concat(F.lit("http://"), "domain").alias("website_url"), F.when(k % 5 != 0, "1 Main Road").alias("address_text"), F.lit(None).cast("string").alias("locality"),
+        F.lit("Bengaluru").alias("city"), F.lit("KA").alias("state"), F.when(F.col("confidence") >= 0.8, "Verified").alias("tier"), "confidence", (k % 4).alias("independent_source_count"), F.col("is_new").alias("is_new_business"),
+    )
+    out, path = lead_export(leads), shared_dir(t.spark)
+    write_csv(out, path)
+    back = read_csv(t.spark, path, out.columns)
+    return back.withColumns({"rank": F.substring_index("category", "#", -1).cast("long"), "category": F.substring_index("category", "#", 1), "confidence": F.col("confidence").try_cast("double")})
+
+
 @query("SELECT decision AS sheet, count(*) AS n FROM results GROUP BY 1")
 def snk_08(t):
-    from cartoflow.sources.sinks import sheets
+    from cartoflow.sources.sinks import read_csv, write_sheets
 
-    parts = [df.select(F.lit(name).alias("sheet")) for name, df in sheets(t.results).items()]
+    path = shared_dir(t.spark)
+    write_sheets(t.results, path)
+    parts = [read_csv(t.spark, f"{path}/{name}", t.results.columns).select(F.lit(name).alias("sheet")) for name in ("accepted", "review", "rejected")]
     return parts[0].union(parts[1]).union(parts[2]).groupBy("sheet").agg(F.count("*").alias("n"))
 
 
