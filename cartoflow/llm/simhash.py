@@ -9,9 +9,9 @@ link to the least of them, which is verified by counting bits, and links are con
 two texts of similarity s differ with probability acos(2s / (1 + s)) / pi, 0.15 at 0.8, so no radius that 64 bits allow
 would do.  It takes PARTS fingerprints of PART_BITS bits, each with its ball of one bit: two texts meet if one of the
 parts differs in RADIUS bits at most.  Texts with an equal part are linked before balls are made, so that a large group of
-copies makes few pairs.  In a ball, groups are in the order of their roots, and a text is compared with one text of each of
-the BESIDE groups before and after its own, and of the first and the last: all of them where strangers are few, a bounded
-number where they are many.  Pairs are dropped if all bits together are too far apart for the similarity, and then compared
+copies makes few pairs.  In a ball, a text is compared with the first and the last one; then groups are told anew, and a text is
+compared with one text of each of the BESIDE groups before and after its own, in the order of their roots: all of them where
+strangers are few, a bounded number where they are many.  Pairs are dropped if all bits together are too far apart for the similarity, and then compared
 by whole shingle sets.  A pair shares a ball with probability 0.918 at a similarity of 0.8, 0.989 at 0.85, 0.9998 at 0.9 and
 more above (``meeting``), and more in larger groups.  Of a billion different texts a ball has eight strangers on average,
 which are still compared nearly all; beyond that, pairs near 0.8 are lost first.
@@ -43,7 +43,7 @@ FEW = 24
 RADIUS = 2
 #: Of ``deduplicated``: words of a shingle, least similarity, fingerprints and the bits of each.
 WORDS, LEAST, PARTS, PART_BITS = 5, 0.8, 20, 32
-#: Groups before and after its own, in a ball, that a text is compared with, besides the first and the last.
+#: Groups before and after its own, in a ball, that a text is compared with.
 BESIDE = 4
 
 
@@ -253,27 +253,50 @@ def part_links(classes: DataFrame, least: float = LEAST, parts: int = PARTS) ->
     return _near_enough(met.select("x", F.col("id").alias("y")).distinct(), classes, "id", least, parts)
 
 
-def part_ball_links(classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
-    """Pairs (a, b) of texts (id, root, n, prints) that share a value of their balls and are not of one root yet: each text
-    with one of the first and of the last root of the ball, and of BESIDE roots on either side of its own.
+_UPPER = -(1 << 32)
 
-    Balls carry one number, the upper half of the root and the lower half of the id: all ids are hashes.
-    """
-    upper = F.lit(-(1 << 32))
-    classes = classes.withColumn("code", F.col("root").bitwiseAND(upper).bitwiseOR(F.col("id").bitwiseAND(F.lit(0xFFFFFFFF))))
+
+def _coded(classes: DataFrame) -> DataFrame:
+    """Texts (id, root, ...) with one number for both, the upper half of the root and the lower half of the id: all ids
+    are hashes."""
+    return classes.withColumn("code", F.col("root").bitwiseAND(F.lit(_UPPER)).bitwiseOR(F.col("id").bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
+def _apart(x: str, y: str) -> "F.Column":
+    return F.col(x).bitwiseAND(F.lit(_UPPER)) != F.col(y).bitwiseAND(F.lit(_UPPER))
+
+
+def balls(classes: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(variant, code, lo, hi): values of the balls of texts (code, prints) that more than one root has, with the first
+    and the last code of each.  Few values are left here."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(PART_BITS)])
     variants = _values(classes, parts, "code").select("code", F.explode(F.transform(flips, lambda x: F.col("value").bitwiseXOR(x))).alias("variant"))
-    ball, other = Window.partitionBy("variant"), lambda x, y: F.col(x).bitwiseAND(upper) != F.col(y).bitwiseAND(upper)
-    met = variants.withColumns({"lo": F.min("code").over(ball), "hi": F.max("code").over(ball)}).where(other("lo", "hi"))
-    # Few values are left here, those of more than one root.
-    ordered = Window.partitionBy("variant").orderBy("turn")
-    met = met.withColumn("turn", F.dense_rank().over(ball.orderBy(F.col("code").bitwiseAND(upper))))
-    beside = [F.min("code").over(ordered.rangeBetween(k, k)) for k in range(-BESIDE, BESIDE + 1) if k]
-    met = met.withColumns({f"beside_{i}": c for i, c in enumerate(beside)})
-    met = met.select("code", F.explode(F.array("lo", "hi", *[f"beside_{i}" for i in range(len(beside))])).alias("end")).where(F.col("end").isNotNull() & other("code", "end"))
+    ball = Window.partitionBy("variant")
+    return spool(variants.withColumns({"lo": F.min("code").over(ball), "hi": F.max("code").over(ball)}).where(_apart("lo", "hi")))
+
+
+def _compared(met: DataFrame, ends: list[str], classes: DataFrame, least: float, parts: int) -> DataFrame:
+    met = met.select("code", F.explode(F.array(*ends)).alias("end")).where(F.col("end").isNotNull() & _apart("code", "end"))
     return _near_enough(met.select(F.least("code", "end").alias("x"), F.greatest("code", "end").alias("y")).distinct(), classes, "code", least, parts)
 
 
+def end_links(met: DataFrame, classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
+    """Pairs (a, b): each text of a ball with the first and the last of other roots."""
+    return _compared(met, ["lo", "hi"], classes, least, parts)
+
+
+def beside_links(met: DataFrame, before: DataFrame, classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
+    """Pairs (a, b) of what is not of one root by now: each text of a ball with one of BESIDE roots on either side of its
+    own.  ``before`` has the codes (id, code) that the balls were made with."""
+    now = before.select("id", F.col("code").alias("_old")).join(classes.select("id", "code"), "id").select("_old", "code")
+    met = met.select("variant", F.col("code").alias("_old")).join(now, "_old").select("variant", "code")
+    ball = Window.partitionBy("variant")
+    met = met.withColumn("turn", F.dense_rank().over(ball.orderBy(F.col("code").bitwiseAND(F.lit(_UPPER)))))
+    ordered = ball.orderBy("turn")
+    beside = {f"beside_{k}": F.min("code").over(ordered.rangeBetween(k, k)) for k in range(-BESIDE, BESIDE + 1) if k}
+    return _compared(met.withColumns(beside), list(beside), classes, least, parts)
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose texts (id, text) have the similarity."""
 
@@ -316,8 +339,11 @@ def deduplicated(docs: DataFrame, least: float = LEAST, words: int = WORDS, part
     def rooted(links: DataFrame) -> DataFrame:
         return classes.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    # Equal parts first: what is one group by then needs no pairs within it, however many copies it has.
+    # Equal parts first, then the ends of balls: what is one group by then needs no pairs within it, however many copies it has.
     links = similar(part_links(classes, least, parts))
-    more = similar(part_ball_links(rooted(links), least, parts))
-    first = rooted(links.union(more)).groupBy("root").agg(F.min("k").alias("k"))
+    coded = spool(_coded(rooted(links)))
+    met = balls(coded, parts)
+    links = spool(links.union(similar(end_links(met, coded, least, parts))))
+    links = links.union(similar(beside_links(met, coded, _coded(rooted(links)), least, parts)))
+    first = rooted(links).groupBy("root").agg(F.min("k").alias("k"))
     return named(at_places(base, first.select(f"k.{SHARD}", f"k.{PLACE}")).select(*docs.columns))
