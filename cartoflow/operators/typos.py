@@ -60,7 +60,7 @@ def pieces(text: Column, least: float, apart: int | None = None) -> Column:
 
         return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(e, F.lit(0))), moved)), lambda x: e >= 0)
 
-    return F.array_distinct(F.flatten(F.transform(_lengths(la, least, apart), of)))
+    return F.flatten(F.transform(_lengths(la, least, apart), of))
 
 
 def meeting(left: DataFrame, right: DataFrame, least: float, apart: int | None = None, block: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartoflow.operators import patterns, polygons, similar, sketches, vectors
+from cartoflow.operators import ladder, patterns, polygons, similar, sketches, vectors
 from cartoflow.plans.carriers import query
 from cartoflow.relevance import lookup
 from cartoflow.sources.extract import scan_extract
@@ -179,3 +179,34 @@ SELECT *, least(1.0, round(n_either / greatest(n_hat, n_either), 3))::DOUBLE AS
 def agg_07_sketch(t):
     # Exact here: no source has more customers than a sketch keeps; tests have larger ones.
     return sketches.overlaps(_sources(t), "source")
+
+
+# ------------------------------------------------------------------------------------------------------- locations
+
+
+@query("""WITH seeds AS (SELECT s_suppkey AS j, 'City ' || substr(md5('c' || s_nationkey), 1, 12) AS city, s_nationkey, 'area ' || substr(md5(s_suppkey::VARCHAR), 1, 16) AS locality, 70 + s_suppkey / 100.0::DOUBLE AS lon, 10 + s_suppkey / 100.0::DOUBLE AS lat, s_suppkey % 2 = 0 AS boxed FROM supplier),
+firsts AS (SELECT s_nationkey, min(j) AS j FROM seeds GROUP BY 1), n AS (SELECT count(*) AS n FROM supplier),
+asked AS (SELECT c_custkey AS id, c_custkey % 6 AS way, c_custkey % n AS j, c_custkey % 25 AS nation, CASE WHEN c_custkey % 2 = 0 THEN 2000 ELSE 5000 END AS m FROM customer, n)
+SELECT id AS request_id, 'coordinates' AS tier, 'spot ' || id || ', India' AS display_name, 60 + id / 1000.0::DOUBLE AS lon, 20.0::DOUBLE AS lat, 'buffered_point' AS boundary_kind, m AS buffer_m, 1.0::DOUBLE AS geo_confidence FROM asked WHERE way = 0
+UNION ALL SELECT id, 'seed_area', locality || ', ' || city || ', S, India', lon, lat, CASE WHEN boxed THEN 'admin_polygon' ELSE 'buffered_point' END, CASE WHEN NOT boxed THEN m END, 0.92 FROM asked JOIN seeds USING (j) WHERE way = 1
+UNION ALL SELECT id, 'seed_city', s.city || ', S, India', s.lon, s.lat, CASE WHEN boxed THEN 'admin_polygon' ELSE 'buffered_point' END, CASE WHEN NOT boxed THEN m END, 0.95 FROM asked JOIN firsts f ON f.s_nationkey = nation JOIN seeds s ON s.j = f.j WHERE way = 2
+UNION ALL SELECT id, 'default', 'City ' || substr(md5('c' || nation), 1, 12) || ', India', NULL, NULL, NULL, m, 0 FROM asked WHERE way = 2 AND nation NOT IN (SELECT s_nationkey FROM firsts)
+UNION ALL SELECT id, CASE WHEN id % 12 = 3 THEN 'stored' ELSE 'default' END, CASE WHEN id % 12 = 3 THEN 'kept' ELSE 'once ' || md5(id::VARCHAR) || ', India' END, CASE WHEN id % 12 = 3 THEN 1 END, CASE WHEN id % 12 = 3 THEN 2 END, CASE WHEN id % 12 = 3 THEN 'admin_polygon' END, CASE WHEN id % 12 <> 3 THEN m END, CASE WHEN id % 12 = 3 THEN 0.5 ELSE 0 END FROM asked WHERE way = 3
+UNION ALL SELECT id, 'division', n_name || ', India', n_nationkey, -n_nationkey, 'admin_polygon', NULL, 0.8 FROM asked JOIN nation ON n_nationkey = nation WHERE way = 4
+UNION ALL SELECT id, CASE WHEN id % 2000 < 900 THEN 'recent' ELSE 'default' END, CASE WHEN id % 2000 < 900 THEN 'late' ELSE 'late ' || md5(id::VARCHAR) || ', India' END, CASE WHEN id % 2000 < 900 THEN 3 END, CASE WHEN id % 2000 < 900 THEN 4 END, CASE WHEN id % 2000 < 900 THEN 'admin_polygon' END, CASE WHEN id % 2000 >= 900 THEN m END, CASE WHEN id % 2000 < 900 THEN 0.6 ELSE 0 END FROM asked WHERE way = 5""")
+def geo_13_ladder(t):
+    """Requests of every rung: own coordinates, names with a letter left out, cities, answers kept and lately given, divisions."""
+    k, text, none = F.col("c_custkey"), lambda c: c.cast("string"), F.lit(None).cast("string")
+    city = lambda c: F.concat(F.lit("City "), F.substring(F.md5(F.concat(F.lit("c"), text(c))), 1, 12))
+    seeds = t.supplier.select(F.col("s_suppkey").alias("position"), city(F.col("s_nationkey")).alias("city"), F.lit("S").alias("state"), F.concat(F.lit("area "), F.substring(F.md5(text(F.col("s_suppkey"))), 1, 16)).alias("locality"), (F.lit(70) + F.col("s_suppkey") / 100.0).alias("lon"), (F.lit(10) + F.col("s_suppkey") / 100.0).alias("lat"), (F.col("s_suppkey") % 2 == 0).alias("boxed"))
+    way, own = k % 6, F.md5(text(k))
+    hashed = F.md5(text(k % F.col("n")))
+    locality = F.when(way == 0, F.concat(F.lit("spot "), text(k))).when(way == 1, F.concat(F.lit("Area "), F.substring(hashed, 1, 7), F.substring(hashed, 9, 8))).when(way == 3, F.concat(F.lit("once "), own)).when(way == 5, F.concat(F.lit("late "), own))
+    given = lambda c: F.when(way == 0, c).cast("double")
+    rows = t.customer.crossJoin(F.broadcast(t.supplier.agg(F.count("*").alias("n")))).join(t.nation, F.col("n_nationkey") == k % 25)
+    rows = rows.select(k.alias("request_id"), locality.alias("locality"), F.when(way == 2, city(k % 25)).alias("city"), none.alias("state"), F.when(way == 4, F.lower("n_name")).alias("raw_text"), given(F.lit(20.0)).alias("lat"), given(F.lit(60) + k / 1000.0).alias("lon"), none.cast("double").alias("radius_m"), F.when(k % 2 == 0, 50).otherwise(200).alias("max_results"))
+    key = ladder.cache_key(F.col("locality"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("India"))
+    kept = lambda where, name, x, y, p: rows.where(where).select(key.alias("key"), F.lit(name).alias("display_name"), F.lit(x).cast("double").alias("lon"), F.lit(y).cast("double").alias("lat"), F.lit("admin_polygon").alias("boundary_kind"), F.lit(None).cast("int").alias("buffer_m"), F.lit(p).alias("geo_confidence"), (F.col("request_id") % 2000).alias("age_s"))
+    divisions = t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("lon"), (-F.col("n_nationkey")).cast("double").alias("lat"), F.lit(0.8).alias("confidence"))
+    aliases = t.spark.createDataFrame([], "alias string, locality string, city string, state string")
+    return ladder.resolved(rows, aliases, kept("request_id % 6 = 5", "late", 3, 4, 0.6), seeds, kept("request_id % 12 = 3", "kept", 1, 2, 0.5), divisions)
