@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +13,13 @@ from cartoflow.store.keyed import BATCH, append_batch
 COMPLIANCE = "Check numbers against the do-not-disturb register before calling."
 
 
-def append_checked(rows: DataFrame, table: str, path: str | None = None, batch: str = "0") -> DataFrame:
-    """Append rows to a Parquet table as one batch; what was appended must be as many rows as there were.  Without a path
-    the rows are given back as they would be written."""
+def append_checked(rows: DataFrame, table: str, path: str | None = None, batch: str | None = None) -> DataFrame:
+    """Append rows to a Parquet table as one batch; what was appended must be as many rows as there were.  A batch with a name
+    may be run again.  Without a path the rows are given back as they would be written."""
     rows = rows.withColumn("_table", F.lit(table))
     if path is None:
         return rows
-    append_batch(rows, path, batch)
+    append_batch(rows, path, uuid.uuid4().hex if batch is None else batch)
     return rows.sparkSession.read.parquet(path).drop(BATCH)
 
 
