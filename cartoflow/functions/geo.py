@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -96,6 +96,24 @@ def geohash_block(lon: Column, lat: Column, precision: int = 7) -> Column:
     return F.array_distinct(F.filter(F.array(*cells), lambda c: c.isNotNull()))
 
 
+def geohash_neighbours(left: DataFrame, right: DataFrame, precision: int = 7) -> DataFrame:
+    """(id, other): rows (id, lon, lat) of both sides in one geohash cell or in neighbouring ones, as ``geohash_block`` has it.
+
+    Cells stay numbers, and neighbours are told for distinct cells, not for every row."""
+
+    def placed(rows: DataFrame, name: str, a: str, b: str) -> DataFrame:
+        x, y, *_ = _cells(F.col("lon"), F.col("lat"), precision)
+        return rows.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("id").alias(name), x.alias(a), y.alias(b))
+
+    bits = 5 * precision
+    nx, ny = 1 << (bits + 1) // 2, 1 << bits // 2
+    mine, theirs = placed(left, "id", "x", "y"), placed(right, "other", "x2", "y2")
+    moved = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    about = mine.select("x", "y").distinct().withColumn("m", moved).select("x", "y", F.pmod(F.col("x") + F.col("m.i"), F.lit(nx)).alias("x2"), (F.col("y") + F.col("m.j")).alias("y2"))
+    about = about.where(F.col("y2").between(0, ny - 1)).join(theirs.select("x2", "y2").distinct(), ["x2", "y2"])
+    return mine.join(about, ["x", "y"]).select("id", "x2", "y2").join(theirs, ["x2", "y2"]).select("id", "other")
+
+
 def buffer_ring(lon: Column, lat: Column, metres: Column, corners: int = 32) -> Column:
     """The corners of a regular polygon around a point, east-west scaled by latitude, 111,320 m a degree."""
     r = metres / 111_320.0

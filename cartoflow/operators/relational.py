@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartoflow.store.shared import spool
+
 
 # --------------------------------------------------------------------------------------------------------- filters
 
@@ -89,8 +91,8 @@ def suppressed_ids(businesses: DataFrame, suppression: DataFrame) -> DataFrame:
     return keys.join(listed, ["kind", "value"], "left_semi").select("id").distinct()
 
 
-def near_pairs(left: DataFrame, right: DataFrame, metres: float, at_most: int | None = None) -> DataFrame:
-    """Pairs (left_id, right_id, metres) of points within a distance, by grid cells and an exact test.
+def _near_points(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """(x1, y1, x2, y2, metres) of distinct points within a distance, by grid cells and an exact test.
 
     Cells are a little larger than the distance.  East-west a degree shrinks with latitude, so every row of cells has a
     width of its own, and a point looks for itself in the three rows about it by their widths; columns wrap at 180 degrees.
@@ -106,26 +108,50 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float, at_most: int |
         return F.greatest(F.lit(1), F.floor(F.lit(360.0 / size) * F.cos(F.radians(far)))).cast("long")
 
     column = lambda x, n: F.least(F.floor((F.pmod(x + 180.0, F.lit(360.0))) / 360.0 * n), n - 1).cast("long")
-    a = left.select(F.col("id").alias("left_id"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).withColumn("cy", row(F.col("y1")))
+    a = left.select(F.col("lon").alias("x1"), F.col("lat").alias("y1")).distinct().withColumn("cy", row(F.col("y1")))
     a = a.withColumn("cx", column(F.col("x1"), columns(F.col("cy"))))
-    b = right.select(F.col("id").alias("right_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), F.explode(F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])).alias("dy")).withColumn("cy", row(F.col("y2")) + F.col("dy")).drop("dy")
+    b = right.select(F.col("lon").alias("x2"), F.col("lat").alias("y2")).distinct().withColumn("dy", F.explode(F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)]))).withColumn("cy", row(F.col("y2")) + F.col("dy")).drop("dy")
     b = b.withColumn("_n", columns(F.col("cy")))
     here = column(F.col("x2"), F.col("_n"))
     around = F.array_distinct(F.array(*[F.pmod(here + i, F.col("_n")) for i in (-1, 0, 1)]))
     b = b.withColumn("cx", F.explode(around)).drop("_n")
-    pairs = a.join(b, ["cx", "cy"]).withColumn("metres", haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).where(F.col("metres") <= metres).select("left_id", "right_id", "metres")
-    if at_most is not None:
-        by = Window.partitionBy("left_id").orderBy(F.round("metres", 6), "right_id")
-        pairs = pairs.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= at_most).drop("_n")
-    return pairs
+    return a.join(b, ["cx", "cy"]).withColumn("metres", haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).where(F.col("metres") <= metres).select("x1", "y1", "x2", "y2", "metres")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, metres: float, at_most: int | None = None) -> DataFrame:
+    """Pairs (left_id, right_id, metres) of points within a distance; with ``at_most`` the nearest of each left row.
+
+    Rows of one point are measured once.  Of them no more than ``at_most`` come into any answer, those of least ids.
+    """
+    near = spool(_near_points(left, right, metres))
+    mine = left.select(F.col("id").alias("left_id"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
+    theirs = right.select(F.col("id").alias("right_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    if at_most is None:
+        return mine.join(near, ["x1", "y1"]).join(theirs, ["x2", "y2"]).select("left_id", "right_id", "metres")
+    best = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("metres", 6), "right_id"))).where(F.col("_n") <= at_most).drop("_n")
+    first = theirs.withColumn("_n", F.row_number().over(Window.partitionBy("x2", "y2").orderBy("right_id"))).where(F.col("_n") <= at_most).drop("_n")
+    found = spool(best(near.join(first, ["x2", "y2"]).select("x1", "y1", "right_id", "metres"), "x1", "y1"))
+    return best(mine.join(found, ["x1", "y1"]).select("left_id", "right_id", "metres"), "left_id")
+
+
+def near_counts(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """(id, n): how many right rows are within a distance of each left row that has any, without their pairs."""
+    sizes = right.groupBy(F.col("lon").alias("x2"), F.col("lat").alias("y2")).agg(F.count("*").alias("n"))
+    of = spool(_near_points(left, right, metres).join(sizes, ["x2", "y2"]).groupBy("x1", "y1").agg(F.sum("n").alias("n")))
+    return left.select("id", F.col("lon").alias("x1"), F.col("lat").alias("y1")).join(of, ["x1", "y1"]).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def near_named(new: DataFrame, store: DataFrame, metres: float) -> DataFrame:
-    """(id, match_id): entries of the store within a distance whose name has the other's, or the other way round."""
-    name = lambda df, i: df.select(F.col("id").alias(i), F.lower("name").alias(f"{i}_name"))
-    near = near_pairs(new.where("name is not null"), store.where("name is not null"), metres).join(name(new, "left_id"), "left_id").join(name(store, "right_id"), "right_id")
-    alike = F.col("left_id_name").contains(F.col("right_id_name")) | F.col("right_id_name").contains(F.col("left_id_name"))
-    return near.where(alike).select(F.col("left_id").alias("id"), F.col("right_id").alias("match_id"))
+    """(id, match_id): the least entry of the store within a distance whose name has the other's, or the other way round.
+
+    Rows of one name and point are a class; only classes are compared."""
+    of = lambda df, i: df.where("name is not null").select("id", F.lower("name").alias(f"name{i}"), F.col("lon").alias(f"x{i}"), F.col("lat").alias(f"y{i}"))
+    mine = of(new, 1)
+    theirs = of(store, 2).groupBy("name2", "x2", "y2").agg(F.min("id").alias("match_id"))
+    near = _near_points(new.where("name is not null"), store.where("name is not null"), metres)
+    met = mine.drop("id").distinct().join(near, ["x1", "y1"]).join(theirs, ["x2", "y2"]).where(F.col("name1").contains(F.col("name2")) | F.col("name2").contains(F.col("name1")))
+    best = spool(met.groupBy("name1", "x1", "y1").agg(F.min("match_id").alias("match_id")))
+    return mine.join(best, ["name1", "x1", "y1"]).select("id", "match_id")
 
 
 def staged_match(new: DataFrame, stages: list[DataFrame]) -> DataFrame:

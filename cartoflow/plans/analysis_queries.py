@@ -334,9 +334,9 @@ def geo_08(t):
 
 @query("SELECT a.id, count(*) AS n FROM places a JOIN places b ON abs(a.lat - b.lat) < 0.001 AND 2 * 6371000 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) <= 50 GROUP BY 1")
 def geo_09(t):
-    from cartoflow.operators.relational import near_pairs
+    from cartoflow.operators.relational import near_counts
 
-    return near_pairs(t.places, t.places, 50.0).groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("n"))
+    return near_counts(t.places, t.places, 50.0)
 
 
 @query("SELECT id, lon AS x, lat AS y FROM places")

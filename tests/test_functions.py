@@ -281,3 +281,36 @@ def test_streams(spark, tmp_path):
     for k, shape in enumerate((V.tumbling, V.sessions, V.once)):
         V.publish(shape(stream()), f"{tmp_path}/o{k}", f"{tmp_path}/s{k}").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/o2").count() == 120
+
+
+def test_near_points_of_copies(spark, monkeypatch):
+    """Rows of one point are measured once: no more pairs are measured than there are of distinct points."""
+    import random
+
+    r = random.Random(3)
+    where = [(77.6 + r.random() / 100, 12.9 + r.random() / 100) for _ in range(12)]
+    rows = [(i, *where[i % 12], ["Iron Gym", "gym", "Hotel", None][i % 4]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, lon double, lat double, name string")
+    measured = R._near_points(df, df, 120.0).collect()
+    assert len(measured) <= 144
+    near = {(m["x1"], m["y1"], m["x2"], m["y2"]): m["metres"] for m in measured}
+    of = {p[0]: sorted((round(near[p[1], p[2], q[1], q[2]], 6), q[0]) for q in rows if (p[1], p[2], q[1], q[2]) in near) for p in rows}
+    got = {}
+    for x in R.near_pairs(df, df, 120.0, at_most=7).collect():
+        got.setdefault(x["left_id"], []).append((round(x["metres"], 6), x["right_id"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v[:7] for k, v in of.items()}
+    assert {x["id"]: x["n"] for x in R.near_counts(df, df, 120.0).collect()} == {k: len(v) for k, v in of.items()}
+    names = {p[0]: (p[3] or "").lower() for p in rows}
+    want = {k: min([j for _, j in v if names[k] and names[j] and (names[j] in names[k] or names[k] in names[j])], default=None) for k, v in of.items()}
+    assert {x["id"]: x["match_id"] for x in R.near_named(df, df, 120.0).collect()} == {k: v for k, v in want.items() if v is not None}
+
+
+def test_geohash_neighbours(spark):
+    """Integer cells against the letters, at the date line and the poles; repeated ids keep their pairs."""
+    rows = [(i, lon, lat) for i, (lon, lat) in enumerate([(179.9999, 10.0), (-179.9999, 10.0), (0.0, 89.9999), (0.0, -89.9999), (77.6, 12.9), (77.6, 12.9), (77.6012, 12.9), (77.609, 12.9), (77.65, 12.9), (None, 1.0)])]
+    df = spark.createDataFrame(rows, "id int, lon double, lat double")
+    cells = {x["id"]: (x["c"], x["b"]) for x in df.where("lon IS NOT NULL").select("id", geo.geohash(F.col("lon"), F.col("lat"), 6).alias("c"), geo.geohash_block(F.col("lon"), F.col("lat"), 6).alias("b")).collect()}
+    want = sorted((i, j) for i in cells for j in cells if cells[j][0] in cells[i][1])
+    assert sorted(map(tuple, geo.geohash_neighbours(df, df, 6).collect())) == want and (0, 1) in want
+    twice = df.where("id = 4")
+    assert geo.geohash_neighbours(twice.union(twice), df.where("id = 5"), 6).count() == 2
