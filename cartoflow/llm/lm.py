@@ -9,9 +9,9 @@ scored, so windows overlap and every subword is scored once; then a hidden layer
 over the classes of the group, and within its class each id's share of the corpus.  Frequent ids have an input and a class
 of their own; all others, whatever their number, are dealt over the remaining ones.
 
-The fit reads a share of the training documents, chosen by hash, so it grows with the corpus.  They are dealt over
-trainers; in each round every trainer takes gradient steps on its part from the same weights, and the weights are averaged
-(by a tree of partial averages, so the driver gets a few of them only).
+The fit reads every training document, each window of it in one of the rounds (small corpora: more than once).  They are
+dealt over trainers; in each round every trainer takes gradient steps on its part from the same weights, and the weights are
+averaged (by a tree of partial averages, so the driver gets a few of them only).
 
 The probability of a word mixes, by Witten and Bell's weight N / (N + V), two ways to say it: as a word of the corpus,
 which is the model's probability of its first subword times the word's share of the corpus among words that begin so,
@@ -39,9 +39,8 @@ from cartoflow.llm.common import NOT_SPACE, Block, blocks, only, small_batches,
 from cartoflow.llm.shards import SHARD, SUMMARY, spool_shards, summaries, with_side, write_side
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: One training document in SHARE is fitted on, or more while they have less than PASSES subwords, which a small corpus is
-#: passed over for; in rounds of these learning rates.
-SHARE, PASSES, RATES = 32, 1 << 21, (0.03, 0.015, 0.006)
+#: A corpus of fewer than PASSES subwords is passed over again, three times at most; rounds have these learning rates.
+PASSES, RATES = 1 << 21, (0.03, 0.015, 0.006)
 #: Subwords a trainer has, and trainers at most (beyond, they have more each).
 TRAINER, TRAINERS = 1 << 19, 4096
 #: Averages that reach the driver at once, and subwords of a row of the fit.
@@ -372,8 +371,8 @@ def _subwords(vocabulary: Broadcast) -> Subwords:
     return _loaded[key]
 
 
-def _fit_rows(base: DataFrame, vocabulary: Broadcast, share: float) -> DataFrame:
-    """Spooled: (key, ids) of the training documents that are fitted on, by hash; very long ones in pieces."""
+def _fit_rows(base: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """Spooled: (key, ids) of all training documents; very long ones in pieces."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in blocks(batches, "text"):
@@ -385,8 +384,7 @@ def _fit_rows(base: DataFrame, vocabulary: Broadcast, share: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["key", "ids"])
 
     key = F.xxhash64("doc_id", "text")
-    chosen = base.where(~F.col("held_out") & (F.pmod(key, F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))))
-    return spool(chosen.select(key.alias("key"), "text").mapInArrow(each, "key long, ids binary"))
+    return spool(base.where(~F.col("held_out")).select(key.alias("key"), "text").mapInArrow(each, "key long, ids binary"))
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +426,7 @@ def trained(rows: DataFrame, counts: np.ndarray, rates: tuple[float, ...] = RATE
     return model
 
 
-def scored(docs: DataFrame, vocabulary: str = VOCABULARY, share: int = SHARE, rates: tuple[float, ...] = RATES) -> DataFrame:
+def scored(docs: DataFrame, vocabulary: str = VOCABULARY, rates: tuple[float, ...] = RATES) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -453,8 +451,7 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, share: int = SHARE, ra
     counts, begins = np.zeros(size, np.int64), np.zeros(size, np.int64)
     counts[h[h >= 0]], begins[-1 - h[h < 0]] = n[h >= 0], n[h < 0]
     counts[-1] = begins[-1] = n_train
-    fitted = _fit_rows(base, pieces, min(1.0, max(1 / share, PASSES / max(1, int(counts.sum())))))
-    model = spark.sparkContext.broadcast(trained(fitted, counts, rates))
+    model = spark.sparkContext.broadcast(trained(_fit_rows(base, pieces), counts, rates))
     known_share = total / (total + distinct) if total else 0.0
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
