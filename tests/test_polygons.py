@@ -77,3 +77,20 @@ def test_inner_cells_have_no_edges(spark, world):
 def test_nothing(spark):
     points, shapes = spark.createDataFrame([(1, 2.0, 3.0)], "id long, lon double, lat double"), spark.createDataFrame(BAD, "id long, wkt string")
     assert polygons.located(points, shapes).collect() == [] and polygons.located(points.limit(0), shapes).collect() == []
+
+
+def test_copies_are_held_against_each_other_once(spark, monkeypatch):
+    """Many rows of one point and of one shape: each of their pairs comes, the geometry is looked at once for each point."""
+    looked, spool = [], polygons.spool
+
+    def counted(df):
+        out = spool(df)
+        if "gate" in df.columns:
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(polygons, "spool", counted)
+    points = spark.createDataFrame([(i, 0.5 + i % 2 * 5, 0.5) for i in range(40)], "id long, lon double, lat double")
+    shapes = spark.createDataFrame([(k, "POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))") for k in range(7)] + [(90, None)], "id long, wkt string")
+    got = sorted((r["id"], r["shape_id"], r["gate"]) for r in polygons.located(points, shapes).collect())
+    assert got == sorted((i, k, "inside") for i in range(0, 40, 2) for k in range(7)) and looked == [1]
