@@ -551,13 +551,20 @@ pairs AS (SELECT a, b, sure AS probability FROM duo WHERE sure IS NOT NULL
 
 
 @query(f"""{_PAIRS}, ways AS (SELECT a AS id, b AS other, probability AS p FROM pairs UNION ALL SELECT b, a, probability FROM pairs),
-classes AS (SELECT norm, phone, domain, lon, lat, min(id) AS class FROM s GROUP BY ALL)
-SELECT s.id, any_value(class) AS class, count(*) FILTER (WHERE p IN (0.95, 0.92)) AS n_shared, count(*) FILTER (WHERE p >= 0.85 AND p NOT IN (0.95, 0.92)) AS n_match
-FROM s LEFT JOIN ways w ON w.id = s.id JOIN classes c ON c.norm = s.norm AND c.phone IS NOT DISTINCT FROM s.phone AND c.domain IS NOT DISTINCT FROM s.domain AND c.lon = s.lon AND c.lat = s.lat GROUP BY s.id""")
+classes AS (SELECT norm, phone, domain, lon, lat, min(id) AS class FROM s GROUP BY ALL),
+records AS (SELECT s.id, any_value(class) AS class, count(*) FILTER (WHERE p IN (0.95, 0.92)) AS n_shared, count(*) FILTER (WHERE p >= 0.85 AND p NOT IN (0.95, 0.92)) AS n_match
+  FROM s LEFT JOIN ways w ON w.id = s.id JOIN classes c ON c.norm = s.norm AND c.phone IS NOT DISTINCT FROM s.phone AND c.domain IS NOT DISTINCT FROM s.domain AND c.lon = s.lon AND c.lat = s.lat GROUP BY s.id),
+spots AS (SELECT cell, norm, lon, lat, min(id) AS spot FROM s GROUP BY ALL)
+SELECT 'record' AS kind, class AS a, id AS b, NULL::DOUBLE AS probability, n_shared, n_match FROM records
+UNION ALL SELECT 'phone', min(id) OVER (PARTITION BY phone), id, 0.95, NULL, NULL FROM s WHERE phone IS NOT NULL
+UNION ALL SELECT 'domain', min(id) OVER (PARTITION BY domain), id, 0.92, NULL, NULL FROM s WHERE domain IS NOT NULL
+UNION ALL SELECT 'place', min(id) OVER (PARTITION BY cell, norm, lon, lat), id, 1, NULL, NULL FROM s
+UNION ALL SELECT 'pair', a, b, round(least(1.0, 0.55 * {_indel('m', 'n')} + 0.45 * CASE WHEN d <= 30 THEN 1.0 WHEN d <= 80 THEN 0.75 WHEN d <= 200 THEN 0.4 ELSE 0 END), 6), NULL, NULL
+  FROM (SELECT x.spot AS a, y.spot AS b, x.norm AS m, y.norm AS n, sqrt(((x.lon - y.lon) * 111000 * 0.98) ** 2 + ((x.lat - y.lat) * 111000) ** 2) AS d FROM spots x JOIN spots y ON x.cell = y.cell AND x.spot < y.spot)""")
 def ent_01(t):
-    from cartoflow.resolve.blocks import link_counts
+    from cartoflow.resolve.blocks import pair_scores
 
-    return link_counts(t.places)
+    return pair_scores(t.places).withColumn("probability", F.round("probability", 6))
 
 
 @query(f"{_PAIRS} SELECT CASE WHEN probability IN (0.95, 0.92) THEN 'shared' WHEN probability >= 0.85 THEN 'match' ELSE 'apart' END AS band, count(*) AS n FROM pairs GROUP BY 1")

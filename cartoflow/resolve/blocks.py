@@ -29,26 +29,38 @@ def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
 
 
-def partners(rows: DataFrame, keys: dict[str, Column], id_: str = "id") -> DataFrame:
-    """(id, n_partners): other rows that share a value of any key; nulls share nothing."""
+def blocks_of(rows: DataFrame, keys: dict[str, Column], id_: str = "id") -> DataFrame:
+    """(id, class, <key>_of..., n_partners): the least id of the rows that agree in all keys and of those that share each
+    key (null: none), and how many other rows share any.  Two rows are a pair where a <key>_of of both is the same."""
     named = rows.select(F.col(id_).alias("id"), *[c.cast("string").alias(k) for k, c in keys.items()])
-    classes = spool(named.groupBy(*keys).agg(F.count("*").alias("n")))
+    classes = spool(named.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("class")))
     total, out = F.lit(0), classes
     for size in range(1, len(keys) + 1):
         for some in combinations(keys, size):
             name = "n_" + "_".join(some)
-            group = classes.dropna(subset=list(some)).groupBy(*some).agg((F.sum("n") - 1).alias(name))
+            least = [F.min("class").alias(f"{some[0]}_of")] if size == 1 else []
+            group = classes.dropna(subset=list(some)).groupBy(*some).agg((F.sum("n") - 1).alias(name), *least)
             out = out.join(group, list(some), "left")
             total = total + (1 if size % 2 else -1) * F.coalesce(F.col(name), F.lit(0))
-    out = out.select(*keys, total.cast("long").alias("n_partners"))
-    return named.join(out, _same(named, out, list(keys))).select("id", "n_partners")
+    of = [f"{k}_of" for k in keys]
+    out = out.select(*keys, "class", *of, total.cast("long").alias("n_partners"))
+    return named.join(out, _same(named, out, list(keys))).select("id", "class", *of, "n_partners")
+
+
+def partners(rows: DataFrame, keys: dict[str, Column], id_: str = "id") -> DataFrame:
+    """(id, n_partners): other rows that share a value of any key; nulls share nothing."""
+    return blocks_of(rows, keys, id_).select("id", "n_partners")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    name = F.array_join(F.array_sort(F.filter(F.split(text.business_name(F.col("name")), " +"), lambda w: w != "")), " ")
+    return rows.select("id", name.alias("name"), "phone", "domain", "lon", "lat", geo.geohash(F.col("lon"), F.col("lat"), 7).alias("cell"))
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, class), and (class, n, name, phone, domain, lon, lat, cell) of rows that agree in all of these; a class is
     known by its least id."""
-    name = F.array_join(F.array_sort(F.filter(F.split(text.business_name(F.col("name")), " +"), lambda w: w != "")), " ")
-    named = rows.select("id", name.alias("name"), "phone", "domain", "lon", "lat", geo.geohash(F.col("lon"), F.col("lat"), 7).alias("cell"))
+    named = _named(rows)
     of = ["name", "phone", "domain", "lon", "lat", "cell"]
     classes = spool(named.groupBy(*of).agg(F.min("id").alias("class"), F.count("*").alias("n")))
     return named.join(classes, _same(named, classes, of)).select("id", "class"), classes
@@ -94,6 +106,31 @@ def link_counts(rows: DataFrame, least: float = MATCH) -> DataFrame:
     return members.join(matched, "class").join(shared, "id").select("id", "class", "n_shared", "n_match")
 
 
+def pair_scores(rows: DataFrame) -> DataFrame:
+    """Every pair of a block with its probability, unexpanded: (kind, a, b, probability, n_shared, n_match).
+
+    ``record`` rows have a row's class (a) and the numbers of its links; ``phone``, ``domain`` and ``place`` rows tell which
+    rows (b) share a phone, a domain, or one name and place, by the least id (a) of those; ``pair`` rows hold two places of
+    one cell, by those ids.  Of two rows the first of these holds that is true of both: same phone, domain or place (its
+    probability), else that of the pair of their places.
+    """
+    plain, none = _named(rows), F.lit(None).cast("long")
+    record = link_counts(rows).select(F.lit("record").alias("kind"), F.col("class").alias("a"), F.col("id").alias("b"), F.lit(None).cast("double").alias("probability"), "n_shared", "n_match")
+
+    def shared(kind: str, by: list[str], p: float) -> DataFrame:
+        known = plain.dropna(subset=by)
+        return known.join(known.groupBy(*by).agg(F.min("id").alias("a")), by).select(F.lit(kind).alias("kind"), "a", F.col("id").alias("b"), F.lit(p).alias("probability"), none.alias("n_shared"), none.alias("n_match"))
+
+    place = ["cell", "name", "lon", "lat"]
+    places = spool(plain.dropna(subset=place).groupBy(*place).agg(F.min("id").alias("id")))
+    side = lambda s: places.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "lon", "lat")])
+    metres = geo.flat_m(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"))
+    met = side("a").join(side("b"), "cell").where("a_id < b_id")
+    p = F.least(F.lit(1.0), NAME_WEIGHT * fuzzy.token_sort_ratio("a_name", "b_name") + PLACE_WEIGHT * location_score(metres))
+    pair = met.select(F.lit("pair").alias("kind"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), p.alias("probability"), none.alias("n_shared"), none.alias("n_match"))
+    return record.union(shared("phone", ["phone"], 0.95)).union(shared("domain", ["domain"], 0.92)).union(shared("place", place, 1.0)).union(pair)
+
+
 def bands(rows: DataFrame) -> DataFrame:
     """(band, n): pairs that share a key by what links them: ``shared``, ``match``, or nothing (``apart``)."""
     counts = link_counts(rows).agg((F.coalesce(F.sum("n_shared"), F.lit(0)) / 2).cast("long").alias("shared"), (F.coalesce(F.sum("n_match"), F.lit(0)) / 2).cast("long").alias("match"))

@@ -81,3 +81,28 @@ def test_partners(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert blocks.link_counts(none).collect() == [] and blocks.bands(none).collect() == []
+
+
+def test_every_pair_can_be_read_back(spark):
+    """The unexpanded forms hold each pair of a block, with its probability: as many as there are, and the same."""
+    rows = entities_of(2)
+    df = spark.createDataFrame(rows, SCHEMA)
+    keys = {"phone": F.col("phone"), "domain": F.col("domain"), "cell": geo.geohash(F.col("lon"), F.col("lat"), 7)}
+    cell = {r["id"]: r["c"] for r in df.select("id", keys["cell"].alias("c")).collect()}
+    norm = {r["id"]: r["n"] for r in df.select("id", entities.text.business_name(F.col("name")).alias("n")).collect()}
+    plain = [(i, norm[i], *rest) for i, _, *rest in rows]
+    of = {r["id"]: [r[f"{k}_of"] for k in keys] for r in blocks.blocks_of(df, keys).collect()}
+    kinds = {}
+    for r in blocks.pair_scores(df).collect():
+        kinds.setdefault(r["kind"], {})[(r["a"], r["b"]) if r["kind"] == "pair" else r["b"]] = r["probability"] if r["kind"] == "pair" else r["a"]
+    phone, domain, place, pair = (kinds[k] for k in ("phone", "domain", "place", "pair"))
+    for x, a in enumerate(plain):
+        for b in plain[x + 1 :]:
+            i, j = a[0], b[0]
+            met = any(p is not None and p == q for p, q in zip(of[i], of[j], strict=True))
+            assert met == (a[4] is not None and a[4] == b[4] or a[5] is not None and a[5] == b[5] or cell[i] is not None and cell[i] == cell[j])
+            same = next((p for of_, p in ((phone, 0.95), (domain, 0.92), (place, 1.0)) if i in of_ and of_[i] == of_.get(j)), None)
+            if same is None and i in place and j in place:
+                same = pair.get((min(place[i], place[j]), max(place[i], place[j])))
+            want = probability(a, b, cell)[0]
+            assert (same is None) == (want is None) and (want is None or abs(same - want) < 1e-9), (a, b)
