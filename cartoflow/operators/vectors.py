@@ -52,16 +52,23 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 
 
 def centroids_of(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Directions of spherical k-means; cells that run empty take the members that are farthest from their own."""
-    points = unit(sample)
-    found = points[np.linspace(0, len(points) - 1, cells).astype(int)]
+    """Directions of spherical k-means; cells that run empty take the members that are farthest from their own.
+
+    The sample is held once, as it is; what is computed of it is a block's at a time.
+    """
+    blocks = np.array_split(np.arange(len(sample)), len(sample) // 512 + 1)
+    found = unit(sample[np.linspace(0, len(sample) - 1, cells).astype(int)])
+    near, like = np.zeros(len(sample), np.int32), np.zeros(len(sample))
     for _ in range(rounds):
-        near = np.concatenate([(p @ found.T).argmax(1) for p in np.array_split(points, len(points) // 4096 + 1)])
         sums = np.zeros_like(found)
-        np.add.at(sums, near, points)
+        for at in blocks:
+            points = unit(sample[at])
+            cosines = points @ found.T
+            near[at], like[at] = cosines.argmax(1), cosines.max(1)
+            np.add.at(sums, near[at], points)
         empty = np.flatnonzero(np.bincount(near, minlength=cells) == 0)
         if len(empty):
-            sums[empty] = points[(points * found[near]).sum(1).argsort(kind="stable")[: len(empty)]]
+            sums[empty] = unit(sample[like.argsort(kind="stable")[: len(empty)]])
         found = unit(sums)
     return found
 

@@ -84,3 +84,16 @@ def test_nothing(spark):
     some = frame(spark, clustered(800, 4)[:30])
     assert vectors.exact(some, vectors.build(none.where("vec_id >= 90000")), 3).collect() == []
     assert vectors.exact(none.where("vec_id >= 90000"), vectors.build(some), 3).collect() == []
+
+
+def test_fit_holds_its_sample_once():
+    """What the driver needs beside the sample is some blocks, not copies of all of it."""
+    import tracemalloc
+
+    sample = np.random.default_rng(0).standard_normal((60_000, 32), dtype=np.float32)
+    sample[1000:1400] = sample[0]  # equal members leave cells empty
+    tracemalloc.start()
+    found = vectors.centroids_of(sample, 64, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape == (64, 32) and peak < sample.nbytes
