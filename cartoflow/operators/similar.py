@@ -12,12 +12,18 @@ texts.  Texts without a gram are like nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartoflow.store.shared import spool
 
 
+#: Likenesses that the most like rows are asked for in turn, while fewer than k are found.
+STEPS = (0.8, 0.6, 0.45)
+
+
 def padded_grams(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
     of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
@@ -68,9 +74,21 @@ def most_like(queries: DataFrame, rows: DataFrame, id_: str, text: str, k: int,
     asked, asked_sets = classes(queries, id_, text)
     members, sets = classes(rows, id_, text)
     by = Window.partitionBy("class").orderBy("id")
+    sets = spool(sets)
     first = members.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= k).select("id", F.col("class").alias("b"))  # more of a class never come in
-    found = like_pairs(asked_sets, sets, least).select("a", "b", F.round("likeness", 6).alias("likeness"))
-    found = found.join(first, "b")
+    first = spool(first)
     best = Window.partitionBy("a").orderBy(F.desc("likeness"), "id")
-    found = found.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
+    done, rest = [], spool(asked_sets)
+    # A high likeness meets few and is asked first; a query that has k rows there has its answer, as no other row is so like.
+    for step in [x for x in STEPS if x > least] + [least]:
+        low = max(least, step - 1e-6)  # what is rounded up to the step ties with it
+        found = like_pairs(rest, sets, low).select("a", "b", F.round("likeness", 6).alias("likeness")).join(first, "b")
+        found = spool(found.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k))
+        if step == least:
+            done.append(found)
+            break
+        full = spool(found.where((F.col("position") == k) & (F.col("likeness") >= step)).select("a"))
+        done.append(found.join(full, "a", "left_semi"))
+        rest = spool(rest.join(full, F.col("class") == F.col("a"), "left_anti"))
+    found = reduce(DataFrame.unionByName, done)
     return asked.withColumnRenamed("id", "query_id").join(found, F.col("class") == F.col("a")).select("query_id", "id", "likeness", "position")

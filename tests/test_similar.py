@@ -51,3 +51,20 @@ def test_bounds(spark):
     assert similar.linked(none, "id", "name", 0.5).collect() == []
     with pytest.raises(ValueError):
         similar.linked(none, "id", "name", 0.0)
+
+
+def test_high_likeness_is_asked_first(spark, monkeypatch):
+    """Queries that have k rows at a high likeness are not held against the many of a low one."""
+    asked, like_pairs = [], similar.like_pairs
+
+    def told(left, right, least):
+        asked.append((round(least, 3), left.count()))
+        return like_pairs(left, right, least)
+
+    monkeypatch.setattr(similar, "like_pairs", told)
+    rows = spark.createDataFrame([(i, f"Sri Balaji Pooja Store {i % 4}") for i in range(40)] + [(100, "Iron Gym"), (101, "Iron Gyms")], "id long, name string")
+    got = {}
+    for r in similar.most_like(rows.where("id in (0, 100)"), rows, "id", "name", 5).collect():
+        got.setdefault(r["query_id"], []).append((r["position"], r["id"]))
+    assert sorted(got[0]) == [(i + 1, 4 * i) for i in range(5)] and sorted(got[100]) == [(1, 100), (2, 101)]
+    assert asked[0] == (0.8, 2) and asked[-1] == (0.3, 1)
