@@ -8,13 +8,13 @@ link to the least of them, which is verified by counting bits, and links are con
 ``deduplicated`` is for a similarity, by default shingles of WORDS words and a Jaccard similarity of LEAST: SimHash bits of
 two texts of similarity s differ with probability acos(2s / (1 + s)) / pi, 0.15 at 0.8, so no radius that 64 bits allow
 would do.  It takes PARTS fingerprints of PART_BITS bits, each with its ball of one bit: two texts meet if one of the
-parts differs in RADIUS bits at most.  Texts with an equal part are linked before balls are made, so that a large group of
-copies makes few pairs.  In a ball, a text is compared with the first and the last one; then groups are told anew, and a text is
-compared with one text of each of the BESIDE groups before and after its own, in the order of their roots: all of them where
-strangers are few, a bounded number where they are many.  Pairs are dropped if all bits together are too far apart for the similarity, and then compared
-by whole shingle sets.  A pair shares a ball with probability 0.918 at a similarity of 0.8, 0.989 at 0.85, 0.9998 at 0.9 and
-more above (``meeting``), and more in larger groups.  Of a billion different texts a ball has eight strangers on average,
-which are still compared nearly all; beyond that, pairs near 0.8 are lost first.
+parts differs in RADIUS bits at most.  Texts with an equal part are linked to the least of them before balls are made, so that
+a large group of copies makes few pairs; an equal part is in the balls too, so what that leaves apart meets again there.  In a
+ball of TOGETHER texts or fewer, each is compared with each of another group: pairs are dropped if all bits together are too
+far apart for the similarity, and then compared by whole shingle sets.  The texts of all larger balls meet by their rare
+shingles instead (``rare_links``), which is exact: every pair of them that has the similarity is found, and a ball of many that are
+a little less alike makes few pairs.  A pair shares a ball with probability 0.918 at a similarity of 0.8, 0.989 at 0.85, 0.9998
+at 0.9 and more above (``meeting``), and more in larger groups.  Full balls lose nothing, they only make more texts meet the exact way.
 
 Cases.  Null or empty text, or no words: fingerprint zero, linked like any other.  Repeated rows or ids: a row each; the
 component's id is the least doc_id in it.  Null doc_id: takes part, but is never the least; a component of nulls only has
@@ -24,7 +24,7 @@ a null id.  Empty table: empty result.  Other columns are ignored, or kept by ``
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import NOT_SPACE, Block, blocks, gram_hashes, mixed, only, set_aside, small_batches, span_hashes, spool
+from cartoflow.llm.common import NOT_SPACE, Block, blocks, gram_hashes, grouped_rank, mixed, only, set_aside, small_batches, span_hashes, spool
 from cartoflow.llm.shards import PLACE, SHARD, at_places, spool_rows
 from cartoflow.operators.components import components
 
@@ -43,8 +43,10 @@ FEW = 24
 RADIUS = 2
 #: Of ``deduplicated``: words of a shingle, least similarity, fingerprints and the bits of each.
 WORDS, LEAST, PARTS, PART_BITS = 5, 0.8, 20, 32
-#: Groups before and after its own, in a ball, that a text is compared with.
-BESIDE = 4
+#: Texts of a ball that are compared each with each; those of larger ones meet by rare shingles.
+TOGETHER = 9
+#: Counters of shingles, by which rare ones are told; their number bounds what the driver gets.
+COUNTERS = 1 << 17
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -267,34 +269,79 @@ def _apart(x: str, y: str) -> "F.Column":
 
 
 def balls(classes: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(variant, code, lo, hi): values of the balls of texts (code, prints) that more than one root has, with the first
-    and the last code of each.  Few values are left here."""
+    """(variant, code, size): values of the balls of texts (code, prints) that more than one root has, and how many texts
+    each has.  Few values are left here."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(PART_BITS)])
     variants = _values(classes, parts, "code").select("code", F.explode(F.transform(flips, lambda x: F.col("value").bitwiseXOR(x))).alias("variant"))
     ball = Window.partitionBy("variant")
-    return spool(variants.withColumns({"lo": F.min("code").over(ball), "hi": F.max("code").over(ball)}).where(_apart("lo", "hi")))
+    met = variants.withColumns({"lo": F.min("code").over(ball), "hi": F.max("code").over(ball), "size": F.count("*").over(ball)})
+    return spool(met.where(_apart("lo", "hi")).select("variant", "code", "size"))
 
 
-def _compared(met: DataFrame, ends: list[str], classes: DataFrame, least: float, parts: int) -> DataFrame:
-    met = met.select("code", F.explode(F.array(*ends)).alias("end")).where(F.col("end").isNotNull() & _apart("code", "end"))
-    return _near_enough(met.select(F.least("code", "end").alias("x"), F.greatest("code", "end").alias("y")).distinct(), classes, "code", least, parts)
+def few_links(met: DataFrame, classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
+    """Pairs (a, b): each text of a ball of at most TOGETHER with all others of other roots."""
+    ordered = Window.partitionBy("variant").orderBy("code")
+    others = {f"before_{k}": F.lag("code", k).over(ordered) for k in range(1, TOGETHER)}
+    pairs = met.where(F.col("size") <= TOGETHER).withColumns(others).select(F.col("code").alias("y"), F.explode(F.array(*others)).alias("x"))
+    return _near_enough(pairs.where(F.col("x").isNotNull() & _apart("x", "y")).select("x", "y").distinct(), classes, "code", least, parts)
 
 
-def end_links(met: DataFrame, classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
-    """Pairs (a, b): each text of a ball with the first and the last of other roots."""
-    return _compared(met, ["lo", "hi"], classes, least, parts)
+def rare_prefixes(texts: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """Spooled: (id, n, at, gram), the rarest shingles of each of the texts (id, text), as many as the similarity needs, with their
+    places in the order of rareness.
 
+    Two sets with a similarity of t share one of the first n - ceil(t * n) + 1 of both, in whatever order, if it is one for
+    all; here it is by counters that several shingles have in common, then by hash.
+    """
 
-def beside_links(met: DataFrame, before: DataFrame, classes: DataFrame, least: float = LEAST, parts: int = PARTS) -> DataFrame:
-    """Pairs (a, b) of what is not of one root by now: each text of a ball with one of BESIDE roots on either side of its
-    own.  ``before`` has the codes (id, code) that the balls were made with."""
-    now = before.select("id", F.col("code").alias("_old")).join(classes.select("id", "code"), "id").select("_old", "code")
-    met = met.select("variant", F.col("code").alias("_old")).join(now, "_old").select("variant", "code")
-    ball = Window.partitionBy("variant")
-    met = met.withColumn("turn", F.dense_rank().over(ball.orderBy(F.col("code").bitwiseAND(F.lit(_UPPER)))))
-    ordered = ball.orderBy("turn")
-    beside = {f"beside_{k}": F.min("code").over(ordered.rangeBetween(k, k)) for k in range(-BESIDE, BESIDE + 1) if k}
-    return _compared(met.withColumns(beside), list(beside), classes, least, parts)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for _, block in blocks(batches, "text"):
+            total += np.bincount((shingles(block, words)[1] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["counter", "n"])
+
+    found = texts.mapInArrow(counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["counter"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    counts = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, block in blocks(batches, "text"):
+            of, grams = shingles(block, words)
+            order = np.lexsort((grams, counts.value[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)], of))
+            of, grams, n = of[order], grams[order], block.per_text(of)
+            at = grouped_rank(of)
+            kept = np.flatnonzero(at <= n[of] - np.ceil(n[of] * least - 1e-9).astype(np.int64))
+            ids = rows.column(rows.schema.get_field_index("id")).to_numpy()
+            of = of[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(n[of]), pa.array(at[kept]), pa.array(grams[kept].view(np.int64))], names=["id", "n", "at", "gram"])
+
+    return spool(texts.mapInArrow(each, "id long, n long, at long, gram long"))
+
+
+def rare_links(texts: DataFrame, rooted: Callable[[DataFrame | None], DataFrame], least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """Links (a, b) that join all of the texts (id, text) with the similarity; ``rooted`` tells (id, root) by links so far and more.
+
+    Those that share a rare shingle are held against the least of them first, so that large groups of near copies are of one
+    root when what is still apart is compared, all of it.
+    """
+    rare = rare_prefixes(texts, least, words)
+    small = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9
+    now = rare.join(rooted(None), "id")
+    head = F.min(F.struct("id", "root", "n")).over(Window.partitionBy("gram"))
+    first = now.withColumn("h", head).where((F.col("h.root") != F.col("root")) & small("h.n", "n")).select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = similar_pairs(first, texts, least, words)
+    now = rare.join(rooted(links), "id")
+    # Of shingles that two roots have by now: after the first one that a pair shares, it can share no more than is left of both.
+    roots = Window.partitionBy("gram")
+    now = spool(now.withColumns({"lo": F.min("root").over(roots), "hi": F.max("root").over(roots)}).where("lo <> hi").drop("lo", "hi"))
+    side = lambda x: now.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "n", "at")])
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = rest >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
+    met = side("a").join(side("b").withColumnRenamed("gram", "gram_b"), (F.col("gram") == F.col("gram_b")) & apart & small("n_a", "n_b") & enough)
+    return links.union(similar_pairs(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), texts, least, words))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
@@ -331,19 +378,23 @@ def deduplicated(docs: DataFrame, least: float = LEAST, words: int = WORDS, part
     # Equal texts are one class; a copy that a third of all documents are is one row a partition here.
     classes = spool(rows.groupBy(F.col("text_hash").alias("id")).agg(F.min(choice).alias("k"), F.first("n").alias("n"), F.first("prints").alias("prints")))
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """Spooled: (id, text)."""
+        return spool(at_places(base.select("text_hash", "text", SHARD, PLACE), ids.join(classes, "id").select(f"k.{SHARD}", f"k.{PLACE}")).select(F.col("text_hash").alias("id"), "text"))
+
     def similar(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = at_places(base.select("text_hash", "text", SHARD, PLACE), needed.join(classes, "id").select(f"k.{SHARD}", f"k.{PLACE}"))
-        return similar_pairs(pairs, spool(texts.select(F.col("text_hash").alias("id"), "text")), least, words)
+        return similar_pairs(pairs, texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), least, words)
 
     def rooted(links: DataFrame) -> DataFrame:
         return classes.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    # Equal parts first, then the ends of balls: what is one group by then needs no pairs within it, however many copies it has.
+    # Equal parts first: what is one group by then needs no pairs within it, however many copies it has.
     links = similar(part_links(classes, least, parts))
     coded = spool(_coded(rooted(links)))
     met = balls(coded, parts)
-    links = spool(links.union(similar(end_links(met, coded, least, parts))))
-    links = links.union(similar(beside_links(met, coded, _coded(rooted(links)), least, parts)))
+    links = spool(links.union(similar(few_links(met, coded, least, parts))))
+    crowd = spool(met.where(F.col("size") > TOGETHER).select("code").distinct().join(coded, "code").select("id"))
+    if crowd.take(1):
+        links = links.union(rare_links(texts_of(crowd), lambda more: rooted(links if more is None else links.union(more)).select("id", "root"), least, words))
     first = rooted(links).groupBy("root").agg(F.min("k").alias("k"))
     return named(at_places(base, first.select(f"k.{SHARD}", f"k.{PLACE}")).select(*docs.columns))
