@@ -9,9 +9,10 @@ scored, so windows overlap and every subword is scored once; then a hidden layer
 over the classes of the group, and within its class each id's share of the corpus.  Frequent ids have an input and a class
 of their own; all others, whatever their number, are dealt over the remaining ones.
 
-The fit reads every training document, each window of it in one of the rounds (small corpora: more than once).  They are
-dealt over trainers; in each round every trainer takes gradient steps on its part from the same weights, and the weights are
-averaged (by a tree of partial averages, so the driver gets a few of them only).
+The fit reads every training document, each in one of the rounds (small corpora: more than once).  A round's documents are
+cut to subwords and dealt over trainers when it comes, so the others' are not on disk; every trainer takes gradient steps on
+its part from the same weights, and the weights are averaged (by a tree of partial averages, so the driver gets a few of
+them only).
 
 The probability of a word mixes, by Witten and Bell's weight N / (N + V), two ways to say it: as a word of the corpus,
 which is the model's probability of its first subword times the word's share of the corpus among words that begin so,
@@ -25,17 +26,17 @@ of over PIECE characters are cut to pieces of so many before subwords, all of wh
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoflow.llm.common import NOT_SPACE, Block, blocks, only, small_batches, span_hashes, spool
+from cartoflow.llm.common import NOT_SPACE, Block, blocks, only, small_batches, span_hashes
 from cartoflow.llm.shards import SHARD, SUMMARY, spool_shards, summaries, with_side, write_side
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -371,8 +372,16 @@ def _subwords(vocabulary: Broadcast) -> Subwords:
     return _loaded[key]
 
 
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _of_round(key: Column, part: int, of: int) -> Column:
+    return F.pmod(key, F.lit(of)) == part
+
+
 def _fit_rows(base: DataFrame, vocabulary: Broadcast) -> DataFrame:
-    """Spooled: (key, ids) of all training documents; very long ones in pieces."""
+    """(key, ids) of the training documents of ``base``; very long ones in pieces."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in blocks(batches, "text"):
@@ -383,8 +392,7 @@ def _fit_rows(base: DataFrame, vocabulary: Broadcast) -> DataFrame:
             found = [(keys[i], ids[at : min(at + PIECE_IDS, cuts[i + 1])].astype(np.int32).tobytes()) for i in range(block.n) for at in range(cuts[i], cuts[i + 1], PIECE_IDS)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["key", "ids"])
 
-    key = F.xxhash64("doc_id", "text")
-    return spool(base.where(~F.col("held_out")).select(key.alias("key"), "text").mapInArrow(each, "key long, ids binary"))
+    return base.where(~F.col("held_out")).select(_key().alias("key"), "text").mapInArrow(each, "key long, ids binary")
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,11 +404,13 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(weights / total).astype(np.float32).tobytes()])], names=["n", "weights"])
 
 
-def trained(rows: DataFrame, counts: np.ndarray, rates: tuple[float, ...] = RATES) -> Attention:
-    """The model of rows (key, ids), in rounds of local steps and averages; ``counts`` of all ids in the corpus."""
+def trained(rows: DataFrame, counts: np.ndarray, rates: tuple[float, ...] = RATES, turn: Callable[[int, int], DataFrame] | None = None) -> Attention:
+    """The model of rows (key, ids), in rounds of local steps and averages; ``counts`` of all ids in the corpus.  Rows are of
+    one round by their keys; ``turn`` gives those of a round where that is cheaper than to pick them from all."""
     spark, model = rows.sparkSession, Attention(len(counts))
     model.learn_ids(counts)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 4
+    turn = turn or (lambda part, of: rows.where(_of_round(F.col("key"), part, of)))
+    size = int(counts.sum())
     if not size:
         return model
     passes = min(3, -(-PASSES // size))
@@ -408,16 +418,16 @@ def trained(rows: DataFrame, counts: np.ndarray, rates: tuple[float, ...] = RATE
     for part, rate in enumerate(rates):
         now = spark.sparkContext.broadcast(model)
 
-        def each(batches: Iterator[pa.RecordBatch], part: int = part, rate: float = rate, now: Broadcast = now) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch], rate: float = rate, now: Broadcast = now) -> Iterator[pa.RecordBatch]:
             found = [np.frombuffer(x, np.int32) for batch in batches for x in batch.column(1).to_pylist()]
             if found:
                 texts = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 mine = now.value.copy()
-                n = mine.fit(np.concatenate(found), texts, passes, rate, part, len(rates))
+                n = mine.fit(np.concatenate(found), texts, passes, rate)
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mine.flat().tobytes()])], names=["n", "weights"])
 
-        weights, left = rows.repartition(trainers).sortWithinPartitions("key", "ids").mapInArrow(each, "n long, weights binary"), trainers
+        weights, left = turn(part, len(rates)).repartition(trainers).sortWithinPartitions("key", "ids").mapInArrow(each, "n long, weights binary"), trainers
         while left > FEW:
             left = int(np.ceil(np.sqrt(left)))
             weights = weights.repartition(left).mapInArrow(_average, "n long, weights binary")
@@ -451,7 +461,7 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, rates: tuple[float, ..
     counts, begins = np.zeros(size, np.int64), np.zeros(size, np.int64)
     counts[h[h >= 0]], begins[-1 - h[h < 0]] = n[h >= 0], n[h < 0]
     counts[-1] = begins[-1] = n_train
-    model = spark.sparkContext.broadcast(trained(_fit_rows(base, pieces), counts, rates))
+    model = spark.sparkContext.broadcast(trained(_fit_rows(base, pieces), counts, rates, lambda part, of: _fit_rows(base.where(_of_round(_key(), part, of)), pieces)))
     known_share = total / (total + distinct) if total else 0.0
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,3 +16,20 @@ def test_fit_reads_all_training_documents(spark, monkeypatch):
     monkeypatch.setattr(lm, "trained", told)
     out = lm.scored(docs).collect()
     assert len(seen[0]) == sum(not r["held_out"] for r in out) < 400
+
+
+def test_a_document_is_cut_to_subwords_in_one_round(spark, monkeypatch):
+    """Rounds share out the training documents: none is missed, and none is dealt twice."""
+    docs = spark.createDataFrame([(i, f"word{i} and some other words of document {i % 17}") for i in range(200)], "doc_id long, text string")
+    seen, trained = [], lm.trained
+
+    def told(fitted, counts, rates, turn):
+        every = sorted(r["key"] for r in fitted.select("key").collect())
+        rounds = [[r["key"] for r in turn(i, len(rates)).select("key").collect()] for i in range(len(rates))]
+        seen.append((every, rounds))
+        return trained(fitted, counts, rates, turn)
+
+    monkeypatch.setattr(lm, "trained", told)
+    assert lm.scored(docs).count() == 200
+    every, rounds = seen[0]
+    assert all(rounds) and sorted(sum(rounds, [])) == every
