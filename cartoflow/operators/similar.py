@@ -6,14 +6,21 @@ after it, and their distinct runs of three characters; likeness is shared grams
 Texts with one set of grams are a class, and only classes are compared.  The grams of a class are ordered by how rare they
 are.  Two sets with a Jaccard likeness of t share a gram among the first n - ceil(t * n) + 1 of both (else too few are left),
 and neither is smaller than t times the other: so only those prefixes go into the index, sizes are part of the join, and what
-meets is measured by whole sets.  The rarest grams make short lists, and a list that is long has only classes of different
-texts.  Texts without a gram are like nothing.
+meets is measured by whole sets.  A gram shared at places i and j of both orders is met only if what is left behind them is
+enough.  The rarest grams make short lists, and a list that is long has only classes of different texts.  Texts without a
+gram are like nothing.
+
+Where texts are made of few grams even the rarest lists are long, and what meets is nearly all pairs.  Links are then counted
+by products of packs of classes, gram by gram: the same counts, and no pair leaves its task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +29,11 @@ from cartoflow.store.shared import spool
 
 #: Likenesses that the most like rows are asked for in turn, while fewer than k are found.
 STEPS = (0.8, 0.6, 0.45)
+#: What lists may hold of pairs before products are thought of, how many sums of a product cost as much as one of those pairs,
+#: and grams of a product at most.
+MET, SUMS, COLUMNS = 10_000_000, 4096, 1 << 16
+#: Classes of a pack, its cells (classes by grams) at most, and classes that are multiplied with a pack at once.
+PACK, CELLS, STRIP = 8192, 1 << 25, 1024
 
 
 def padded_grams(text: Column) -> Column:
@@ -38,12 +50,12 @@ def classes(rows: DataFrame, id_: str, text: str) -> tuple[DataFrame, DataFrame]
 
 
 def _prefixes(sets: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """(class, n, gram): the rarest grams of each set, as many as a likeness of ``least`` needs.  Ceilings allow for the
-    last digits of products."""
+    """(class, n, i, gram): the rarest grams of each set and their places, as many as a likeness of ``least`` needs.  Ceilings
+    allow for the last digits of products."""
     grams = sets.select("class", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(counts, "gram", "left")
     ordered = grams.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
     keep = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    return ordered.select("class", "n", F.explode(F.slice("g", F.lit(1), F.least(keep, F.col("n")))).alias("g")).select("class", "n", "g.gram")
+    return ordered.select("class", "n", F.posexplode(F.slice("g", F.lit(1), F.least(keep, F.col("n")))).alias("i", "g")).select("class", "n", "i", "g.gram")
 
 
 def like_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -51,20 +63,97 @@ def like_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     if not 0 < least <= 1:
         raise ValueError("likeness must be over 0 and at most 1")
     counts = spool(right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")))
-    a = _prefixes(left, counts, least).select(F.col("class").alias("a"), F.col("n").alias("na"), "gram")
-    b = _prefixes(right, counts, least).select(F.col("class").alias("b"), F.col("n").alias("nb"), "gram")
-    met = a.join(b, "gram").where((F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)).select("a", "b").distinct()
+    a = _prefixes(left, counts, least).select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "gram")
+    b = _prefixes(right, counts, least).select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "gram")
+    sized = (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    met = a.join(b, "gram").where(sized & enough).select("a", "b").distinct()
     whole = met.join(left.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(right.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
     return whole.select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("likeness")).where(F.col("likeness") >= least - 1e-12)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs with their sets as bytes: rows of each class, sizes of sets, and grams."""
+    for batch in batches:
+        for pack, sets in zip(batch.column(0), batch.column(1), strict=True):
+            grams = sets.values.field("grams")
+            raw = (sets.values.field("n").to_numpy().astype(np.int64), grams.value_lengths().to_numpy().astype(np.int32), grams.flatten().to_numpy().astype(np.uint16))
+            yield pa.RecordBatch.from_pydict({"pack": [pack.as_py()], **{c: [x.tobytes()] for c, x in zip(("n", "sizes", "grams"), raw, strict=True)}})
+
+
+def _products(least: float, columns: int):
+    """Of pairs of packs: (pack, at, others), how many rows each class is linked with, itself included."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(row: dict, of: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n, sizes, grams = (np.frombuffer(row[f"{c}_{of}"], t) for c, t in (("n", np.int64), ("sizes", np.int32), ("grams", np.uint16)))
+            cells = np.zeros((len(n), columns), np.float32)
+            cells[np.repeat(np.arange(len(n)), sizes), grams] = 1
+            return n, sizes, cells
+
+        def told(pack: int, others: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(others)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), pack, np.int64)), pa.array(at), pa.array(others[at])], names=["pack", "at", "others"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                (na, sa, a), (nb, sb, b) = side(row, "a"), side(row, "b")
+                of_a, of_b = np.zeros(len(na), np.int64), np.zeros(len(nb), np.int64)
+                order = np.argsort(sa, kind="stable")
+                for lo in range(0, len(order), STRIP):
+                    mine = order[lo : lo + STRIP]
+                    both = a[mine] @ b.T
+                    like = np.empty(both.shape, bool)
+                    cuts = np.flatnonzero(np.diff(sa[mine], prepend=-1, append=-1))
+                    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                        np.greater_equal(both[x:y], np.ceil((sa[mine[x]] + sb) * (least / (1 + least)) - 1e-9).astype(np.float32), out=like[x:y])
+                    hit = np.flatnonzero(like.ravel())
+                    r = hit // len(nb)
+                    c = hit - r * len(nb)
+                    np.add.at(of_a, mine[r], nb[c])
+                    np.add.at(of_b, c, na[mine[r]])
+                yield told(row["pack_a"], of_a)
+                if row["pack_a"] != row["pack_b"]:
+                    yield told(row["pack_b"], of_b)
+
+    return each
+
+
+def _others_by_products(sets: DataFrame, sizes: DataFrame, least: float, classes_: int, grams: int) -> DataFrame:
+    """(class, others) of every class, by products of all packs of classes; each two packs meet once."""
+    numbers = spool(sets.select(F.explode("grams").alias("gram")).distinct().withColumn("number", F.row_number().over(Window.orderBy("gram")) - 1))
+    packs = -(-classes_ // max(1, min(PACK, CELLS // grams)))
+    coded = sets.select("class", F.explode("grams").alias("gram")).join(numbers, "gram").groupBy("class").agg(F.collect_list("number").alias("grams")).join(sizes, "class")
+    whole = spool(coded.groupBy(F.pmod(F.xxhash64("class"), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("class", "n", "grams")).alias("sets")))
+    raw = spool(whole.select("pack", "sets").mapInArrow(_packed, "pack long, n binary, sizes binary, grams binary"))
+    # Pack i meets i and the half of the packs behind it, so all have about as many partners.
+    ahead = F.sequence(F.lit(0), F.when(F.lit(packs % 2 == 0) & (F.col("pack_a") >= packs // 2), F.lit(packs // 2 - 1)).otherwise(F.lit(packs // 2)))
+    met = raw.select(F.col("pack").alias("pack_a")).select("pack_a", F.explode(ahead).alias("d")).select("pack_a", F.pmod(F.col("pack_a") + F.col("d"), F.lit(packs)).alias("pack_b"))
+    tasks = min(4096, packs * (packs // 2 + 1))
+    side = lambda of: met.join(raw.select(F.col("pack").alias(f"pack_{of}"), *[F.col(c).alias(f"{c}_{of}") for c in ("n", "sizes", "grams")]), f"pack_{of}").repartition(tasks, "pack_a", "pack_b")
+    pairs = side("a").join(side("b"), ["pack_a", "pack_b"])
+    counted = pairs.mapInArrow(_products(least, grams), "pack long, at long, others long").groupBy("pack", "at").agg(F.sum("others").alias("others"))
+    names = whole.select("pack", F.posexplode("sets.class").alias("at", "class")).withColumn("at", F.col("at").cast("long"))
+    return names.join(counted, ["pack", "at"]).join(sizes, "class").select("class", (F.col("others") - F.col("n")).alias("others"))
+
+
 def linked(rows: DataFrame, id_: str, text: str, least: float) -> DataFrame:
     """A self-join without its pairs: (id, class, n_links), how many other rows are at least so like each row's text."""
+    if not 0 < least <= 1:
+        raise ValueError("likeness must be over 0 and at most 1")
     members, sets = classes(rows, id_, text)
     sizes = spool(members.groupBy("class").agg(F.count("*").alias("n")))
-    pairs = like_pairs(sets, sets, least).where("a <> b").select(F.col("a").alias("of"), F.col("b").alias("class"))
-    others = pairs.join(sizes, "class").groupBy(F.col("of").alias("class")).agg(F.sum("n").alias("others"))
+    counts = spool(sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")))
+    lists = _prefixes(sets, counts, least).groupBy("gram").agg(F.count("*").cast("double").alias("n"))
+    met = lists.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+    n, grams = sets.count(), counts.count()
+    if met > MET and met * SUMS > float(n) * n * grams and grams <= COLUMNS:
+        others = _others_by_products(sets, sizes, least, n, grams)
+    else:
+        pairs = like_pairs(sets, sets, least).where("a <> b").select(F.col("a").alias("of"), F.col("b").alias("class"))
+        others = pairs.join(sizes, "class").groupBy(F.col("of").alias("class")).agg(F.sum("n").alias("others"))
     links = sizes.join(others, "class", "left").select("class", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return members.join(links, "class").select("id", "class", "n_links")
 

@@ -68,3 +68,20 @@ def test_high_likeness_is_asked_first(spark, monkeypatch):
         got.setdefault(r["query_id"], []).append((r["position"], r["id"]))
     assert sorted(got[0]) == [(i + 1, 4 * i) for i in range(5)] and sorted(got[100]) == [(1, 100), (2, 101)]
     assert asked[0] == (0.8, 2) and asked[-1] == (0.3, 1)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.7, 1.0])
+@pytest.mark.parametrize("pack", [7, 8192])
+def test_links_of_few_grams_are_counted_without_pairs(spark, monkeypatch, least, pack):
+    """Where lists hold nearly all pairs, links are counted in packs of classes, and no table of pairs is made."""
+    r = random.Random(3)
+    rows = [(i, " ".join([r.choice(["large", "hot", "light"]), r.choice(["ring", "bolt"]), f"brand{r.randrange(9)}", "no", str(r.randrange(20))])) for i in range(250)]
+    rows += [(i, None if i % 2 else "bolt") for i in range(250, 260)]
+    monkeypatch.setattr(similar, "MET", 0, raising=False)
+    monkeypatch.setattr(similar, "PACK", pack, raising=False)
+    monkeypatch.setattr(similar, "STRIP", 5, raising=False)
+    monkeypatch.setattr(similar, "like_pairs", None)
+    got = {r["id"]: (r["class"], r["n_links"]) for r in similar.linked(spark.createDataFrame(rows, "id long, name string"), "id", "name", least).collect()}
+    known = [(i, t) for i, t in rows if grams(t)]
+    want = {i: (min(j for j, u in known if grams(u) == grams(t)), sum(j != i and likeness(t, u) >= least - 1e-12 for j, u in known)) for i, t in known}
+    assert got == want
