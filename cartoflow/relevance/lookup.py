@@ -1,7 +1,7 @@
 """Keywords resolved against a large dictionary, as tables: every stage is an equality join, and the best stage wins.
 
-Typos meet by segments (``cartoflow.operators.typos``), shared words by an inverted index: no keyword is held against the
-dictionary.
+Shared words meet by an inverted index.  Typos are looked for in packs (``cartoflow.operators.packs``): labels that are made of
+the same words have segments in common with nearly all others, and of them only the most like is wanted.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartoflow.operators.packs import LETTERS, best_entries
 from cartoflow.operators.similar import like_pairs
-from cartoflow.operators.typos import LEAST, typo_pairs
+from cartoflow.operators.typos import LEAST, MOST_APART, typo_pairs
 from cartoflow.store.shared import spool
 
 
@@ -43,7 +44,8 @@ def resolved(keywords: DataFrame, concepts: DataFrame, least: float = LEAST) ->
     early = spool(exact.union(alias))
     rest = spool(asked.join(early, "keyword", "left_anti"))
 
-    typos = typo_pairs(rest.select(F.col("text").alias("keyword")), aliases.select(F.col("alias").alias("entry")), least)
+    typos = best_entries(rest.select(F.col("text").alias("a")), aliases.select(F.col("alias").alias("b")), least, MOST_APART).toDF("keyword", "entry", "likeness")
+    typos = typos.union(typo_pairs(rest.select(F.col("text").alias("keyword")).where(F.length("keyword") > LETTERS), aliases.select(F.col("alias").alias("entry")), least))
     typos = typos.select(F.col("keyword").alias("text"), F.col("entry").alias("alias"), "likeness").join(rest, "text").join(aliases, "alias")
     fuzzy = stage(typos, 3, "fuzzy", F.col("likeness"), F.struct(F.col("likeness").alias("x"), F.col("alias").alias("s")))
 
