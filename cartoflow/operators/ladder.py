@@ -5,18 +5,18 @@ of the request's own, ``recent`` answers that are not older than a time to live,
 typos let through), ``stored`` answers of any age, ``division`` (an equal name), and ``default`` where none of them knows.  Rungs
 that ask services over the network are for others to fill: their answers are rows of ``stored``.
 
-Names are close by token-set likeness.  It needs a word in common, or strings of sorted words that are close as such: the first
-meet by words, the others by segments, so no request is held against the whole list.  Every rung sees only what the ones
-before it have left.
+Names are close by token-set likeness.  It needs shared words that are most of one name, or enough letters in common: the first
+meet by the rarest words of either name, the others are told by their letters in packs, and measured there.  Every rung sees
+only what the ones before it have left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartoflow.functions import fuzzy, geo
-from cartoflow.operators.typos import meeting
+from cartoflow.operators.packs import compared, token_sets
 from cartoflow.store.shared import spool
 
 CLOSE, SAME_CITY, COUNTRY = 0.85, 0.70, "India"
@@ -32,15 +32,23 @@ def _plain(c: str | Column) -> Column:
 
 def close_names(left: DataFrame, right: DataFrame, least: float = CLOSE) -> DataFrame:
     """(a, b, likeness) of two columns ``a`` and ``b`` of names whose token-set likeness is ``least`` or more."""
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")))
-    a = left.select("a").where("a <> ''").distinct().withColumn("w", words("a"))
-    b = right.select("b").where("b <> ''").distinct().withColumn("w", words("b"))
-    shared = a.select("a", F.explode("w").alias("word")).join(b.select("b", F.explode("w").alias("word")), "word").select("a", "b")
-    line = lambda df, c: df.select(F.col(c).alias("_n"), F.array_join("w", " ").alias(c))
-    met = meeting(line(a, "a").select("a").distinct(), line(b, "b").select("b").distinct(), least)
-    met = met.join(line(a, "a").withColumnRenamed("_n", "na"), "a").join(line(b, "b").withColumnRenamed("_n", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    pairs = shared.union(met).distinct().withColumn("likeness", fuzzy.token_set_ratio(F.lower("a"), F.lower("b")))
-    return pairs.where(F.col("likeness") >= least - 1e-9)
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    a = left.select("a").where("a <> ''").distinct()
+    b = right.select("b").where("b <> ''").distinct()
+    wa, wb = (spool(df.select(c, F.explode(words(c)).alias("word"))) for df, c in ((a, "a"), (b, "b")))
+
+    def telling(df: DataFrame, c: str, other: DataFrame) -> DataFrame:
+        """The rarest words of each name: what is left without them is too short to make two names close."""
+        counts = other.groupBy("word").agg(F.count("*").alias("df"))
+        of, n = Window.partitionBy(c), F.length("word") + 1
+        behind = df.join(counts, "word", "left").withColumns({"_left": F.sum(n).over(of.orderBy(F.desc(F.coalesce("df", F.lit(0))), "word")) - 1, "_all": F.sum(n).over(of) - 1})
+        return behind.where(F.col("df").isNotNull() & (F.col("_left") >= F.col("_all") * (least / (2 - least)) - 1e-9)).select(c, "word")
+
+    shared = telling(wa, "a", wb).join(wb, "word").select("a", "b").union(telling(wb, "b", wa).join(wa, "word").select("a", "b")).distinct()
+    shared = shared.withColumn("likeness", fuzzy.token_set_ratio(F.lower("a"), F.lower("b"))).where(F.col("likeness") >= least - 1e-9)
+    low = compared(a.select(F.lower("a").alias("a")), b.select(F.lower("b").alias("b")), token_sets(least)).toDF("_a", "_b", "likeness")
+    met = low.join(a, F.col("_a") == F.lower("a")).join(b, F.col("_b") == F.lower("b")).select("a", "b", "likeness")
+    return shared.union(met).distinct()
 
 
 def expanded(requests: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -49,3 +49,16 @@ def test_rungs(spark):
     assert out[5] == ("seed_area", "HSR Layout, Bengaluru, Karnataka, India", 77.63, 12.91, "buffered_point", 5000, 0.96)
     assert (out[6][0], out[7][0], out[8][0], out[9][0], out[10][0]) == ("recent", "stored", "division", "default", "default")
     assert out[8][2:4] == (5.0, 6.0) and out[9][5] == 10_000
+
+
+def test_close_names_of_one_common_word(spark, monkeypatch):
+    """Names that all share a word: only what can be close is measured by the join of words."""
+    from cartoflow.functions import fuzzy
+
+    known = [f"Area {i * 7919 % 100_003:05d}{i * 104_729 % 99_991:05d}" for i in range(120)] + ["MG Road", "Old MG Road area"]
+    asked = [x[:8] + x[9:] for x in known[:60]] + ["road mg", "area", "old road"]
+    measured = []
+    by_letters = ladder.token_sets
+    monkeypatch.setattr(ladder, "token_sets", lambda least: measured.append(least) or by_letters(least))
+    got = {(x["a"], x["b"]) for x in ladder.close_names(spark.createDataFrame([(a,) for a in asked], "a string"), spark.createDataFrame([(b,) for b in known], "b string")).collect()}
+    assert got == {(a, b) for a in asked for b in known if fuzzy.token_set(a.lower(), b.lower()) >= ladder.CLOSE - 1e-9} and measured
