@@ -9,9 +9,9 @@ scored, so windows overlap and every subword is scored once; then a hidden layer
 over the classes of the group, and within its class each id's share of the corpus.  Frequent ids have an input and a class
 of their own; all others, whatever their number, are dealt over the remaining ones.
 
-The fit reads every training document, each in one of the rounds (small corpora: more than once).  A round's documents are
-cut to subwords and dealt over trainers when it comes, so the others' are not on disk; every trainer takes gradient steps on
-its part from the same weights, and the weights are averaged (by a tree of partial averages, so the driver gets a few of
+The fit reads every training document, each in one of the rounds (small corpora: more than once).  A round's texts are dealt
+over trainers when it comes, and cut to subwords there, as their ids are several times as large and hardly shrink on disk;
+every trainer takes gradient steps on its part from the same weights, and the weights are averaged (by a tree of partial averages, so the driver gets a few of
 them only).
 
 The probability of a word mixes, by Witten and Bell's weight N / (N + V), two ways to say it: as a word of the corpus,
@@ -268,9 +268,19 @@ class Attention:
                 g = self.gradients(x[pick], owner[pick], goal[pick])[1]
                 now = rate * min(1.0, step / 10, 1.5 * (1 - step / (steps + 1)) + 0.1)
                 for k, a in p.items():
-                    m[k] += 0.1 * (g[k] - m[k])
-                    v[k] += 0.02 * (g[k] ** 2 - v[k])
-                    a -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-8)
+                    t = np.multiply(g[k], np.float32(0.1))
+                    m[k] *= np.float32(0.9)
+                    m[k] += t
+                    np.multiply(g[k], g[k], out=t)
+                    t *= np.float32(0.02)
+                    v[k] *= np.float32(0.98)
+                    v[k] += t
+                    np.multiply(v[k], np.float32(1 / (1 - 0.98**step)), out=t)
+                    np.sqrt(t, out=t)
+                    t += np.float32(1e-8)
+                    np.divide(m[k], t, out=t)
+                    t *= np.float32(now / (1 - 0.9**step))
+                    a -= t
         self._tables()
         return passes * len(mine)
 
@@ -279,14 +289,15 @@ class Attention:
         p, n = self.p, len(x)
         late, real = x[:, STRIDE:], goal.ravel() >= 0
         rows = lambda a: a.reshape(-1, a.shape[-1])
-        q, k, v = p["q"][late], p["k"][x], p["v"][x]
+        q, k, v = p["q"].take(late, axis=0), p["k"].take(x, axis=0), p["v"].take(x, axis=0)
         score = np.matmul(q, k.transpose(0, 2, 1)) + np.where(self.distance >= 0, p["near"][np.maximum(self.distance, 0)], np.float32(-1e9))
-        score[owner[:, STRIDE:, None] != owner[:, None, :]] = -1e9
+        several = np.flatnonzero((owner != owner[:, -1:]).any(1))  # other windows are of one text
+        score[several] = np.where(owner[several][:, STRIDE:, None] == owner[several][:, None, :], score[several], np.float32(-1e9))
         score -= score.max(2, keepdims=True)
         np.exp(score, out=score)
         score /= score.sum(2, keepdims=True)
         mixed = rows(np.matmul(score, v))
-        inner = rows(p["e"][late])
+        inner = rows(p["e"].take(late, axis=0))
         hidden = np.ones((n * STRIDE, HIDDEN + 1), np.float32)
         hidden[:, :HIDDEN] = np.maximum(inner @ p["we"] + mixed @ p["wa"] + p["b"], 0)
         scale = (real / max(1, real.sum())).astype(np.float32)
@@ -309,13 +320,18 @@ class Attention:
         order = np.argsort(group.astype(np.uint8), kind="stable")
         order = order[real[order]]
         cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        by_group = hidden[order]
+        logits = np.empty((len(order), MEMBERS), np.result_type(hidden, p["u2"]))
+        back = np.empty((len(order), HIDDEN + 1), logits.dtype)
         for j in range(GROUPS):
-            mine = order[cuts[j] : cuts[j + 1]]
-            if len(mine):
-                more, d = softmax(hidden[mine] @ p["u2"][j], member[mine], scale[mine])
-                loss += more
-                g["u2"][j] = hidden[mine].T @ d
-                dh[mine] += d @ p["u2"][j].T
+            np.matmul(by_group[cuts[j] : cuts[j + 1]], p["u2"][j], out=logits[cuts[j] : cuts[j + 1]])
+        more, d = softmax(logits, member[order], scale[order])
+        loss += more
+        for j in range(GROUPS):
+            part = d[cuts[j] : cuts[j + 1]]
+            np.matmul(by_group[cuts[j] : cuts[j + 1]].T, part, out=g["u2"][j])
+            np.matmul(part, p["u2"][j].T, out=back[cuts[j] : cuts[j + 1]])
+        dh[order] += back
         dh = dh[:, :HIDDEN] * (hidden[:, :HIDDEN] > 0)
         g["b"], g["we"], g["wa"] = dh.sum(0), inner.T @ dh, mixed.T @ dh
         dm = (dh @ p["wa"].T).reshape(n, STRIDE, WIDTH)
@@ -380,8 +396,9 @@ def _of_round(key: Column, part: int, of: int) -> Column:
     return F.pmod(key, F.lit(of)) == part
 
 
-def _fit_rows(base: DataFrame, vocabulary: Broadcast) -> DataFrame:
-    """(key, ids) of the training documents of ``base``; very long ones in pieces."""
+def _fit_rows(base: DataFrame, vocabulary: Broadcast, tasks: int | None = None) -> DataFrame:
+    """(key, ids) of the training documents of ``base``; very long ones in pieces.  Texts are dealt over ``tasks`` before they
+    are cut."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in blocks(batches, "text"):
@@ -392,7 +409,8 @@ def _fit_rows(base: DataFrame, vocabulary: Broadcast) -> DataFrame:
             found = [(keys[i], ids[at : min(at + PIECE_IDS, cuts[i + 1])].astype(np.int32).tobytes()) for i in range(block.n) for at in range(cuts[i], cuts[i + 1], PIECE_IDS)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["key", "ids"])
 
-    return base.where(~F.col("held_out")).select(_key().alias("key"), "text").mapInArrow(each, "key long, ids binary")
+    texts = base.where(~F.col("held_out")).select(_key().alias("key"), "text")
+    return (texts.repartition(tasks) if tasks else texts).mapInArrow(each, "key long, ids binary")
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,12 +422,13 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(weights / total).astype(np.float32).tobytes()])], names=["n", "weights"])
 
 
-def trained(rows: DataFrame, counts: np.ndarray, rates: tuple[float, ...] = RATES, turn: Callable[[int, int], DataFrame] | None = None) -> Attention:
+def trained(rows: DataFrame, counts: np.ndarray, rates: tuple[float, ...] = RATES, turn: Callable[[int, int, int], DataFrame] | None = None) -> Attention:
     """The model of rows (key, ids), in rounds of local steps and averages; ``counts`` of all ids in the corpus.  Rows are of
-    one round by their keys; ``turn`` gives those of a round where that is cheaper than to pick them from all."""
+    one round by their keys; ``turn`` gives those of a round, dealt over so many tasks, where that is cheaper than to pick them
+    from all."""
     spark, model = rows.sparkSession, Attention(len(counts))
     model.learn_ids(counts)
-    turn = turn or (lambda part, of: rows.where(_of_round(F.col("key"), part, of)))
+    turn = turn or (lambda part, of, tasks: rows.where(_of_round(F.col("key"), part, of)).repartition(tasks))
     size = int(counts.sum())
     if not size:
         return model
@@ -427,7 +446,7 @@ def trained(rows: DataFrame, counts: np.ndarray, rates: tuple[float, ...] = RATE
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mine.flat().tobytes()])], names=["n", "weights"])
 
-        weights, left = turn(part, len(rates)).repartition(trainers).sortWithinPartitions("key", "ids").mapInArrow(each, "n long, weights binary"), trainers
+        weights, left = turn(part, len(rates), trainers).sortWithinPartitions("key", "ids").mapInArrow(each, "n long, weights binary"), trainers
         while left > FEW:
             left = int(np.ceil(np.sqrt(left)))
             weights = weights.repartition(left).mapInArrow(_average, "n long, weights binary")
@@ -461,7 +480,7 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, rates: tuple[float, ..
     counts, begins = np.zeros(size, np.int64), np.zeros(size, np.int64)
     counts[h[h >= 0]], begins[-1 - h[h < 0]] = n[h >= 0], n[h < 0]
     counts[-1] = begins[-1] = n_train
-    model = spark.sparkContext.broadcast(trained(_fit_rows(base, pieces), counts, rates, lambda part, of: _fit_rows(base.where(_of_round(_key(), part, of)), pieces)))
+    model = spark.sparkContext.broadcast(trained(_fit_rows(base, pieces), counts, rates, lambda part, of, tasks=None: _fit_rows(base.where(_of_round(_key(), part, of)), pieces, tasks)))
     known_share = total / (total + distinct) if total else 0.0
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

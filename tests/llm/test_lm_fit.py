@@ -33,3 +33,17 @@ def test_a_document_is_cut_to_subwords_in_one_round(spark, monkeypatch):
     assert lm.scored(docs).count() == 200
     every, rounds = seen[0]
     assert all(rounds) and sorted(sum(rounds, [])) == every
+
+
+def test_texts_are_dealt_and_not_their_subwords(spark, monkeypatch):
+    """What a round shuffles is its texts: ids are several times as large, and were more disk than the check allows."""
+    docs = spark.createDataFrame([(i, f"word{i} and some other words") for i in range(50)], "doc_id long, text string")
+    plans, trained = [], lm.trained
+
+    def told(fitted, counts, rates, turn):
+        plans.append(turn(0, 3, 4)._jdf.queryExecution().optimizedPlan().toString())
+        return trained(fitted, counts, rates, turn)
+
+    monkeypatch.setattr(lm, "trained", told)
+    assert lm.scored(docs, rates=(0.01,)).count() == 50
+    assert plans[0].index("MapInArrow") < plans[0].index("Repartition 4")  # a plan's first line is its last step
