@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +48,30 @@ def partial(a: str, b: str) -> float:
     if not short:
         return 0.0 if long else 1.0
     n = len(short)
+    if n < 64:
+        return _partial_bits(short, long)
     pieces = {long[max(0, i) : i + n] for i in range(1 - n, len(long))}
     return max(indel_ratio(short, p) for p in pieces)
 
 
+def _partial_bits(short: str, long: str) -> float:
+    """All pieces at once, by bit-parallel rows of a word each; beyond the ends is nothing that matches."""
+    n, codes = len(short), np.frombuffer(long.encode("utf-32-le", "surrogatepass"), np.uint32)
+    masks = np.zeros(len(codes) + 2 * (n - 1), np.uint64)
+    of_long = masks[n - 1 : n - 1 + len(codes)]
+    for c in set(short):
+        of_long[codes == ord(c)] = sum(1 << i for i, x in enumerate(short) if x == c)
+    pieces = len(codes) + n - 1
+    full = np.uint64((1 << n) - 1)
+    row = np.full(pieces, full)
+    for i in range(n):
+        hit = row & masks[i : i + pieces]
+        row = ((row + hit) | (row - hit)) & full
+    at = np.arange(1 - n, len(codes))
+    sizes = np.minimum(at + n, len(codes)) - np.maximum(at, 0)
+    return float((2 * (n - np.bitwise_count(row).astype(np.int64)) / (n + sizes)).max())
+
+
 def jaro_winkler_of(a: str, b: str) -> float:
     if a == b:
         return 1.0
