@@ -54,6 +54,8 @@ GROUPS, MEMBERS, OWN = 32, 32, 960
 SHARD_BYTES = 24 << 20
 #: Characters of a word that are cut to subwords at a time.
 PIECE = 64
+#: Weights that a step changes at a time.
+ADAM = 1 << 14
 
 
 def held_out_of(doc_id, folds: int = 7, fold: int = 2):
@@ -130,6 +132,12 @@ def sequence(block: Block, words: Words) -> tuple[np.ndarray, ...]:
     return at, texts, words.flat[spread(words.heads[at], n)], np.repeat(np.arange(len(at)), n)
 
 
+def keep_memory() -> None:
+    """An array of this size, once freed, has the allocator keep smaller ones: else it maps a step's arrays anew each time,
+    and a third of a fit's time is page faults."""
+    np.empty(1 << 24, np.uint8)
+
+
 class Attention:
     """Tables of queries, keys, values and inputs by input id; biases by distance; a hidden layer (and a constant);
     weights of groups, and of a group's classes."""
@@ -205,6 +213,7 @@ class Attention:
 
     def log_probabilities(self, ids: np.ndarray, texts: np.ndarray, batch: int = 512) -> np.ndarray:
         """Of each subword given those before it in its text."""
+        keep_memory()
         p, (x, of, at) = self.p, self.windows(ids, texts)
         n = len(x) // STRIDE - 1
         group, member, out = np.zeros(n * STRIDE, np.uint8), np.zeros(n * STRIDE, np.int32), np.ones(n * STRIDE, np.float32)
@@ -259,90 +268,110 @@ class Attention:
         mine = np.arange(part % max(1, min(of, len(x))), len(x), of)
         if not len(mine):
             return 0
-        r, p = np.random.default_rng(seed), self.p
-        m, v, step, steps = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0, passes * -(-len(mine) // batch)
+        keep_memory()
+        r, weights = np.random.default_rng(seed), self.flat()
+        self.p, step, steps = self._parts(weights), 0, passes * -(-len(mine) // batch)
+        # Moments are kept as sums, g + 0.9 m and g * g + 0.98 v; the step scales them.
+        grown, m, v, t = np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(weights), np.empty(ADAM, np.float32)
+        g = self._parts(grown)
         for _ in range(passes):
             order = r.permutation(mine)
             for i in range(0, len(order), batch):
                 pick, step = order[i : i + batch], step + 1
-                g = self.gradients(x[pick], owner[pick], goal[pick])[1]
+                self.gradients(x[pick], owner[pick], goal[pick], g)
                 now = rate * min(1.0, step / 10, 1.5 * (1 - step / (steps + 1)) + 0.1)
-                for k, a in p.items():
-                    t = np.multiply(g[k], np.float32(0.1))
-                    m[k] *= np.float32(0.9)
-                    m[k] += t
-                    np.multiply(g[k], g[k], out=t)
-                    t *= np.float32(0.02)
-                    v[k] *= np.float32(0.98)
-                    v[k] += t
-                    np.multiply(v[k], np.float32(1 / (1 - 0.98**step)), out=t)
-                    np.sqrt(t, out=t)
-                    t += np.float32(1e-8)
-                    np.divide(m[k], t, out=t)
-                    t *= np.float32(now / (1 - 0.9**step))
-                    a -= t
+                root = np.sqrt(0.02 / (1 - 0.98**step))
+                far, least = np.float32(now * 0.1 / (1 - 0.9**step) / root), np.float32(1e-8 / root)
+                for j in range(0, len(weights), ADAM):  # pieces that stay in the cache
+                    here = slice(j, j + ADAM)
+                    gj, mj, vj = grown[here], m[here], v[here]
+                    tj = t[: len(gj)]
+                    mj *= np.float32(0.9)
+                    mj += gj
+                    np.multiply(gj, gj, out=tj)
+                    vj *= np.float32(0.98)
+                    vj += tj
+                    np.sqrt(vj, out=tj)
+                    tj += least
+                    np.divide(mj, tj, out=tj)
+                    tj *= far
+                    weights[here] -= tj
         self._tables()
         return passes * len(mine)
 
-    def gradients(self, x: np.ndarray, owner: np.ndarray, goal: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean class cross-entropy of the later halves of windows, and its gradient."""
-        p, n = self.p, len(x)
-        late, real = x[:, STRIDE:], goal.ravel() >= 0
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The tables as views of one array, in the order of ``flat``."""
+        ends = np.cumsum([a.size for a in self.p.values()])
+        return {k: flat[end - a.size : end].reshape(a.shape) for (k, a), end in zip(self.p.items(), ends.tolist(), strict=True)}
+
+    def gradients(self, x: np.ndarray, owner: np.ndarray, goal: np.ndarray, g: dict[str, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean class cross-entropy of the later halves of windows, and its gradient (written over ``g`` where given)."""
+        p, n, late = self.p, len(x), x[:, STRIDE:]
+        g = {name: np.empty_like(a) for name, a in p.items()} if g is None else g
         rows = lambda a: a.reshape(-1, a.shape[-1])
         q, k, v = p["q"].take(late, axis=0), p["k"].take(x, axis=0), p["v"].take(x, axis=0)
-        score = np.matmul(q, k.transpose(0, 2, 1)) + np.where(self.distance >= 0, p["near"][np.maximum(self.distance, 0)], np.float32(-1e9))
+        score = np.matmul(q, k.transpose(0, 2, 1))
+        np.exp(np.minimum(score, 60, out=score), out=score)
+        score *= np.where(self.distance >= 0, np.exp(p["near"][np.maximum(self.distance, 0)]), np.float32(0))
         several = np.flatnonzero((owner != owner[:, -1:]).any(1))  # other windows are of one text
-        score[several] = np.where(owner[several][:, STRIDE:, None] == owner[several][:, None, :], score[several], np.float32(-1e9))
-        score -= score.max(2, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(2, keepdims=True)
+        score[several] *= owner[several][:, STRIDE:, None] == owner[several][:, None, :]
+        score /= np.maximum(rows(score) @ np.ones(2 * STRIDE, np.float32), np.float32(1e-30)).reshape(n, STRIDE, 1)
         mixed = rows(np.matmul(score, v))
         inner = rows(p["e"].take(late, axis=0))
+        within = inner @ p["we"]
+        within += mixed @ p["wa"]
+        within += p["b"]
+        np.maximum(within, 0, out=within)
+
+        # From here on by group; padding is in group 0 and weighs nothing.
+        goals = goal.ravel()
+        real = goals >= 0
+        order = np.argsort((np.maximum(goals, 0) // MEMBERS).astype(np.uint8), kind="stable")
+        goals = np.maximum(goals[order], 0)
+        scale = (real[order] / max(1, real.sum())).astype(np.float32)
+        group, member = goals // MEMBERS, goals % MEMBERS
         hidden = np.ones((n * STRIDE, HIDDEN + 1), np.float32)
-        hidden[:, :HIDDEN] = np.maximum(inner @ p["we"] + mixed @ p["wa"] + p["b"], 0)
-        scale = (real / max(1, real.sum())).astype(np.float32)
-        group, member = np.maximum(goal.ravel(), 0) // MEMBERS, np.maximum(goal.ravel(), 0) % MEMBERS
-
-        def softmax(z: np.ndarray, want: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            at = np.arange(len(z)), want
-            loss = -float(np.dot(np.log(np.maximum(z[at], 1e-30)), weight))
-            z[at] -= 1
-            z *= weight[:, None]
-            return loss, z
-
-        loss, d = softmax(hidden @ p["u"], group, scale)
-        g = {name: np.zeros_like(a) for name, a in p.items()}
-        g["u"] = hidden.T @ d
+        hidden[:, :HIDDEN] = within[order]
+
+        def softmax(z: np.ndarray, want: np.ndarray) -> tuple[float, np.ndarray]:
+            np.exp(np.clip(z, -60, 60, out=z), out=z)
+            each, at = 1 / (z @ np.ones(z.shape[1], z.dtype)), np.arange(0, z.size, z.shape[1]) + want
+            said = z.ravel()[at] * each
+            z *= (each * scale)[:, None]
+            z.ravel()[at] -= scale
+            return -float(np.dot(np.log(np.maximum(said, 1e-30)), scale)), z
+
+        loss, d = softmax(hidden @ p["u"], group)
+        np.matmul(hidden.T, d, out=g["u"])
         dh = d @ p["u"].T
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        order = order[real[order]]
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        by_group = hidden[order]
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
         logits = np.empty((len(order), MEMBERS), np.result_type(hidden, p["u2"]))
-        back = np.empty((len(order), HIDDEN + 1), logits.dtype)
         for j in range(GROUPS):
-            np.matmul(by_group[cuts[j] : cuts[j + 1]], p["u2"][j], out=logits[cuts[j] : cuts[j + 1]])
-        more, d = softmax(logits, member[order], scale[order])
+            np.matmul(hidden[cuts[j] : cuts[j + 1]], p["u2"][j], out=logits[cuts[j] : cuts[j + 1]])
+        more, d = softmax(logits, member)
         loss += more
+        back = np.empty((len(order), HIDDEN + 1), logits.dtype)
         for j in range(GROUPS):
             part = d[cuts[j] : cuts[j + 1]]
-            np.matmul(by_group[cuts[j] : cuts[j + 1]].T, part, out=g["u2"][j])
+            np.matmul(hidden[cuts[j] : cuts[j + 1]].T, part, out=g["u2"][j])
             np.matmul(part, p["u2"][j].T, out=back[cuts[j] : cuts[j + 1]])
-        dh[order] += back
-        dh = dh[:, :HIDDEN] * (hidden[:, :HIDDEN] > 0)
-        g["b"], g["we"], g["wa"] = dh.sum(0), inner.T @ dh, mixed.T @ dh
+        dh += back
+        by_group, dh = dh, np.empty_like(within)
+        dh[order] = by_group[:, :HIDDEN]
+        dh *= within > 0
+        g["b"][:] = np.ones(len(dh), dh.dtype) @ dh
+        np.matmul(inner.T, dh, out=g["we"])
+        np.matmul(mixed.T, dh, out=g["wa"])
         dm = (dh @ p["wa"].T).reshape(n, STRIDE, WIDTH)
-        da = np.matmul(dm, v.transpose(0, 2, 1))
-        ds = score * (da - (da * score).sum(2, keepdims=True))
-        g["near"] = np.bincount(np.maximum(self.distance, 0).ravel(), (ds.sum(0) * (self.distance >= 0)).ravel(), 2 * STRIDE).astype(np.float32)
-        for at, parts in ((late.ravel(), {"e": dh @ p["we"].T, "q": rows(np.matmul(ds, k))}), (x.ravel(), {"k": rows(np.matmul(ds.transpose(0, 2, 1), q)), "v": rows(np.matmul(score.transpose(0, 2, 1), dm))})):
-            by = np.argsort(at, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], at[by][1:] != at[by][:-1]]))
-            for name, value in parts.items():
-                g[name][at[by][heads]] = np.add.reduceat(value[by], heads, axis=0)
+        ds = np.matmul(dm, v.transpose(0, 2, 1))
+        ds -= (rows(dm) * mixed @ np.ones(WIDTH, dm.dtype)).reshape(n, STRIDE, 1)  # of a row: its weights times da, summed
+        ds *= score
+        g["near"][:] = np.bincount(np.maximum(self.distance, 0).ravel(), (ds.sum(0) * (self.distance >= 0)).ravel(), 2 * STRIDE)
+        for at, parts in ((late, {"e": dh @ p["we"].T, "q": rows(np.matmul(ds, k))}), (x, {"k": rows(np.matmul(ds.transpose(0, 2, 1), q)), "v": rows(np.matmul(score.transpose(0, 2, 1), dm))})):
+            cells = (at.reshape(-1, 1).astype(np.int64) * (2 * WIDTH) + np.arange(2 * WIDTH)).ravel()
+            sums = np.bincount(cells, np.concatenate(list(parts.values()), 1).ravel(), INPUTS * 2 * WIDTH).reshape(INPUTS, 2 * WIDTH)
+            for i, name in enumerate(parts):
+                g[name][:] = sums[:, i * WIDTH : (i + 1) * WIDTH]
         return loss, g
 
 
