@@ -1,6 +1,8 @@
 """The relevance cascade as one chain of expressions: profile, gates, features, logistic score, decision.
 
-A card's terms are literals of the plan, so a pass over candidates is one narrow stage without a join or a UDF.
+A card's terms are literals of the plan, so a pass over candidates is one narrow stage without a join or a UDF.  What many
+later expressions read is computed once a row (``held``): a filter on a decision would else be pushed below all of it, as
+one condition that repeats the profile wherever it is named.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ def _maybe(df: DataFrame, column: str, kind: str) -> Column:
     return F.col(column) if column in df.columns else F.lit(None).cast(kind)
 
 
+def held(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows and columns, with ``columns`` behind a generator of one row, through which nothing is inlined."""
+    return df.withColumn("_held", F.struct(*columns)).select(*[c for c in df.columns if c not in columns], F.inline(F.array("_held"))).select(*df.columns)
+
+
 def category_tokens(category: Column) -> Column:
     return F.filter(F.split(F.lower(category), r"[=_\-/>\.\s]+"), lambda x: x != "")
 
@@ -83,7 +90,7 @@ def profiled(df: DataFrame) -> DataFrame:
     label = lambda k, v: F.when(F.coalesce(F.length(v), F.lit(0)) > 0, F.concat(F.lit(k), v))
     cats, osm = F.array_join("categories", "; "), F.array_join(tags, "; ")
     both = F.when((F.coalesce(F.length(cats), F.lit(0)) > 0) | (F.coalesce(F.length(osm), F.lit(0)) > 0), F.rtrim(F.concat(F.lit("categories: "), F.coalesce(cats, F.lit("")), F.lit("; osm: "), F.coalesce(osm, F.lit("")))))
-    return df.withColumns({
+    df = df.withColumns({
         "name_bigrams": text.bigrams(F.col("name_tokens")),
         "evidence": F.array_distinct(F.filter("name_tokens", lambda x: ~F.array_contains(non, x))),
         "non_evidence": F.array_distinct(F.filter("name_tokens", lambda x: F.array_contains(non, x))),
@@ -92,6 +99,7 @@ def profiled(df: DataFrame) -> DataFrame:
         "brand_tokens": F.coalesce(text.words(text.sanitized(brand)), F.array().cast("array<string>")),
         "profile_text": F.concat_ws(" | ", "name", both, label("brand: ", brand), label("web: ", F.substring(web, 1, 300))),
     })
+    return held(df, ["clean_name", "name_tokens", "name_bigrams", "evidence", "non_evidence", "category_tokens", "web_tokens", "brand_tokens"])
 
 
 def _defined_by_name(card: Concept) -> Column:
@@ -151,6 +159,7 @@ def features(df: DataFrame, card: Concept, sem: tuple[float, float] = (0.5, 0.5)
         "f_nonev_only": ((F.size("non_evidence") > 0) & (F.size(real) == 0)).cast("double"), "f_cat_conf": F.coalesce(_maybe(df, "source_confidence", "double"), F.lit(0.5)),
         "f_src_agree": F.when(n > 1, F.least(n / 3, F.lit(1.0))).otherwise(0.0), "f_sem_pos": positive, "f_sem_neg": negative, "f_sem_margin": positive - negative, "f_ce": F.lit(ce),
     })
+    df = held(df, [*[c for c in WEIGHTS if c in df.columns], *[c for c in ("reason_code", "edge_case") if c in df.columns]])
     return df.withColumn("f_name_only_primary", ((F.col("f_def_name") == 1) & (F.col("f_def_cat") == 0) & (F.col("f_def_osm") == 0) & (F.col("f_def_web") == 0)).cast("double"))
 
 
@@ -187,7 +196,8 @@ def decided(df: DataFrame, card: Concept, ring: list[tuple[float, float]] | None
         .when(low, result("rejected", F.col("p"), "scorer", F.lit("low_evidence")))
         .otherwise(review)
     )
-    return rows.withColumn("_d", decision).select("*", "_d.*").drop("_d")
+    told = rows.withColumn("_d", decision).select("*", "_d.*").drop("_d")
+    return held(told, ["outcome", "relevance_p", "stage", "code"])
 
 
 def one_pass(candidates: DataFrame, card: Concept, seen: DataFrame | None = None, **options) -> DataFrame:
