@@ -31,8 +31,8 @@ def components(edges: DataFrame, step: Callable[[DataFrame], DataFrame] = spool)
 
     ``step`` materialises what a step makes.
     """
-    both = edges.where("a <> b").select("a", "b")
-    both = step(both.union(both.select("b", "a")).distinct())
+    ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = step(edges.where("a <> b").select(F.inline(ways)).distinct())  # edges are made once
     roots = None
     while both.take(1):
         hooks = _followed(step(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root"))), step)

@@ -87,10 +87,18 @@ def class_links(classes: DataFrame, least: float = MATCH) -> DataFrame:
 
 
 def name_links(rows: DataFrame) -> DataFrame:
-    """(a, b, probability) for clusters: linked classes, and each row with its class where its rows are linked."""
-    members, classes = _classes(rows)
-    one = classes.where("phone IS NOT NULL OR domain IS NOT NULL OR (cell IS NOT NULL AND name IS NOT NULL)").select("class")
-    return class_links(classes).union(members.where("id <> class").join(one, "class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0)))
+    """(a, b, probability) for clusters, beside the links of phones and domains: each row with the least id of its name and
+    place, and such places of one cell that names and places link.
+
+    Classes of one name and place need no pairs: each two of them match, or have a phone or domain in common, which links
+    them as well.
+    """
+    place = ["cell", "name", "lon", "lat"]
+    known = _named(rows).where("cell IS NOT NULL AND name IS NOT NULL").select("id", *place)
+    places = spool(known.groupBy(*place).agg(F.min("id").alias("class")))
+    alone = places.withColumns({c: F.lit(None).cast("string") for c in ("phone", "domain")})
+    members = known.join(places, place).where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("probability"))
+    return class_links(alone).union(members)
 
 
 def link_counts(rows: DataFrame, least: float = MATCH) -> DataFrame:

@@ -106,3 +106,13 @@ def test_every_pair_can_be_read_back(spark):
                 same = pair.get((min(place[i], place[j]), max(place[i], place[j])))
             want = probability(a, b, cell)[0]
             assert (same is None) == (want is None) and (want is None or abs(same - want) < 1e-9), (a, b)
+
+
+def test_rows_of_one_name_and_place_are_linked_without_their_pairs(spark):
+    """Phones part them into as many classes; every row is linked to one of them all the same."""
+    from cartoflow.resolve.blocks import name_links
+    from cartoflow.resolve.entities import clusters, match_links
+
+    rows = spark.createDataFrame([(i, "Iron Gym", 77.5, 12.9, f"+9160000{i:05}" if i % 4 else None, f"d{i % 7}.in" if i % 3 else None) for i in range(60)] + [(60, "Iron Gyms", 77.5, 12.9, None, None), (61, "City Bakery", 77.5, 12.9, None, None)], "id long, name string, lon double, lat double, phone string, domain string")
+    assert name_links(rows).count() == 60  # 59 rows with the first, and one pair of places
+    assert {r["id"]: r["cluster"] for r in clusters(rows, match_links(rows)).collect()} == {i: 0 for i in range(61)} | {61: 61}
