@@ -79,24 +79,31 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
         seq, last, beats = self.known.get() if self.known.exists() else (0, None, 0)
+        # Open stages are read once and written once a batch: each look at the state is a call to the engine.
+        before = {k[0]: int(v[0]) for k, v in self.open.iterator()} if last is not None else {}
+        opened = dict(before)
         out: list[tuple] = []
         for kind, stage, at in zip(events["kind"], events["stage"], events["at"].astype(int).tolist(), strict=True):
             if last is not None and at > last:
                 found, seq, beats, done = self._beats(seq, last, beats, at)
                 out += found
                 if done:
-                    self._forget()
+                    opened.clear()
                     seq = 0
             elapsed = None
             if kind == "started":
-                self.open.updateValue((stage,), (at,))
-            elif kind in ("finished", "failed") and self.open.containsKey((stage,)):
-                elapsed = at - int(self.open.getValue((stage,))[0])
-                self.open.removeKey((stage,))
+                opened[stage] = at
+            elif kind in ("finished", "failed") and stage in opened:
+                elapsed = at - opened.pop(stage)
             seq += 1
             out.append((seq, kind, stage, at, elapsed))
             if last is None or at >= last:
                 last, beats = at, 0
+        for stage in before.keys() - opened.keys():
+            self.open.removeKey((stage,))
+        for stage, began in opened.items():
+            if before.get(stage) != began:
+                self.open.updateValue((stage,), (began,))
         self.known.update((seq, last, beats))
         self._timer(last + (beats + 1) * self.idle)
         yield from self._frame(key, out)
