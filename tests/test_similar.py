@@ -85,3 +85,25 @@ def test_links_of_few_grams_are_counted_without_pairs(spark, monkeypatch, least,
     known = [(i, t) for i, t in rows if grams(t)]
     want = {i: (min(j for j, u in known if grams(u) == grams(t)), sum(j != i and likeness(t, u) >= least - 1e-12 for j, u in known)) for i, t in known}
     assert got == want
+
+
+@pytest.mark.parametrize("k, least, pack", [(1, 0.3, 7), (5, 0.3, 8192), (5, 0.6, 7), (40, 0.05, 7)])
+def test_most_like_of_few_grams_is_found_without_pairs(spark, monkeypatch, k, least, pack):
+    """Where lists hold nearly all pairs, the best rows are kept in the task of a pack, and no table of pairs is made."""
+    r = random.Random(7)
+    rows = [(i, " ".join([r.choice(["large", "hot", "light"]), r.choice(["ring", "bolt"]), f"brand{r.randrange(9)}", "no", str(r.randrange(20))])) for i in range(300)]
+    rows += [(i, None if i % 2 else "Bolt, bolt") for i in range(300, 330)]
+    asked = [x for x in rows if x[0] % 4 == 0] + [(5000, "large rings"), (5001, "qqq"), (5002, None), (5003, "large ring qqq"), (5004, "..")]
+    monkeypatch.setattr(similar, "MET", 0)
+    monkeypatch.setattr(similar, "PACK", pack)
+    monkeypatch.setattr(similar, "STRIP", 5)
+    monkeypatch.setattr(similar, "RUN", 2, raising=False)
+    monkeypatch.setattr(similar, "SUMS", 1e9)
+    monkeypatch.setattr(similar, "like_pairs", None)
+    schema, got = "id long, name string", {}
+    for x in similar.most_like(spark.createDataFrame(asked, schema), spark.createDataFrame(rows, schema), "id", "name", k, least).collect():
+        got.setdefault(x["query_id"], []).append((x["position"], x["id"], x["likeness"]))
+    for q, t in asked:
+        best = sorted((-round(likeness(t, u), 6), i) for i, u in rows if likeness(t, u) >= least)[:k]
+        assert sorted(got.get(q, [])) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)], t
+    assert len(got) > 80
