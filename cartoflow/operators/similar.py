@@ -68,16 +68,26 @@ def _prefixes(sets: DataFrame, counts: DataFrame, least: float) -> DataFrame:
     return ordered.select("class", "n", F.posexplode(F.slice("g", F.lit(1), F.least(keep, F.col("n")))).alias("i", "g")).select("class", "n", "i", "g.gram")
 
 
-def like_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, likeness) of classes (class, grams) of both sides with a likeness of ``least`` (over 0) or more."""
+def like_pairs(left: DataFrame, right: DataFrame, least: float, by_size: bool = False) -> DataFrame:
+    """(a, b, likeness) of classes (class, grams) of both sides with a likeness of ``least`` (over 0) or more.  ``by_size`` is
+    for short sets: both sizes are part of the key then, so a gram that all sets have is in the index of few."""
     if not 0 < least <= 1:
         raise ValueError("likeness must be over 0 and at most 1")
-    counts = spool(right.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")))
+    grams = lambda df: df.select(F.explode("grams").alias("gram"))
+    # What the left side has not is never met; it is as rare as a gram can be, and need not be counted.
+    counts = spool(grams(right).join(grams(left).distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df")))
     a = _prefixes(left, counts, least).select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "gram")
     b = _prefixes(right, counts, least).select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "gram")
     sized = (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)
-    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
-    met = a.join(b, "gram").where(sized & enough).select("a", "b").distinct()
+    needed = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    if by_size:
+        size = lambda df, c: spool(df.select(F.size("grams").alias(c)).distinct())
+        a = a.join(F.broadcast(size(right, "nb")), sized & (F.col("na") - F.col("ia") >= needed))
+        b = b.join(F.broadcast(size(left, "na")), sized & (F.col("nb") - F.col("ib") >= needed)).join(counts.select("gram"), "gram", "left_semi")
+        met = a.join(b, ["gram", "na", "nb"]).select("a", "b").distinct()
+    else:
+        enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= needed
+        met = a.join(b, "gram").where(sized & enough).select("a", "b").distinct()
     whole = met.join(left.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(right.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
     return whole.select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("likeness")).where(F.col("likeness") >= least - 1e-12)

@@ -45,13 +45,13 @@ def resolved(keywords: DataFrame, concepts: DataFrame, least: float = LEAST) ->
     rest = spool(asked.join(early, "keyword", "left_anti"))
 
     typos = best_entries(rest.select(F.col("text").alias("a")), aliases.select(F.col("alias").alias("b")), least, MOST_APART).toDF("keyword", "entry", "likeness")
-    typos = typos.union(typo_pairs(rest.select(F.col("text").alias("keyword")).where(F.length("keyword") > LETTERS), aliases.select(F.col("alias").alias("entry")), least))
+    typos = typos.union(typo_pairs(rest.select(F.col("text").alias("keyword")).where(F.length("keyword") > LETTERS), aliases.select(F.col("alias").alias("entry")).where(F.length("entry") > LETTERS - MOST_APART), least))
     typos = typos.select(F.col("keyword").alias("text"), F.col("entry").alias("alias"), "likeness").join(rest, "text").join(aliases, "alias")
     fuzzy = stage(typos, 3, "fuzzy", F.col("likeness"), F.struct(F.col("likeness").alias("x"), F.col("alias").alias("s")))
 
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    sets = lambda df, c: df.select(F.col(c).alias("class"), words(F.col(c)).alias("grams")).where("size(grams) > 0").distinct()
-    shared = like_pairs(sets(rest, "text"), sets(aliases, "alias"), 0.75).select(F.col("a").alias("text"), F.col("b").alias("alias"), "likeness").join(rest, "text").join(aliases, "alias")
+    sets = lambda df, c: df.select(F.col(c).alias("class"), words(F.col(c)).alias("grams")).where("size(grams) > 0")
+    shared = like_pairs(sets(rest, "text").distinct(), sets(aliases, "alias"), 0.75, by_size=True).select(F.col("a").alias("text"), F.col("b").alias("alias"), "likeness").join(rest, "text").join(aliases, "alias")
     tokens = stage(shared, 4, "tokens", F.col("likeness"), F.struct(F.col("likeness").alias("x"), F.col("alias").alias("s")))
 
     category = concepts.select("position", "concept_id", F.explode("defining").alias("d")).select("position", "concept_id", F.explode(F.split("d", r"[_\W]+")).alias("word")).where("word <> ''")

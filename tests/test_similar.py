@@ -107,3 +107,16 @@ def test_most_like_of_few_grams_is_found_without_pairs(spark, monkeypatch, k, le
         best = sorted((-round(likeness(t, u), 6), i) for i, u in rows if likeness(t, u) >= least)[:k]
         assert sorted(got.get(q, [])) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)], t
     assert len(got) > 80
+
+
+@pytest.mark.parametrize("least", [0.3, 0.75])
+def test_pairs_of_short_sets_by_size(spark, least):
+    """Sizes in the key leave the pairs as they are; what the left side has not is not in the index."""
+    r = random.Random(10)
+    words = ["large", "hot", "ring", "bolt", "k", "no"]
+    of = lambda n, at: [(i, sorted({*r.choices(words, k=r.randrange(1, 6)), f"brand{r.randrange(3)}", str(at + i)} - ({str(at + i)} if i % 3 else set()))) for i in range(n)]
+    a, b = of(40, 0), of(90, 5)
+    left, right = (spark.createDataFrame(x, "class long, grams array<string>") for x in (a, b))
+    got = {(x["a"], x["b"]): x["likeness"] for x in similar.like_pairs(left, right, least, by_size=True).collect()}
+    likeness = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    assert got == {(i, j): likeness(x, y) for i, x in a for j, y in b if likeness(x, y) >= least - 1e-12} and got
