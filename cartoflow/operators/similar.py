@@ -35,8 +35,9 @@ STEPS = (0.8, 0.6, 0.45)
 MET, SUMS, COLUMNS = 10_000_000, 4096, 1 << 16
 #: Classes of a pack, its cells (classes by grams) at most, and classes that are multiplied with a pack at once.
 PACK, CELLS, STRIP = 8192, 1 << 25, 1024
-#: Packs that a task holds one after the other against its queries, and sets of the first that say what to look for.
-RUN, SAMPLE = 4, 1024
+#: Packs that a task holds one after the other against its queries, sets of the first that say what to look for, and pairs of
+#: query and set that are sorted at once.
+RUN, SAMPLE, HITS = 4, 1024, 1 << 20
 #: Likenesses are compared in millionths.  Different sets of fewer grams than these have less than one that rounds to 1.
 ONE = 1_000_000
 
@@ -254,10 +255,12 @@ def _nearest(k: int, least: float, columns: int):
                     needed, like = best.needed(at, sizes[cuts[:-1]]), np.empty(both.shape, bool)
                     for g, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         np.greater_equal(both[:, x:y], needed[:, g : g + 1], out=like[:, x:y])
-                    hit = np.flatnonzero(like.ravel())
-                    r = hit // len(sizes)
-                    c = hit - r * len(sizes)
-                    best.add(at, r, both.ravel()[hit].astype(np.int64), sizes[c], place[c], n[c])
+                    hits = np.flatnonzero(like.ravel())
+                    for some in range(0, len(hits), HITS):  # where many tie, all of them are hits
+                        hit = hits[some : some + HITS]
+                        r = hit // len(sizes)
+                        c = hit - r * len(sizes)
+                        best.add(at, r, both.ravel()[hit].astype(np.int64), sizes[c], place[c], n[c])
                 best.fresh = False
         if best is not None:
             yield best.told(of[0])

@@ -98,6 +98,7 @@ def test_most_like_of_few_grams_is_found_without_pairs(spark, monkeypatch, k, le
     monkeypatch.setattr(similar, "PACK", pack)
     monkeypatch.setattr(similar, "STRIP", 5)
     monkeypatch.setattr(similar, "RUN", 2, raising=False)
+    monkeypatch.setattr(similar, "HITS", 9, raising=False)
     monkeypatch.setattr(similar, "SUMS", 1e9)
     monkeypatch.setattr(similar, "like_pairs", None)
     schema, got = "id long, name string", {}
